@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, secret_scan, simhash, suffix, toxicity, vectors
+from . import decontam, packing, preference, secret_scan, sharding, simhash, suffix, toxicity, vectors, wordpiece
+from .store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +35,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
+    c = _table(spark, sf_dir, "conversations")
+    return preference.format_pairs(c.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -56,14 +67,45 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where compaction left each document, and a digest of the text read back from there."""
+    store = sharding.ShardStore(spark, new_path(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.snapshot().select("doc_id", F.md5("text").alias("text_md5"), F.col("_shard").alias("shard"), F.col("_tier").alias("tier"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
+    "op3_preference_format": op3_preference_format,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_preference_format": """
+        WITH t AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text FROM conversations),
+        cells AS (SELECT pair_id, turn, role, text, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS j FROM t GROUP BY ALL),
+        ends AS (SELECT pair_id, min(turn) AS first_turn FROM cells WHERE c <> j GROUP BY pair_id),
+        kept AS (SELECT t.*, (e.first_turn IS NULL OR turn < e.first_turn) AS agreed FROM t LEFT JOIN ends e USING (pair_id))
+        SELECT pair_id, CASE WHEN agreed THEN 'prompt' ELSE side END AS segment, turn, role,
+               '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
+               CAST(NOT agreed AND role = 'assistant' AS INTEGER) AS loss
+        FROM kept WHERE NOT agreed OR side = 'chosen'
+    """,
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        comp AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+        deg AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN deg USING (vec_id)
+    """,
+}
