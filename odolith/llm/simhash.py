@@ -263,11 +263,12 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
         for b in batches:
             text = b.column(at).cast(pa.string())
             fp = _as_long(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in text)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*docs.columns, mark])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names)
 
     at, mark = docs.columns.index("text"), "_simhash"
     while mark in docs.columns:
         mark += "_"
+    names = [*docs.columns, mark]
     groups = simhash_groups(docs.select("doc_id", "text"), budget)
     chosen = groups.filter("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
     # a group of several fingerprints with a repeated doc_id keeps the row with the smallest of them
