@@ -173,7 +173,7 @@ def infer_driver(path: Column) -> Column:
 def read_log(spark: SparkSession, path: str, min_bytes: int = 1000) -> DataFrame:
     """Raw rows of the CSV logs under ``path`` with drive_id (file name), rn and driver_id; files of ``min_bytes`` or fewer are pointers, not data."""
     raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    named = raw.select("*", F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_size").alias("size_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("line_")).where(F.col("size_") > min_bytes)
+    named = raw.select("*", F.regexp_replace("_metadata.file_path", "%20", " ").alias("path_"), F.col("_metadata.file_size").alias("size_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("line_")).where(F.col("size_") > min_bytes)
     per_file = W.partitionBy("path_").orderBy("block_", "line_")
     out = named.withColumn("drive_id", F.regexp_replace(F.element_at(F.split("path_", "/"), -1), r"\.csv$", "")).withColumn("rn", F.row_number().over(per_file).cast("long")).withColumn("driver_id", infer_driver(F.col("path_")))
     return out.drop("path_", "size_", "block_", "line_")
@@ -182,5 +182,5 @@ def read_log(spark: SparkSession, path: str, min_bytes: int = 1000) -> DataFrame
 def slices(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     """Row ranges of drives: ``manifest`` (drive_id, suffix, split, offset, max_rows), a fixed list of files, joined to the rows it names."""
     m = F.broadcast(manifest.select(F.col("drive_id").alias("file_"), "suffix", "split", "offset", "max_rows"))
-    hit = raw.join(m, (raw.drive_id == m.file_) & (raw.rn > m.offset) & (raw.rn <= m.offset + m.max_rows))
+    hit = raw.join(m, (raw.drive_id == m.file_) & (raw.rn > m["offset"]) & (raw.rn <= m["offset"] + m["max_rows"]))
     return hit.withColumn("drive_id", F.concat("drive_id", "suffix")).withColumn("rn", F.col("rn") - F.col("offset")).drop("file_", "suffix", "offset", "max_rows")
