@@ -3,7 +3,7 @@
 ``append`` writes what arrives as it is partitioned, one small file a task and no shuffle. ``compact`` puts shards into
 tiers by size, gathers neighbours of one tier up to the target size, and rewrites each such run of at least
 ``FAN_IN`` shards as one file; larger and lone shards stay untouched. A run is bounded by the target, so the
-one shuffle, by run, has no hot key whatever the rows hold. A change counts once its manifest has been renamed to the next version's
+one shuffle, by run, has no hot key whatever the rows hold; each run is one task and one file. A change counts once its manifest has been renamed to the next version's
 name, which fails if that exists; a job that dies leaves files that no manifest names. Sizes and counts come from file
 metadata and footers. DataFrame functions only; the driver sees no rows of manifests or data.
 
@@ -89,12 +89,14 @@ class ShardStore:
             plan.write.parquet(tmp := f"{self.root}/plan/{uuid.uuid4().hex}")
             plan = self.spark.read.schema(plan.schema).parquet(tmp)
             n = plan.count()
-            n_runs = plan.select("run").distinct().count()
             if not n:
                 return now
-            rows = self._rows(plan, ["run"], n)
+            # a number for each run, of which there are as many as files to write: each run is a partition of its own, and so one file
+            runs = plan.select("run").distinct().select("run", (F.row_number().over(W.orderBy("run")) - 1).alias("to"))
+            n_runs = runs.count()
+            rows = self._rows(plan.join(runs, "run"), ["to"], n)
             batch = f"c-{uuid.uuid4().hex}"
-            merged = rows.repartition(n_runs, "run").drop("run")
+            merged = rows.repartitionById(n_runs, F.col("to")).drop("to")
             new = self._written(batch, merged)
             stay = manifest.join(plan.select("batch", "file"), ["batch", "file"], "left_anti")
             self._commit(stay.unionByName(new), now)
