@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 BUCKET_BITS = 22
 TRAIN_ROWS = 20_000
 PASSES = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.5
 _WORD = re.compile(r"\w+")
 _CACHE = 400_000
 
