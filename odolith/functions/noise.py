@@ -31,3 +31,8 @@ def radius(sigma: Column) -> Column:
 def clock(t: Column) -> Column:
     """Seconds as mm:ss."""
     return F.format_string("%02d:%02d", F.floor(t / 60).cast("int"), F.floor(t % 60).cast("int"))
+
+
+def label(name: Column) -> Column:
+    """A feature's name as a title."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))

@@ -56,27 +56,30 @@ def enhanced_stats(c: Column, z: Column, med: Column, std: Column, n: int) -> di
     }
 
 
-def power(c: Column, n: int) -> Column:
-    """Squared magnitudes of a centred window's real Fourier transform, one for each frequency k/n."""
+def _doubles(values) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
 
-    def at(k):
-        part = lambda f: _sum(F.zip_with(c, F.array(*[F.lit(f(2 * pi * k * i / n)) for i in range(n)]), lambda x, t: x * t))
-        return part(cos), part(sin)
+def _table(f, n: int) -> Column:
+    """f over the angles of each frequency: a constant, so the plan holds it once and not as n^2 expressions."""
+    return F.expr("array(" + ", ".join(_doubles(f(2 * pi * k * i / n) for i in range(n)) for k in range(n // 2 + 1)) + ")")
 
-    parts = F.array(*[F.struct(re.alias("re"), im.alias("im")) for re, im in map(at, range(n // 2 + 1))])
-    return F.transform(parts, lambda p: p["re"] * p["re"] + p["im"] * p["im"])
+
+def power(c: Column, n: int) -> Column:
+    """Squared magnitudes of a centred window's real Fourier transform, one for each frequency k/n."""
+    part = lambda f: F.transform(_table(f, n), lambda t: _sum(F.zip_with(c, t, lambda x, w: x * w)))
+    return F.zip_with(part(cos), part(sin), lambda re, im: re * re + im * im)
 
 
 def spectral_stats(p: Column, n: int, rate: float = 10.0) -> dict[str, Column]:
     """``p`` as of ``power``. Magnitudes count as equal to nine decimals when the dominant frequency is looked for."""
     freq = [k * rate / n for k in range(n // 2 + 1)]
     total = _sum(p) + 1e-9
-    pick = lambda ks: sum((F.get(p, F.lit(k)) for k in ks), F.lit(0.0)) / total
+    weighed = lambda w: _sum(F.zip_with(p, F.expr(_doubles(w)), lambda x, k: x * k)) / total
     mags = F.transform(p, lambda v: F.round(F.sqrt(v), 9))
     return {
-        "spec_centroid": sum((F.get(p, F.lit(k)) * f for k, f in enumerate(freq)), F.lit(0.0)) / total,
-        "dom_freq": (F.array_position(mags, F.array_max(mags)) - 1) * rate / n,
-        "power_low": pick([k for k, f in enumerate(freq) if f <= 1.5]), "power_high": pick([k for k, f in enumerate(freq) if 1.5 < f <= 5.0]),
+        "spec_centroid": weighed(freq), "dom_freq": (F.array_position(mags, F.array_max(mags)) - 1) * rate / n,
+        "power_low": weighed([f <= 1.5 for f in freq]), "power_high": weighed([1.5 < f <= 5.0 for f in freq]),
     }
 
 

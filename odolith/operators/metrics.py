@@ -54,6 +54,12 @@ def across_drives(per_drive: DataFrame, cols: list[str], places: int = 2) -> Dat
     return per_drive.agg(F.count("*").alias("num_drives"), *[f(x).alias(f"{c}_{n}") for c, x in zip(cols, r, strict=True) for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
+def extremes(per_drive: DataFrame, driver: str, cols: list[str]) -> DataFrame:
+    """Least and greatest of each figure over one driver's drives."""
+    own = per_drive.where(F.col("driver_id") == driver)
+    return own.agg(F.count("*").alias("num_drives"), *[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("min", F.min), ("max", F.max))])
+
+
 def regression(y: Column, p: Column) -> list[Column]:
     """mae, rmse, r2, medae and p95 as aggregates."""
     e = F.abs(y - p)

@@ -517,3 +517,32 @@ def _(spark, d):
     df = motion.dense_speed(_stand_in(drive_view(spark, d)))
     lo, hi = noise.band(F.col("ai_speed"), F.col("ai_speed_std"))
     return df.select(*KEYS, r6(lo).alias("lo"), r6(hi).alias("hi"), ((F.col("timestamp") >= OUT_START) & (F.col("timestamp") <= OUT_END)).alias("shaded"))
+
+
+@query("q49_driver_extremes", ", who AS (SELECT drive_id, arg_min(driver_id, rn) AS driver_id FROM drives GROUP BY drive_id) SELECT count(*) AS num_drives, round(min(naive_exit), 6) AS naive_exit_min, round(max(naive_exit), 6) AS naive_exit_max, round(min(naive_max), 6) AS naive_max_min, round(max(naive_max), 6) AS naive_max_max FROM scored JOIN who USING (drive_id) WHERE driver_id = 'E'", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+def _(spark, d):
+    who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
+    out = metrics.extremes(_naive_metrics(spark, d).join(who, "drive_id"), "E", ["naive_exit", "naive_max"])
+    return out.select("num_drives", *[r6(c) for c in out.columns[1:]])
+
+
+@query("q50_feature_labels", " SELECT p_partkey, array_to_string(list_transform(string_split(lower(replace(p_name, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM part", "x AS (SELECT 1)")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", noise.label(F.col("p_name")).alias("label"))
+
+
+@query("q51_metric_documents")
+def _(spark, d):
+    return report.metric_documents(_naive_metrics(spark, d))
+
+
+@query("q52_error_reduction", " SELECT drive_id, round(100 * (naive_exit - naive_settled) / (naive_exit + 1e-5), 4) AS reduction_pct FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+def _(spark, d):
+    return _naive_metrics(spark, d).select("drive_id", r6(metrics.improvement("naive_exit", "naive_settled"), 4).alias("reduction_pct"))
+
+
+@query("q53_macro_average", " , per AS (SELECT drive_id, avg(abs(speed - ai_speed)) AS mae FROM dense GROUP BY drive_id) SELECT round(avg(mae), 6) AS macro_mae, (SELECT round(avg(abs(speed - ai_speed)), 6) FROM dense) AS pooled_mae FROM per", STAND_IN_SQL)
+def _(spark, d):
+    e = motion.dense_speed(_stand_in(drive_view(spark, d))).select("drive_id", F.abs(F.col("speed") - F.col("ai_speed")).alias("e"))
+    per = e.groupBy("drive_id").agg(F.avg("e").alias("mae"), F.sum("e").alias("s"), F.count("e").alias("n"))
+    return per.agg(F.avg("mae").alias("m"), (F.sum("s") / F.sum("n")).alias("p")).select(r6("m").alias("macro_mae"), r6("p").alias("pooled_mae"))

@@ -32,6 +32,11 @@ def write_frames(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("drive_id").json(path)
 
 
+def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """An experiment's table as CSV with a header, Parquet or JSON."""
+    df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
 def metric_documents(per_drive: DataFrame) -> DataFrame:
     """(drive_id, document): each drive's metrics as one JSON text."""
     return per_drive.select("drive_id", F.to_json(F.struct(*[c for c in per_drive.columns if c != "drive_id"])).alias("document"))

@@ -36,7 +36,8 @@ def repaired_dt(t: Column) -> Column:
 
 def drive_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drive for each user of ``events``; sensors, light and driver are fixed functions of its columns."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # the one shuffle that all windows over drives share; its number of partitions is set, as what follows is heavy in work, not in bytes
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
     first = W.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
     rows = e.select(

@@ -109,6 +109,27 @@ def stream(df: DataFrame, fix_every: int = 10) -> DataFrame:
     return df.groupBy("drive_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def carry_stream(df: DataFrame, values: list[str]) -> DataFrame:
+    """Last observation carried forward over a stream of (drive_id, t, values): nulls take the drive's last value, across triggers."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    schema = "drive_id long, t double, " + ", ".join(f"{v} double" for v in values)
+
+    def run(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = list(state.get[0]) if state.exists else [None] * len(values)
+        parts = [p for p in pieces if len(p)]
+        if parts:
+            rows = pd.concat(parts).sort_values("t")[["drive_id", "t", *values]].reset_index(drop=True)
+            for i, v in enumerate(values):
+                first = pd.Series([last[i]], dtype="float64")
+                rows[v] = pd.concat([first, rows[v].astype("float64")]).ffill().iloc[1:].to_numpy()
+                last[i] = None if pd.isna(rows[v].iloc[-1]) else float(rows[v].iloc[-1])
+            yield rows
+        state.update((last,))
+
+    return df.groupBy("drive_id").applyInPandasWithState(run, schema, "last array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def sliding_counts(df: DataFrame, length: str = "1500 milliseconds", slide: str = "200 milliseconds", late: str = "5 seconds") -> DataFrame:
     """Per drive and sliding event-time window, speed and vibration statistics; ``df`` has a timestamp column ``event_time``."""
     w = df.withWatermark("event_time", late).groupBy("drive_id", F.window("event_time", length, slide))

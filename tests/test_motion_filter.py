@@ -215,3 +215,27 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_carried_stream_and_sliding_windows(spark, tmp_path):
+    rows = [(1, 0.0, 5.0, None), (1, 1.0, None, 2.0), (1, 2.0, None, None), (2, 0.5, None, 1.0)]
+    schema = "drive_id long, t double, a double, b double"
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = device.carry_stream(src, ["a", "b"]).writeStream.format("memory").queryName("carried").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [tuple(r) for r in spark.sql("select * from carried order by drive_id, t").collect()]
+    assert [g[:3] for g in got] == [(1, 0.0, 5.0), (1, 1.0, 5.0), (1, 2.0, 5.0), (2, 0.5, None)] and [g[3] for g in got[1:]] == [2.0, 2.0, 1.0]
+    df = simulate.simulate(spark, [("A", 5.0)], seed=1).withColumn("event_time", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")))
+    n = device.sliding_counts(df).agg(F.max("n"), F.count("*")).first()
+    assert n[0] == 15 and n[1] > 20
+
+
+def test_robustness_cases(spark):
+    df = simulate.simulate(spark, [("B", 20.0)], seed=6)
+    biased = models.perturb(df, "gyro_bias").join(df.select("rn", F.col("gyro_z").alias("g")), "rn")
+    assert biased.where(F.abs(F.col("gyro_z") - F.col("g") - 0.02) > 1e-12).count() == 0
+    assert models.perturb(df, "dropout").count() == models.perturb(df, "dropout").count() < df.count()
+    with pytest.raises(ValueError, match="unknown"):
+        models.perturb(df, "storm")
