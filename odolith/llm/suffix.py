@@ -31,8 +31,12 @@ from .store import cut
 
 DEPTH = 200
 GRAM = 64
+#: members of an anchor group beyond which its windows are dealt out again
 HOT = 20_000
-_OFTEN = 8
+#: contexts of one anchor in a batch beyond which they are not sent to be grouped
+OFTEN = 8
+#: rows that are decided at once, and rows of one anchor beyond which they stream through
+SETTLE, STREAM = 50_000, 400_000
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = np.random.default_rng(12).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -108,7 +112,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("data")).select("doc_id", F.coalesce("doc_id", F.xxhash64("data")).alias("id"), (F.crc32("data") - (1 << 31)).cast("int").alias("crc"), "data")
 
 
-def _combine(h, c):
+def _combine(h, c, limit):
     """kind for each row of a batch, and the indexes that stand for their classes in the shuffle."""
     order = np.lexsort((c, h))
     hs, cs = h[order], c[order]
@@ -123,7 +127,7 @@ def _combine(h, c):
     first[order] = new_c
     many, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
     many[order] = size[cls] > 1
-    often[order] = n_classes[group] > _OFTEN
+    often[order] = n_classes[group] > limit
     kind[many & ~first] = WHOLE
     kind[often & ~many] = EDGE
     mark = np.zeros(len(h), bool)
@@ -131,35 +135,38 @@ def _combine(h, c):
     return kind, first & many, often, mark & often
 
 
-def _find(batches):
-    for b in batches:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for doc, crc, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            got = anchors(data)
-            if got is None:
+def _find(limit):
+    def run(batches):
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for doc, crc, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                got = anchors(data)
+                if got is None:
+                    continue
+                p, lo, hi, h = got
+                for col, v in zip(cols, (h, _context_hash(data, p), np.full(len(p), doc), np.full(len(p), crc), p, lo, hi), strict=True):
+                    col.append(v)
+            if not cols[0]:
                 continue
-            p, lo, hi, h = got
-            for col, v in zip(cols, (h, _context_hash(data, p), np.full(len(p), doc), np.full(len(p), crc), p, lo, hi), strict=True):
-                col.append(v)
-        if not cols[0]:
-            continue
-        h, c, *rest = (np.concatenate(x) for x in cols)
-        kind, stands, often, mark = _combine(h, c)
-
-        def out(sel, kinds, h=h, c=c, rest=rest):
-            arrays = [kinds, h[sel].view(np.int64), c[sel].view(np.int64), *(x[sel] for x in rest)]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(arrays, types, strict=True)], _NAMES)
-
-        # of a class with several members one row is sent twice, so that it is seen to be one; anchors that occur in many contexts send a mark instead
-        plain = (kind != OPEN) | ~stands
-        yield out(plain, kind[plain])
-        twice = stands & (kind == OPEN)
-        yield out(np.repeat(np.flatnonzero(twice), 2), np.full(2 * twice.sum(), OPEN))
-        yield out(mark, np.full(mark.sum(), MARK))
-
-
-def _group(batches):
+            h, c, *rest = (np.concatenate(x) for x in cols)
+            kind, stands, often, mark = _combine(h, c, limit)
+
+            def out(sel, kinds, h=h, c=c, rest=rest):
+                arrays = [kinds, h[sel].view(np.int64), c[sel].view(np.int64), *(x[sel] for x in rest)]
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
+                return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(arrays, types, strict=True)], _NAMES)
+
+            # of a class with several members one row is sent twice, so that it is seen to be one; anchors that occur in many contexts send a mark instead
+            plain = (kind != OPEN) | ~stands
+            yield out(plain, kind[plain])
+            twice = stands & (kind == OPEN)
+            yield out(np.repeat(np.flatnonzero(twice), 2), np.full(2 * twice.sum(), OPEN))
+            yield out(mark, np.full(mark.sum(), MARK))
+
+    return run
+
+
+def _group(at_once, stream):
     """Rows sorted by (h, c, kind): decides each; an undecided row and one of each class whose group has other classes become EDGE."""
 
     def decide(r):
@@ -184,23 +191,26 @@ def _group(batches):
         order = np.lexsort((r["kind"], r["c"], r["h"]))
         return {x: v[order] for x, v in r.items()}
 
-    held = None
-    for b in batches:
-        r = {x: b.column(x).to_numpy(zero_copy_only=False) for x in _NAMES}
-        held = r if held is None else {x: np.concatenate([held[x], r[x]]) for x in _NAMES}
-        last = held["h"][-1] if len(held["h"]) else 0
-        done = int(np.searchsorted(held["h"], last))
-        if done >= 50_000:
-            yield from decide({x: v[:done] for x, v in held.items()})
-            held = {x: v[done:] for x, v in held.items()}
-        elif len(held["h"]) > 400_000:
-            # a common anchor streams through: it is cut where its context changes, if it does, and a mark on both sides tells of the other
-            change = np.flatnonzero((held["c"][1:] != held["c"][:-1]) & (held["h"][1:] == last)) + 1
-            keep = int(change[-1]) if len(change) and change[-1] > done else len(held["h"]) - 2
-            yield from decide(marked({x: v[:keep] for x, v in held.items()}))
-            held = marked({x: v[keep:] for x, v in held.items()})
-    if held is not None and len(held["h"]):
-        yield from decide(held)
+    def run(batches):
+        held = None
+        for b in batches:
+            r = {x: b.column(x).to_numpy(zero_copy_only=False) for x in _NAMES}
+            held = r if held is None else {x: np.concatenate([held[x], r[x]]) for x in _NAMES}
+            last = held["h"][-1] if len(held["h"]) else 0
+            done = int(np.searchsorted(held["h"], last))
+            if done >= at_once:
+                yield from decide({x: v[:done] for x, v in held.items()})
+                held = {x: v[done:] for x, v in held.items()}
+            elif len(held["h"]) - done > stream:
+                # a common anchor streams through: it is cut where its context changes, if it does, and a mark on both sides tells of the other
+                change = np.flatnonzero((held["c"][1:] != held["c"][:-1]) & (held["h"][1:] == last)) + 1
+                keep = int(change[-1]) if len(change) and change[-1] > done else len(held["h"]) - 2
+                yield from decide(marked({x: v[:keep] for x, v in held.items()}))
+                held = marked({x: v[keep:] for x, v in held.items()})
+        if held is not None and len(held["h"]):
+            yield from decide(held)
+
+    return run
 
 
 CONTEXT = "h long, id long, crc int, p int, lo int, hi int, at int, context binary"
@@ -259,7 +269,7 @@ def _runs(ids, crcs, s):
     return ids[new], crcs[new], s[new], s[end]
 
 
-def _sort_windows(batches):
+def _sort_windows(hot, at_once):
     """Rows of ``CONTEXT`` sorted by h: ranges of starts whose windows repeat, and windows of hot anchors for one more deal."""
 
     def expand(r):
@@ -293,31 +303,35 @@ def _sort_windows(batches):
             yield _repeat_rows(part["id"][row], part["crc"][row], s, s, key, part["p"][row] - s, [xxhash.xxh3_128_digest(w) for w in win])
 
     names = [x.split()[0] for x in CONTEXT.split(", ")]
-    held, passing = None, None
-    for b in batches:
-        r = {x: np.array(b.column(x).to_pylist(), object) if x == "context" else b.column(x).to_numpy(zero_copy_only=False) for x in names}
-        if passing is not None:
-            of = r["h"] == passing
-            if of.any():
-                yield from deal({x: v[of] for x, v in r.items()})
-                r = {x: v[~of] for x, v in r.items()}
-            if len(r["h"]):
-                passing = None
-        if not len(r["h"]):
-            continue
-        held = r if held is None else {x: np.concatenate([held[x], r[x]]) for x in names}
-        last = held["h"][-1]
-        done = int(np.searchsorted(held["h"], last))
-        if len(held["h"]) - done > HOT:
-            passing = last
-            yield from deal({x: v[done:] for x, v in held.items()})
-            held = {x: v[:done] for x, v in held.items()}
-            done = len(held["h"])
-        if done >= 5_000:
-            yield from settle({x: v[:done] for x, v in held.items()})
-            held = {x: v[done:] for x, v in held.items()}
-    if held is not None and len(held["h"]):
-        yield from settle(held)
+
+    def run(batches):
+        held, passing = None, None
+        for b in batches:
+            r = {x: np.array(b.column(x).to_pylist(), object) if x == "context" else b.column(x).to_numpy(zero_copy_only=False) for x in names}
+            if passing is not None:
+                of = r["h"] == passing
+                if of.any():
+                    yield from deal({x: v[of] for x, v in r.items()})
+                    r = {x: v[~of] for x, v in r.items()}
+                if len(r["h"]):
+                    passing = None
+            if not len(r["h"]):
+                continue
+            held = r if held is None else {x: np.concatenate([held[x], r[x]]) for x in names}
+            last = held["h"][-1]
+            done = int(np.searchsorted(held["h"], last))
+            if len(held["h"]) - done > hot:
+                passing = last
+                yield from deal({x: v[done:] for x, v in held.items()})
+                held = {x: v[:done] for x, v in held.items()}
+                done = len(held["h"])
+            if done >= at_once:
+                yield from settle({x: v[:done] for x, v in held.items()})
+                held = {x: v[done:] for x, v in held.items()}
+        if held is not None and len(held["h"]):
+            yield from settle(held)
+
+    return run
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -353,28 +367,28 @@ def _strip(with_text: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, often: int = OFTEN, hot: int = HOT, settle: int = SETTLE, stream: int = STREAM) -> DataFrame:
     """(id, crc, lo, hi): ranges of starts of repeated windows, by the keys of ``_keyed``."""
     keyed = _keyed(docs)
-    found = cut(keyed.where(F.length("data") >= DEPTH).mapInArrow(_find, ANCHOR), "anchors")
+    found = cut(keyed.where(F.length("data") >= DEPTH).mapInArrow(_find(often), ANCHOR), "anchors")
     to_group = found.where(F.col("kind").isin(OPEN, MARK)).repartition("h").sortWithinPartitions("h", "c", "kind")
-    grouped = cut(to_group.mapInArrow(_group, ANCHOR).where(F.col("kind") != MARK), "grouped")
+    grouped = cut(to_group.mapInArrow(_group(settle, stream), ANCHOR).where(F.col("kind") != MARK), "grouped")
     decided = found.where(F.col("kind").isin(WHOLE, EDGE)).unionByName(grouped)
     edges = decided.where(F.col("kind") == EDGE).groupBy("id", "crc").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("edges"))
     with_text = keyed.join(edges, ["id", "crc"]).select("id", "crc", "data", "edges")
     contexts = with_text.mapInArrow(_contexts, CONTEXT)
-    ranges = cut(contexts.repartition("h").sortWithinPartitions("h", "id", "crc", "p").mapInArrow(_sort_windows, REPEAT), "windows")
+    ranges = cut(contexts.repartition("h").sortWithinPartitions("h", "id", "crc", "p").mapInArrow(_sort_windows(hot, settle // 10), REPEAT), "windows")
     hot = ranges.where("key is not null")
     again = hot.groupBy("key", "r", "window").agg(F.count("*").alias("n")).where("n > 1")
     settled = hot.join(again, ["key", "r", "window"], "left_semi").select("id", "crc", "lo", "hi")
     return decided.where(F.col("kind") == WHOLE).select("id", "crc", "lo", "hi").unionByName(ranges.where("key is null").select("id", "crc", "lo", "hi")).unionByName(settled)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, **limits: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs`` (doc_id, text).
 
-    ``kept`` holds the remaining bytes, or without ``with_text`` their SHA-256.
+    ``kept`` holds the remaining bytes, or without ``with_text`` their SHA-256. ``limits`` as of ``repeated_ranges``; they change no result.
     """
-    per_doc = repeated_ranges(docs).groupBy("id", "crc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    per_doc = repeated_ranges(docs, **limits).groupBy("id", "crc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = _keyed(docs).join(cut(per_doc, "ranges"), ["id", "crc"], "left").select("doc_id", "data", "ranges")
     return joined.mapInArrow(_strip(with_text), RESULT)

@@ -330,10 +330,10 @@ def slow_strip(texts):
     return out
 
 
-@pytest.mark.parametrize(("often", "hot"), [(8, 20_000), (1, 3)])
-def test_repeats_equal_brute_force(spark, monkeypatch, often, hot):
-    monkeypatch.setattr(suffix, "_OFTEN", often)
-    monkeypatch.setattr(suffix, "HOT", hot)
+@pytest.mark.parametrize("limits", [{}, {"often": 1, "hot": 3, "settle": 10, "stream": 4}, {"often": 1000, "hot": 2, "settle": 10, "stream": 2}])
+def test_repeats_equal_brute_force(spark, limits):
+    # small batches, so that groups come in several pieces
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if limits else "10000")
     rng = random.Random(11)
     texts = [*ODD, *prose(rng, 60)]
     shared = [" ".join(prose(rng, 6))[:n] for n in (150, 199, 200, 201, 420, 700)]
@@ -341,7 +341,8 @@ def test_repeats_equal_brute_force(spark, monkeypatch, often, hot):
     texts += ["ab" * 300, "q" + "ab" * 300, shared[5] * 2, "é" * 150, *texts[12:20]]
     docs = frame(spark, texts)
     rows = docs.toPandas()
-    got = suffix.remove_repeats(docs).toPandas()
+    got = suffix.remove_repeats(docs, **limits).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = Counter(slow_strip(rows.text))
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).hex()) for r in got.itertuples()) == want
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
