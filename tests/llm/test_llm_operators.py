@@ -275,10 +275,12 @@ def test_trie_links_span_all_components(spark, hot):
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     flips = [np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64) for _ in range(2)]
-    near = base[rng.integers(0, 60, 400)] ^ flips[0] ^ flips[1]
+    near = base[rng.integers(0, 60, 400) // 3] ^ flips[0] ^ flips[1]
     fps = np.unique(np.concatenate([base, near, np.array([0, 1, 3, (1 << 64) - 1], np.uint64)]))
     df = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5" if hot == 8 else "10000")  # so that a hot root path passes through in pieces
     comp = components.connected_components(simhash.links(df, hot=hot)).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2, 1))
     lab = components.local_labels(len(fps), i, j)
     want = defaultdict(set)
