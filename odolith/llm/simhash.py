@@ -272,11 +272,11 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     groups = simhash_groups(docs.select("doc_id", "text"), budget)
     chosen = groups.filter("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
     # a group of several fingerprints with a repeated doc_id keeps the row with the smallest of them
-    chosen = cut(chosen.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "n"), "kept")
+    chosen = cut(chosen.select(F.col("doc_id").alias("_simhash_id"), F.col("fp").alias("_simhash_fp"), F.col("n").alias("_simhash_n")), "kept")
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
-    kept = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked[mark] == chosen["_fp"]))
-    once = kept.filter("n = 1").select(*[marked[c] for c in docs.columns])
-    if chosen.filter("n > 1").limit(1).count() == 0:
+    kept = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_simhash_id"]) & (marked[mark] == chosen["_simhash_fp"]))
+    once = kept.filter(chosen["_simhash_n"] == 1).select(*[marked[c] for c in docs.columns])
+    if chosen.filter("_simhash_n > 1").limit(1).count() == 0:
         return once
-    return once.unionByName(kept.filter("n > 1").dropDuplicates(["_id", "_fp"]).select(*[marked[c] for c in docs.columns]))
+    return once.unionByName(kept.filter(chosen["_simhash_n"] > 1).dropDuplicates(["_simhash_id", "_simhash_fp"]).select(*[marked[c] for c in docs.columns]))
 

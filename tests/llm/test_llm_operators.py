@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from odolith.llm import components, decontam, packing, preference, queries, secret_scan, sharding, simhash, suffix, toxicity, vectors, wordpiece
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, id string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, n long"
 ODD = [None, "", " ", "a", "one two", "\n\n\t", "Ünïcode ﬁ 漢字 text", "word " * 3000, "x" * 5000]
 
 
 def frame(spark, texts, start=0):
     """Documents with extra columns whose names clash with the operators' own; the first text comes twice, once under the same id."""
-    rows = [(start + i, t, "en", "s", None if t is None else len(t), 0.5, "h", "z") for i, t in enumerate(texts)]
+    rows = [(start + i, t, "en", "s", None if t is None else len(t), 0.5, "h", 3) for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[0], (None, *rows[-1][1:])] if rows else [], DOCS)
 
 
