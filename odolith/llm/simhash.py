@@ -242,21 +242,29 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     return first.filter("a is not null").select("a", "b").unionByName(second.filter("a is not null").select("a", "b"))
 
 
-def simhash_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; fp is the fingerprint as a signed long."""
+def _rooted(docs: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, fp, component_id, root) for every row of ``docs``; root, a fingerprint, is a component's own key, which its name need not be."""
     fps = cut(fingerprints(docs), "fp")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     comp = connected_components(links(fps.select("fp"), budget))
     classes = classes.join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     low = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(classes.join(low, "root").select("fp", "component_id"), "simhash")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(classes.join(low, "root").select("fp", "component_id", "root"), "simhash")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def simhash_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``; fp is the fingerprint as a signed long.
+
+    Groups that share no link can share a name: all without a doc_id have none, and a repeated doc_id may be the smallest of several.
+    """
+    return _rooted(docs, budget).drop("root")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` with one row left of each near-duplicate group: that of the smallest doc_id.
 
-    Of rows that share this doc_id and fingerprint, one stays. A group whose doc_ids are all null keeps one row too.
+    Of rows that share this doc_id, one of the smallest fingerprint stays. A group whose doc_ids are all null keeps one row too.
     """
 
     def run(batches):
@@ -269,9 +277,10 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     while mark in docs.columns:
         mark += "_"
     names = [*docs.columns, mark]
-    groups = simhash_groups(docs.select("doc_id", "text"), budget)
-    chosen = groups.filter("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
+    groups = _rooted(docs.select("doc_id", "text"), budget)
+    lowest = groups.filter("doc_id <=> component_id").groupBy("root", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     # a group of several fingerprints with a repeated doc_id keeps the row with the smallest of them
+    chosen = lowest.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min_by("n", "fp").alias("n"))
     chosen = cut(chosen.select(F.col("doc_id").alias("_simhash_id"), F.col("fp").alias("_simhash_fp"), F.col("n").alias("_simhash_n")), "kept")
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
     kept = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_simhash_id"]) & (marked[mark] == chosen["_simhash_fp"]))

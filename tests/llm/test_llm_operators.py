@@ -315,6 +315,16 @@ def test_simhash_groups_and_keeping_one(spark):
     assert simhash.simhash_groups(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_unlinked_groups_of_one_name_keep_a_row_each(spark):
+    a, b, c, d = prose(random.Random(21), 4, [f"w{i}" for i in range(400)])
+    rows = [(5, a), (7, a.upper()), (5, b), (9, b.upper()), (None, c), (None, c), (None, d), (None, "alone"), (None, a), (5, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [simhash.fingerprint(t.encode()) for t in (a, b, c, d, "alone")]
+    assert min((x ^ y).bit_count() for i, x in enumerate(fps) for y in fps[:i]) > 2
+    kept = sorted((r["doc_id"] or 0, r["text"].lower()) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(5, a), (5, b), (0, c), (0, d), (0, "alone")])
+
+
 # repeated byte strings
 
 
