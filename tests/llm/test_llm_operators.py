@@ -97,6 +97,49 @@ def test_layers_map_back(wrap):
     assert coded[3:-12] not in secret_scan.redact_text(text) and secret_scan.redact_text(text).startswith("ä b ")
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u202f", "\ufeff", "\u00ad", "\u200d", "\f", "\0", None])
+def test_layers_with_unreadable_parts_are_scanned(odd):
+    plain = b"caf\xe9 " + KEY.encode() + b" \xff" if odd is None else (odd + KEY + odd).encode()
+    for wrap in (lambda b: base64.b64encode(b).decode(), lambda b: base64.b64encode(gzip.compress(b)).decode(), lambda b: "".join(f"%{x:02x}" for x in b), lambda b: base64.b64encode(base64.b64encode(b) + b"\xff\xfe").decode()):
+        coded = wrap(plain)
+        found = secret_scan.all_spans("ä b " + coded + " end")[1]
+        assert any(k == 0 and 4 <= s < e <= 4 + len(coded) for s, k, e in found), coded
+    assert secret_scan.all_spans("x%ff" + urllib.parse.quote(KEY, safe="") + "%fe")[1]
+
+
+@pytest.mark.parametrize("lead", ["", "certificate\n", "ab\nabc\n", "data: "])
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+def test_base64_in_lines_is_one_run(lead, eol):
+    for data in (("x" * 50 + " " + KEY + " tail" * 20).encode(), gzip.compress(random.Random(5).randbytes(300) + KEY.encode())):
+        coded = base64.b64encode(data).decode()
+        lines = eol.join(coded[i : i + 76] for i in range(0, len(coded), 76))
+        text = lead + lines + "\nend of it"
+        spans = [(s, e) for s, k, e in secret_scan.all_spans(text)[1] if k == 0]
+        assert spans and all(len(lead) <= s < e <= len(text) for s, e in spans)
+        assert max(text[s:e].count("\n") for s, e in spans) > 0
+
+
+def test_inflated_layers_are_scanned_to_their_end(monkeypatch):
+    monkeypatch.setattr(secret_scan, "_PIECE", 1000)
+    rng = random.Random(6)
+    for text in (" ".join(prose(rng, 60)), "é" * 5001, " " * 5000, "a" * 5000, "x: " * 3000):
+        for wrap in (lambda b: base64.b64encode(gzip.compress(b)).decode(), lambda b: "".join(f"%{x:02x}" for x in gzip.compress(b))):
+            for secret in (KEY, KEY + " " + text, urllib.parse.quote(KEY, safe=""), "password" + " " * 3000 + "= hunter2222"):
+                coded = wrap((text + " " + secret).encode())
+                assert (0, 0, len(coded)) in secret_scan.all_spans(coded)[1]
+    both = gzip.compress(b"one ") + gzip.compress(KEY.encode())
+    assert secret_scan.all_spans(base64.b64encode(both).decode())[1]
+    noise = random.Random(7).randbytes(5000).hex().translate(str.maketrans("0123456789abcdef", "ghijklmnopqrstuv"))
+    hurt = bytearray(gzip.compress((KEY + " " + noise).encode()))
+    hurt[-200:-100] = bytes(100)
+    assert secret_scan.all_spans(base64.b64encode(hurt).decode())[1]
+
+
+def test_long_inflated_layers_are_scanned_whole():
+    coded = base64.b64encode(gzip.compress(b"a b, " * (14 << 20) + KEY.encode(), 9)).decode()
+    assert (0, 0, len(coded)) in secret_scan.all_spans(coded)[1]
+
+
 def test_layers_end_on_cycles_and_bombs():
     s = "%25" * 500 + "41"
     assert secret_scan.all_spans(s) == ([], [])
