@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -116,22 +118,29 @@ def leave_one_out(df: DataFrame, names: list[str], key: str = "driver_id", **opt
 def permutation_importance(model: SpeedModel, df: DataFrame, names: list[str] | None = None, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Rise of the MAE when one feature's values are dealt out anew among rows: mean and deviation over repeats.
 
-    The values are permuted by a join of two rankings, one of them by a hash, so no column is gathered.
+    A repeat pairs each row with another one by a join of two rankings in buckets, one of them by a hash, so no column is gathered;
+    all features take their values from that row in turn.
     """
-    spark, rows = df.sparkSession, df.select("drive_id", "rn", "y", *model.names).persist()
-    base = model._point(rows).agg(F.avg(F.abs(F.col("y") - F.col("v_pred")))).first()[0]
-    out = []
-    for f in names or model.names:
-        gains = []
-        for k in range(repeats):
-            order = F.xxhash64("drive_id", "rn", F.lit(f"{f}{k}{seed}"))
-            bucket = F.pmod(F.xxhash64("drive_id", "rn", F.lit(k + seed)), F.lit(64))
-            ranked = rows.withColumn("b", bucket).withColumn("i", F.row_number().over(W.partitionBy("b").orderBy("drive_id", "rn"))).withColumn("j", F.row_number().over(W.partitionBy("b").orderBy(order)))
-            dealt = ranked.drop(f).join(ranked.select("b", F.col("j").alias("i"), f), ["b", "i"])
-            gains.append(model._point(dealt).agg(F.avg(F.abs(F.col("y") - F.col("v_pred")))).first()[0] - base)
-        mean = sum(gains) / repeats
-        out.append((f, mean, (sum((g - mean) ** 2 for g in gains) / repeats) ** 0.5))
+    spark, n = df.sparkSession, len(model.names)
+    rows = df.select("drive_id", "rn", "y", F.array(*[F.col(c).cast("double") for c in model.names]).alias("x")).persist()
+    point, error = model.model.stages[1].transform, F.avg(F.abs(F.col("y") - F.greatest("prediction", F.lit(0.0)))).alias("mae")
+    base = point(rows.select("y", array_to_vector("x").alias("features"))).agg(error).first()[0]
+    each = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(repeats)])))
+    each = each.withColumn("b", F.pmod(F.xxhash64("drive_id", "rn", F.col("k") + seed), F.lit(64)))
+    rank = lambda *by: F.row_number().over(W.partitionBy("k", "b").orderBy(*by))
+    each = each.withColumn("i", rank("drive_id", "rn")).withColumn("j", rank(F.xxhash64("drive_id", "rn", F.col("k"), F.lit(seed))))
+    dealt = each.select("k", "b", "i", "y", "x").join(each.select("k", "b", F.col("j").alias("i"), F.col("x").alias("z")), ["k", "b", "i"])
+    dealt = dealt.withColumn("f", F.explode(F.array(*[F.lit(model.names.index(c)) for c in names or model.names])))
+    mixed = F.concat(F.slice("x", F.lit(1), F.col("f")), F.slice("z", F.col("f") + 1, F.lit(1)), F.slice("x", F.col("f") + 2, F.lit(n)))
+    gains = defaultdict(list)
+    for r in point(dealt.select("k", "f", "y", array_to_vector(mixed).alias("features"))).groupBy("f", "k").agg(error).collect():  # features x repeats
+        gains[r["f"]].append(r["mae"] - base)
     rows.unpersist()
+    out = []
+    for c in names or model.names:
+        g = gains[model.names.index(c)]
+        mean = sum(g) / repeats
+        out.append((c, mean, (sum((x - mean) ** 2 for x in g) / repeats) ** 0.5))
     return spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")
 
 

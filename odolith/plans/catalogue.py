@@ -448,23 +448,32 @@ def _(spark, d):
     return out
 
 
-def _small_model(spark, d) -> tuple[DataFrame, list[str]]:
-    f = features.features(drive_view(spark, d), group="base", signals=["acc_mag", "jerk_mag", "gz"])
-    return f, [c for c in f.columns if c not in ("drive_id", "rn", "t_end", "y")]
+def _windows(spark, d) -> tuple[DataFrame, list[str]]:
+    """All features of all drives, and their names."""
+    f = features.features(drive_view(spark, d))
+    return f, features.subset(f.columns, "all")
+
+
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to train on, and those of the held-out drives."""
+    return df.where("drive_id % 3 <> 0"), df.where("drive_id % 3 = 0")
 
 
 @query("q39_forest_with_deviation")
 def _(spark, d):
-    f, names = _small_model(spark, d)
-    m = models.SpeedModel(options={"trees": 8, "depth": 5}).train(f.where("drive_id % 3 <> 0"), names)
-    return m.predict(f.where("drive_id % 3 = 0")).select(*KEYS, "y", "v_pred", "v_std")
+    f, names = _windows(spark, d)
+    train, test = _split(f)
+    return models.SpeedModel().train(train, names).predict(test).select(*KEYS, "y", "v_pred", "v_std")
 
 
 @query("q40_permutation_importance")
 def _(spark, d):
-    f, names = _small_model(spark, d)
-    m = models.SpeedModel("boosted", "conformal", {"trees": 5, "depth": 3}).train(f, names)
-    return models.permutation_importance(m, f, names[:3], repeats=2)
+    f, names = _windows(spark, d)
+    train, test = _split(f)
+    train = train.persist()
+    m = models.SpeedModel("boosted", "conformal").train(train, names)
+    train.unpersist()
+    return models.permutation_importance(m, test)
 
 
 @query("q41_device_replay")
@@ -474,9 +483,9 @@ def _(spark, d):
 
 @query("q42_leave_one_driver_out")
 def _(spark, d):
-    f, names = _small_model(spark, d)
+    f, names = _windows(spark, d)
     who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
-    return models.leave_one_out(f.join(who, "drive_id"), names, trees=4, depth=4)
+    return models.leave_one_out(f.join(who, "drive_id"), names, trees=100, depth=10)
 
 
 @query("q43_simulated_drives")

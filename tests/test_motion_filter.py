@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from odolith.functions.geo import wrap
 from odolith.operators import context, ekf, features, metrics, models, motion, signals
-from odolith.plans import report
+from odolith.plans import catalogue, report
 from odolith.sources import drives, simulate
 from odolith.streaming import device
 
@@ -183,6 +183,36 @@ def test_models_predict_and_survive_saving(spark, tmp_path):
         models.SpeedModel("boosted", "ensemble").train(df, names)
 
 
+def small_regressors(monkeypatch):
+    """Small trees in place of the models; gives a list of the sizes asked for."""
+    seen, made = [], dict(models.KINDS)
+    for kind in made:
+        monkeypatch.setitem(models.KINDS, kind, lambda k, kind=kind: seen.append((kind, k.get("trees", 100), k.get("depth", {"boosted": 6, "random_forest": 12}[kind]))) or made[kind]({"trees": 2, "depth": 2}))
+    return seen
+
+
+def test_model_queries_are_of_full_size(spark, monkeypatch):
+    seen, given = small_regressors(monkeypatch), []
+    whole = models.permutation_importance
+    monkeypatch.setattr(models, "permutation_importance", lambda m, df, *a, **k: given.append(df) or whole(m, df, *a, **k))
+    got = catalogue.QUERIES["q40_permutation_importance"](spark, SF).toPandas()
+    assert len(got) == got.feature.nunique() == 219 and got.importance_mean.notna().all()
+    assert given[0].where("drive_id % 3 <> 0").count() == 0 < given[0].count()
+    for q in ("q39_forest_with_deviation", "q42_leave_one_driver_out"):
+        catalogue.QUERIES[q](spark, SF)
+    assert seen[:2] == [("boosted", 100, 6), ("random_forest", 100, 12)] and set(seen[2:]) == {("random_forest", 100, 10)}
+
+
+def test_permuted_feature_raises_the_error(spark):
+    rows = [(i % 7, i, float(i * 37 % 101), float(i * 53 % 97), 3.0) for i in range(400)]
+    df = spark.createDataFrame([(*r, r[2]) for r in rows], "drive_id long, rn long, a double, b double, c double, y double")
+    m = models.SpeedModel("boosted", "conformal", {"trees": 10, "depth": 5}).train(df, ["a", "b", "c"])
+    got = {r["feature"]: r for r in models.permutation_importance(m, df).collect()}
+    assert list(got) == ["a", "b", "c"] and got["a"].importance_mean > 15 and got["a"].importance_std > 0
+    assert abs(got["b"].importance_mean) < 1 and got["c"].importance_mean == pytest.approx(0, abs=1e-9)
+    assert [r["feature"] for r in models.permutation_importance(m, df, ["b"], repeats=2).collect()] == ["b"]
+
+
 def test_stream_equals_replay(spark, tmp_path):
     df = simulate.simulate(spark, [("A", 6.0), ("B", 9.0)], seed=4).withColumn("dt", signals.step_dt())
     for i in range(3):  # the drives' rows in three files, read one per trigger in order of time
