@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from odolith.operators import features
 from odolith.operators.metrics import conformal_quantile, regression
 
 METHODS = ("ensemble", "quantile", "conformal")
@@ -144,6 +145,36 @@ def permutation_importance(model: SpeedModel, df: DataFrame, names: list[str] |
     return spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")
 
 
+def _over_drives(model: SpeedModel, df: DataFrame) -> tuple[float, float, float]:
+    """MAE, RMSE and R2 as means over drives."""
+    per = model._point(df).groupBy("drive_id").agg(*regression(F.col("y"), F.col("v_pred"))[:3])
+    return tuple(per.agg(F.avg("mae"), F.avg("rmse"), F.avg("r2")).first())
+
+
+def window_sweep(train: DataFrame, test: DataFrame, seconds=(0.5, 1.0, 1.5, 2.0, 3.0), **options) -> DataFrame:
+    """For each window length a forest on all features of ``train``'s drives, with its metrics on those of ``test``."""
+    out = []
+    for s in seconds:
+        f = features.features(train, window_sec=s).persist()
+        names = features.subset(f.columns, "all")
+        m = SpeedModel(options=options).train(f, names)
+        out.append((float(s), len(names), f.count(), *_over_drives(m, features.features(test, window_sec=s))))
+        f.unpersist()
+    return train.sparkSession.createDataFrame(out, "window_sec double, n_features int, train_windows long, mae double, rmse double, r2 double")
+
+
+def feature_ablation(train: DataFrame, test: DataFrame, **options) -> DataFrame:
+    """For each subset of the features boosted trees on ``train``'s windows, with their metrics on ``test``'s."""
+    spark, train, test, out = train.sparkSession, train.persist(), test.persist(), []
+    for kind in features.SUBSETS:
+        names = features.subset(train.columns, kind)
+        m = SpeedModel("boosted", "conformal", options).train(train, names)
+        out.append((kind, len(names), *_over_drives(m, test)))
+    train.unpersist()
+    test.unpersist()
+    return spark.createDataFrame(out, "subset string, n_features int, mae double, rmse double, r2 double")
+
+
 def perturb(df: DataFrame, case: str, seed: int = 42) -> DataFrame:
     """Sensor faults, seeded: clean, noise, acc_bias, gyro_bias, dropout."""
     noise = lambda c, s, k: (F.col(c) + F.randn(seed + k) * s).alias(c)

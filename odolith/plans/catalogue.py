@@ -555,3 +555,13 @@ def _(spark, d):
     e = motion.dense_speed(_stand_in(drive_view(spark, d))).select("drive_id", F.abs(F.col("speed") - F.col("ai_speed")).alias("e"))
     per = e.groupBy("drive_id").agg(F.avg("e").alias("mae"), F.sum("e").alias("s"), F.count("e").alias("n"))
     return per.agg(F.avg("mae").alias("m"), (F.sum("s") / F.sum("n")).alias("p")).select(r6("m").alias("macro_mae"), r6("p").alias("pooled_mae"))
+
+
+@query("q54_window_sweep_metrics")
+def _(spark, d):
+    return models.window_sweep(*_split(drive_view(spark, d)))
+
+
+@query("q55_feature_ablation")
+def _(spark, d):
+    return models.feature_ablation(*_split(_windows(spark, d)[0]))

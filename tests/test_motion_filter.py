@@ -213,6 +213,22 @@ def test_permuted_feature_raises_the_error(spark):
     assert [r["feature"] for r in models.permutation_importance(m, df, ["b"], repeats=2).collect()] == ["b"]
 
 
+def test_window_sweep_and_feature_ablation(spark, monkeypatch):
+    seen = small_regressors(monkeypatch)
+    d = simulate.simulate(spark, [("A", 20.0), ("E", 20.0)], seed=2).persist()
+    first = F.col("drive_id") == d.agg(F.min("drive_id")).first()[0]
+    got = models.window_sweep(d.where(first), d.where(~first), seconds=(0.5,)).first()
+    assert (got.window_sec, got.n_features) == (0.5, 219) and 0 < got.mae <= got.rmse and got.r2 < 1
+    assert got.train_windows == d.where(first).where("rn >= 5 and (rn - 5) % 2 = 0").count()
+    rows = [(i % 4, i, float(i), float(i % 5), float(i % 3), float(i % 7), float(i)) for i in range(200)]
+    f = spark.createDataFrame(rows, "drive_id long, rn long, y double, ax_mean double, ax_median double, jerk_mag_mean double, ax_spec_centroid double")
+    got = models.feature_ablation(f.where("drive_id > 0"), f.where("drive_id = 0")).collect()
+    assert [(r["subset"], r["n_features"]) for r in got] == [("base", 2), ("enhanced", 2), ("kinematic", 3), ("all", 4)]
+    assert got[3].mae < got[0].mae and all(r.mae <= r.rmse for r in got)
+    assert seen == [("random_forest", 100, 12)] + [("boosted", 100, 6)] * 4
+    assert {"q54_window_sweep_metrics", "q55_feature_ablation"} <= set(catalogue.QUERIES)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     df = simulate.simulate(spark, [("A", 6.0), ("B", 9.0)], seed=4).withColumn("dt", signals.step_dt())
     for i in range(3):  # the drives' rows in three files, read one per trigger in order of time
