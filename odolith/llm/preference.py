@@ -1,38 +1,92 @@
 """Preference formatting of chosen and rejected conversations.
 
 The turns at the start on which both sides of a pair agree, in role and text, are its prompt and rendered once; what follows on
-either side is that side's completion. Loss counts on a completion's assistant turns only. All is equi-joins and aggregates by
-pair and turn: no conversation, however long, is gathered. The agreed prefix ends before the first turn number at which the
-sides differ as sets of (role, text) with counts, so turns that repeat or tie need no order.
+either side is that side's completion. Loss counts on what a completion's assistant turns say and on their end marks. All but the
+last step is equi-joins and aggregates by pair and turn: no conversation, however long, is gathered. The agreed prefix ends before the
+first turn number at which the sides differ as sets of (role, text) with counts, so turns that repeat or tie need no order.
 
-A pair with one side is all completion. Null texts and roles equal each other and render as empty; rows without pair, side or turn
-have no place in a pair and come out with segment 'unplaced' and no loss. An empty table gives no rows.
+``records`` makes one training record of a pair: its prompt, and the two completions with their masks. Pairs of many turns or bytes
+come as several records, one for each range of turn numbers, so that what is gathered is bounded but for rows that share a turn number.
+
+A pair with one side is all completion, one whose sides agree throughout has two empty ones. Null texts and roles count as empty and equal
+each other. Rows without pair, side or turn have no place in a pair: ``format_pairs`` gives them the segment 'unplaced' and no loss,
+``records`` leaves them out. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|{}|>\n", "\n<|end|>\n"
+START, MIDDLE, END = "<|", "|>\n", "\n<|end|>\n"
+#: turn numbers of a record, and the rows and characters beyond which a record is split further
+TURNS, ROWS, CHARS = 1024, 4096, 32 << 20
 
 
-def format_pairs(turns: DataFrame) -> DataFrame:
-    """(pair_id, segment, turn, role, rendered, loss) for every turn of ``turns`` (pair_id, side, turn, role, text).
+def sample_pairs(conversations: DataFrame) -> DataFrame:
+    """Pairs (pair_id, side, turn, role, text) from a table that has single conversations only.
 
-    ``side`` is 'chosen' or 'rejected'; segment is 'prompt', which the rejected side doesn't repeat, 'chosen' or 'rejected'.
+    A conversation is the chosen side of the pair of its name. Its rejected side has its turns up to its last answer, and there the last answer
+    of the next conversation. Each tenth pair's rejected side ends before that answer, as does one without a next answer; each tenth, and each
+    without an answer, has two equal sides.
     """
-    t = turns.select("pair_id", "side", "turn", "role", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    c = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    last = c.where("role = 'assistant' and turn is not null and pair_id is not null").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("a"))
+    last = last.select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer"))
+    chosen = c.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
+    kept = c.join(last.select("pair_id", "last"), "pair_id", "left").where("last is null or turn < last or pair_id % 10 = 5")
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("answer").alias("text"))
+    swapped = last.where("pair_id % 10 not in (0, 5)").join(other, "pair_id").select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), "text")
+    return chosen.unionByName(kept.select("pair_id", "turn", "role", "text").unionByName(swapped).select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text"))
+
+
+def _segments(turns: DataFrame) -> tuple[DataFrame, Column]:
+    """Placed turns with their segment, those of the rejected side's prompt left out; and which of ``turns`` are placed."""
     placed = F.coalesce(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected") & F.col("turn").isNotNull(), F.lit(False))
-    here = t.where(placed)
-    cells = here.groupBy("pair_id", "turn", F.coalesce("role", F.lit("")).alias("r"), "digest").agg(F.count_if(F.col("side") == "chosen").alias("c"), F.count_if(F.col("side") == "rejected").alias("j"))
+    here = turns.where(placed)
+    cells = here.groupBy("pair_id", "turn", "role", F.sha2("text", 256).alias("digest")).agg(F.count_if(F.col("side") == "chosen").alias("c"), F.count_if(F.col("side") == "rejected").alias("j"))
     ends = cells.where("c <> j").groupBy("pair_id").agg(F.min("turn").alias("first"))
-    both = here.join(ends, "pair_id", "left")
     agreed = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    kept = both.where(~agreed | (F.col("side") == "chosen")).withColumn("segment", F.when(agreed, "prompt").otherwise(F.col("side")))
-    rest = t.where(~placed).withColumn("segment", F.lit("unplaced"))
-    role = F.coalesce("role", F.lit(""))
-    rendered = F.concat(F.lit(START.format("")[:2]), role, F.lit(START.format("")[2:]), F.coalesce("text", F.lit("")), F.lit(END))
-    loss = (F.col("segment").isin("chosen", "rejected") & (role == "assistant")).cast("int")
-    cols = ["pair_id", "segment", "turn", "role", rendered.alias("rendered"), loss.alias("loss")]
-    return kept.select(*cols).unionByName(rest.select(*cols))
+    both = here.join(ends, "pair_id", "left").where(~agreed | (F.col("side") == "chosen"))
+    return both.select("pair_id", F.when(agreed, "prompt").otherwise(F.col("side")).alias("segment"), "turn", "role", "text"), placed
+
+
+def _turns(turns: DataFrame) -> DataFrame:
+    return turns.select("pair_id", "side", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+
+
+def _head() -> Column:
+    return F.concat(F.lit(START), F.col("role"), F.lit(MIDDLE))
+
+
+def format_pairs(turns: DataFrame) -> DataFrame:
+    """(pair_id, segment, turn, role, rendered, loss) for every turn of ``turns`` (pair_id, side, turn, role, text).
+
+    ``side`` is 'chosen' or 'rejected'; segment is 'prompt', which the rejected side doesn't repeat, 'chosen' or 'rejected'.
+    """
+    t = _turns(turns)
+    kept, placed = _segments(t)
+    every = kept.unionByName(t.where(~placed).select("pair_id", F.lit("unplaced").alias("segment"), "turn", "role", "text"))
+    loss = (F.col("segment").isin("chosen", "rejected") & (F.col("role") == "assistant")).cast("int")
+    return every.select("pair_id", "segment", "turn", "role", F.concat(_head(), "text", F.lit(END)).alias("rendered"), loss.alias("loss"))
+
+
+def records(turns: DataFrame, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
+    """(pair_id, from_turn, prompt, chosen, chosen_mask, rejected, rejected_mask): a record for each pair, or for each range of its turns.
+
+    A mask is the runs of a completion's characters, 'loss:length' joined by commas, with loss 1 on what assistants say.
+    """
+    kept, _ = _segments(_turns(turns))
+    block = F.floor(F.col("turn") / TURNS).alias("block")
+    sized = kept.groupBy("pair_id", block).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
+    crowded = sized.select("pair_id", "block", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("size") / chars)).alias("shares")).where("shares > 1")
+    width = F.greatest(F.lit(1), F.expr(f"{TURNS} div coalesce(shares, 1)"))
+    dealt = kept.withColumn("block", block).join(crowded, ["pair_id", "block"], "left").withColumn("from_turn", F.floor(F.col("turn") / width) * width)
+    speaks = (F.col("role") == "assistant") & (F.col("segment") != "prompt")
+    n_head, n_rest = F.length(_head()), F.length("text") + len(END)
+    mask = F.when(speaks, F.concat(F.lit("0:"), n_head, F.lit(",1:"), n_rest)).otherwise(F.concat(F.lit("0:"), n_head + n_rest))
+    piece = F.struct("turn", "role", "text", mask.alias("mask"))
+    lists = dealt.groupBy("pair_id", "from_turn").agg(*[F.array_sort(F.collect_list(F.when(F.col("segment") == s, piece))).alias(s) for s in ("prompt", "chosen", "rejected")])
+    joined = lambda s: F.concat_ws("", F.transform(s, lambda x: F.concat(F.lit(START), x["role"], F.lit(MIDDLE), x["text"], F.lit(END))))
+    masks = lambda s: F.concat_ws(",", F.transform(s, lambda x: x["mask"])).alias(f"{s}_mask")
+    return lists.select("pair_id", "from_turn", joined("prompt").alias("prompt"), joined("chosen").alias("chosen"), masks("chosen"), joined("rejected").alias("rejected"), masks("rejected"))

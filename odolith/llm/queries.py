@@ -36,9 +36,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
-    c = _table(spark, sf_dir, "conversations")
-    return preference.format_pairs(c.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"))
+    """A record for each pair that ``preference.sample_pairs`` makes of the conversations."""
+    return preference.records(preference.sample_pairs(_table(spark, sf_dir, "conversations")))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +90,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_preference_format": """
-        WITH t AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text FROM conversations),
+        WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        answers AS (SELECT pair_id, turn AS last, max(text) AS answer FROM c WHERE role = 'assistant' AND turn = (SELECT max(d.turn) FROM c AS d WHERE d.pair_id = c.pair_id AND d.role = 'assistant') GROUP BY ALL),
+        t AS (SELECT *, 'chosen' AS side FROM c
+              UNION ALL SELECT c.*, 'rejected' FROM c LEFT JOIN answers a USING (pair_id) WHERE a.last IS NULL OR turn < a.last OR pair_id % 10 = 5
+              UNION ALL SELECT a.pair_id, a.last, 'assistant', b.answer, 'rejected' FROM answers a JOIN answers b ON b.pair_id = a.pair_id + 1 WHERE a.pair_id % 10 NOT IN (0, 5)),
         cells AS (SELECT pair_id, turn, role, text, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS j FROM t GROUP BY ALL),
         ends AS (SELECT pair_id, min(turn) AS first_turn FROM cells WHERE c <> j GROUP BY pair_id),
-        kept AS (SELECT t.*, (e.first_turn IS NULL OR turn < e.first_turn) AS agreed FROM t LEFT JOIN ends e USING (pair_id))
-        SELECT pair_id, CASE WHEN agreed THEN 'prompt' ELSE side END AS segment, turn, role,
-               '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
-               CAST(NOT agreed AND role = 'assistant' AS INTEGER) AS loss
-        FROM kept WHERE NOT agreed OR side = 'chosen'
+        kept AS (SELECT t.*, CASE WHEN e.first_turn IS NULL OR turn < e.first_turn THEN 'prompt' ELSE side END AS segment FROM t LEFT JOIN ends e USING (pair_id)),
+        r AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, text || chr(10) || '<|end|>' || chr(10) AS rest FROM kept WHERE segment <> 'prompt' OR side = 'chosen'),
+        m AS (SELECT *, CASE WHEN role = 'assistant' AND segment <> 'prompt' THEN '0:' || length(head) || ',1:' || length(rest) ELSE '0:' || (length(head) + length(rest)) END AS mask FROM r)
+        SELECT pair_id, CAST(0 AS BIGINT) AS from_turn, coalesce(string_agg(head || rest, '' ORDER BY turn, role, text) FILTER (segment = 'prompt'), '') AS prompt,
+               coalesce(string_agg(head || rest, '' ORDER BY turn, role, text) FILTER (segment = 'chosen'), '') AS chosen, coalesce(string_agg(mask, ',' ORDER BY turn, role, text) FILTER (segment = 'chosen'), '') AS chosen_mask,
+               coalesce(string_agg(head || rest, '' ORDER BY turn, role, text) FILTER (segment = 'rejected'), '') AS rejected, coalesce(string_agg(mask, ',' ORDER BY turn, role, text) FILTER (segment = 'rejected'), '') AS rejected_mask
+        FROM m GROUP BY pair_id
     """,
     "op6_embedding_near_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -14,7 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from odolith.llm import components, decontam, packing, preference, queries, secret_scan, sharding, simhash, suffix, toxicity, vectors, wordpiece
+from odolith.llm import components, decontam, packing, queries, secret_scan, sharding, simhash, suffix, toxicity, vectors, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, n long"
 ODD = [None, "", " ", "a", "one two", "\n\n\t", "Ünïcode ﬁ 漢字 text", "word " * 3000, "x" * 5000]
@@ -159,24 +159,6 @@ def test_secret_scan_rows(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
-# preference
-
-
-def test_preference_pairs(spark):
-    rows = [
-        (1, "chosen", 0, "user", "q"), (1, "chosen", 1, "assistant", "a"), (1, "rejected", 0, "user", "q"), (1, "rejected", 1, "assistant", "b"), (1, "rejected", 2, "user", "c"),
-        (2, "chosen", 0, "user", None), (2, "rejected", 0, "user", None), (3, "rejected", 0, "assistant", "solo"), (None, "chosen", 0, "user", "lost"), (4, "chosen", 0, "user", "t"), (4, "chosen", 0, "user", "t"), (4, "rejected", 0, "user", "t"),
-    ]
-    got = preference.format_pairs(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")).collect()
-    of = defaultdict(list)
-    for r in got:
-        of[r["pair_id"]].append((r["segment"], r["turn"], r["loss"]))
-    assert sorted(of[1]) == [("chosen", 1, 1), ("prompt", 0, 0), ("rejected", 1, 1), ("rejected", 2, 0)]
-    assert of[2] == [("prompt", 0, 0)] and of[3] == [("rejected", 0, 1)] and of[None] == [("unplaced", 0, 0)]
-    assert sorted(of[4]) == [("chosen", 0, 0)] * 2 + [("rejected", 0, 0)]
-    assert next(r["rendered"] for r in got if r["pair_id"] == 3) == "<|assistant|>\nsolo\n<|end|>\n"
-
-
 # packing
 
 
