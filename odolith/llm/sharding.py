@@ -1,31 +1,45 @@
 """A store of immutable shards with size-tiered compaction and atomically committed, versioned manifests.
 
-``append`` writes what arrives as it is partitioned, one small file a task and no shuffle. ``compact`` puts shards into
-tiers by size, gathers neighbours of one tier up to the target size, and rewrites each such run of at least
-``FAN_IN`` shards as one file; larger and lone shards stay untouched. A run is bounded by the target, so the
-one shuffle, by run, has no hot key whatever the rows hold; each run is one task and one file. A change counts once its manifest has been renamed to the next version's
-name, which fails if that exists; a job that dies leaves files that no manifest names. Sizes and counts come from file
-metadata and footers. DataFrame functions only; the driver sees no rows of manifests or data.
-
-Rows, nulls, repeats and columns are kept as they are. An empty table makes a version whose manifest has no shards.
+``append`` writes what arrives as it is partitioned, one small file a task and no shuffle. ``compact`` takes the shards of at most half
+the target, deals those of one size tier into blocks of about ``BLOCK``, and within a block fills runs in order: a run is closed before the
+shard that would take it over the target. Runs of ``fan_in`` shards or more, and those that fill over half a target, are rewritten as one file
+each; all other shards stay untouched. So no file that compaction writes holds more than the target's bytes of input, each run is one
+task, and the one shuffle, by run, has no hot key whatever the rows hold.
+
+A change counts once its manifest has been renamed to the next version's name, which fails if that exists; before, the files that it adds
+are counted in their folder. A job that dies leaves files that no manifest names; ``vacuum`` deletes these and what only old versions
+name, once they are older than a limit that must exceed the longest commit. Sizes and counts come from file metadata and footers. DataFrame functions
+only; the driver sees the paths of the files it has Spark read, as Spark's own file index does, and no rows.
+
+Rows, nulls, repeats and columns are kept as they are, whatever the columns are called: names that the store adds get more underscores where
+they would clash. All arrivals must have the first one's columns. An empty table makes a version without shards; a store without versions has nothing to compact
+or to vacuum, and its snapshot is an error.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TARGET = 64 << 20
 FAN_IN = 4
 BASE = 64 << 10
-SMALL = 500_000
+BLOCK = 512
+#: shards beyond which a plan is joined rather than broadcast; a row of one is two names made here, under 200 bytes
+SMALL = 200_000
+DAY = 86_400
+MANIFEST = "batch string, file string, tier int, n_rows long, n_bytes long, columns string"
 
 
 class CommitConflict(RuntimeError):
-    """Another writer has committed this version."""
+    """Another writer has committed this version, or files of the version are gone."""
 
 
 class ShardStore:
@@ -38,18 +52,37 @@ class ShardStore:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[int]:
+        return sorted(int(s.getPath().getName()[1:]) for s in self._fs().globStatus(self._path("manifest/v*")) or [])
+
     def version(self) -> int:
         """The last committed version; 0 for a new store."""
-        found = self._fs().globStatus(self._path("manifest/v*"))
-        return max([int(s.getPath().getName()[1:]) for s in found or []], default=0)
+        return max(self._versions(), default=0)
+
+    def _whole_manifest(self, version: int) -> DataFrame:
+        """The shards, and a row without file that has the columns of the data."""
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:08d}")
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """(batch, file, tier, n_rows, n_bytes) of the live shards; n_bytes is the file's size."""
-        return self.spark.read.parquet(f"{self.root}/manifest/v{version or self.version():08d}")
-
-    def _commit(self, manifest: DataFrame, after: int) -> int:
+        version = version or self.version()
+        if not version:
+            return self.spark.createDataFrame([], MANIFEST).drop("columns")
+        return self._whole_manifest(version).where("file is not null").drop("columns")
+
+    def schema(self, version: int | None = None) -> T.StructType:
+        version = version or self.version()
+        if not version:
+            raise LookupError(f"nothing has been committed to {self.root}")
+        return T.StructType.fromJson(json.loads(self._whole_manifest(version).where("file is null").first()["columns"]))
+
+    def _commit(self, shards: DataFrame, schema: T.StructType, after: int, added: str | None = None, n_added: int = 0) -> int:
+        if added and n_added and len(self._fs().globStatus(self._path(f"data/{added}/part-*")) or []) < n_added:
+            raise CommitConflict(f"files of {added} are gone")
+        head = self.spark.createDataFrame([(None, None, None, None, None, schema.json())], MANIFEST)
+        whole = head.unionByName(shards.withColumn("columns", F.lit(None).cast("string")))
         tmp = f"manifest/_{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(f"{self.root}/{tmp}")
+        whole.coalesce(8).write.parquet(f"{self.root}/{tmp}")
         jvm, gw = self.spark._jvm, self.spark.sparkContext._gateway
         fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("x").toUri(), self.spark._jsc.hadoopConfiguration())
         none = gw.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -59,69 +92,120 @@ class ShardStore:
         fc.rename(self._path(tmp), self._path(f"manifest/v{after + 1:08d}"), none)
         return after + 1
 
+    def _tier(self, size: str):
+        return F.floor(F.log(float(self.fan_in), F.greatest(F.col(size) / F.lit(BASE), F.lit(1.0)))).cast("int")
+
     def _written(self, batch: str, rows: DataFrame) -> DataFrame:
+        """Writes ``rows``; its shards as manifest rows. Files without rows are no shards."""
         rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}")
         back = self.spark.read.schema(rows.schema).parquet(f"{self.root}/data/{batch}")
-        per_file = back.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
-        tier = F.floor(F.log(float(self.fan_in), F.greatest(F.col("n_bytes") / F.lit(BASE), F.lit(1.0)))).cast("int")
-        return per_file.select(F.lit(batch).alias("batch"), "file", tier.alias("tier"), "n_rows", "n_bytes")
+        meta = back.metadataColumn("_metadata")
+        per_file = back.select(meta["file_name"].alias("file"), meta["file_size"].alias("n_bytes")).groupBy("file", "n_bytes").agg(F.count("*").alias("n_rows"))
+        per_file = per_file.select(F.lit(batch).alias("batch"), "file", self._tier("n_bytes").alias("tier"), "n_rows", "n_bytes")
+        return self._kept(per_file, f"plan/{batch}")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def append(self, rows: DataFrame) -> int:
         """Writes ``rows`` as small shards; the new version."""
         now = self.version()
-        new = self._written(f"a-{uuid.uuid4().hex}", rows)
-        return self._commit(self.manifest(now).unionByName(new) if now else new, now)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+        if now and (held := self.schema(now)) != schema:
+            raise ValueError(f"columns differ from the store's: {held.simpleString()}")
+        batch = f"a-{uuid.uuid4().hex}"
+        new = self._written(batch, rows)
+        return self._commit(self.manifest(now).unionByName(new), schema, now, batch, new.count())
 
     def plan(self, manifest: DataFrame) -> DataFrame:
-        """(batch, file, run) of the shards to merge: neighbours in one tier, up to the target size, ``fan_in`` of them at least."""
-        order = W.partitionBy("tier").orderBy("batch", "file")
-        runs = manifest.where(F.col("n_bytes") < self.target).withColumn("before", F.sum("n_bytes").over(order) - F.col("n_bytes"))
-        runs = runs.withColumn("run", F.concat_ws("-", "tier", F.floor(F.col("before") / self.target)))
-        large = runs.groupBy("run").count().where(F.col("count") >= self.fan_in).select("run")
-        return runs.join(large, "run").select("batch", "file", "run")
+        """(batch, file, run) of the shards to merge; runs are numbered from 0 without gaps."""
+        small = manifest.where(F.col("n_bytes") <= self.target / 2)
+        blocks = small.groupBy("tier").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))  # a row for each tier
+        dealt = small.join(F.broadcast(blocks), "tier").withColumn("block", F.pmod(F.xxhash64("batch", "file"), "n_blocks"))
+        shard = F.struct("batch", "file", "n_bytes")
+        lists = dealt.groupBy("tier", "block").agg(F.array_sort(F.collect_list(shard)).alias("shards"))
+        fits = f"acc.bytes + x.n_bytes <= {self.target}"
+        filled = F.expr(f"""aggregate(shards, named_struct('runs', cast(array() as array<struct<shards: array<struct<batch: string, file: string, n_bytes: bigint>>, bytes: bigint>>), 'shards', slice(shards, 1, 0), 'bytes', 0L),
+            (acc, x) -> named_struct('runs', if({fits}, acc.runs, concat(acc.runs, array(named_struct('shards', acc.shards, 'bytes', acc.bytes)))), 'shards', if({fits}, concat(acc.shards, array(x)), array(x)), 'bytes', if({fits}, acc.bytes, 0L) + x.n_bytes),
+            acc -> concat(acc.runs, array(named_struct('shards', acc.shards, 'bytes', acc.bytes))))""")
+        good = F.filter("filled", lambda r: (F.size(r["shards"]) >= self.fan_in) | ((F.size(r["shards"]) > 1) & (r["bytes"] > self.target / 2)))
+        runs = lists.withColumn("filled", filled).select("tier", "block", good.alias("runs"))
+        # a row for each block: at most one for ``BLOCK`` shards and one for each tier
+        places = runs.select("tier", "block", (F.sum(F.size("runs")).over(W.orderBy("tier", "block")) - F.size("runs")).alias("first"))
+        each = runs.join(places, ["tier", "block"]).select("first", F.posexplode("runs").alias("k", "r"))
+        return each.select((F.col("first") + F.col("k")).alias("run"), F.explode("r.shards").alias("s")).select("s.batch", "s.file", "run")
 
     def compact(self) -> int:
         """Merges runs until none is left to merge; the last version."""
-        while True:
-            now = self.version()
-            manifest = self.manifest(now)
-            plan = self.plan(manifest)
-            plan.write.parquet(tmp := f"{self.root}/plan/{uuid.uuid4().hex}")
-            plan = self.spark.read.schema(plan.schema).parquet(tmp)
-            n = plan.count()
+        while now := self.version():
+            manifest, schema = self.manifest(now), self.schema(now)
+            batch = f"c-{uuid.uuid4().hex}"
+            plan = self._kept(self.plan(manifest), f"plan/p-{batch}")
+            n, n_runs = plan.agg(F.count("*"), F.max("run")).first()
             if not n:
                 return now
-            # a number for each run, of which there are as many as files to write: each run is a partition of its own, and so one file
-            runs = plan.select("run").distinct().select("run", (F.row_number().over(W.orderBy("run")) - 1).alias("to"))
-            n_runs = runs.count()
-            rows = self._rows(plan.join(runs, "run"), ["to"], n)
-            batch = f"c-{uuid.uuid4().hex}"
-            merged = rows.repartitionById(n_runs, F.col("to")).drop("to")
-            new = self._written(batch, merged)
+            tags, run = self._names(schema, "batch", "file"), self._names(schema, "run")[0]
+            own = plan.select(F.col("batch").alias(tags[0]), F.col("file").alias(tags[1]), F.col("run").alias(run))
+            rows = self._rows(plan, schema, dict(zip(("batch", "file"), tags, strict=True))).join(F.broadcast(own) if n <= SMALL else own, tags).drop(*tags)
+            # each run is a partition of its own, and so one file
+            new = self._written(batch, rows.repartitionById(int(n_runs) + 1, F.col(run).cast("int")).drop(run))
             stay = manifest.join(plan.select("batch", "file"), ["batch", "file"], "left_anti")
-            self._commit(stay.unionByName(new), now)
-
-    def _rows(self, shards: DataFrame, extra: list[str], n: int) -> DataFrame:
-        """The rows of ``shards`` (batch, file) with columns of theirs."""
-        batches = [r[0] for r in shards.select("batch").distinct().collect()]  # one for each append or compaction
-        if not batches:
-            raise ValueError("the version has no shards")
-        every = self.spark.read.parquet(*[f"{self.root}/data/{b}" for b in batches])
-        cols = every.columns
-        tagged = every.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("_batch"), F.col("_metadata.file_name").alias("_file"))
-        own = shards.select(F.col("batch").alias("_batch"), F.col("file").alias("_file"), *extra)
-        return tagged.join(F.broadcast(own) if n <= SMALL else own, ["_batch", "_file"]).select(*cols, *extra)
-
-    def snapshot(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with the shard they lie in (``_shard``) and its tier (``_tier``)."""
-        m = self.manifest(version).select("batch", "file", F.concat_ws("/", "batch", "file").alias("_shard"), F.col("tier").alias("_tier"))
-        return self._rows(m, ["_shard", "_tier"], m.count())
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes the files that none of the last ``keep`` versions names; how many batches went."""
-        now, fs = self.version(), self._fs()
-        live = {r[0] for v in range(max(1, now - keep + 1), now + 1) for r in self.manifest(v).select("batch").distinct().collect()}  # one row per append or compaction
-        gone = [s.getPath() for s in fs.listStatus(self._path("data")) if s.getPath().getName() not in live]
-        for p in gone:
-            fs.delete(p, True)
-        return len(gone)
+            self._commit(stay.unionByName(new), schema, now, batch, new.count())
+        return 0
+
+    def _names(self, schema: T.StructType, *names: str) -> list[str]:
+        """``names`` with as many underscores before them as no column has."""
+        taken, out = {n.lower() for n in schema.names}, []
+        for n in names:
+            n = f"_{n}"
+            while n in taken:
+                n = f"_{n}"
+            out.append(n)
+        return out
+
+    def _rows(self, shards: DataFrame, schema: T.StructType, names: dict[str, str]) -> DataFrame:
+        """The rows of ``shards`` (batch, file), of which only the files are read, with where they lie under the given names."""
+        paths = [f"{self.root}/data/{r['batch']}/{r['file']}" for r in shards.select("batch", "file").toLocalIterator()]
+        if not paths:
+            return self.spark.createDataFrame([], schema).select("*", *[F.lit(None).cast("long" if k == "size" else "string").alias(v) for k, v in names.items()])
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        m = rows.metadataColumn("_metadata")
+        batch = F.element_at(F.split(m["file_path"], "/"), -2)
+        of = {"batch": batch, "file": m["file_name"], "shard": F.concat_ws("/", batch, m["file_name"]), "size": m["file_size"]}
+        return rows.select("*", *[of[k].alias(v) for k, v in names.items()])
+
+    def snapshot(self, version: int | None = None, places: bool = False) -> DataFrame:
+        """All rows of a version; with ``places`` also the shard they lie in (``_shard``) and its size in bytes (``_size``)."""
+        schema = self.schema(version)
+        names = dict(zip(("shard", "size"), self._names(schema, "shard", "size"), strict=True)) if places else {}
+        return self._rows(self.manifest(version), schema, names)
+
+    def vacuum(self, keep: int = 1, older_than: float = DAY) -> int:
+        """Deletes versions before the last ``keep``, files that only they name, and what no version names; how many files and folders went.
+
+        Nothing younger than ``older_than`` seconds goes, so that what another writer has yet to commit stays.
+        """
+        fs, versions = self._fs(), self._versions()
+        before = (time.time() - older_than) * 1000
+        old = lambda s: s.getModificationTime() <= before
+        files = lambda some: reduce(DataFrame.unionByName, [self.manifest(v).select("batch", "file") for v in some], self.spark.createDataFrame([], "batch string, file string"))
+        gone = 0
+        named = {r["batch"] for r in files(versions).select("batch").distinct().toLocalIterator()}  # one for each append or round of compaction
+        for r in files(versions[:-keep]).distinct().join(files(versions[-keep:]), ["batch", "file"], "left_anti").toLocalIterator():
+            p = self._path(f"data/{r['batch']}/{r['file']}")
+            if fs.exists(p) and old(fs.getFileStatus(p)):
+                gone += fs.delete(p, False)
+        for pattern in ("data/*", "plan/*", "manifest/_*", "manifest/v*"):
+            for s in fs.globStatus(self._path(pattern)) or []:
+                name = s.getPath().getName()
+                if pattern == "manifest/v*":
+                    dead = int(name[1:]) in versions[:-keep]
+                elif pattern == "data/*":
+                    dead = name not in named or not fs.globStatus(self._path(f"data/{name}/part-*"))
+                else:
+                    dead = True
+                if dead and old(s):
+                    gone += fs.delete(s.getPath(), True)
+        return gone
+

@@ -14,7 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from odolith.llm import components, decontam, packing, queries, secret_scan, sharding, simhash, suffix, toxicity, vectors, wordpiece
+from odolith.llm import components, decontam, packing, queries, secret_scan, simhash, suffix, toxicity, vectors, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, n long"
 ODD = [None, "", " ", "a", "one two", "\n\n\t", "Ünïcode ﬁ 漢字 text", "word " * 3000, "x" * 5000]
@@ -426,24 +426,3 @@ def test_decontamination_equals_brute_force(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} - {None} == set(range(len(texts))) - bad
     assert decontam.contaminated(frame(spark, []), bench).count() == 0
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
-
-
-# sharding
-
-
-def test_shards_round_trip_versions_and_conflicts(spark, tmp_path):
-    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=60_000, fan_in=3)
-    docs = frame(spark, prose(random.Random(13), 300)).repartition(12)
-    extra = frame(spark, ODD, 1000)
-    assert store.append(docs) == 1 and store.append(extra) == 2
-    last = store.compact()
-    assert last > 2 and store.manifest().count() < store.manifest(2).count()
-    all_rows = lambda df: Counter(tuple(r) for r in df.collect())
-    want = all_rows(docs.unionByName(extra))
-    assert all_rows(store.snapshot().select(docs.columns)) == want and all_rows(store.snapshot(2).select(docs.columns)) == want
-    assert all_rows(store.snapshot(1).select(docs.columns)) == all_rows(docs)
-    assert store.compact() == last and store.plan(store.manifest()).count() == 0
-    assert store.manifest().agg(F.sum("n_rows")).first()[0] == docs.count() + extra.count()
-    with pytest.raises(sharding.CommitConflict):
-        store._commit(store.manifest(), last - 1)
-    assert store.vacuum() > 0 and all_rows(store.snapshot().select(docs.columns)) == want
