@@ -126,7 +126,7 @@ def test_inflated_layers_are_scanned_to_their_end(monkeypatch):
         for wrap in (lambda b: base64.b64encode(gzip.compress(b)).decode(), lambda b: "".join(f"%{x:02x}" for x in gzip.compress(b))):
             for secret in (KEY, KEY + " " + text, urllib.parse.quote(KEY, safe=""), "password" + " " * 3000 + "= hunter2222"):
                 coded = wrap((text + " " + secret).encode())
-                assert (0, 0, len(coded)) in secret_scan.all_spans(coded)[1]
+                assert (0, 0, len(coded.rstrip("="))) in secret_scan.all_spans(coded)[1]
     both = gzip.compress(b"one ") + gzip.compress(KEY.encode())
     assert secret_scan.all_spans(base64.b64encode(both).decode())[1]
     noise = random.Random(7).randbytes(5000).hex().translate(str.maketrans("0123456789abcdef", "ghijklmnopqrstuv"))
@@ -137,12 +137,11 @@ def test_inflated_layers_are_scanned_to_their_end(monkeypatch):
 
 def test_long_inflated_layers_are_scanned_whole():
     coded = base64.b64encode(gzip.compress(b"a b, " * (14 << 20) + KEY.encode(), 9)).decode()
-    assert (0, 0, len(coded)) in secret_scan.all_spans(coded)[1]
+    assert (0, 0, len(coded.rstrip("="))) in secret_scan.all_spans(coded)[1]
 
 
 def test_layers_end_on_cycles_and_bombs():
-    s = "%25" * 500 + "41"
-    assert secret_scan.all_spans(s) == ([], [])
+    assert secret_scan.all_spans("%25" * 500 + "41") == ([], [])
     assert secret_scan.all_spans(base64.b64encode(gzip.compress(b"a b " * 100_000)).decode())[1] is not None
 
 
