@@ -31,24 +31,30 @@ def sample_pairs(conversations: DataFrame) -> DataFrame:
     without an answer, has two equal sides.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    last = c.where("role = 'assistant' and turn is not null and pair_id is not null").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("a"))
-    last = last.select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer"))
-    chosen = c.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    kept = c.join(last.select("pair_id", "last"), "pair_id", "left").where("last is null or turn < last or pair_id % 10 = 5")
-    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("answer").alias("text"))
-    swapped = last.where("pair_id % 10 not in (0, 5)").join(other, "pair_id").select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), "text")
-    return chosen.unionByName(kept.select("pair_id", "turn", "role", "text").unionByName(swapped).select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text"))
+    last = c.where("role = 'assistant' and turn is not null and pair_id is not null").groupBy("pair_id").agg(F.max("turn").alias("last"))
+    both = c.join(last, "pair_id", "left")
+    kept = both.where("last is null or turn < last or pair_id % 10 = 5").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    answer = both.where("turn = last and role = 'assistant'").groupBy("pair_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    swapped = answer.select((F.col("pair_id") - 1).alias("pair_id"), "text").where("pair_id % 10 not in (0, 5)").join(last, "pair_id")
+    swapped = swapped.select("pair_id", F.lit("rejected").alias("side"), F.col("last").alias("turn"), F.lit("assistant").alias("role"), "text")
+    return c.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text").unionByName(kept).unionByName(swapped)
 
 
-def _segments(turns: DataFrame) -> tuple[DataFrame, Column]:
-    """Placed turns with their segment, those of the rejected side's prompt left out; and which of ``turns`` are placed."""
+def _segments(turns: DataFrame, rows: int, chars: int) -> tuple[DataFrame, Column]:
+    """Placed turns with their segment and ``width``, the turn numbers of a record, without the rejected side's prompt; and which of ``turns`` are placed.
+
+    What decides is one thin row for a turn and one for a pair; texts move once, to these.
+    """
     placed = F.coalesce(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected") & F.col("turn").isNotNull(), F.lit(False))
     here = turns.where(placed)
-    cells = here.groupBy("pair_id", "turn", "role", F.sha2("text", 256).alias("digest")).agg(F.count_if(F.col("side") == "chosen").alias("c"), F.count_if(F.col("side") == "rejected").alias("j"))
-    ends = cells.where("c <> j").groupBy("pair_id").agg(F.min("turn").alias("first"))
+    thin = here.select("pair_id", "side", "turn", F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)).alias("digest"), F.length("text").alias("size"))
+    cells = thin.groupBy("pair_id", "turn", "digest").agg(F.count_if(F.col("side") == "chosen").alias("c"), F.count_if(F.col("side") == "rejected").alias("j"), F.sum("size").alias("size"))
+    pairs = cells.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("j"), F.col("turn"))).alias("first"), F.sum(F.col("c") + F.col("j")).alias("n"), F.sum("size").alias("size"), (F.max("turn") - F.min("turn") + 1).alias("span"))
+    width = F.greatest(F.lit(1), F.least(F.lit(TURNS), F.floor(F.col("span") * rows / F.col("n")), F.floor(F.col("span") * chars / F.greatest("size", F.lit(1)))))
+    pairs = pairs.select("pair_id", "first", width.alias("width"))
     agreed = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    both = here.join(ends, "pair_id", "left").where(~agreed | (F.col("side") == "chosen"))
-    return both.select("pair_id", F.when(agreed, "prompt").otherwise(F.col("side")).alias("segment"), "turn", "role", "text"), placed
+    both = here.join(pairs, "pair_id").where(~agreed | (F.col("side") == "chosen"))
+    return both.select("pair_id", F.when(agreed, "prompt").otherwise(F.col("side")).alias("segment"), "turn", "role", "text", "width"), placed
 
 
 def _turns(turns: DataFrame) -> DataFrame:
@@ -65,8 +71,8 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     ``side`` is 'chosen' or 'rejected'; segment is 'prompt', which the rejected side doesn't repeat, 'chosen' or 'rejected'.
     """
     t = _turns(turns)
-    kept, placed = _segments(t)
-    every = kept.unionByName(t.where(~placed).select("pair_id", F.lit("unplaced").alias("segment"), "turn", "role", "text"))
+    kept, placed = _segments(t, ROWS, CHARS)
+    every = kept.drop("width").unionByName(t.where(~placed).select("pair_id", F.lit("unplaced").alias("segment"), "turn", "role", "text"))
     loss = (F.col("segment").isin("chosen", "rejected") & (F.col("role") == "assistant")).cast("int")
     return every.select("pair_id", "segment", "turn", "role", F.concat(_head(), "text", F.lit(END)).alias("rendered"), loss.alias("loss"))
 
@@ -76,12 +82,8 @@ def records(turns: DataFrame, rows: int = ROWS, chars: int = CHARS) -> DataFrame
 
     A mask is the runs of a completion's characters, 'loss:length' joined by commas, with loss 1 on what assistants say.
     """
-    kept, _ = _segments(_turns(turns))
-    block = F.floor(F.col("turn") / TURNS).alias("block")
-    sized = kept.groupBy("pair_id", block).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
-    crowded = sized.select("pair_id", "block", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("size") / chars)).alias("shares")).where("shares > 1")
-    width = F.greatest(F.lit(1), F.expr(f"{TURNS} div coalesce(shares, 1)"))
-    dealt = kept.withColumn("block", block).join(crowded, ["pair_id", "block"], "left").withColumn("from_turn", F.floor(F.col("turn") / width) * width)
+    kept, _ = _segments(_turns(turns), rows, chars)
+    dealt = kept.withColumn("from_turn", F.floor(F.col("turn") / F.col("width")) * F.col("width"))
     speaks = (F.col("role") == "assistant") & (F.col("segment") != "prompt")
     n_head, n_rest = F.length(_head()), F.length("text") + len(END)
     mask = F.when(speaks, F.concat(F.lit("0:"), n_head, F.lit(",1:"), n_rest)).otherwise(F.concat(F.lit("0:"), n_head + n_rest))

@@ -67,7 +67,7 @@ class ShardStore:
         """(batch, file, tier, n_rows, n_bytes) of the live shards; n_bytes is the file's size."""
         version = version or self.version()
         if not version:
-            return self.spark.createDataFrame([], MANIFEST).drop("columns")
+            return self._none(T.StructType.fromDDL(MANIFEST)).drop("columns")
         return self._whole_manifest(version).where("file is not null").drop("columns")
 
     def schema(self, version: int | None = None) -> T.StructType:
@@ -79,7 +79,7 @@ class ShardStore:
     def _commit(self, shards: DataFrame, schema: T.StructType, after: int, added: str | None = None, n_added: int = 0) -> int:
         if added and n_added and len(self._fs().globStatus(self._path(f"data/{added}/part-*")) or []) < n_added:
             raise CommitConflict(f"files of {added} are gone")
-        head = self.spark.createDataFrame([(None, None, None, None, None, schema.json())], MANIFEST)
+        head = self.spark.range(1).select(*[F.lit(schema.json() if f.name == "columns" else None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(MANIFEST)])
         whole = head.unionByName(shards.withColumn("columns", F.lit(None).cast("string")))
         tmp = f"manifest/_{uuid.uuid4().hex}"
         whole.coalesce(8).write.parquet(f"{self.root}/{tmp}")
@@ -154,6 +154,9 @@ class ShardStore:
             self._commit(stay.unionByName(new), schema, now, batch, new.count())
         return 0
 
+    def _none(self, schema: T.StructType) -> DataFrame:
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
     def _names(self, schema: T.StructType, *names: str) -> list[str]:
         """``names`` with as many underscores before them as no column has."""
         taken, out = {n.lower() for n in schema.names}, []
@@ -168,7 +171,7 @@ class ShardStore:
         """The rows of ``shards`` (batch, file), of which only the files are read, with where they lie under the given names."""
         paths = [f"{self.root}/data/{r['batch']}/{r['file']}" for r in shards.select("batch", "file").toLocalIterator()]
         if not paths:
-            return self.spark.createDataFrame([], schema).select("*", *[F.lit(None).cast("long" if k == "size" else "string").alias(v) for k, v in names.items()])
+            return self._none(schema).select("*", *[F.lit(None).cast("long" if k == "size" else "string").alias(v) for k, v in names.items()])
         rows = self.spark.read.schema(schema).parquet(*paths)
         m = rows.metadataColumn("_metadata")
         batch = F.element_at(F.split(m["file_path"], "/"), -2)
@@ -189,7 +192,7 @@ class ShardStore:
         fs, versions = self._fs(), self._versions()
         before = (time.time() - older_than) * 1000
         old = lambda s: s.getModificationTime() <= before
-        files = lambda some: reduce(DataFrame.unionByName, [self.manifest(v).select("batch", "file") for v in some], self.spark.createDataFrame([], "batch string, file string"))
+        files = lambda some: reduce(DataFrame.unionByName, [self.manifest(v).select("batch", "file") for v in some], self._none(T.StructType.fromDDL("batch string, file string")))
         gone = 0
         named = {r["batch"] for r in files(versions).select("batch").distinct().toLocalIterator()}  # one for each append or round of compaction
         for r in files(versions[:-keep]).distinct().join(files(versions[-keep:]), ["batch", "file"], "left_anti").toLocalIterator():
