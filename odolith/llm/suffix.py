@@ -5,13 +5,14 @@ The digits are taken in an order that lets most suffixes fall out before they ar
 
 1. An anchor in each window, the 64-byte digit with the least hash in it. Equal windows have equal anchors at equal places, so
    windows are grouped by one row per anchor (one in about 70 bytes), not one per suffix. An anchor met once ends here.
-2. The whole context an anchor's windows can reach, as one digit. Anchors with equal contexts have only repeated windows; so
-   copies of documents and the inner parts of long passages end here, and stand in later passes by one of them.
+2. The whole context an anchor's windows can reach, as one digit, by its 128-bit BLAKE2 digest. Anchors with equal contexts have only repeated
+   windows; so copies of documents and the inner parts of long passages end here, and stand in later passes by one of them.
 3. What is left, the edges of repeated passages, sends its context bytes to its anchor's group, where 8-byte digits split the
-   windows most significant first, by comparing bytes, until singles have fallen out and depth is reached.
+   windows most significant first, by comparing bytes, until singles have fallen out and depth is reached. An anchor with more than ``HOT``
+   edges has no task of its own: where its texts lie its windows are taken one by one and dealt by the 128-bit BLAKE2 digest of all their bytes.
 
-Anchors that occur often within an Arrow batch are combined there before any shuffle. Groups pass through tasks in
-sorted streams; a group in pass 3 with more than ``HOT`` members is dealt out again by the windows' own hash.
+So equal means equal bytes, or equal cryptographic digests of 128 bits; no other hash decides. Anchors that occur often within an Arrow
+batch are combined there before any shuffle. Groups pass through tasks in sorted streams.
 
 Null texts count as empty. Results depend only on texts: rows that repeat get equal results, each its own. Matches never cross
 documents. An empty table gives no rows.
@@ -20,7 +21,7 @@ documents. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from .store import cut
 
 DEPTH = 200
 GRAM = 64
-#: members of an anchor group beyond which its windows are dealt out again
-HOT = 20_000
+#: edges of an anchor beyond which its windows are dealt one by one
+HOT = 8192
+#: hot anchors that are broadcast, as rows of a long and a flag
+SMALL = 1_000_000
 #: contexts of one anchor in a batch beyond which they are not sent to be grouped
 OFTEN = 8
 #: rows that are decided at once, and rows of one anchor beyond which they stream through
@@ -91,18 +94,20 @@ def context_range(p: np.ndarray, size: int, depth: int = DEPTH, gram: int = GRAM
     return np.maximum(p - reach, 0), np.minimum(p + gram + reach, size)
 
 
-def _context_hash(data: bytes, p: np.ndarray) -> np.ndarray:
-    """A hash of each anchor's context, of where the text clips it, and nothing else."""
-    import xxhash
+def _digest(data, salt: int = 0) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, salt=salt.to_bytes(4, "little")).digest()
 
+
+def _context_digests(data: bytes, p: np.ndarray) -> np.ndarray:
+    """Two longs for each anchor: the digest of its context, and of where the text clips it."""
     a, b = context_range(p, len(data))
-    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-    left = (p - a).tolist()
-    return np.fromiter((digest(view[x:y], z) for x, y, z in zip(a.tolist(), b.tolist(), left, strict=True)), np.uint64, len(p))
+    view = memoryview(data)
+    return np.frombuffer(b"".join(_digest(view[x:y], z) for x, y, z in zip(a.tolist(), b.tolist(), (p - a).tolist(), strict=True)), np.int64).reshape(-1, 2)
 
 
-ANCHOR = "kind int, h long, c long, id long, crc int, p int, lo int, hi int"
+ANCHOR = "kind int, h long, c long, d long, id long, crc int, p int, lo int, hi int"
 _NAMES = [x.split()[0] for x in ANCHOR.split(", ")]
+_TYPES = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4]
 # kinds of ANCHOR rows: to be grouped; all windows repeat; windows undecided; only tells that the anchor occurs elsewhere
 OPEN, WHOLE, EDGE, MARK = 0, 1, 2, 3
 
@@ -112,12 +117,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("data")).select("doc_id", F.coalesce("doc_id", F.xxhash64("data")).alias("id"), (F.crc32("data") - (1 << 31)).cast("int").alias("crc"), "data")
 
 
-def _combine(h, c, limit):
+def _combine(h, c, d, limit):
     """kind for each row of a batch, and the indexes that stand for their classes in the shuffle."""
-    order = np.lexsort((c, h))
-    hs, cs = h[order], c[order]
+    order = np.lexsort((d, c, h))
+    hs, cs, ds = h[order], c[order], d[order]
     new_h = np.concatenate([[True], hs[1:] != hs[:-1]])
-    new_c = new_h | np.concatenate([[True], cs[1:] != cs[:-1]])
+    new_c = new_h | np.concatenate([[True], (cs[1:] != cs[:-1]) | (ds[1:] != ds[:-1])])
     cls = np.cumsum(new_c) - 1
     size = np.bincount(cls)
     group = np.cumsum(new_h) - 1
@@ -135,26 +140,25 @@ def _combine(h, c, limit):
     return kind, first & many, often, mark & often
 
 
-def _find(limit):
+def _find(limit, bits):
     def run(batches):
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
             for doc, crc, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 got = anchors(data)
                 if got is None:
                     continue
                 p, lo, hi, h = got
-                for col, v in zip(cols, (h, _context_hash(data, p), np.full(len(p), doc), np.full(len(p), crc), p, lo, hi), strict=True):
+                c = _context_digests(data, p)
+                for col, v in zip(cols, ((h >> np.uint64(64 - bits)).view(np.int64), c[:, 0], c[:, 1], np.full(len(p), doc), np.full(len(p), crc), p, lo, hi), strict=True):
                     col.append(v)
             if not cols[0]:
                 continue
-            h, c, *rest = (np.concatenate(x) for x in cols)
-            kind, stands, often, mark = _combine(h, c, limit)
+            all_cols = [np.concatenate(x) for x in cols]
+            kind, stands, often, mark = _combine(*all_cols[:3], limit)
 
-            def out(sel, kinds, h=h, c=c, rest=rest):
-                arrays = [kinds, h[sel].view(np.int64), c[sel].view(np.int64), *(x[sel] for x in rest)]
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
-                return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(arrays, types, strict=True)], _NAMES)
+            def out(sel, kinds, cols=all_cols):
+                return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip([kinds, *(x[sel] for x in cols)], _TYPES, strict=True)], _NAMES)
 
             # of a class with several members one row is sent twice, so that it is seen to be one; anchors that occur in many contexts send a mark instead
             plain = (kind != OPEN) | ~stands
@@ -167,14 +171,14 @@ def _find(limit):
 
 
 def _group(at_once, stream):
-    """Rows sorted by (h, c, kind): decides each; an undecided row and one of each class whose group has other classes become EDGE."""
+    """Rows sorted by (h, c, d, kind): decides each; an undecided row and one of each class whose group has other classes become EDGE."""
 
     def decide(r):
-        h, c, kind = r["h"], r["c"], r["kind"]
+        h, c, d, kind = r["h"], r["c"], r["d"], r["kind"]
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         group = np.cumsum(new_h) - 1
         real = kind == OPEN
-        new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (kind[1:] != kind[:-1])])
+        new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (kind[1:] != kind[:-1])])
         cls = np.cumsum(new_c) - 1
         size = np.bincount(cls)[cls]
         varied = (np.bincount(group[new_c]) > 1)[group] | np.bincount(group, ~real).astype(bool)[group]
@@ -183,12 +187,11 @@ def _group(at_once, stream):
         for mask, k in ((whole, WHOLE), (edge, EDGE)):
             if mask.any():
                 cols = [np.full(mask.sum(), k), *(r[x][mask] for x in _NAMES[1:])]
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(cols, types, strict=True)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
     def marked(r):
         r = {x: np.append(v, MARK if x == "kind" else v[-1]) for x, v in r.items()}
-        order = np.lexsort((r["kind"], r["c"], r["h"]))
+        order = np.lexsort((r["kind"], r["d"], r["c"], r["h"]))
         return {x: v[order] for x, v in r.items()}
 
     def run(batches):
@@ -203,7 +206,7 @@ def _group(at_once, stream):
                 held = {x: v[done:] for x, v in held.items()}
             elif len(held["h"]) - done > stream:
                 # a common anchor streams through: it is cut where its context changes, if it does, and a mark on both sides tells of the other
-                change = np.flatnonzero((held["c"][1:] != held["c"][:-1]) & (held["h"][1:] == last)) + 1
+                change = np.flatnonzero(((held["c"][1:] != held["c"][:-1]) | (held["d"][1:] != held["d"][:-1])) & (held["h"][1:] == last)) + 1
                 keep = int(change[-1]) if len(change) and change[-1] > done else len(held["h"]) - 2
                 yield from decide(marked({x: v[:keep] for x, v in held.items()}))
                 held = marked({x: v[keep:] for x, v in held.items()})
@@ -214,22 +217,35 @@ def _group(at_once, stream):
 
 
 CONTEXT = "h long, id long, crc int, p int, lo int, hi int, at int, context binary"
-REPEAT = "id long, crc int, lo int, hi int, key long, r int, window binary"
+_C_NAMES = [x.split()[0] for x in CONTEXT.split(", ")]
+_C_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary()]
+REPEAT = "id long, crc int, lo int, hi int"
 _R_NAMES = [x.split()[0] for x in REPEAT.split(", ")]
-_R_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+_R_TYPES = [pa.int64(), *[pa.int32()] * 3]
 
 
 def _contexts(batches):
-    """Texts with their undecided anchors [(h, p, lo, hi)], to rows of ``CONTEXT``."""
+    """Texts with their undecided anchors (h, p, lo, hi, hot), to rows of ``CONTEXT``: of a hot anchor one for each window, with its digest for a context and no h."""
     for b in batches:
-        rows: list[list] = [[] for _ in range(8)]
+        rows: list[list] = [[] for _ in _C_NAMES]
+
+        def put(*values, rows=rows):
+            for col, v in zip(rows, values, strict=True):
+                col.append(v)
+
         for doc, crc, data, edges in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            view = memoryview(data)
             for e in edges:
-                a, z = max(e["lo"], 0), min(e["hi"] + DEPTH, len(data))
-                for col, v in zip(rows, (e["h"], doc, crc, e["p"], e["lo"], e["hi"], a, data[a:z]), strict=True):
-                    col.append(v)
-        types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], [x.split()[0] for x in CONTEXT.split(", ")])
+                if e["hot"]:
+                    for s in range(e["lo"], e["hi"] + 1):
+                        put(None, doc, crc, e["p"], s, s, s, _digest(view[s : s + DEPTH]))
+                else:
+                    put(e["h"], doc, crc, e["p"], e["lo"], e["hi"], e["lo"], data[e["lo"] : e["hi"] + DEPTH])
+            if len(rows[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _C_TYPES, strict=True)], _C_NAMES)
+                for col in rows:
+                    col.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _C_TYPES, strict=True)], _C_NAMES)
 
 
 def radix_equal(group: np.ndarray, flat: np.ndarray, start: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -256,10 +272,8 @@ def radix_equal(group: np.ndarray, flat: np.ndarray, start: np.ndarray, depth: i
     return out
 
 
-def _repeat_rows(ids, crcs, lo, hi, key=None, r=None, window=None):
-    n = len(ids)
-    cols = [ids, crcs, lo, hi, key, r, window]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x).cast(t) for x, t in zip(cols, _R_TYPES, strict=True)], _R_NAMES)
+def _repeat_rows(*cols):
+    return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(cols, _R_TYPES, strict=True)], _R_NAMES)
 
 
 def _runs(ids, crcs, s):
@@ -269,62 +283,29 @@ def _runs(ids, crcs, s):
     return ids[new], crcs[new], s[new], s[end]
 
 
-def _sort_windows(hot, at_once):
-    """Rows of ``CONTEXT`` sorted by h: ranges of starts whose windows repeat, and windows of hot anchors for one more deal."""
-
-    def expand(r):
-        n = r["hi"] - r["lo"] + 1
-        row = np.repeat(np.arange(len(n)), n)
-        s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + r["lo"][row]
-        return row, s
+def _sort_windows(at_once):
+    """Rows of ``CONTEXT`` sorted by h, at most ``HOT`` of one: ranges of starts whose windows repeat."""
 
     def settle(r):
         size = np.fromiter(map(len, r["context"]), np.int64, len(r["context"]))
         base = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(r["context"]), np.uint8)
-        row, s = expand(r)
+        n = r["hi"] - r["lo"] + 1
+        row = np.repeat(np.arange(len(n)), n)
+        s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + r["lo"][row]
         # windows of one anchor are comparable only where they hold it at the same place
         place = r["p"][row] - s
         new = np.unique(r["h"], return_inverse=True)[1][row].astype(np.int64) * DEPTH + place
         same = radix_equal(new, flat, base[row] + s - r["at"][row])
         if same.any():
-            ids, crcs, st = r["id"][row][same], r["crc"][row][same], s[same]
-            yield _repeat_rows(*_runs(ids, crcs, st))
-
-    def deal(r):
-        import xxhash
-
-        for k in range(0, len(r["h"]), 256):
-            part = {x: v[k : k + 256] for x, v in r.items()}
-            row, s = expand(part)
-            a = (s - part["at"][row]).tolist()
-            win = [part["context"][i][x : x + DEPTH] for i, x in zip(row.tolist(), a, strict=True)]
-            key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in win), np.uint64, len(win)).view(np.int64)
-            yield _repeat_rows(part["id"][row], part["crc"][row], s, s, key, part["p"][row] - s, [xxhash.xxh3_128_digest(w) for w in win])
-
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
+            yield _repeat_rows(*_runs(r["id"][row][same], r["crc"][row][same], s[same]))
 
     def run(batches):
-        held, passing = None, None
+        held = None
         for b in batches:
-            r = {x: np.array(b.column(x).to_pylist(), object) if x == "context" else b.column(x).to_numpy(zero_copy_only=False) for x in names}
-            if passing is not None:
-                of = r["h"] == passing
-                if of.any():
-                    yield from deal({x: v[of] for x, v in r.items()})
-                    r = {x: v[~of] for x, v in r.items()}
-                if len(r["h"]):
-                    passing = None
-            if not len(r["h"]):
-                continue
-            held = r if held is None else {x: np.concatenate([held[x], r[x]]) for x in names}
-            last = held["h"][-1]
-            done = int(np.searchsorted(held["h"], last))
-            if len(held["h"]) - done > hot:
-                passing = last
-                yield from deal({x: v[done:] for x, v in held.items()})
-                held = {x: v[:done] for x, v in held.items()}
-                done = len(held["h"])
+            r = {x: np.array(b.column(x).to_pylist(), object) if x == "context" else b.column(x).to_numpy(zero_copy_only=False) for x in _C_NAMES}
+            held = r if held is None else {x: np.concatenate([held[x], r[x]]) for x in _C_NAMES}
+            done = int(np.searchsorted(held["h"], held["h"][-1])) if len(held["h"]) else 0
             if done >= at_once:
                 yield from settle({x: v[:done] for x, v in held.items()})
                 held = {x: v[done:] for x, v in held.items()}
@@ -367,21 +348,28 @@ def _strip(with_text: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, often: int = OFTEN, hot: int = HOT, settle: int = SETTLE, stream: int = STREAM) -> DataFrame:
-    """(id, crc, lo, hi): ranges of starts of repeated windows, by the keys of ``_keyed``."""
+def repeated_ranges(docs: DataFrame, often: int = OFTEN, hot: int = HOT, settle: int = SETTLE, stream: int = STREAM, bits: int = 64) -> DataFrame:
+    """(id, crc, lo, hi): ranges of starts of repeated windows, by the keys of ``_keyed``. ``bits`` is how much of an anchor's hash is used."""
     keyed = _keyed(docs)
-    found = cut(keyed.where(F.length("data") >= DEPTH).mapInArrow(_find(often), ANCHOR), "anchors")
-    to_group = found.where(F.col("kind").isin(OPEN, MARK)).repartition("h").sortWithinPartitions("h", "c", "kind")
+    found = cut(keyed.where(F.length("data") >= DEPTH).mapInArrow(_find(often, bits), ANCHOR), "anchors")
+    to_group = found.where(F.col("kind").isin(OPEN, MARK)).repartition("h").sortWithinPartitions("h", "c", "d", "kind")
     grouped = cut(to_group.mapInArrow(_group(settle, stream), ANCHOR).where(F.col("kind") != MARK), "grouped")
     decided = found.where(F.col("kind").isin(WHOLE, EDGE)).unionByName(grouped)
-    edges = decided.where(F.col("kind") == EDGE).groupBy("id", "crc").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("edges"))
+    undecided = decided.where(F.col("kind") == EDGE).select("h", "id", "crc", "p", "lo", "hi")
+    crowded = cut(undecided.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "crowded")
+    undecided = undecided.join(F.broadcast(crowded) if crowded.count() <= SMALL else crowded, "h", "left")
+    edges = undecided.groupBy("id", "crc").agg(F.collect_set(F.struct("h", "p", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("edges"))
     with_text = keyed.join(edges, ["id", "crc"]).select("id", "crc", "data", "edges")
     contexts = with_text.mapInArrow(_contexts, CONTEXT)
-    ranges = cut(contexts.repartition("h").sortWithinPartitions("h", "id", "crc", "p").mapInArrow(_sort_windows(hot, settle // 10), REPEAT), "windows")
-    hot = ranges.where("key is not null")
-    again = hot.groupBy("key", "r", "window").agg(F.count("*").alias("n")).where("n > 1")
-    settled = hot.join(again, ["key", "r", "window"], "left_semi").select("id", "crc", "lo", "hi")
-    return decided.where(F.col("kind") == WHOLE).select("id", "crc", "lo", "hi").unionByName(ranges.where("key is null").select("id", "crc", "lo", "hi")).unionByName(settled)
+    parts = [decided.where(F.col("kind") == WHOLE).select("id", "crc", "lo", "hi")]
+    if crowded.limit(1).count():
+        contexts = cut(contexts, "contexts")
+        windows = contexts.where("h is null")
+        again = windows.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context")
+        parts.append(windows.join(again, "context", "left_semi").select("id", "crc", "lo", "hi"))
+    sorted_ = contexts.where("h is not null").repartition("h").sortWithinPartitions("h", "id", "crc", "p")
+    parts.append(cut(sorted_.mapInArrow(_sort_windows(settle // 10), REPEAT), "windows"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, **limits: int) -> DataFrame:

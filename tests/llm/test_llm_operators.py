@@ -366,7 +366,7 @@ def slow_strip(texts):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"often": 1, "hot": 3, "settle": 10, "stream": 4}, {"often": 1000, "hot": 2, "settle": 10, "stream": 2}])
+@pytest.mark.parametrize("limits", [{}, {"often": 1, "hot": 3, "settle": 10, "stream": 4}, {"often": 1000, "hot": 2, "settle": 10, "stream": 2}, {"bits": 3, "hot": 100}, {"bits": 1, "hot": 1_000_000}])
 def test_repeats_equal_brute_force(spark, limits):
     # small batches, so that groups come in several pieces
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if limits else "10000")
