@@ -14,7 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from odolith.llm import components, decontam, packing, queries, secret_scan, simhash, suffix, toxicity, vectors, wordpiece
+from odolith.llm import components, decontam, packing, queries, secret_scan, simhash, suffix, toxicity, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, n long"
 ODD = [None, "", " ", "a", "one two", "\n\n\t", "Ünïcode ﬁ 漢字 text", "word " * 3000, "x" * 5000]
@@ -243,38 +243,6 @@ def test_automaton_equals_greedy_matching(spark):
     assert len(got) == len(ODD) + 2
 
 
-# embeddings
-
-
-def test_embedding_links_equal_brute_force(spark):
-    rng = np.random.default_rng(6)
-    base = rng.normal(size=(300, 16))
-    near = np.repeat(base[:20], 15, 0) + 0.08 * rng.normal(size=(300, 16))
-    x = np.concatenate([base, near, base[:5], base[:3] * 7])
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [None] + [1.0] * 15, 0), (1003, [float("nan")] * 16, 0), (1004, [float("inf")] + [1.0] * 15, 0), (1005, [1.0, 2.0], 0)]
-    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().sort_values("vec_id").reset_index(drop=True)
-    u = vectors.unit(x)
-    i, j = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
-    deg = np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
-    recall = got.n_links[: len(x)].sum() / deg.sum()
-    assert recall > 0.95 and (got.n_links[: len(x)] <= deg).all()
-    if recall == 1:
-        assert (got.component_id[: len(x)] == components.local_labels(len(x), i, j)).all()
-    assert (got.n_links[len(x) :] == 0).all() and got.kept[len(x) :].all()
-    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
-def test_crowded_cells_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 16)
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=8) + 0.05 * rng.normal(size=(200, 8))
-    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
-    u = vectors.unit(x)
-    deg = (u @ u.T >= 0.95).sum(1) - 1
-    assert got.n_links.sum() > 0.95 * deg.sum() and (got.sort_values("vec_id").n_links.to_numpy() <= deg).all()
-
-
 # SimHash
 
 
