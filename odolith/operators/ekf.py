@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odolith.operators.context import STANDSTILL, TUNNEL, context_mode
 from odolith.operators.signals import local_variance, step_dt
@@ -35,8 +36,10 @@ class FilterParams:
     aggressive_q_vel: float = 0.20
     nhc: bool = True
     zupt: bool = True
-    #: the older five-state form: a fixed heading noise, and headings used over 1 m/s only
+    #: the older five-state form: no lateral speed, a fixed heading noise, and headings used over 1 m/s only
     legacy: bool = False
+    #: in place of the model's deviation, for filters that take it as constant
+    sigma: float | None = None
 
 
 P0 = np.array([4.0, 4.0, 1.0, 0.25, 0.05, 0.0001])
@@ -51,7 +54,7 @@ class Filter:
 
     def __init__(self, x: np.ndarray, aggressive: np.ndarray, params: FilterParams = FilterParams(), cov: np.ndarray | None = None):
         self.x, self.k = np.array(x, float), params
-        self.P = np.repeat(np.diag(P0)[None], len(x), 0) if cov is None else np.array(cov, float)
+        self.P = np.repeat(np.diag(P0 * ([1, 1, 1, 0, 1, 1] if params.legacy else 1))[None], len(x), 0) if cov is None else np.array(cov, float)
         self.aggressive = np.asarray(aggressive, bool)
         self.q_vel = np.where(self.aggressive, params.aggressive_q_vel, params.q_vel)
         self.r_nhc = np.where(self.aggressive, params.aggressive_nhc_std, params.nhc_std) ** 2
@@ -79,7 +82,7 @@ class Filter:
         f[:, 2, 2], f[:, 3, 3], f[:, 4, 5] = keep, keep_lat, -moving * dt
         self.x = np.stack([x[:, 0] + east * dt, x[:, 1] + north * dt, v, lat, h, x[:, 5]], 1)
         k, q = self.k, np.zeros((n, 6))
-        q[:, :2], q[:, 2], q[:, 3], q[:, 4] = k.q_pos**2, self.q_vel + 1.5 * sigma * sigma, k.q_lat**2, k.q_heading**2
+        q[:, :2], q[:, 2], q[:, 3], q[:, 4] = k.q_pos**2, self.q_vel + 1.5 * sigma * sigma, 0.0 if k.legacy else k.q_lat**2, k.q_heading**2
         q[:, 5] = (k.q_bias * np.where(tunnel, 0.1, 1.0)) ** 2
         self.P = f @ self.P @ f.transpose(0, 2, 1)
         self.P[:, range(6), range(6)] += q
@@ -100,7 +103,8 @@ class Filter:
         self._update([3], -self.x[:, [3]], self.r_nhc[:, None], [0, 1, 2, 3, 4])
 
     def stop(self) -> None:
-        self._update([2, 3], -self.x[:, [2, 3]], np.full((len(self.x), 2), self.k.r_zupt**2), [2, 3])
+        states = [2] if self.k.legacy else [2, 3]  # the five states have no lateral speed: it and its covariance stay 0
+        self._update(states, -self.x[:, states], np.full((len(self.x), len(states)), self.k.r_zupt**2), states)
 
     def gps(self, px, py, v, heading) -> None:
         k = self.k
@@ -121,13 +125,12 @@ class Filter:
 
 
 STATE = ["fused_pos_x", "fused_pos_y", "fused_velocity", "fused_lat_velocity", "fused_heading", "fused_gyro_bias"]
-OUT = "drive_id long, rn long, " + ", ".join(f"{c} double" for c in STATE) + ", open_loop_pos_x double, open_loop_pos_y double"
 _IN = ["drive_id", "rn", "dt", "ai_speed", "ai_speed_std", "gyro_z", "still", "tunnel", "in_outage", "pos_x", "pos_y", "speed", "heading", "aggressive"]
 _PIECE = 100_000
 
 
 def run_filter(pdf: pd.DataFrame, params: FilterParams, carried: dict | None = None) -> tuple[pd.DataFrame, dict]:
-    """Runs sorted rows of ``_IN`` for all drives in step; (rows of ``OUT``, {drive: (x, P)} at their ends)."""
+    """Runs sorted rows of ``_IN`` for all drives in step; (drive_id, rn, ``STATE`` and the open-loop position), and {drive: (x, P)} at their ends."""
     carried = carried or {}
     ids = pdf["drive_id"].to_numpy()
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -135,6 +138,8 @@ def run_filter(pdf: pd.DataFrame, params: FilterParams, carried: dict | None = N
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     col = {c: pdf[c].to_numpy() for c in _IN[2:]}
+    if params.sigma is not None:
+        col["ai_speed_std"] = np.full(len(ids), params.sigma)
     x = np.stack([col["pos_x"][start], col["pos_y"][start], col["speed"][start], np.zeros(len(start)), col["heading"][start], np.zeros(len(start))], 1)
     f = Filter(x, col["aggressive"][start], params)
     for d, i in enumerate(start):
@@ -176,33 +181,87 @@ def with_context(df: DataFrame, scale: float = 1.0, causal: bool = False, gps_fr
     return df.withColumn("acc_var", var).withColumn("context_mode", context_mode(F.col("ambient_lux"), v, F.col("acc_var"), F.abs("gyro_z")))
 
 
-def fuse(df: DataFrame, params: FilterParams = FilterParams(), rule: str = "context", first_dt: float | None = None) -> DataFrame:
-    """Rows of ``df`` (truth, sensors, ai_speed, ai_speed_std, in_outage, context_mode) with the filter's states and errors.
-
-    ``rule`` 'context' stops the filter at a standstill context; 'rest' where acceleration is that of gravity and turn and speed are small.
-    """
+def _inputs(df: DataFrame, params: FilterParams, rule: str, first_dt: float | None) -> dict:
+    """Columns the filter takes besides those of ``df``."""
     if rule == "context":
         still, tunnel = F.col("context_mode") == STANDSTILL, F.col("context_mode") == TUNNEL
     else:
         mag = F.sqrt(F.col("acc_x") ** 2 + F.col("acc_y") ** 2 + F.col("acc_z") ** 2)
         still, tunnel = (F.abs(mag - 9.81) < 0.25) & (F.abs("gyro_z") < 0.05) & (F.col("ai_speed") < 0.4) & F.lit(params.zupt), F.lit(False)
-    rows = df.withColumn("dt", step_dt(first=first_dt)).withColumn("still", still).withColumn("tunnel", tunnel).withColumn("aggressive", F.col("style") == "aggressive")
+    return {"still": still, "tunnel": tunnel, "dt": step_dt(first=first_dt)}
+
+
+@dataclass(frozen=True)
+class Variant:
+    """A filter with its rule for standing still, its first time step, and the column of the headings that it is given."""
+
+    name: str
+    params: FilterParams = FilterParams()
+    rule: str = "context"
+    first_dt: float | None = None
+    heading: str = "heading"
+
+
+def fuse_variants(df: DataFrame, variants: list[Variant]) -> DataFrame:
+    """``df`` with, for each variant, ``<name>_`` before the filter's states and its errors ``pos_error_m`` and ``open_loop_error_m``.
+
+    One pass over the rows runs all filters. The time step, a window over drives, leaves them clustered and sorted, so nothing is shuffled
+    for the filters, and all columns pass through, so nothing is joined back. Kept names are those of ``df``.
+    """
+    own = {}
+    for k, v in enumerate(variants):
+        own |= {f"_{k}_{c}": x for c, x in _inputs(df, v.params, v.rule, v.first_dt).items()}
+    rows = df.withColumn("_aggressive", F.col("style") == "aggressive").withColumns({c: x for c, x in own.items() if not c.endswith("_dt")})
+    rows = rows.withColumns({c: x for c, x in own.items() if c.endswith("_dt")}).sortWithinPartitions("drive_id", "rn")
+    added = [f"{v.name}_{c}" for v in variants for c in [*_FUSED, "pos_error_m", "open_loop_error_m"]]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
+    kept = df.columns
 
     def run(pieces):
-        held, size, carried = [], 0, {}
+        held, size, carried = [], 0, [{} for _ in variants]
+
+        def done():
+            pdf = pd.concat(held, ignore_index=True)
+            last, new = pdf["drive_id"].iloc[-1], {}
+            for k, v in enumerate(variants):
+                part = pd.DataFrame({c: pdf[c] for c in ("drive_id", "rn", "ai_speed", "ai_speed_std", "gyro_z", "in_outage", "pos_x", "pos_y", "speed")})
+                part = part.assign(dt=pdf[f"_{k}_dt"], still=pdf[f"_{k}_still"], tunnel=pdf[f"_{k}_tunnel"], heading=pdf[v.heading], aggressive=pdf["_aggressive"])
+                got, states = run_filter(part, v.params, carried[k])
+                carried[k] = {last: states[last]}
+                new |= {f"{v.name}_{c}": got[g].to_numpy() for c, g in zip(_FUSED, [*STATE, "open_loop_pos_x", "open_loop_pos_y"], strict=True)}
+                for c, x, y in (("pos_error_m", "fused_pos_x", "fused_pos_y"), ("open_loop_error_m", "open_loop_pos_x", "open_loop_pos_y")):
+                    new[f"{v.name}_{c}"] = np.hypot(got[x] - pdf["pos_x"], got[y] - pdf["pos_y"]).to_numpy()
+            return pd.concat([pdf[kept], pd.DataFrame(new)], axis=1)
+
         for pdf in pieces:
             if len(pdf):
                 held.append(pdf)
                 size += len(pdf)
             if size >= _PIECE:
-                done, states = run_filter(pd.concat(held, ignore_index=True), params, carried)
-                last = held[-1]["drive_id"].iloc[-1]
-                held, size, carried = [], 0, {last: states[last]}
-                yield done
+                yield done()
+                held, size = [], 0
         if held:
-            yield run_filter(pd.concat(held, ignore_index=True), params, carried)[0]
+            yield done()
 
-    states = rows.select(_IN).repartition("drive_id").sortWithinPartitions("drive_id", "rn").mapInPandas(run, OUT)
-    out = df.join(states, ["drive_id", "rn"])
-    out = out.withColumn("fused_pos_error_m", F.hypot(F.col("fused_pos_x") - F.col("pos_x"), F.col("fused_pos_y") - F.col("pos_y")))
-    return out.withColumn("open_loop_error_m", F.hypot(F.col("open_loop_pos_x") - F.col("pos_x"), F.col("open_loop_pos_y") - F.col("pos_y")))
+    return rows.mapInPandas(run, schema)
+
+
+_FUSED = [*(c.removeprefix("fused_") for c in STATE), "open_loop_pos_x", "open_loop_pos_y"]
+
+
+def fuse(df: DataFrame, params: FilterParams = FilterParams(), rule: str = "context", first_dt: float | None = None) -> DataFrame:
+    """Rows of ``df`` (truth, sensors, ai_speed, ai_speed_std, in_outage, context_mode) with the filter's states and errors.
+
+    ``rule`` 'context' stops the filter at a standstill context; 'rest' where acceleration is that of gravity and turn and speed are small.
+    """
+    out = fuse_variants(df, [Variant("fused", params, rule, first_dt)])
+    names = {"fused_open_loop_pos_x": "open_loop_pos_x", "fused_open_loop_pos_y": "open_loop_pos_y", "fused_open_loop_error_m": "open_loop_error_m"}
+    return out.withColumnsRenamed(names)
+
+
+def stages() -> list[Variant]:
+    """Three stages of the filter: five states on headings derived from places, six on these, six on the headings given.
+
+    They need the column ``course``, what ``hold_course`` adds.
+    """
+    return [Variant("five_states", FilterParams(legacy=True, nhc=False), heading="course"), Variant("six_states", heading="course"), Variant("given_heading")]
