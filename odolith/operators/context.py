@@ -22,6 +22,11 @@ def driver_style(driver: Column) -> Column:
     return F.when(driver == "E", "aggressive").otherwise("normal")
 
 
+def profile_label(driver: Column) -> Column:
+    """A driver's name with the driving style it stands for."""
+    return F.when(driver == "E", "Driver E (Aggressive)").when(driver == "B", "Driver B (Highway)").when(driver == "D", "Driver D (Urban)").otherwise("Driver A (Normal)")
+
+
 def device_rules(size: int = 15) -> dict[str, Column]:
     """mean_ay, var_ay, mean_mag, standstill, speed and sigma over the last ``size`` rows."""
     w = order().rowsBetween(-(size - 1), 0)

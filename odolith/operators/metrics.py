@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,11 +78,38 @@ def coverage(y: Column, p: Column, sigma: Column) -> list[Column]:
     return out
 
 
+def order_statistic(df: DataFrame, value: str, keys: list[str], places: Callable[[Column], Column], step: float = 1 / 1024) -> DataFrame:
+    """(keys, n, place, value): for each group the values at the 0-based ``places``, an array of a function of n, in ascending order; nulls don't count.
+
+    Two counts, both aggregated before they move: of values by buckets of ``step``, and of the distinct values of the buckets that places fall in.
+    No group is sorted in one task.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("value")).where("value is not null")
+    bucket = F.floor(F.col("value") / step)
+    ahead = W.partitionBy(*keys)
+    counts = v.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(ahead.orderBy("bucket")) - F.col("c")).withColumn("n", F.sum("c").over(ahead))
+    wanted = counts.withColumn("place", F.explode(places(F.col("n")))).where("place >= before and place < before + c").select(*keys, "bucket", "before", "n", "place")
+    own = wanted.select(*keys, "bucket").distinct()  # a row or a few for each group
+    inside = v.withColumn("bucket", bucket).join(own, [*keys, "bucket"]).groupBy(*keys, "bucket", "value").agg(F.count("*").alias("c"))
+    inside = inside.withColumn("below", F.sum("c").over(W.partitionBy(*keys, "bucket").orderBy("value")) - F.col("c"))
+    hit = inside.join(wanted, [*keys, "bucket"]).where("place >= before + below and place < before + below + c")
+    return hit.select(*keys, "n", "place", "value")
+
+
+def exact_percentiles(df: DataFrame, value: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """(keys, one column for each of ``shares``): percentiles with linear interpolation, by ``order_statistic``."""
+    at = {k: lambda n, p=p: (n - 1) * F.lit(p) for k, p in shares.items()}
+    both = lambda n: F.array_distinct(F.array(*[f(a(n)).cast("long") for a in at.values() for f in (F.floor, F.ceil)]))
+    got = order_statistic(df, value, keys, both).groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))  # two values for each share
+    point = lambda a: F.element_at("m", F.floor(a).cast("long")) + (F.element_at("m", F.ceil(a).cast("long")) - F.element_at("m", F.floor(a).cast("long"))) * (a - F.floor(a))
+    return got.select(*keys, *[point(a(F.col("n"))).alias(k) for k, a in at.items()])
+
+
 def conformal_quantile(df: DataFrame, residual: str, keys: list[str], alpha: float = 0.1) -> DataFrame:
-    """For each group the residual at the 0-based place min(n - 1, ceil((n + 1) (1 - alpha))) in ascending order, without gathering a group in an array."""
-    order = W.partitionBy(*keys).orderBy(residual)
-    ranked = df.select(*keys, F.col(residual).alias("q_hat"), F.row_number().over(order).alias("i"), F.count("*").over(W.partitionBy(*keys)).alias("n"))
-    return ranked.where(F.col("i") - 1 == F.least(F.col("n") - 1, F.ceil((F.col("n") + 1) * (1 - alpha)))).select(*keys, "q_hat", "n")
+    """For each group the residual at the 0-based place min(n - 1, ceil((n + 1) (1 - alpha))) in ascending order."""
+    place = lambda n: F.array(F.least(n - 1, F.ceil((n + 1) * (1 - alpha))))
+    return order_statistic(df, residual, keys, place).select(*keys, F.col("value").alias("q_hat"), "n")
 
 
 def regimes(speed: Column, gyro: Column, acc: Column) -> dict[str, Column]:
@@ -124,6 +153,20 @@ def check_no_leakage(features: list[str], train: DataFrame, test: DataFrame, y:
 
 
 def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Twelve hex digits for each group, the same whatever the order of its rows."""
+    """Twelve hex digits for each group, the same whatever the order of its rows; of results, what tells that a run was repeated exactly."""
     cols = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.substring(F.sha2(F.concat_ws(",", F.count("*"), F.expr("bit_xor(xxhash64(" + ", ".join(f"`{c}`" for c in cols) + "))")), 256), 1, 12).alias("hash"))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+    return df.groupBy(*keys).agg(F.substring(F.sha2(F.concat_ws(",", F.count("*"), F.bit_xor(whole), F.sum(F.pmod(whole, F.lit(1 << 31)))), 256), 1, 12).alias("hash"))
+
+
+def repeats_exactly(run: Callable[[], DataFrame], keys: list[str]) -> bool:
+    """Whether two runs of ``run`` give the same rows in every group."""
+    a, b = (content_hash(run(), keys) for _ in range(2))
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def drive_summary(df: DataFrame) -> DataFrame:
+    """Per drive: rows, duration, median time step, and the rate that follows, 10 where the step isn't positive."""
+    d = df.select("drive_id", "timestamp", (F.col("timestamp") - F.lag("timestamp").over(order())).alias("dt_"))
+    out = d.groupBy("drive_id").agg(F.count("*").alias("n"), (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.percentile("dt_", F.lit(0.5)).alias("median_dt"))
+    return out.withColumn("rate", F.when(F.col("median_dt") > 0, 1 / F.col("median_dt")).otherwise(10.0))

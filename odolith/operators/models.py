@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -14,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from odolith.operators import features
+from odolith.operators import context, ekf, features, metrics, motion
 from odolith.operators.metrics import conformal_quantile, regression
+from odolith.sources.drives import so_far
 
 METHODS = ("ensemble", "quantile", "conformal")
 KINDS = {
@@ -39,11 +43,12 @@ class SpeedModel:
     model: PipelineModel | None = None
     q_hat: float = 0.5
     bins: list[float] = field(default_factory=list)
+    trees: list | None = field(default=None, repr=False, compare=False)
 
     def train(self, df: DataFrame, names: list[str], calibration: DataFrame | None = None) -> SpeedModel:
         if self.kind not in KINDS or self.method not in METHODS or (self.method == "ensemble" and self.kind != "random_forest"):
             raise ValueError(f"no {self.method} uncertainty for {self.kind}")
-        self.names = names
+        self.names, self.trees = names, None
         regressor = KINDS[self.kind](self.options)
         self.model = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), regressor.fit(VectorAssembler(inputCols=names, outputCol="features").transform(df.select("y", *names)))])
         if self.method != "ensemble":
@@ -61,22 +66,28 @@ class SpeedModel:
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with v_pred and v_std."""
         if self.method == "ensemble":
-            stages = self.model.stages
-            out, trees = stages[0].transform(df), stages[1].trees
-            for i, t in enumerate(trees):
-                out = t.setPredictionCol(f"_p{i}").transform(out)
-            p = F.array(*[F.col(f"_p{i}") for i in range(len(trees))])
-            out = out.withColumn("_p", p).drop(*[f"_p{i}" for i in range(len(trees))])
-            mean = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) / len(trees)
-            out = out.withColumn("_m", mean)
-            var = F.aggregate("_p", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / len(trees)
-            return out.withColumn("v_pred", F.greatest("_m", F.lit(0.0))).withColumn("v_std", F.greatest(F.sqrt(var), F.lit(0.05))).drop("features", "_p", "_m")
+            return self._over_trees(df)
         out = self._point(df)
         if self.method == "conformal":
             return out.withColumn("v_std", F.lit(max(0.10, self.q_hat / 1.645))).drop("features")
         spread = F.get(F.array(*[F.lit(b) for b in self.bins]), F.least(F.floor("v_pred"), F.lit(45)).cast("int"))
         return out.withColumn("v_std", F.greatest(spread, F.lit(0.10)) / (2 * 1.645)).drop("features")
 
+    def _over_trees(self, df: DataFrame) -> DataFrame:
+        """Mean and deviation over a forest's trees, in one pass over broadcast trees rather than a transformer for each."""
+        if self.trees is None:
+            self.trees = [_nodes(t.toDebugString) for t in self.model.stages[1].trees]  # text of the model's size
+        sent, names = df.sparkSession.sparkContext.broadcast(self.trees), self.names
+
+        @F.pandas_udf("v_pred double, v_std double")
+        def over(x: pd.Series) -> pd.DataFrame:
+            rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(names)))
+            got = np.stack([_walk(t, rows) for t in sent.value]) if len(rows) else np.zeros((1, 0))
+            return pd.DataFrame({"v_pred": np.maximum(got.mean(0), 0.0), "v_std": np.maximum(got.std(0), 0.05)})
+
+        out = df.withColumn("_p", over(F.array(*[F.col(c).cast("double") for c in names])))
+        return out.withColumn("v_pred", F.col("_p.v_pred")).withColumn("v_std", F.col("_p.v_std")).drop("_p")
+
     def evaluate(self, df: DataFrame) -> dict:
         return self.predict(df).agg(*regression(F.col("y"), F.col("v_pred")), F.avg("v_std").alias("mean_std")).first().asDict()
 
@@ -104,6 +115,35 @@ class SpeedModel:
         return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() / 1024
 
 
+def _nodes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature or -1, threshold or value, left, right) of the nodes of a tree of numeric splits, from its description, which lists them in pre-order."""
+    feature, value, left, right, open_ = [], [], [], [], []
+    for line in text.splitlines()[1:]:
+        word = line.split()
+        if word[0] == "Else":
+            right[open_.pop()] = len(feature)
+            continue
+        split = word[0] == "If"
+        feature.append(int(word[2]) if split else -1)
+        value.append(float(word[4].rstrip(")") if split else word[1]))
+        left.append(len(feature) if split else 0)
+        right.append(0)
+        if split:
+            open_.append(len(feature) - 1)
+    return np.array(feature), np.array(value), np.array(left), np.array(right)
+
+
+def _walk(tree: tuple, rows: np.ndarray) -> np.ndarray:
+    """A tree's prediction for each row: all rows go down a level at a time."""
+    feature, value, left, right = tree
+    at, live = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    while len(live):
+        live = live[feature[at[live]] >= 0]
+        k = at[live]
+        at[live] = np.where(rows[live, feature[k]] <= value[k], left[k], right[k])
+    return value[at]
+
+
 def leave_one_out(df: DataFrame, names: list[str], key: str = "driver_id", **options) -> DataFrame:
     """For each value of ``key`` (few: drivers), metrics on its rows of a model fitted on all others."""
     spark, df = df.sparkSession, df.persist()
@@ -175,17 +215,67 @@ def feature_ablation(train: DataFrame, test: DataFrame, **options) -> DataFrame:
     return spark.createDataFrame(out, "subset string, n_features int, mae double, rmse double, r2 double")
 
 
+# fixed values: deviations of the noise on acc_x, acc_y and on gyro_z, constant errors of both, and the share of windows lost
+NOISE_ACC, NOISE_GYRO, BIAS_ACC, BIAS_GYRO, LOST = 0.05, 0.01, 0.15, 0.02, 0.05
+
+
 def perturb(df: DataFrame, case: str, seed: int = 42) -> DataFrame:
-    """Sensor faults, seeded: clean, noise, acc_bias, gyro_bias, dropout."""
+    """Sensor faults, seeded: clean, noise, acc_bias, gyro_bias; dropout leaves the samples as they are (``lose_windows`` takes windows)."""
     noise = lambda c, s, k: (F.col(c) + F.randn(seed + k) * s).alias(c)
     if case == "noise":
-        return df.withColumns({"acc_x": noise("acc_x", 0.3, 0), "acc_y": noise("acc_y", 0.3, 1), "gyro_z": noise("gyro_z", 0.02, 2)})
+        return df.withColumns({"acc_x": noise("acc_x", NOISE_ACC, 0), "acc_y": noise("acc_y", NOISE_ACC, 1), "gyro_z": noise("gyro_z", NOISE_GYRO, 2)})
     if case == "acc_bias":
-        return df.withColumns({"acc_x": F.col("acc_x") + 0.2, "acc_y": F.col("acc_y") + 0.2})
+        return df.withColumns({"acc_x": F.col("acc_x") + BIAS_ACC, "acc_y": F.col("acc_y") + BIAS_ACC})
     if case == "gyro_bias":
-        return df.withColumn("gyro_z", F.col("gyro_z") + 0.02)
-    if case == "dropout":
-        return df.where(F.pmod(F.xxhash64("drive_id", "rn", F.lit(seed)), F.lit(20)) > 0)
-    if case == "clean":
+        return df.withColumn("gyro_z", F.col("gyro_z") + BIAS_GYRO)
+    if case in ("clean", "dropout"):
         return df
     raise ValueError(f"unknown case {case!r}")
+
+
+def lose_windows(windows: DataFrame, share: float = LOST, seed: int = 42) -> DataFrame:
+    """``windows`` without a share of them that a hash of drive and row chooses."""
+    return windows.where(F.pmod(F.xxhash64("drive_id", "rn", F.lit(seed)), F.lit(1_000_000)) >= share * 1_000_000)
+
+
+def on_rows(drives: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``drives`` with ai_speed and ai_speed_std on all rows, from v_pred and v_std of ``predicted`` at window ends; both are keyed by drive and row."""
+    return motion.dense_speed(drives.join(predicted.select("drive_id", "rn", "v_pred", "v_std"), ["drive_id", "rn"], "left"))
+
+
+def navigate(drives: DataFrame, predicted: DataFrame, start: float = 60.0, end: float | None = None, settle: float = 8.0, scale: float = 1.0) -> DataFrame:
+    """The drive level: metrics per drive of naive, model and fused trajectories, with the model's speeds of ``predicted`` in place of a meter's."""
+    return metrics.drive_metrics(trajectories(drives, predicted, start, end, scale), {"naive": ("pos_error_m", "pos_error_m"), "ai": ("ai_pos_error_m", "ai_pos_error_m"), "fused": ("fused_pos_error_m", "open_loop_error_m")}, settle)
+
+
+def trajectories(drives: DataFrame, predicted: DataFrame, start: float = 60.0, end: float | None = None, scale: float = 1.0) -> DataFrame:
+    """``drives`` with naive, model and fused trajectories."""
+    df = metrics.outage(motion.ai_dead_reckoning(on_rows(motion.naive(drives), predicted)), start, end)
+    df = df.withColumn("style", context.driver_style(F.first("driver_id").over(so_far())))
+    return ekf.fuse(ekf.with_context(df, scale=scale))
+
+
+def robustness(model: SpeedModel, drives: DataFrame, cases=("clean", "noise", "acc_bias", "gyro_bias", "dropout"), **outage) -> DataFrame:
+    """For each sensor fault the model's MAE on features of the disturbed sensors, as a mean over drives, and the exit error of the filter that is fed its speeds.
+
+    The filter's own sensors are undisturbed, so what changes is what the model makes of its features.
+    """
+    out = None
+    for case in cases:
+        f = features.features(perturb(drives, case))
+        p = model.predict(lose_windows(f) if case == "dropout" else f).select("drive_id", "rn", "y", "v_pred", "v_std").persist()
+        mae = p.groupBy("drive_id").agg(F.avg(F.abs(F.col("y") - F.col("v_pred"))).alias("mae"))
+        one = navigate(drives, p, **outage).join(mae, "drive_id").agg(F.lit(case).alias("case"), F.avg("mae").alias("mae"), F.avg("fused_exit").alias("exit_mean"), F.stddev_pop("fused_exit").alias("exit_std"), F.avg("fused_rmse").alias("rmse_mean"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def latency_ms(model: SpeedModel, drives: DataFrame) -> dict[str, float]:
+    """Wall milliseconds a window: of its features, and of features and prediction."""
+    n = features.features(drives).count()
+    took = {}
+    for name, df in (("features", features.features(drives)), ("end_to_end", model.predict(features.features(drives)))):
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        took[name] = 1000 * (time.perf_counter() - began) / max(n, 1)
+    return took

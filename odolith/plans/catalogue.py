@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, base: str = DRIVES_SQL):
     def put(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH {base}{sql}" if base else sql
+            ORACLES[name] = f"WITH {base}{sql}" if base else sql.strip()
         return f
 
     return put
@@ -365,11 +365,13 @@ def _(spark, d):
     return m.select("drive_id", r6("t"), "gyro_z", "acc_x", "acc_y", r6("pos_x"), "speed")
 
 
-@query("q30_dashboard_frames", f""", k AS (SELECT * FROM drives WHERE (rn - 1) % 2 = 0), s AS (SELECT *, coalesce(sqrt(pow(pos_x - lag(pos_x) {OVER}, 2) + pow(pos_y - lag(pos_y) {OVER}, 2)), 0) AS st FROM k)
-    SELECT drive_id, rn, round(timestamp, 2) AS t, round(52.4068e0 + degrees(pos_y / 6371000), 6) AS gt_lat, round(-1.5197e0 + degrees(pos_x / (6371000 * cos(radians(52.4068e0)))), 6) AS gt_lon, round(speed / pi(), 2) AS gt_v, round(heading, 3) AS gt_h, round(sum(st) {RUN}, 1) AS cum_dist_m FROM s""")
+@query("q30_dashboard_frames", f""", k AS (SELECT * FROM naive WHERE (rn - 1) % 2 = 0), s AS (SELECT *, coalesce(sqrt(pow(pos_x - lag(pos_x) {OVER}, 2) + pow(pos_y - lag(pos_y) {OVER}, 2)), 0) AS st FROM k)
+    SELECT drive_id, rn, round(timestamp, 2) AS t, round(52.4068e0 + degrees(pos_y / 6371000), 6) AS gt_lat, round(-1.5197e0 + degrees(pos_x / (6371000 * cos(radians(52.4068e0)))), 6) AS gt_lon, round(speed / pi(), 2) AS gt_v, round(heading, 3) AS gt_h,
+           round(52.4068e0 + degrees(naive_pos_y / 6371000), 6) AS naive_lat, round(-1.5197e0 + degrees(naive_pos_x / (6371000 * cos(radians(52.4068e0)))), 6) AS naive_lon, round(pos_error_m, 2) AS naive_err, timestamp >= 195e-2 AND timestamp < 395e-2 AS is_blackout, round(sum(st) {RUN}, 1) AS cum_dist_m FROM s""", NAIVE_SQL)
 def _(spark, d):
     """With speeds over pi, as plain ones end in so few digits that rounding ties are common, on which engines differ."""
-    return report.frames(drive_view(spark, d).withColumn("speed", F.col("speed") / F.pi()), 52.4068, -1.5197)
+    df = metrics.outage(motion.naive(drive_view(spark, d)), OUT_START, OUT_END)
+    return report.frames(df.withColumn("speed", F.col("speed") / F.pi()), 52.4068, -1.5197)
 
 
 _RULES = ("mean_ay", "var_ay", "mean_mag", "device_speed", "device_sigma")
@@ -401,7 +403,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_PATHS).alias("path")).select("p_partkey", drives.infer_driver(F.col("path")).alias("driver_id"))
 
 
-@query("q34_biased_sensors", " SELECT drive_id, rn, round(acc_x + 2e-1, 6) + 0 AS acc_x, round(acc_y + 2e-1, 6) + 0 AS acc_y, round(gyro_z + 2e-2, 6) + 0 AS gyro_z FROM drives")
+@query("q34_biased_sensors", " SELECT drive_id, rn, round(acc_x + 15e-2, 6) + 0 AS acc_x, round(acc_y + 15e-2, 6) + 0 AS acc_y, round(gyro_z + 2e-2, 6) + 0 AS gyro_z FROM drives")
 def _(spark, d):
     return models.perturb(models.perturb(drive_view(spark, d), "acc_bias"), "gyro_bias").select(*KEYS, r6("acc_x"), r6("acc_y"), r6("gyro_z"))
 
@@ -429,23 +431,30 @@ def _(spark, d):
     return _fused(spark, d).select(*KEYS, "context_mode", "in_outage", *[r6(c) for c in (*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m")])
 
 
+_FREE = {"nhc": False, "zupt": False}
 _VARIANTS = [
-    ("filter_constant", ekf.FilterParams(nhc=False, zupt=False), "rest", False), ("filter_uncertainty", ekf.FilterParams(nhc=False, zupt=False), "rest", True),
-    ("filter_nhc", ekf.FilterParams(zupt=False), "rest", True), ("filter_zupt", ekf.FilterParams(), "rest", True), ("legacy", ekf.FilterParams(nhc=False, legacy=True), "context", True), ("full", ekf.FilterParams(), "context", True),
+    ekf.Variant("filter_constant", ekf.FilterParams(sigma=0.5, **_FREE), "rest", 0.1), ekf.Variant("filter_uncertainty", ekf.FilterParams(**_FREE), "rest", 0.1),
+    ekf.Variant("filter_nhc", ekf.FilterParams(zupt=False), "rest", 0.1), ekf.Variant("filter_zupt", ekf.FilterParams(), "rest", 0.1), ekf.Variant("full"),
 ]
 
 
+def _base_rows(spark, d) -> DataFrame:
+    base = metrics.outage(_ai(spark, d), OUT_START, OUT_END).withColumn("style", context.driver_style(F.first("driver_id").over(drives.so_far())))
+    return ekf.with_context(base, scale=0.0025)
+
+
+def _per_variant(df: DataFrame, variants: list[ekf.Variant]) -> DataFrame:
+    """Metrics per drive of all variants, from one pass of their filters."""
+    return metrics.drive_metrics(ekf.fuse_variants(df, variants), {v.name: (f"{v.name}_pos_error_m", f"{v.name}_open_loop_error_m") for v in variants}, SETTLE)
+
+
 @query("q38_filter_variants")
 def _(spark, d):
-    out = None
-    base = metrics.outage(_ai(spark, d), OUT_START, OUT_END).withColumn("style", context.driver_style(F.first("driver_id").over(drives.so_far())))
-    base = ekf.with_context(base, scale=0.0025)
-    for name, params, rule, sigma in _VARIANTS:
-        df = base if sigma else base.withColumn("ai_speed_std", F.lit(0.5))
-        m = metrics.drive_metrics(ekf.fuse(df, params, rule, 0.1 if rule == "rest" else None), {"fused": ("fused_pos_error_m", "open_loop_error_m")}, SETTLE)
-        one = m.agg(F.lit(name).alias("variant"), *[f(c).alias(f"{c}_{n}") for c in ("fused_exit", "fused_outage_peak", "fused_settled", "fused_rmse") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
-        out = one if out is None else out.unionByName(one)
-    return out
+    m = _per_variant(_base_rows(spark, d), _VARIANTS)
+    figures = [(c, n, f) for c in ("exit", "outage_peak", "settled", "rmse") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    one = m.agg(*[f(f"{v.name}_{c}").alias(f"{v.name}_{c}_{n}") for v in _VARIANTS for c, n, f in figures])
+    each = [F.struct(F.lit(v.name).alias("variant"), *[F.col(f"{v.name}_{c}_{n}").alias(f"fused_{c}_{n}") for c, n, _ in figures]) for v in _VARIANTS]
+    return one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
 def _windows(spark, d) -> tuple[DataFrame, list[str]]:
@@ -488,9 +497,32 @@ def _(spark, d):
     return models.leave_one_out(f.join(who, "drive_id"), names, trees=100, depth=10)
 
 
-@query("q43_simulated_drives")
-def _(spark, d):
-    return simulate.simulate(spark, [("A", 350.0), ("B", 350.0), ("D", 350.0), ("E", 350.0)], seed=None)
+_SIMULATED = f"""WITH RECURSIVE spec(drive_id, style, smooth, bias_x, bias_y, bias_turn) AS (VALUES (0, 'A', 92e-2, -3e-2, 5e-2, 15e-2), (1, 'B', 95e-2, -2e-2, 4e-2, 12e-2), (2, 'D', 88e-2, -3e-2, 5e-2, 15e-2), (3, 'E', 82e-2, -5e-2, 7e-2, 2e-1)),
+    ts AS (SELECT *, i * 350e0 / 3499 AS t FROM spec, range(3500) AS r(i)),
+    aims AS (SELECT *, CASE style
+            WHEN 'A' THEN CASE WHEN t % 90 < 20 THEN 14 * (t % 90) / 20 WHEN t % 90 < 45 THEN 14 + 12e-1 * sin(2e-1 * t) WHEN t % 90 < 60 THEN 8 WHEN t % 90 < 75 THEN 16 ELSE 16 - 16 * (t % 90 - 75) / 15 END
+            WHEN 'B' THEN 23 + 45e-1 * sin(2 * pi() * 12e-3 * t) + 12e-1 * cos(2 * pi() * 3e-2 * t)
+            WHEN 'D' THEN CASE WHEN t % 50 < 15 THEN 0 WHEN t % 50 < 28 THEN 11 * (t % 50 - 15) / 13 WHEN t % 50 < 40 THEN 12 ELSE 12 - 12 * (t % 50 - 40) / 10 END
+            ELSE CASE WHEN t % 70 < 12 THEN 24 * (t % 70) / 12 WHEN t % 70 < 30 THEN 25 + 3 * sin(4e-1 * t) WHEN t % 70 < 42 THEN 15 WHEN t % 70 < 52 THEN 18 - 18 * (t % 70 - 42) / 10 ELSE 0 END END AS aim,
+        CASE style
+            WHEN 'A' THEN CASE WHEN t % 90 < 20 THEN 0 WHEN t % 90 < 45 THEN 1e-2 * cos(15e-2 * t) WHEN t % 90 < 60 THEN CASE WHEN t % 180 < 90 THEN radians(6) ELSE -radians(6) END ELSE 0 END
+            WHEN 'B' THEN 15e-3 * sin(2 * pi() * 2e-2 * t)
+            WHEN 'D' THEN CASE WHEN t % 50 < 15 THEN 0 WHEN t % 50 < 28 THEN 1e-2 * sin(2e-1 * t) WHEN t % 50 < 40 THEN 3e-2 * cos(25e-2 * t) ELSE 0 END
+            ELSE CASE WHEN t % 70 < 12 THEN 0 WHEN t % 70 < 30 THEN 4e-2 * cos(3e-1 * t) WHEN t % 70 < 42 THEN CASE WHEN t % 140 < 70 THEN radians(75e-1) ELSE -radians(75e-1) END ELSE 0 END END AS turn FROM ts),
+    lists AS (SELECT drive_id, list(aim ORDER BY i) AS a, any_value(smooth) AS k FROM aims GROUP BY drive_id),
+    run(drive_id, i, v) AS (SELECT drive_id, 0, (1 - k) * a[1] FROM lists UNION ALL SELECT r.drive_id, r.i + 1, k * r.v + (1 - k) * a[r.i + 2] FROM run r JOIN lists l ON l.drive_id = r.drive_id WHERE r.i < 3499),
+    driven AS (SELECT aims.*, i + 1 AS rn, greatest(v, 0) AS speed, sum(CASE WHEN i > 0 THEN turn * 1e-1 ELSE 0 END) OVER (PARTITION BY drive_id ORDER BY i) AS way FROM aims JOIN run USING (drive_id, i)),
+    moved AS (SELECT *, 5e-1 * (speed + lag(speed) {OVER}) AS vm, 5e-1 * (way + lag(way) {OVER}) AS hm, lag(speed) {OVER} AS sb, lead(speed) {OVER} AS sa, 2e-1 * speed / 25 + 3e-2 AS shake FROM driven),
+    done AS (SELECT *, coalesce(sum(vm * sin(hm) * 1e-1) {RUN}, 0) AS pos_x, coalesce(sum(vm * cos(hm) * 1e-1) {RUN}, 0) AS pos_y, way - 2 * pi() * floor((way + pi()) / (2 * pi())) AS heading, t AS timestamp,
+            speed * turn + bias_x + shake * cos(2 * pi() * 42e-1 * t) AS acc_x, CASE WHEN sb IS NULL THEN (sa - speed) / 1e-1 WHEN sa IS NULL THEN (speed - sb) / 1e-1 ELSE (sa - sb) / 2e-1 END + bias_y + shake * sin(2 * pi() * 35e-1 * t) AS acc_y,
+            980665e-5 + 16e-1 * shake * sin(2 * pi() * 5 * t) AS acc_z, 0e0 AS gyro_x, 0e0 AS gyro_y, turn + radians(bias_turn) AS gyro_z FROM moved)"""
+
+
+@query("q43_simulated_drives", f"{_SIMULATED} SELECT CAST(drive_id AS BIGINT) AS drive_id, rn, style AS driver_id, {s6('timestamp', 'pos_x', 'pos_y', 'speed', 'heading', *drives.SENSORS)}, 15e2 AS ambient_lux FROM done", "")
+def _(spark, d):
+    """Drives without noise."""
+    v = simulate.simulate(spark, [("A", 350.0), ("B", 350.0), ("D", 350.0), ("E", 350.0)], seed=None)
+    return v.select("drive_id", "rn", "driver_id", *[r6(c) for c in ("timestamp", "pos_x", "pos_y", "speed", "heading", *drives.SENSORS)], "ambient_lux")
 
 
 @query("q44_all_features")
@@ -503,15 +535,15 @@ def _(spark, d):
     return metrics.drive_metrics(_fused(spark, d), {"ai": ("ai_pos_error_m", "ai_pos_error_m"), "fused": ("fused_pos_error_m", "open_loop_error_m")}, SETTLE)
 
 
+def _model(spark, d) -> tuple[models.SpeedModel, DataFrame]:
+    """A forest of the full size, trained on two thirds of the drives, and the other drives."""
+    f, names = _windows(spark, d)
+    return models.SpeedModel().train(_split(f)[0], names), _split(drive_view(spark, d))[1]
+
+
 @query("q46_robustness")
 def _(spark, d):
-    out = None
-    for case in ("clean", "noise", "acc_bias", "gyro_bias", "dropout"):
-        df = models.perturb(drive_view(spark, d), case).withColumn("rn", F.row_number().over(order()).cast("long"))
-        f = metrics.outage(motion.ai_dead_reckoning(motion.dense_speed(_stand_in(df))), OUT_START, OUT_END)
-        one = metrics.drive_metrics(f, {"ai": ("ai_pos_error_m", "ai_pos_error_m")}, SETTLE).agg(F.lit(case).alias("case"), F.avg("ai_exit").alias("exit_mean"), F.avg("ai_rmse").alias("rmse_mean"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return models.robustness(*_model(spark, d), start=OUT_START, end=OUT_END, settle=SETTLE, scale=0.0025)
 
 
 @query("q47_window_sweep", """ SELECT w AS window_rows, count(*) AS n_windows, count(DISTINCT drive_id) AS n_drives FROM drives, (VALUES (5), (10), (15), (20), (30)) AS s(w) WHERE rn >= w AND (rn - w) % 2 = 0 GROUP BY w""")
@@ -540,9 +572,12 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", noise.label(F.col("p_name")).alias("label"))
 
 
-@query("q51_metric_documents")
+_DOC = [("n", "n"), *[(c, f"CAST(round({c}, 4) AS DECIMAL(30, 4))") for c in (*_FIGURES, "naive_drift_pct")]]
+
+
+@query("q51_metric_documents", " SELECT drive_id, '{' || " + " || ',' || ".join(f"'\"{c}\":' || {x}" for c, x in _DOC) + " || '}' AS document FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
 def _(spark, d):
-    return report.metric_documents(_naive_metrics(spark, d))
+    return report.metric_documents(_naive_metrics(spark, d).select("drive_id", "n", *[r6(c, 4) for c in (*_FIGURES, "naive_drift_pct")]), 4)
 
 
 @query("q52_error_reduction", " SELECT drive_id, round(100 * (naive_exit - naive_settled) / (naive_exit + 1e-5), 4) AS reduction_pct FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
@@ -565,3 +600,72 @@ def _(spark, d):
 @query("q55_feature_ablation")
 def _(spark, d):
     return models.feature_ablation(*_split(_windows(spark, d)[0]))
+
+
+@query("q56_model_to_metrics")
+def _(spark, d):
+    """From features over a trained model, dense speeds and the filter to the metrics of held-out drives, with the drive's profile."""
+    model, held_out = _model(spark, d)
+    predicted = model.predict(features.features(held_out))
+    who = held_out.groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
+    m = models.navigate(held_out, predicted, OUT_START, OUT_END, SETTLE, 0.0025).join(who, "drive_id")
+    return m.select("*", context.profile_label(F.col("driver_id")).alias("profile"))
+
+
+@query("q57_filter_stages")
+def _(spark, d):
+    """Exit and peak errors, and the gyroscope bias at the end, of each drive at three stages of the filter."""
+    df, variants = signals.hold_course(_base_rows(spark, d)), ekf.stages()
+    fused = ekf.fuse_variants(df, variants)
+    m = metrics.drive_metrics(fused, {v.name: (f"{v.name}_pos_error_m", f"{v.name}_open_loop_error_m") for v in variants}, SETTLE)
+    ends = fused.groupBy("drive_id").agg(*[F.max_by(f"{v.name}_gyro_bias", "rn").alias(f"{v.name}_bias") for v in variants])
+    each = F.array(*[F.struct(F.lit(v.name).alias("stage"), F.col(f"{v.name}_exit").alias("exit"), F.col(f"{v.name}_outage_peak").alias("peak"), F.col(f"{v.name}_bias").alias("bias_end")) for v in variants])
+    return m.join(ends, "drive_id").select("drive_id", F.explode(each).alias("s")).select("drive_id", "s.*")
+
+
+_RAW_SQL = f""", raw AS (SELECT drive_id, rn, driver_id, acc_x, gyro_z, rn * 100 + CASE WHEN rn % 7 = 0 THEN 5000 ELSE 0 END - CASE WHEN rn % 11 = 0 THEN 300 ELSE 0 END AS ms, 524e-1 + pos_y / 1000 AS lat, -15e-1 + pos_x / 1000 AS lon, speed * 4 AS kmh, degrees(heading) + 360 * (rn % 3) AS course FROM drives),
+    g AS (SELECT *, (ms - lag(ms) {OVER}) / 1e3 AS gap, first_value(lat) {OVER} AS lat0, first_value(lon) {OVER} AS lon0 FROM raw),
+    std AS (SELECT drive_id, rn, driver_id, sum(CASE WHEN gap IS NULL THEN 0 WHEN gap <= 0 OR gap > 1 THEN 1e-1 ELSE gap END) {RUN} AS timestamp, radians(lon - lon0) * 6371000 * cos(radians(lat0)) AS pos_x, radians(lat - lat0) * 6371000 AS pos_y,
+            least(greatest(kmh / 36e-1, 0), 45) AS speed, radians(course) - 2 * pi() * floor((radians(course) + pi()) / (2 * pi())) AS heading, acc_x, gyro_z FROM g),
+    ramp AS (SELECT *, lag(speed) {OVER} AS vb, lead(speed) {OVER} AS va, timestamp - lag(timestamp) {OVER} AS step FROM std),
+    typical AS (SELECT drive_id, CASE WHEN quantile_cont(step, 5e-1) > 0 THEN quantile_cont(step, 5e-1) ELSE 1e-1 END AS h FROM ramp GROUP BY drive_id)"""
+
+
+@query("q58_standardized_logs", f"""{_RAW_SQL} SELECT drive_id, rn, driver_id, round(timestamp, 6) + 0 AS timestamp, round(pos_x, 3) + 0 AS pos_x, round(pos_y, 3) + 0 AS pos_y, round(speed, 6) + 0 AS speed, round(cos(heading), 6) + 0 AS cos_heading, round(acc_x, 6) + 0 AS acc_x,
+    round(CASE WHEN vb IS NULL THEN (va - speed) / h WHEN va IS NULL THEN (speed - vb) / h ELSE (va - vb) / (2 * h) END, 6) + 0 AS acc_y, 980665e-5 AS acc_z, round(gyro_z, 6) + 0 AS gyro_z, 15e2 AS ambient_lux FROM ramp JOIN typical USING (drive_id)""")
+def _(spark, d):
+    """Logs in milliseconds, km/h and degrees, with steps back and gaps, and without a longitudinal accelerometer, standardized."""
+    rn = F.col("rn")
+    ms = rn * 100 + F.when(rn % 7 == 0, 5000).otherwise(0) - F.when(rn % 11 == 0, 300).otherwise(0)
+    raw = drive_view(spark, d).select("drive_id", "rn", "driver_id", ms.alias("Time since start (ms)"), (F.col("pos_y") / 1000 + 52.4).alias("GPS latitude (degrees)"), (F.col("pos_x") / 1000 - 1.5).alias("GPS longitude (degrees)"), (F.col("speed") * 4).alias("GPS speed (kmh)"), (F.degrees("heading") + 360 * (rn % 3)).alias("GPS orientation (degrees)"), F.col("acc_x").alias("Accelerometer X"), F.col("gyro_z").alias("Gyroscope_yaw"))
+    s = drives.standardize(raw)
+    return s.select(*KEYS, "driver_id", r6("timestamp"), r6("pos_x", 3), r6("pos_y", 3), r6("speed"), r6(F.cos("heading")).alias("cos_heading"), r6("acc_x"), r6("acc_y"), "acc_z", r6("gyro_z"), "ambient_lux")
+
+
+@query("q59_drive_summary", f", s AS (SELECT *, timestamp - lag(timestamp) {OVER} AS step FROM drives) SELECT drive_id, count(*) AS n, round(max(timestamp) - min(timestamp), 6) AS duration, round(quantile_cont(step, 5e-1), 6) AS median_dt, round(CASE WHEN quantile_cont(step, 5e-1) > 0 THEN 1 / quantile_cont(step, 5e-1) ELSE 10 END, 6) AS rate FROM s GROUP BY drive_id")
+def _(spark, d):
+    return metrics.drive_summary(drive_view(spark, d)).select("drive_id", "n", r6("duration"), r6("median_dt"), r6("rate"))
+
+
+@query("q60_outage_rule", ", e AS (SELECT drive_id, least(max(timestamp) - min(timestamp) - 105e-2, 655e-2) AS out_end FROM drives GROUP BY drive_id) SELECT drive_id, round(out_end, 6) AS out_end, count(*) FILTER (timestamp >= 195e-2 AND timestamp < out_end) AS n_inside FROM drives JOIN e USING (drive_id) GROUP BY ALL")
+def _(spark, d):
+    """The end that an outage has where none is given, on short drives: a second before theirs, or the longest outage's."""
+    o = metrics.outage(drive_view(spark, d), OUT_START, longest=6.55, spare=1.05)
+    return o.groupBy("drive_id", r6("out_end").alias("out_end")).agg(F.count_if("in_outage").alias("n_inside"))
+
+
+@query("q61_report_breakdown", ", who AS (SELECT drive_id, arg_min(driver_id, rn) AS driver_id FROM drives GROUP BY drive_id) SELECT drive_id, CASE driver_id WHEN 'E' THEN 'Driver E (Aggressive)' WHEN 'B' THEN 'Driver B (Highway)' WHEN 'D' THEN 'Driver D (Urban)' ELSE 'Driver A (Normal)' END AS profile, driver_id, round(distance, 6) AS distance_m, round(naive_drift_pct, 4) AS naive_drift_pct, round(naive_exit, 6) AS naive_exit_m FROM scored JOIN who USING (drive_id)", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+def _(spark, d):
+    who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
+    b = report.breakdown(_naive_metrics(spark, d).join(who, "drive_id"))
+    return b.select("drive_id", "profile", "driver_id", r6("distance_m"), r6("naive_drift_pct", 4), r6("naive_exit_m"))
+
+
+@query("q62_zero_crossings", " SELECT user_id, event_id, list_sum(list_transform(range(14), lambda i: CASE WHEN (k[i + 1] = m) <> (k[i + 2] = m) THEN 1e0 ELSE 0e0 END)) / 14 AS zcr FROM w", f"""v AS (SELECT user_id, event_id, row_number() OVER u AS rn, list(CAST(event_id % 4 AS DOUBLE)) OVER (u ROWS 14 PRECEDING) AS k FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    w AS (SELECT *, list_avg(k) AS m FROM v WHERE rn >= {SIZE})""")
+def _(spark, d):
+    """The rate at which signals leave or reach their window's mean, on values whose means are exact or plainly off."""
+    u = W.partitionBy("user_id").orderBy("ts", "event_id")
+    v = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.row_number().over(u).alias("rn"), F.collect_list((F.col("event_id") % 4).cast("double")).over(u.rowsBetween(-(SIZE - 1), 0)).alias("k")).where(F.col("rn") >= SIZE)
+    v = v.withColumn("m", features.mean(F.col("k"), SIZE)).withColumn("c", features.centred(F.col("k"), F.col("m"))).withColumn("z", F.array_sort("k")).withColumn("q", features.quantile(F.col("z"), SIZE, 0.5))
+    return v.select("user_id", "event_id", features.enhanced_stats(F.col("c"), F.col("z"), F.col("q"), F.lit(1.0), SIZE)["zcr"].alias("zcr"))

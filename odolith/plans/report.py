@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odolith.functions.geo import enu_lat, enu_lon
+from odolith.operators.context import profile_label
+from odolith.operators.metrics import across_drives, extremes
 from odolith.sources.drives import order, so_far
 
 
@@ -37,12 +39,37 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
 
 
-def metric_documents(per_drive: DataFrame) -> DataFrame:
-    """(drive_id, document): each drive's metrics as one JSON text."""
-    return per_drive.select("drive_id", F.to_json(F.struct(*[c for c in per_drive.columns if c != "drive_id"])).alias("document"))
+def metric_documents(per_drive: DataFrame, places: int | None = None) -> DataFrame:
+    """(drive_id, document): each drive's metrics as one JSON text; with ``places`` doubles are decimals of so many."""
+    kind = dict(per_drive.dtypes)
+    cols = [F.col(c).cast(f"decimal(30,{places})").alias(c) if places is not None and kind[c] == "double" else F.col(c) for c in per_drive.columns if c != "drive_id"]
+    return per_drive.select("drive_id", F.to_json(F.struct(*cols)).alias("document"))
 
 
-def markdown(stats: dict, title: str = "Trajectory benchmark") -> str:
-    """A table of {metric: (mean, deviation)}, every cell computed."""
-    lines = [f"# {title}", "", "| metric | mean | deviation |", "| --- | --- | --- |"]
-    return "\n".join(lines + [f"| {k} | {m:.2f} | {s:.2f} |" for k, (m, s) in stats.items()]) + "\n"
+def breakdown(per_drive: DataFrame) -> DataFrame:
+    """A row per drive for the report: its profile, distance, and naive and fused errors; ``per_drive`` has driver_id."""
+    figures = {"distance": "distance_m", "naive_drift_pct": "naive_drift_pct", "naive_exit": "naive_exit_m", "fused_exit": "fused_exit_m", "fused_outage_peak": "fused_peak_m", "fused_settled": "fused_settled_m"}
+    return per_drive.select("drive_id", profile_label(F.col("driver_id")).alias("profile"), "driver_id", *[F.col(c).alias(n) for c, n in figures.items() if c in per_drive.columns])
+
+
+def markdown(stats: dict, title: str = "Trajectory benchmark", drives: list[dict] | None = None, notes: list[str] | None = None) -> str:
+    """A table of {metric: (mean, deviation)}, one of rows of ``breakdown``, and notes; every cell is computed."""
+    lines = [f"# {title}", "", "| metric | mean | deviation |", "| --- | --- | --- |", *[f"| {k} | {m:.2f} | {s:.2f} |" for k, (m, s) in stats.items()]]
+    if drives:
+        names = list(drives[0])
+        cell = lambda v: f"{v:.2f}" if isinstance(v, float) else str(v)
+        lines += ["", "## By drive", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *["| " + " | ".join(cell(d[n]) for n in names) + " |" for d in drives]]
+    if notes:
+        lines += ["", "## Observations", "", *[f"{i}. {n}" for i, n in enumerate(notes, 1)]]
+    return "\n".join(lines) + "\n"
+
+
+def benchmark_report(per_drive: DataFrame, hardest: str = "E", most: int = 200) -> str:
+    """The report on drives with naive and fused metrics: means, the ``most`` drives of the largest exit error, and the range over the hardest driver."""
+    cols = [c for c in ("naive_drift_pct", "naive_exit", "ai_drift_pct", "ai_exit", "fused_drift_pct", "fused_outage_peak", "fused_exit", "fused_settled", "fused_rmse", "naive_rmse", "ai_rmse") if c in per_drive.columns]
+    r = across_drives(per_drive, cols).first()
+    e = extremes(per_drive, hardest, ["fused_exit", "naive_final"]).first()
+    notes = [f"The error at the end of the outage, before the first fix, is {r['fused_exit_mean']:.2f} m ± {r['fused_exit_std']:.2f} m over {r['num_drives']} drives.", f"Once settled after the outage it is {r['fused_settled_mean']:.2f} m ± {r['fused_settled_std']:.2f} m."]
+    notes.append(f"Driver {hardest}: exit errors of {e['fused_exit_min']:.1f} to {e['fused_exit_max']:.1f} m, where naive integration ends up to {e['naive_final_max']:.1f} m off." if e["num_drives"] else f"Driver {hardest}: no drives.")
+    rows = [x.asDict() for x in breakdown(per_drive).orderBy(F.desc("fused_exit_m"), "drive_id").limit(most).collect()]
+    return markdown({c: (r[f"{c}_mean"], r[f"{c}_std"]) for c in cols}, drives=rows, notes=notes)

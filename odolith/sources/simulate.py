@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from odolith.sources.drives import GRAVITY
 
-# fixed values: cycle in seconds; then stretches (until, speed at their begin and end, a sine on it (gain, rate), turn rate (gain, rate or None for a constant that changes sign each cycle))
+# fixed values: cycle in seconds; then stretches (until, speed at their begin and end, a sine on it (gain, rate), turn rate (wave, gain, rate), 'flip' being a constant that changes sign each cycle)
 STYLES = {
-    "A": (90.0, [(20, 0, 14, None, None), (45, 14, 14, (1.2, 0.2), (0.01, 0.15)), (60, 8, 8, None, (np.radians(90 / 15), None)), (75, 16, 16, None, None), (90, 16, 0, None, None)]),
-    "D": (50.0, [(15, 0, 0, None, None), (28, 0, 11, None, (0.01, -0.2)), (40, 12, 12, None, (0.03, 0.25)), (50, 12, 0, None, None)]),
-    "E": (70.0, [(12, 0, 24, None, None), (30, 25, 25, (3.0, 0.4), (0.04, 0.3)), (42, 15, 15, None, (np.radians(90 / 12), None)), (52, 18, 0, None, None), (70, 0, 0, None, None)]),
+    "A": (90.0, [(20, 0, 14, None, None), (45, 14, 14, (1.2, 0.2), ("cos", 0.01, 0.15)), (60, 8, 8, None, ("flip", np.radians(90 / 15), None)), (75, 16, 16, None, None), (90, 16, 0, None, None)]),
+    "D": (50.0, [(15, 0, 0, None, None), (28, 0, 11, None, ("sin", 0.01, 0.2)), (40, 12, 12, None, ("cos", 0.03, 0.25)), (50, 12, 0, None, None)]),
+    "E": (70.0, [(12, 0, 24, None, None), (30, 25, 25, (3.0, 0.4), ("cos", 0.04, 0.3)), (42, 15, 15, None, ("flip", np.radians(90 / 12), None)), (52, 18, 0, None, None), (70, 0, 0, None, None)]),
 }
 # fixed values: smoothing, accelerometer and gyroscope (degrees/s) noise, biases of acc_x, acc_y and gyro_z (degrees/s)
 NOISE = {"A": (0.92, 0.14, 0.20, -0.03, 0.05, 0.15), "B": (0.95, 0.12, 0.18, -0.02, 0.04, 0.12), "D": (0.88, 0.15, 0.22, -0.03, 0.05, 0.15), "E": (0.82, 0.22, 0.35, -0.05, 0.07, 0.20)}
@@ -31,11 +31,8 @@ def targets(style: str, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = v0 + (v1 - v0) * (at[here] - begin) / (until - begin)
         v[here] = own + (wave[0] * np.sin(wave[1] * t[here]) if wave else 0)
         if turn:
-            gain, rate = turn
-            if rate is None:
-                w[here] = np.where(t[here] % (2 * cycle) < cycle, gain, -gain)
-            else:
-                w[here] = gain * (np.cos(rate * t[here]) if rate > 0 else np.sin(-rate * t[here]))
+            wave, gain, rate = turn
+            w[here] = np.where(t[here] % (2 * cycle) < cycle, gain, -gain) if wave == "flip" else gain * {"sin": np.sin, "cos": np.cos}[wave](rate * t[here])
         begin = until
     return v, w
 

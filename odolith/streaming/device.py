@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import cos, pi, sin, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,10 @@ class DeviceEngine:
             self.heading = (self.heading + 0.1 * err + pi) % (2 * pi) - pi
             self.bias += 0.005 * err
 
+    def reset(self) -> None:
+        """Back to a new engine's state."""
+        self.__init__()
+
     def packed(self) -> tuple:
         return self.ring, [self.x, self.y, self.speed, self.heading, self.bias, self.sigma, float(self.still), float(self.alert)], self.seen
 
@@ -81,41 +86,135 @@ def _feed(e: DeviceEngine, pdf: pd.DataFrame, fix_every: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_NAMES)
 
 
+class _Bank:
+    """Engines of several drives as arrays: a step takes one sample of each."""
+
+    def __init__(self, n: int):
+        self.ring, self.seen = np.zeros((n, RING, 2)), np.zeros(n, np.int64)
+        self.x, self.y, self.speed, self.heading, self.bias, self.sigma = (np.full(n, v) for v in (0.0, 0.0, 0.0, 0.0, 0.0, 0.2))
+        self.still, self.alert = np.zeros(n, bool), np.zeros(n, bool)
+
+    def put(self, k: int, e: DeviceEngine) -> None:
+        own = np.array(e.ring).reshape(-1, 2)
+        self.ring[k, RING - len(own) :], self.seen[k] = own, e.seen
+        self.x[k], self.y[k], self.speed[k], self.heading[k], self.bias[k], self.sigma[k], self.still[k], self.alert[k] = e.x, e.y, e.speed, e.heading, e.bias, e.sigma, e.still, e.alert
+
+    def engine(self, k: int) -> DeviceEngine:
+        n = min(RING, int(self.seen[k]))
+        return DeviceEngine(self.ring[k, RING - n :].ravel().tolist(), *(float(v[k]) for v in (self.x, self.y, self.speed, self.heading, self.bias, self.sigma)), int(self.seen[k]), bool(self.still[k]), bool(self.alert[k]))
+
+    def sample(self, n: int, ax, ay, az, gz, lux, dt) -> np.ndarray:
+        """The next sample of the first n drives; their predicted speeds."""
+        ring = self.ring[:n]
+        ring[:, :-1] = ring[:, 1:].copy()
+        ring[:, -1, 0], ring[:, -1, 1] = ay, np.sqrt(ax * ax + ay * ay + az * az)
+        self.seen[:n] += 1
+        full = np.flatnonzero(self.seen[:n] >= RING)
+        out = np.zeros(n)
+        if len(full):
+            ys, mags = ring[full, :, 0], ring[full, :, 1]
+            mean = ys.sum(1) / RING
+            var = np.maximum((ys * ys).sum(1) / RING - mean * mean, 0.0)
+            std, gz, dt = np.sqrt(var), gz[full], dt[full]
+            still = (var < 0.02) & (np.abs(gz) < 0.012)
+            self.still[full], self.alert[full] = still, (lux[full] < 100) & (self.speed[full] > 4)
+            out[full] = np.where(still, 0.0, np.maximum((mags.sum(1) / RING - 9.80665) * 1.85 + std * 4.2, 0.0))
+            self.sigma[full] = np.where(still, 0.04, 0.15 + 0.35 * std)
+            alpha = np.where(still, 0.0, 0.2)
+            self.speed[full] = (1 - alpha) * self.speed[full] + alpha * out[full]
+            self.heading[full] += (gz - self.bias[full]) * dt
+            self.x[full] += self.speed[full] * np.sin(self.heading[full]) * dt
+            self.y[full] += self.speed[full] * np.cos(self.heading[full]) * dt
+        return out
+
+    def fix(self, k: np.ndarray, gx, gy, speed, heading) -> None:
+        self.x[k] += 0.15 * (gx - self.x[k])
+        self.y[k] += 0.15 * (gy - self.y[k])
+        self.speed[k] += 0.2 * (speed - self.speed[k])
+        use = (speed > 1.2) & ~np.isnan(heading)
+        k, err = k[use], (heading[use] - self.heading[k[use]] + pi) % (2 * pi) - pi
+        self.heading[k] = (self.heading[k] + 0.1 * err + pi) % (2 * pi) - pi
+        self.bias[k] += 0.005 * err
+
+
+_PIECE = 100_000
+
+
+def _together(pdf: pd.DataFrame, fix_every: int, carried: dict) -> tuple[pd.DataFrame, dict]:
+    """Sorted rows of several drives, all drives in step; and the last drive's engine, which the next piece may go on with."""
+    ids = pdf["drive_id"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    size = np.diff(np.append(start, len(ids)))
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    bank = _Bank(len(start))
+    for k, i in enumerate(start):
+        if ids[i] in carried:
+            bank.put(k, carried[ids[i]])
+    col = {c: pdf[c].to_numpy(dtype=float) for c in ("acc_x", "acc_y", "acc_z", "gyro_z", "ambient_lux", "dt", "pos_x", "pos_y", "speed", "heading")}
+    out = {c: np.zeros(len(ids)) for c in _NAMES[2:9]} | {c: np.zeros(len(ids), bool) for c in _NAMES[9:]}
+    for step in range(int(size[0])):
+        n = int(np.searchsorted(-size, -step, side="left"))  # drives with more than ``step`` rows come first
+        i = start[:n] + step
+        out["predicted_speed"][i] = bank.sample(n, *(col[c][i] for c in ("acc_x", "acc_y", "acc_z", "gyro_z", "ambient_lux", "dt")))
+        if fix_every and len(k := np.flatnonzero(bank.seen[:n] % fix_every == 0)):
+            bank.fix(k, *(col[c][i[k]] for c in ("pos_x", "pos_y", "speed", "heading")))
+        for c, v in zip(_NAMES[3:], (bank.speed, bank.heading, bank.x, bank.y, bank.bias, bank.sigma, bank.still, bank.alert), strict=True):
+            out[c][i] = v[:n]
+    last = int(np.argmax(start))
+    return pd.DataFrame({"drive_id": ids, "rn": pdf["rn"].to_numpy(), **out}), {ids[-1]: bank.engine(last)}
+
+
 def replay(df: DataFrame, fix_every: int = 10) -> DataFrame:
-    """Rows of ``OUT`` for each row (drive, sensors, dt); every ``fix_every``-th sample brings a fix (0: none). Drives pass in a sorted stream."""
+    """Rows of ``OUT`` for each row (drive, sensors, dt); every ``fix_every``-th sample brings a fix (0: none).
+
+    A task runs its drives in step, in sorted pieces; a drive that is longer than a piece hands its engine on.
+    """
 
     def run(pieces):
-        engine, at = DeviceEngine(), None
+        held, size, carried = [], 0, {}
         for pdf in pieces:
-            for drive, part in pdf.groupby("drive_id", sort=False):
-                if drive != at:
-                    engine, at = DeviceEngine(), drive
-                yield _feed(engine, part, fix_every)
+            if len(pdf):
+                held.append(pdf)
+                size += len(pdf)
+            if size >= _PIECE:
+                out, carried = _together(pd.concat(held, ignore_index=True), fix_every, carried)
+                held, size = [], 0
+                yield out
+        if held:
+            yield _together(pd.concat(held, ignore_index=True), fix_every, carried)[0]
 
     return df.repartition("drive_id").sortWithinPartitions("drive_id", "rn").mapInPandas(run, OUT)
 
 
-def stream(df: DataFrame, fix_every: int = 10) -> DataFrame:
-    """The same over a stream of rows; a trigger's rows are put in order within themselves, and an idle drive's state stays until its timeout."""
+def stream(df: DataFrame, fix_every: int = 10, idle_ms: int = 3_600_000) -> DataFrame:
+    """The same over a stream of rows; a trigger's rows are put in order within themselves, and a drive that is idle for ``idle_ms`` begins anew."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         engine = DeviceEngine.unpacked(state.get) if state.exists else DeviceEngine()
         parts = [p for p in pieces if len(p)]
         if parts:
             yield _feed(engine, pd.concat(parts), fix_every)
         state.update(engine.packed())
+        state.setTimeoutDuration(idle_ms)
 
-    return df.groupBy("drive_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("drive_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def carry_stream(df: DataFrame, values: list[str]) -> DataFrame:
-    """Last observation carried forward over a stream of (drive_id, t, values): nulls take the drive's last value, across triggers."""
+def carry_stream(df: DataFrame, values: list[str], idle_ms: int = 3_600_000) -> DataFrame:
+    """Last observation carried forward over a stream of (drive_id, t, values): nulls take the drive's last value, across triggers, until it is idle for ``idle_ms``."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     schema = "drive_id long, t double, " + ", ".join(f"{v} double" for v in values)
 
     def run(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = list(state.get[0]) if state.exists else [None] * len(values)
         parts = [p for p in pieces if len(p)]
         if parts:
@@ -126,8 +225,9 @@ def carry_stream(df: DataFrame, values: list[str]) -> DataFrame:
                 last[i] = None if pd.isna(rows[v].iloc[-1]) else float(rows[v].iloc[-1])
             yield rows
         state.update((last,))
+        state.setTimeoutDuration(idle_ms)
 
-    return df.groupBy("drive_id").applyInPandasWithState(run, schema, "last array<double>", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("drive_id").applyInPandasWithState(run, schema, "last array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sliding_counts(df: DataFrame, length: str = "1500 milliseconds", slide: str = "200 milliseconds", late: str = "5 seconds") -> DataFrame:
