@@ -365,7 +365,8 @@ def repeated_ranges(docs: DataFrame, often: int = OFTEN, hot: int = HOT, settle:
     if crowded.limit(1).count():
         contexts = cut(contexts, "contexts")
         windows = contexts.where("h is null")
-        again = windows.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context")
+        # a table of its own, so that the join sees two plain sides and a very common window can be split among tasks
+        again = cut(windows.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context"), "again")
         parts.append(windows.join(again, "context", "left_semi").select("id", "crc", "lo", "hi"))
     sorted_ = contexts.where("h is not null").repartition("h").sortWithinPartitions("h", "id", "crc", "p")
     parts.append(cut(sorted_.mapInArrow(_sort_windows(settle // 10), REPEAT), "windows"))
