@@ -9,7 +9,7 @@ blocks that agree, a trie over the bits in the order "agreed blocks first" has a
 fingerprints under the same root path can pair, and a root path is a shuffle key. Below it node pairs are traversed
 together, one level per step for all pairs at once, adding up the differing bits and pruning pairs over budget. A root path
 with more than ``HOT`` fingerprints is passed on in a stream and descends once more by the same rule over its free bits,
-so it is dealt out anew. From each subtrie only a spanning forest of its links leaves, not its pairs.
+so it is dealt out anew; a path of the second level fixes 48 bits, so it has at most 2^16 fingerprints. From each subtrie only a spanning forest of its links leaves, not its pairs.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other. Rows that repeat, or share a
 doc_id, each keep their own row. A component is named by its smallest non-null doc_id. An empty table gives no rows.

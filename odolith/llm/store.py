@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: for each ``scratch`` that is open, the tables made in it
+_MADE: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +40,29 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that are ``cut`` within it at its end: for callers that have written by then what they need."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for df in _MADE.pop():
+            release(df)
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` gives, as by ``cut``, with the tables it needed on the way deleted."""
+    with scratch():
+        out = cut(make(), tag)
+        _MADE[-1].pop()  # the last one made is the one to keep
+    if _MADE:
+        _MADE[-1].append(out)
     return out
 
 
