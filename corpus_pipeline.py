@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from odolith.llm import decontam, packing, secret_scan, simhash, toxicity
 from odolith.llm.queries import tokenizer_file
-from odolith.llm.store import cut
+from odolith.llm.store import release, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; of what they write on the way only the last stage's input and its own tables are left."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
