@@ -51,11 +51,6 @@ def local_variance(ahead: int = 4, back: int = 5, scale: float = 1.0) -> Column:
     return (F.var_pop("acc_x").over(w) + F.var_pop("acc_y").over(w)) * scale
 
 
-def locf(x: str) -> Column:
-    """Last value that is not null."""
-    return F.last(x, ignorenulls=True).over(so_far())
-
-
 def interpolate(value: str, t: str = "timestamp") -> Column:
     """Linear in time between rows where ``value`` is not null, constant beyond the first and last of them."""
     known = F.when(F.col(value).isNotNull(), F.col(t))

@@ -525,9 +525,35 @@ def _(spark, d):
     return v.select("drive_id", "rn", "driver_id", *[r6(c) for c in ("timestamp", "pos_x", "pos_y", "speed", "heading", *drives.SENSORS)], "ambient_lux")
 
 
-@query("q44_all_features")
+_RAW_SIGNALS = {"ax": "acc_x", "ay": "acc_y", "az": "acc_z", "gx": "gyro_x", "gy": "gyro_y", "gz": "gyro_z"}
+_ALL_SQL = f"""{SIGNALS_SQL.split("win AS")[0].rstrip().removesuffix(",")},
+    twelve AS (SELECT sig.* EXCLUDE (ax, gz), {", ".join(f"{c} AS {k}" for k, c in _RAW_SIGNALS.items())} FROM sig JOIN drives USING (drive_id, rn)),
+    wide AS (SELECT drive_id, rn, timestamp AS t_end, speed AS y, {", ".join(f"list({x}) OVER w AS {x}" for x in features.SIGNALS)} FROM twelve WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS 14 PRECEDING)),
+    ends AS (SELECT *, {", ".join(f"list_avg({x}) AS {x}_m, list_stddev_pop({x}) AS {x}_d, list_sort({x}) AS {x}_z" for x in features.SIGNALS)} FROM wide WHERE rn >= 15 AND (rn - 15) % 2 = 0),
+    spec AS (SELECT *, {", ".join(f"list_transform(range(8), lambda k: {_dft(x, 'k', 15).replace(f'list_avg({x})', f'{x}_m')}) AS {x}_p" for x in features.SIGNALS)} FROM ends)"""
+
+
+def _features_sql(x: str) -> str:
+    """The features of one signal but zcr, which hangs on how a mean is rounded."""
+    at = lambda q: f"({x}_z[{int(q * 14) + 1}] + ({x}_z[{min(int(q * 14) + 2, 15)}] - {x}_z[{int(q * 14) + 1}]) * {round(q * 14 - int(q * 14), 6)!r})"
+    moment = lambda k: f"list_avg(list_transform({x}, lambda v: pow(v - {x}_m, {k}))) / pow({x}_d, {k})"
+    cols = {
+        "mean": f"{x}_m", "std": f"{x}_d", "min": f"list_min({x})", "max": f"list_max({x})", "p2p": f"list_max({x}) - list_min({x})", "rms": _RMS.format(s=x), "median": at(0.5), "iqr": f"{at(0.75)} - {at(0.25)}", "p10": at(0.1), "p90": at(0.9),
+        "mad": f"list_aggregate({x}, 'mad')", "skew": f"(CASE WHEN {x}_d > 1e-6 THEN {moment(3)} ELSE 0 END)", "kurt": f"(CASE WHEN {x}_d > 1e-6 THEN {moment(4)} - 3 ELSE 0 END)",
+    }
+    return ", ".join(f"round({v} + 1e-9, 6) + 0 AS {x}_{k}" for k, v in cols.items()) + ", " + _spectral_sql(x)
+
+
+_MIXED_SQL = f"round(acc_mag_d * {_RMS.format(s='acc_horiz')}, 6) AS vibration_power, round({_RMS.format(s='jerk_mag')} * (gyro_mag_m + 1e-2), 6) AS jerk_motion_intensity, round(abs(ax_m) / (abs(gz_m) + 5e-2), 6) AS curv_ratio"
+
+
+@query("q44_all_features", f" SELECT drive_id, rn, round(t_end, 6) AS t_end, round(y, 6) AS y, {', '.join(_features_sql(x) for x in features.SIGNALS)}, {_MIXED_SQL} FROM spec", _ALL_SQL)
 def _(spark, d):
-    return features.features(drive_view(spark, d))
+    """All features but the twelve zcr, which ``q62_zero_crossings`` has where a mean's rounding doesn't decide."""
+    f = features.features(drive_view(spark, d))
+    plain = ("t_end", "y", *[k for k, _ in features.interactions(F.col).items()], *[f"{x}_{k}" for x in features.SIGNALS for k in ("spec_centroid", "dom_freq", "power_low", "power_high")])
+    # moments of few distinct values are often exact in seven places and end in 5: a shift keeps engines from rounding such a tie apart
+    return f.select(*KEYS, *[r6(c) if c in plain else r6(F.col(c) + 1e-9).alias(c) for c in f.columns if c not in KEYS and not c.endswith("_zcr")])
 
 
 @query("q45_fused_metrics")
