@@ -89,7 +89,11 @@ class SpeedModel:
         return out.withColumn("v_pred", F.col("_p.v_pred")).withColumn("v_std", F.col("_p.v_std")).drop("_p")
 
     def evaluate(self, df: DataFrame) -> dict:
-        return self.predict(df).agg(*regression(F.col("y"), F.col("v_pred")), F.avg("v_std").alias("mean_std")).first().asDict()
+        p = self.predict(df).select("y", "v_pred", "v_std", F.abs(F.col("y") - F.col("v_pred")).alias("e")).persist()
+        out = p.agg(*regression(F.col("y"), F.col("v_pred"))[:3], F.avg("v_std").alias("mean_std")).first().asDict()
+        places = metrics.exact_percentiles(p, "e", [], {"medae": 0.5, "p95": 0.95}).first()
+        p.unpersist()
+        return out | (places.asDict() if places else {"medae": None, "p95": None})
 
     def importances(self, top: int | None = None) -> list[tuple[str, float]]:
         got = sorted(zip(self.names, self.model.stages[1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
@@ -150,7 +154,7 @@ def leave_one_out(df: DataFrame, names: list[str], key: str = "driver_id", **opt
     out = []
     for r in df.select(key).distinct().orderBy(key).collect():
         m = SpeedModel(options=options).train(df.where(F.col(key) != r[0]), names)
-        s = m.predict(df.where(F.col(key) == r[0])).agg(F.count("*").alias("n"), *regression(F.col("y"), F.col("v_pred"))).first()
+        s = m.predict(df.where(F.col(key) == r[0])).agg(F.count("*").alias("n"), *regression(F.col("y"), F.col("v_pred"))[:3]).first()
         out.append((r[0], s["n"], s["mae"], s["rmse"], s["r2"]))
     df.unpersist()
     return spark.createDataFrame(out, f"{key} string, n long, mae double, rmse double, r2 double")

@@ -485,9 +485,25 @@ def _(spark, d):
     return models.permutation_importance(m, test)
 
 
-@query("q41_device_replay")
-def _(spark, d):
-    return device.replay(drive_view(spark, d).withColumn("dt", signals.step_dt()))
+_DEVICE_SQL = f"""{DRIVES_SQL},
+    given AS (SELECT *, avg(acc_y) OVER w AS mean_ay, greatest(avg(acc_y * acc_y) OVER w - avg(acc_y) OVER w * avg(acc_y) OVER w, 0) AS var_ay, avg(sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z)) OVER w AS mean_mag,
+                     coalesce(timestamp - lag(timestamp) {OVER}, lead(timestamp) {OVER} - timestamp, 1e-1) AS dts FROM drives WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS 14 PRECEDING)),
+    ruled AS (SELECT *, var_ay < 2e-2 AND abs(gyro_z) < 12e-3 AS rests FROM given),
+    sensed AS (SELECT *, rn >= 15 AS ready, rn >= 15 AND rests AS standstill, CASE WHEN rn < 15 OR rests THEN 0 ELSE greatest((mean_mag - 980665e-5) * 185e-2 + sqrt(var_ay) * 42e-1, 0) END AS predicted_speed,
+                      CASE WHEN rn < 15 THEN 2e-1 WHEN rests THEN 4e-2 ELSE 15e-2 + sqrt(var_ay) * 35e-2 END AS sigma FROM ruled),
+    engine(drive_id, rn, v, h, x, y, b, alert) AS (SELECT DISTINCT drive_id, CAST(0 AS BIGINT), 0e0, 0e0, 0e0, 0e0, 0e0, false FROM drives UNION ALL
+        SELECT drive_id, rn, CASE WHEN fixed THEN v1 + 2e-1 * (speed - v1) ELSE v1 END, CASE WHEN turned THEN h1 + 1e-1 * err - 2 * pi() * floor((h1 + 1e-1 * err + pi()) / (2 * pi())) ELSE h1 END,
+               CASE WHEN fixed THEN x1 + 15e-2 * (pos_x - x1) ELSE x1 END, CASE WHEN fixed THEN y1 + 15e-2 * (pos_y - y1) ELSE y1 END, CASE WHEN turned THEN b + 5e-3 * err ELSE b END, alert
+        FROM (SELECT *, rn % 10 = 0 AS fixed, rn % 10 = 0 AND speed > 12e-1 AS turned, CASE WHEN ready THEN x + v1 * sin(h1) * dts ELSE x END AS x1, CASE WHEN ready THEN y + v1 * cos(h1) * dts ELSE y END AS y1, heading - h1 - 2 * pi() * floor((heading - h1 + pi()) / (2 * pi())) AS err
+              FROM (SELECT s.*, e.x, e.y, e.b, ready AND ambient_lux < 100 AND e.v > 4 AS alert, CASE WHEN ready AND NOT standstill THEN 8e-1 * e.v + 2e-1 * predicted_speed ELSE e.v END AS v1, CASE WHEN ready THEN e.h + (gyro_z - e.b) * dts ELSE e.h END AS h1
+                    FROM engine e JOIN sensed s ON s.drive_id = e.drive_id AND s.rn = e.rn + 1)))"""
+_DEVICE = ("predicted_speed", "state_speed", "state_heading", "state_x", "state_y", "gyro_bias", "sigma")
+
+
+@query("q41_device_replay", f" SELECT drive_id, rn, {', '.join(f'round({c} + 1e-9, 6) + 0 AS {c}' for c in _DEVICE)}, standstill, tunnel_alert FROM (SELECT s.drive_id, s.rn, predicted_speed, v AS state_speed, h AS state_heading, e.x AS state_x, e.y AS state_y, b AS gyro_bias, sigma, standstill, alert AS tunnel_alert FROM engine e JOIN sensed s USING (drive_id, rn))", "RECURSIVE " + _DEVICE_SQL)
+def _(spark, d):
+    out = device.replay(drive_view(spark, d).withColumn("dt", signals.step_dt()))
+    return out.select(*KEYS, *[r6(F.col(c) + 1e-9).alias(c) for c in _DEVICE], "standstill", "tunnel_alert")  # headings often end in 5 at the seventh place
 
 
 @query("q42_leave_one_driver_out")
