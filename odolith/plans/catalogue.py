@@ -145,15 +145,19 @@ def _(spark, d):
     return motion.naive(drive_view(spark, d)).select(*KEYS, *[r6(c) for c in ("naive_heading", "naive_velocity", "naive_pos_x", "naive_pos_y", "pos_error_m", "speed_error_mps")])
 
 
-def _metrics_sql(source: str, name: str, e: str) -> str:
+def _metrics_sql(source: str, *errors: tuple) -> str:
+    """CTEs to ``scored``; ``errors`` are (name, error) or (name, error, error at the outage's exit)."""
+    figures = [
+        f"""sqrt(avg({e} * {e})) AS {name}_rmse, max({e}) AS {name}_max, arg_max({e}, rn) AS {name}_final, coalesce(max({x[0] if x else e}) FILTER (in_outage), 0) AS {name}_outage_peak,
+            coalesce(arg_max({x[0] if x else e}, rn) FILTER (in_outage), 0) AS {name}_exit, coalesce(arg_min({e}, rn) FILTER (timestamp >= 395e-2 + 8e-1), arg_max({e}, rn)) AS {name}_settled"""
+        for name, e, *x in errors
+    ]
     return f"""
     flagged AS (SELECT *, timestamp >= 195e-2 AND timestamp < 395e-2 AS in_outage FROM {source}),
     steps AS (SELECT *, sqrt(pow(pos_x - lag(pos_x) {OVER}, 2) + pow(pos_y - lag(pos_y) {OVER}, 2)) AS st,
                      CASE WHEN in_outage THEN sqrt(pow(pos_x - lag(pos_x) OVER i, 2) + pow(pos_y - lag(pos_y) OVER i, 2)) END AS st_in FROM flagged WINDOW i AS (PARTITION BY drive_id, in_outage ORDER BY rn)),
-    m AS (SELECT drive_id, count(*) AS n, max(timestamp) - min(timestamp) AS duration, coalesce(sum(st), 0) AS distance, coalesce(sum(st_in), 0) AS outage_distance,
-                 sqrt(avg({e} * {e})) AS {name}_rmse, max({e}) AS {name}_max, arg_max({e}, rn) AS {name}_final, coalesce(max({e}) FILTER (in_outage), 0) AS {name}_outage_peak,
-                 coalesce(arg_max({e}, rn) FILTER (in_outage), 0) AS {name}_exit, coalesce(arg_min({e}, rn) FILTER (timestamp >= 395e-2 + 8e-1), arg_max({e}, rn)) AS {name}_settled FROM steps GROUP BY drive_id),
-    scored AS (SELECT *, 100 * {name}_final / (distance + 1e-5) AS {name}_drift_pct FROM m)"""
+    m AS (SELECT drive_id, count(*) AS n, max(timestamp) - min(timestamp) AS duration, coalesce(sum(st), 0) AS distance, coalesce(sum(st_in), 0) AS outage_distance, {", ".join(figures)} FROM steps GROUP BY drive_id),
+    scored AS (SELECT *, {", ".join(f"100 * {name}_final / (distance + 1e-5) AS {name}_drift_pct" for name, *_ in errors)} FROM m)"""
 
 
 def _naive_metrics(spark, d):
@@ -164,7 +168,7 @@ def _naive_metrics(spark, d):
 _FIGURES = ("duration", "distance", "outage_distance", "naive_rmse", "naive_max", "naive_final", "naive_outage_peak", "naive_exit", "naive_settled")
 
 
-@query("q10_naive_metrics", f" SELECT drive_id, n, {s6(*_FIGURES)}, round(naive_drift_pct, 4) AS naive_drift_pct FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q10_naive_metrics", f" SELECT drive_id, n, {s6(*_FIGURES)}, round(naive_drift_pct, 4) AS naive_drift_pct FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     return _naive_metrics(spark, d).select("drive_id", "n", *[r6(c) for c in _FIGURES], r6("naive_drift_pct", 4))
 
@@ -327,7 +331,7 @@ def _(spark, d):
     return metrics.target_audit(drive_view(spark, d)).select("drive_id", "n", *[r6(c) for c in _AUDIT], "n_jumps")
 
 
-@query("q25_across_drives", " SELECT count(*) AS num_drives, " + ", ".join(f"round(avg(round({c}, 2)), 5) AS {c}_mean, round(stddev_pop(round({c}, 2)), 5) AS {c}_std" for c in ("naive_rmse", "naive_exit", "naive_settled", "distance")) + " FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q25_across_drives", " SELECT count(*) AS num_drives, " + ", ".join(f"round(avg(round({c}, 2)), 5) AS {c}_mean, round(stddev_pop(round({c}, 2)), 5) AS {c}_std" for c in ("naive_rmse", "naive_exit", "naive_settled", "distance")) + " FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     out = metrics.across_drives(_naive_metrics(spark, d), ["naive_rmse", "naive_exit", "naive_settled", "distance"])
     return out.select("num_drives", *[r6(c, 5) for c in out.columns[1:]])
@@ -408,7 +412,7 @@ def _(spark, d):
     return models.perturb(models.perturb(drive_view(spark, d), "acc_bias"), "gyro_bias").select(*KEYS, r6("acc_x"), r6("acc_y"), r6("gyro_z"))
 
 
-@query("q35_top_drives", ", x AS (SELECT drive_id, naive_exit, row_number() OVER (ORDER BY round(naive_exit, 6) DESC, drive_id) AS place FROM scored) SELECT place, drive_id, round(naive_exit, 6) AS naive_exit FROM x WHERE place <= 15", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q35_top_drives", ", x AS (SELECT drive_id, naive_exit, row_number() OVER (ORDER BY round(naive_exit, 6) DESC, drive_id) AS place FROM scored) SELECT place, drive_id, round(naive_exit, 6) AS naive_exit FROM x WHERE place <= 15", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     top = _naive_metrics(spark, d).select("drive_id", r6("naive_exit")).orderBy(F.desc("naive_exit"), "drive_id").limit(15)
     return top.select(F.row_number().over(W.orderBy(F.desc("naive_exit"), "drive_id")).cast("long").alias("place"), "drive_id", "naive_exit")
@@ -426,9 +430,76 @@ def _fused(spark, d, params=ekf.FilterParams(), rule="context", first_dt=None) -
     return ekf.fuse(ekf.with_context(df, scale=0.0025), params, rule, first_dt)
 
 
-@query("q37_fused_trajectory")
-def _(spark, d):
-    return _fused(spark, d).select(*KEYS, "context_mode", "in_outage", *[r6(c) for c in (*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m")])
+def _matrix(f) -> str:
+    return "[" + ", ".join(f(i, j) for i in range(6) for j in range(6)) + "]"
+
+
+def _p(i: int, j: int) -> str:
+    return f"p[{6 * i + j + 1}]"
+
+
+def _measured_sql(states: list[int], gains: list[str], noise: list[str], innovation: list[str], cond: str) -> str:
+    """x and p after a measurement of ``states`` with the columns ``gains`` (lists of six), in Joseph form, where ``cond`` holds."""
+    m = lambda i, j: "(" + " - ".join([_p(i, j), *[f"{k}[{i + 1}] * {_p(s, j)}" for k, s in zip(gains, states, strict=True)]]) + ")"
+    new = lambda i, j: m(i, j) + "".join(f" - {m(i, s)} * {k}[{j + 1}] + {r} * {k}[{i + 1}] * {k}[{j + 1}]" for k, s, r in zip(gains, states, noise, strict=True))
+    x = ", ".join(f"x[{i + 1}]" + "".join(f" + {k}[{i + 1}] * ({y})" for k, y in zip(gains, innovation, strict=True)) for i in range(6))
+    return f"CASE WHEN {cond} THEN [{x}] ELSE x END AS x, CASE WHEN {cond} THEN {_matrix(new)} ELSE p END AS p"
+
+
+def _wrapped(a: str) -> str:
+    return f"({a} - 2 * pi() * floor(({a} + pi()) / (2 * pi())))"
+
+
+def _filter_sql() -> str:
+    """CTEs from ``ai`` to ``fused``: the six-state filter as a recursion over rows, all drives at once."""
+    turn = {(0, 0): "1e0", (1, 1): "1e0", (4, 4): "1e0", (5, 5): "1e0", (0, 2): "keep * sn * dts", (0, 3): "kl * cs * dts", (0, 4): "mv * north * dts", (0, 5): "-mv * north * dts * dts", (1, 2): "keep * cs * dts", (1, 3): "-kl * sn * dts", (1, 4): "-mv * east * dts", (1, 5): "mv * east * dts * dts", (2, 2): "keep", (3, 3): "kl", (4, 5): "-mv * dts"}
+    dot = lambda terms: " + ".join(terms) or "0e0"
+    q = ["25e-4", "25e-4", "CASE WHEN aggressive THEN 2e-1 ELSE 12e-2 END + 15e-1 * ai_speed_std * ai_speed_std", "25e-4", "9e-6", "CASE WHEN tunnel THEN 1e-14 ELSE 1e-12 END"]
+    nhc = "CASE WHEN aggressive THEN 625e-4 ELSE 25e-4 END"
+    column = lambda f, rows: "[" + ", ".join(f(i) if i in rows else "0e0" for i in range(6)) + "]"
+    s = lambda i, j: f"s[{3 * i + j + 1}]"
+    cof = lambda i, j: f"({s((i + 1) % 3, (j + 1) % 3)} * {s((i + 2) % 3, (j + 2) % 3)} - {s((i + 1) % 3, (j + 2) % 3)} * {s((i + 2) % 3, (j + 1) % 3)})"
+    gps = lambda j: column(lambda i: "(" + " + ".join(f"{_p(i, k)} * {cof(j, k)}" for k in range(3)) + ") / det", {0, 1, 2, 3})
+    two = [column(lambda i: f"({_p(i, 2)} * ({_p(3, 3)} + 16e-4) - {_p(i, 3)} * {_p(3, 2)}) / det", {2, 3}), column(lambda i: f"({_p(i, 3)} * ({_p(2, 2)} + 16e-4) - {_p(i, 2)} * {_p(2, 3)}) / det", {2, 3})]
+    keep = "* EXCLUDE (x, p)"
+    return f"""
+    seen AS (SELECT *, timestamp >= 195e-2 AND timestamp < 395e-2 AS in_outage, first_value(driver_id) {RUN} = 'E' AS aggressive, (var_pop(acc_x) OVER w + var_pop(acc_y) OVER w) * 25e-4 AS acc_var FROM ai WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+    moded AS (SELECT *, CASE WHEN acc_var < 18e-3 AND abs(gyro_z) < 1e-2 AND least(ai_speed, speed) < 5e-1 THEN 'STANDSTILL' WHEN ambient_lux < 100 AND least(ai_speed, speed) > 4 THEN 'PREDICTIVE_TUNNEL_BLACKOUT' WHEN least(ai_speed, speed) > 18 THEN 'HIGHWAY_CRUISING' ELSE 'NORMAL_URBAN' END AS context_mode FROM seen),
+    rows_in AS (SELECT drive_id, rn, dts, ai_speed, ai_speed_std, gyro_z, pos_x, pos_y, speed, heading, in_outage, aggressive, context_mode = 'STANDSTILL' AS still, context_mode = 'PREDICTIVE_TUNNEL_BLACKOUT' AS tunnel FROM moded),
+    ekf(drive_id, rn, x, p, ox, oy) AS (
+        SELECT drive_id, CAST(0 AS BIGINT), [pos_x, pos_y, speed, 0e0, heading, 0e0], [{", ".join(v if i == j else "0e0" for i, v in enumerate(("4e0", "4e0", "1e0", "25e-2", "5e-2", "1e-4")) for j in range(6))}], 0e0, 0e0 FROM rows_in WHERE rn = 1
+        UNION ALL
+        SELECT drive_id, rn, CASE WHEN in_outage THEN x ELSE list_concat(x[1:4], [{_wrapped("x[5]")}, x[6]]) END, p, ox, oy FROM (
+        SELECT {keep}, {_measured_sql([4], ["kh"], ["rh"], [_wrapped("heading - x[5]")], "NOT in_outage")} FROM (
+        SELECT *, {column(lambda i: f"{_p(i, 4)} / ({_p(4, 4)} + rh)", {4, 5})} AS kh FROM (
+        SELECT {keep}, 144e-4 * (1 + pow(15e-1 / greatest(speed, 2e-1), 2)) AS rh, {_measured_sql([0, 1, 2], ["g0", "g1", "g2"], ["4e0", "4e0", "16e-2"], ["pos_x - x[1]", "pos_y - x[2]", "speed - x[3]"], "NOT in_outage")} FROM (
+        SELECT *, {gps(0)} AS g0, {gps(1)} AS g1, {gps(2)} AS g2 FROM (
+        SELECT *, {s(0, 0)} * {cof(0, 0)} + {s(0, 1)} * {cof(0, 1)} + {s(0, 2)} * {cof(0, 2)} AS det FROM (
+        SELECT * EXCLUDE (det), x[1] AS ox, x[2] AS oy, [{", ".join(_p(i, j) + (" + " + ("4e0", "4e0", "16e-2")[i] if i == j else "") for i in range(3) for j in range(3))}] AS s FROM (
+        SELECT {keep}, {_measured_sql([2, 3], ["z0", "z1"], ["16e-4", "16e-4"], ["-x[3]", "-x[4]"], "still")} FROM (
+        SELECT *, {two[0]} AS z0, {two[1]} AS z1 FROM (
+        SELECT *, ({_p(2, 2)} + 16e-4) * ({_p(3, 3)} + 16e-4) - {_p(2, 3)} * {_p(3, 2)} AS det FROM (
+        SELECT {keep}, {_measured_sql([3], ["kn"], [nhc], ["-x[4]"], "true")} FROM (
+        SELECT *, {column(lambda i: f"{_p(i, 3)} / ({_p(3, 3)} + {nhc})", {0, 1, 2, 3, 4})} AS kn FROM (
+        SELECT {keep}, [x[1] + east * dts, x[2] + north * dts, v, lat, h, x[6]] AS x, {_matrix(lambda i, j: dot([f"fp[{6 * i + k + 1}] * ({turn[j, k]})" for k in range(6) if (j, k) in turn]) + (f" + {q[i]}" if i == j else ""))} AS p FROM (
+        SELECT *, {_matrix(lambda i, j: dot([f"({turn[i, k]}) * {_p(k, j)}" for k in range(6) if (i, k) in turn]))} AS fp FROM (
+        SELECT *, v * sn + lat * cs AS east, v * cs - lat * sn AS north FROM (
+        SELECT *, sin(h) AS sn, cos(h) AS cs FROM (
+        SELECT *, CASE WHEN still THEN 0e0 ELSE 1e0 END AS mv, keep * x[3] + a * ai_speed AS v, kl * x[4] AS lat, CASE WHEN still THEN x[5] ELSE {_wrapped("(x[5] + (gyro_z - x[6]) * dts)")} END AS h FROM (
+        SELECT *, CASE WHEN still THEN 0e0 ELSE 1 - a END AS keep FROM (
+        SELECT r.*, e.x, e.p, CASE WHEN still THEN 0e0 ELSE 9e-1 END AS kl, CASE WHEN still THEN 0e0 ELSE 25e-2 / (1 + 15e-1 * greatest(ai_speed_std, 0)) END AS a FROM ekf e JOIN rows_in r ON r.drive_id = e.drive_id AND r.rn = e.rn + 1
+        ))))))))))))))))))),
+    fused AS (SELECT d.*, x[1] AS fused_pos_x, x[2] AS fused_pos_y, x[3] AS fused_velocity, x[4] AS fused_lat_velocity, x[5] AS fused_heading, x[6] AS fused_gyro_bias, ox AS open_loop_pos_x, oy AS open_loop_pos_y,
+                     sqrt(pow(x[1] - pos_x, 2) + pow(x[2] - pos_y, 2)) AS fused_pos_error_m, sqrt(pow(ox - pos_x, 2) + pow(oy - pos_y, 2)) AS open_loop_error_m FROM moded d JOIN ekf USING (drive_id, rn))"""
+
+
+FUSED_SQL = f"RECURSIVE {AI_SQL},{_filter_sql()}"
+_FUSED = (*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m")
+
+
+@query("q37_fused_trajectory", f" SELECT drive_id, rn, context_mode, in_outage, {', '.join(f'round({c} + 1e-9, 6) + 0 AS {c}' for c in _FUSED)} FROM fused", FUSED_SQL)
+def _(spark, d):
+    return _fused(spark, d).select(*KEYS, "context_mode", "in_outage", *[r6(F.col(c) + 1e-9).alias(c) for c in _FUSED])
 
 
 _FREE = {"nhc": False, "zupt": False}
@@ -572,9 +643,13 @@ def _(spark, d):
     return f.select(*KEYS, *[r6(c) if c in plain else r6(F.col(c) + 1e-9).alias(c) for c in f.columns if c not in KEYS and not c.endswith("_zcr")])
 
 
-@query("q45_fused_metrics")
+_BOTH = [f"{k}_{c}" for k in ("ai", "fused") for c in ("rmse", "max", "final", "outage_peak", "exit", "settled")]
+
+
+@query("q45_fused_metrics", f" SELECT drive_id, n, {s6('duration', 'distance', 'outage_distance', *_BOTH)}, round(ai_drift_pct, 4) AS ai_drift_pct, round(fused_drift_pct, 4) AS fused_drift_pct FROM scored", FUSED_SQL + "," + _metrics_sql("(SELECT * EXCLUDE (in_outage) FROM fused)", ("ai", "ai_pos_error_m"), ("fused", "fused_pos_error_m", "open_loop_error_m")))
 def _(spark, d):
-    return metrics.drive_metrics(_fused(spark, d), {"ai": ("ai_pos_error_m", "ai_pos_error_m"), "fused": ("fused_pos_error_m", "open_loop_error_m")}, SETTLE)
+    m = metrics.drive_metrics(_fused(spark, d), {"ai": ("ai_pos_error_m", "ai_pos_error_m"), "fused": ("fused_pos_error_m", "open_loop_error_m")}, SETTLE)
+    return m.select("drive_id", "n", *[r6(c) for c in ("duration", "distance", "outage_distance", *_BOTH)], r6("ai_drift_pct", 4), r6("fused_drift_pct", 4))
 
 
 def _model(spark, d) -> tuple[models.SpeedModel, DataFrame]:
@@ -602,7 +677,7 @@ def _(spark, d):
     return df.select(*KEYS, r6(lo).alias("lo"), r6(hi).alias("hi"), ((F.col("timestamp") >= OUT_START) & (F.col("timestamp") <= OUT_END)).alias("shaded"))
 
 
-@query("q49_driver_extremes", ", who AS (SELECT drive_id, arg_min(driver_id, rn) AS driver_id FROM drives GROUP BY drive_id) SELECT count(*) AS num_drives, round(min(naive_exit), 6) AS naive_exit_min, round(max(naive_exit), 6) AS naive_exit_max, round(min(naive_max), 6) AS naive_max_min, round(max(naive_max), 6) AS naive_max_max FROM scored JOIN who USING (drive_id) WHERE driver_id = 'E'", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q49_driver_extremes", ", who AS (SELECT drive_id, arg_min(driver_id, rn) AS driver_id FROM drives GROUP BY drive_id) SELECT count(*) AS num_drives, round(min(naive_exit), 6) AS naive_exit_min, round(max(naive_exit), 6) AS naive_exit_max, round(min(naive_max), 6) AS naive_max_min, round(max(naive_max), 6) AS naive_max_max FROM scored JOIN who USING (drive_id) WHERE driver_id = 'E'", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
     out = metrics.extremes(_naive_metrics(spark, d).join(who, "drive_id"), "E", ["naive_exit", "naive_max"])
@@ -617,12 +692,12 @@ def _(spark, d):
 _DOC = [("n", "n"), *[(c, f"CAST(round({c}, 4) AS DECIMAL(30, 4))") for c in (*_FIGURES, "naive_drift_pct")]]
 
 
-@query("q51_metric_documents", " SELECT drive_id, '{' || " + " || ',' || ".join(f"'\"{c}\":' || {x}" for c, x in _DOC) + " || '}' AS document FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q51_metric_documents", " SELECT drive_id, '{' || " + " || ',' || ".join(f"'\"{c}\":' || {x}" for c, x in _DOC) + " || '}' AS document FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     return report.metric_documents(_naive_metrics(spark, d).select("drive_id", "n", *[r6(c, 4) for c in (*_FIGURES, "naive_drift_pct")]), 4)
 
 
-@query("q52_error_reduction", " SELECT drive_id, round(100 * (naive_exit - naive_settled) / (naive_exit + 1e-5), 4) AS reduction_pct FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q52_error_reduction", " SELECT drive_id, round(100 * (naive_exit - naive_settled) / (naive_exit + 1e-5), 4) AS reduction_pct FROM scored", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     return _naive_metrics(spark, d).select("drive_id", r6(metrics.improvement("naive_exit", "naive_settled"), 4).alias("reduction_pct"))
 
@@ -696,7 +771,7 @@ def _(spark, d):
     return o.groupBy("drive_id", r6("out_end").alias("out_end")).agg(F.count_if("in_outage").alias("n_inside"))
 
 
-@query("q61_report_breakdown", ", who AS (SELECT drive_id, arg_min(driver_id, rn) AS driver_id FROM drives GROUP BY drive_id) SELECT drive_id, CASE driver_id WHEN 'E' THEN 'Driver E (Aggressive)' WHEN 'B' THEN 'Driver B (Highway)' WHEN 'D' THEN 'Driver D (Urban)' ELSE 'Driver A (Normal)' END AS profile, driver_id, round(distance, 6) AS distance_m, round(naive_drift_pct, 4) AS naive_drift_pct, round(naive_exit, 6) AS naive_exit_m FROM scored JOIN who USING (drive_id)", NAIVE_SQL + "," + _metrics_sql("naive", "naive", "pos_error_m"))
+@query("q61_report_breakdown", ", who AS (SELECT drive_id, arg_min(driver_id, rn) AS driver_id FROM drives GROUP BY drive_id) SELECT drive_id, CASE driver_id WHEN 'E' THEN 'Driver E (Aggressive)' WHEN 'B' THEN 'Driver B (Highway)' WHEN 'D' THEN 'Driver D (Urban)' ELSE 'Driver A (Normal)' END AS profile, driver_id, round(distance, 6) AS distance_m, round(naive_drift_pct, 4) AS naive_drift_pct, round(naive_exit, 6) AS naive_exit_m FROM scored JOIN who USING (drive_id)", NAIVE_SQL + "," + _metrics_sql("naive", ("naive", "pos_error_m")))
 def _(spark, d):
     who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
     b = report.breakdown(_naive_metrics(spark, d).join(who, "drive_id"))
