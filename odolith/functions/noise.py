@@ -28,6 +28,21 @@ def radius(sigma: Column) -> Column:
     return F.greatest(4 * sigma, F.lit(1.5))
 
 
+def gauge(v: Column) -> Column:
+    """How full a gauge up to 120 km/h is, in per cent, at v m/s."""
+    return F.least(v * 3.6 / 120.0 * 100, F.lit(100.0))
+
+
+def countdown(t: Column, end: Column) -> Column:
+    """Seconds left of an outage."""
+    return F.greatest(end - t, F.lit(0.0))
+
+
+def gain_shown(naive: Column, fused: Column) -> Column:
+    """How much of the naive error is gone, in per cent and not below 0; null where it is too small to compare."""
+    return F.when(naive > 0.1, F.greatest((naive - fused) / naive * 100, F.lit(0.0)))
+
+
 def clock(t: Column) -> Column:
     """Seconds as mm:ss."""
     return F.format_string("%02d:%02d", F.floor(t / 60).cast("int"), F.floor(t % 60).cast("int"))

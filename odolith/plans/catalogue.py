@@ -370,7 +370,7 @@ def _(spark, d):
 
 
 @query("q30_dashboard_frames", f""", k AS (SELECT * FROM naive WHERE (rn - 1) % 2 = 0), s AS (SELECT *, coalesce(sqrt(pow(pos_x - lag(pos_x) {OVER}, 2) + pow(pos_y - lag(pos_y) {OVER}, 2)), 0) AS st FROM k)
-    SELECT drive_id, rn, round(timestamp, 2) AS t, round(52.4068e0 + degrees(pos_y / 6371000), 6) AS gt_lat, round(-1.5197e0 + degrees(pos_x / (6371000 * cos(radians(52.4068e0)))), 6) AS gt_lon, round(speed / pi(), 2) AS gt_v, round(heading, 3) AS gt_h,
+    SELECT drive_id, rn, round(timestamp, 2) AS t, round(52.4068e0 + degrees(pos_y / 6371000), 6) AS gt_lat, round(-1.5197e0 + degrees(pos_x / (6371000 * cos(radians(52.4068e0)))), 6) AS gt_lon, round(speed / pi(), 2) AS gt_v, round(heading, 3) + 0 AS gt_h,
            round(52.4068e0 + degrees(naive_pos_y / 6371000), 6) AS naive_lat, round(-1.5197e0 + degrees(naive_pos_x / (6371000 * cos(radians(52.4068e0)))), 6) AS naive_lon, round(pos_error_m, 2) AS naive_err, timestamp >= 195e-2 AND timestamp < 395e-2 AS is_blackout, round(sum(st) {RUN}, 1) AS cum_dist_m FROM s""", NAIVE_SQL)
 def _(spark, d):
     """With speeds over pi, as plain ones end in so few digits that rounding ties are common, on which engines differ."""
@@ -390,13 +390,13 @@ def _(spark, d):
     return v.select(*KEYS, "standstill", *[r6(c) for c in _RULES])
 
 
-@query("q32_noise_terms", f""" SELECT event_id, round(25e-2 / (1 + 15e-1 * greatest(s, 0)), 6) AS blend, round(12e-2 + 15e-1 * s * s, 6) AS q_vel, round(12e-2 * 12e-2 * (1 + pow(15e-1 / greatest(v, 2e-1), 2)), 6) AS r_heading, round(greatest(v - 2 * s, 0), 6) AS lo, round(v + 2 * s, 6) AS hi, round(greatest(4 * s, 15e-1), 6) AS radius,
+@query("q32_noise_terms", f""" SELECT event_id, round(25e-2 / (1 + 15e-1 * greatest(s, 0)), 6) AS blend, round(12e-2 + 15e-1 * s * s, 6) AS q_vel, round(12e-2 * 12e-2 * (1 + pow(15e-1 / greatest(v, 2e-1), 2)), 6) AS r_heading, round(greatest(v - 2 * s, 0), 6) AS lo, round(v + 2 * s, 6) AS hi, round(greatest(4 * s, 15e-1), 6) AS radius, round(least(v * 36e-1 / 120 * 100, 100), 6) AS gauge, round(greatest(60 - value, 0), 6) AS countdown, round(CASE WHEN v > 1e-1 THEN greatest((v - s) / v * 100, 0) END, 6) AS gain,
     printf('%02d:%02d', CAST(floor(value / 60) AS INTEGER), CAST(floor(value % 60) AS INTEGER)) AS clock FROM x""", "x AS (SELECT event_id, value, value / 10 AS v, value / 97 AS s FROM events)")
 def _(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value", (F.col("value") / 10).alias("v"), (F.col("value") / 97).alias("s"))
     v, s = F.col("v"), F.col("s")
     lo, hi = noise.band(v, s)
-    return x.select("event_id", r6(noise.blend(s)).alias("blend"), r6(noise.velocity_noise(s)).alias("q_vel"), r6(noise.heading_noise(v)).alias("r_heading"), r6(lo).alias("lo"), r6(hi).alias("hi"), r6(noise.radius(s)).alias("radius"), noise.clock(F.col("value")).alias("clock"))
+    return x.select("event_id", r6(noise.blend(s)).alias("blend"), r6(noise.velocity_noise(s)).alias("q_vel"), r6(noise.heading_noise(v)).alias("r_heading"), r6(lo).alias("lo"), r6(hi).alias("hi"), r6(noise.radius(s)).alias("radius"), r6(noise.gauge(v)).alias("gauge"), r6(noise.countdown(F.col("value"), F.lit(60.0))).alias("countdown"), r6(noise.gain_shown(v, s)).alias("gain"), noise.clock(F.col("value")).alias("clock"))
 
 
 _PATHS = "'/data/' || CASE p_size % 6 WHEN 0 THEN 'Driver A/x' WHEN 1 THEN 'S-M' WHEN 2 THEN 'S-Y1' WHEN 3 THEN 'Vta3' WHEN 4 THEN 'S-S2' ELSE 'other' END || '.csv'"
@@ -786,3 +786,18 @@ def _(spark, d):
     v = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.row_number().over(u).alias("rn"), F.collect_list((F.col("event_id") % 4).cast("double")).over(u.rowsBetween(-(SIZE - 1), 0)).alias("k")).where(F.col("rn") >= SIZE)
     v = v.withColumn("m", features.mean(F.col("k"), SIZE)).withColumn("c", features.centred(F.col("k"), F.col("m"))).withColumn("z", F.array_sort("k")).withColumn("q", features.quantile(F.col("z"), SIZE, 0.5))
     return v.select("user_id", "event_id", features.enhanced_stats(F.col("c"), F.col("z"), F.col("q"), F.lit(1.0), SIZE)["zcr"].alias("zcr"))
+
+
+_WAYS = ("timestamp", "pos_x", "pos_y", "ai_pos_x", "ai_pos_y", "fused_pos_x", "fused_pos_y", "ai_pos_error_m", "fused_pos_error_m")
+
+
+@query("q63_three_way_paths", f" SELECT drive_id, rn, {', '.join(f'round({c} + 1e-9, 6) + 0 AS {c}' for c in _WAYS)}, timestamp >= 195e-2 AND timestamp <= 395e-2 AS shaded FROM fused", FUSED_SQL)
+def _(spark, d):
+    w = report.three_way(_fused(spark, d), OUT_START, OUT_END)
+    return w.select(*KEYS, *[r6(F.col(c) + 1e-9).alias(c) for c in _WAYS], "shaded")
+
+
+@query("q64_naive_baseline", f" SELECT drive_id, rn, {', '.join(f'round({c} + 1e-9, 6) + 0 AS {c}' for c in ('timestamp', 'pos_x', 'pos_y', 'naive_pos_x', 'naive_pos_y', 'speed', 'naive_velocity', 'pos_error_m'))} FROM naive", NAIVE_SQL)
+def _(spark, d):
+    b = report.baseline(motion.naive(drive_view(spark, d)))
+    return b.select(*KEYS, *[r6(F.col(c) + 1e-9).alias(c) for c in b.columns if c not in KEYS])

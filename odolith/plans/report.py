@@ -29,6 +29,17 @@ def frames(df: DataFrame, lat0: float, lon0: float, every: int = 2) -> DataFrame
     return d.select(*cols, F.round("way_", 1).alias("cum_dist_m"))
 
 
+def baseline(df: DataFrame) -> DataFrame:
+    """What a figure of the naive trajectory plots: both paths, both speeds and the error over time."""
+    return df.select("drive_id", "rn", "timestamp", "pos_x", "pos_y", "naive_pos_x", "naive_pos_y", "speed", "naive_velocity", "pos_error_m")
+
+
+def three_way(df: DataFrame, start: float, end: float) -> DataFrame:
+    """What a figure of truth, model and fused paths plots; ``shaded`` marks the outage with its end."""
+    shaded = (F.col("timestamp") >= start) & (F.col("timestamp") <= end)
+    return df.select("drive_id", "rn", "timestamp", "pos_x", "pos_y", "ai_pos_x", "ai_pos_y", "fused_pos_x", "fused_pos_y", "ai_pos_error_m", "fused_pos_error_m", shaded.alias("shaded"))
+
+
 def write_frames(df: DataFrame, path: str) -> None:
     """JSON lines, one folder to a drive."""
     df.write.mode("overwrite").partitionBy("drive_id").json(path)

@@ -180,6 +180,18 @@ def read_log(spark: SparkSession, path: str, min_bytes: int = 1000) -> DataFrame
     return out.drop("path_", "size_", "block_", "line_")
 
 
+# fixed values: logs, what is put behind their names, the side they are on, and the rows before the slice
+SUITE = [
+    ("S-S1", "", "train", 0), ("S-S2", "", "train", 0), ("S-M", "_train", "train", 10000), ("S-Y1", "_train", "train", 10000), ("S-Vfa01", "", "train", 0), ("S-Vta1a", "", "train", 0),
+    ("S-S3a", "", "test", 0), ("S-S3b", "", "test", 0), ("S-M", "", "test", 0), ("S-Y1", "", "test", 0), ("S-Vfa02", "", "test", 0), ("S-Vta1b", "", "test", 0),
+]
+
+
+def suite(spark: SparkSession, max_rows: int = 3000) -> DataFrame:
+    """The manifest of the benchmark's twelve slices of ten logs, for ``slices``."""
+    return spark.createDataFrame([(*x, max_rows) for x in SUITE], "drive_id string, suffix string, split string, offset long, max_rows long")
+
+
 def slices(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     """Row ranges of drives: ``manifest`` (drive_id, suffix, split, offset, max_rows), a fixed list of files, joined to the rows it names."""
     m = F.broadcast(manifest.select(F.col("drive_id").alias("file_"), "suffix", "split", "offset", "max_rows"))

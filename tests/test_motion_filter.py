@@ -156,6 +156,14 @@ def test_slices_of_a_manifest(spark):
     assert got == [("f_test", "test", i) for i in (1, 2, 3)] + [("f_train", "train", i) for i in range(1, 6)]
 
 
+def test_suite_has_twelve_slices_of_ten_logs(spark):
+    m = drives.suite(spark)
+    assert m.count() == 12 and m.select("drive_id").distinct().count() == 10 and m.where("split = 'train'").count() == 6
+    raw = spark.range(1, 12_001).select(F.lit("S-M").alias("drive_id"), F.col("id").alias("rn"))
+    got = {r[0]: r[1:] for r in drives.slices(raw, m).groupBy("drive_id").agg(F.min("rn"), F.max("rn")).collect()}
+    assert got == {"S-M": (1, 3000), "S-M_train": (1, 2000)}
+
+
 def test_leakage_gate_raises(spark):
     a = spark.createDataFrame([(1, "A", 1.0)], "drive_id long, driver_id string, y double")
     b = spark.createDataFrame([(2, "B", 1.0)], "drive_id long, driver_id string, y double")
