@@ -450,8 +450,10 @@ def _wrapped(a: str) -> str:
     return f"({a} - 2 * pi() * floor(({a} + pi()) / (2 * pi())))"
 
 
-def _filter_sql() -> str:
-    """CTEs from ``ai`` to ``fused``: the six-state filter as a recursion over rows, all drives at once."""
+def _filter_sql(name: str = "", params: ekf.FilterParams = ekf.FilterParams(), rule: str = "context") -> str:
+    """CTEs from ``moded`` to ``fused<name>``: the six-state filter as a recursion over rows, all drives at once."""
+    still, tunnel, dts = ("context_mode = 'STANDSTILL'", "context_mode = 'PREDICTIVE_TUNNEL_BLACKOUT'", "dts") if rule == "context" else (f"{str(params.zupt).lower()} AND abs(sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) - 981e-2) < 25e-2 AND abs(gyro_z) < 5e-2 AND ai_speed < 4e-1", "false", f"coalesce(timestamp - lag(timestamp) {OVER}, 1e-1)")
+    sigma = "ai_speed_std" if params.sigma is None else f"CAST({params.sigma!r} AS DOUBLE)"
     turn = {(0, 0): "1e0", (1, 1): "1e0", (4, 4): "1e0", (5, 5): "1e0", (0, 2): "keep * sn * dts", (0, 3): "kl * cs * dts", (0, 4): "mv * north * dts", (0, 5): "-mv * north * dts * dts", (1, 2): "keep * cs * dts", (1, 3): "-kl * sn * dts", (1, 4): "-mv * east * dts", (1, 5): "mv * east * dts * dts", (2, 2): "keep", (3, 3): "kl", (4, 5): "-mv * dts"}
     dot = lambda terms: " + ".join(terms) or "0e0"
     q = ["25e-4", "25e-4", "CASE WHEN aggressive THEN 2e-1 ELSE 12e-2 END + 15e-1 * ai_speed_std * ai_speed_std", "25e-4", "9e-6", "CASE WHEN tunnel THEN 1e-14 ELSE 1e-12 END"]
@@ -463,11 +465,9 @@ def _filter_sql() -> str:
     two = [column(lambda i: f"({_p(i, 2)} * ({_p(3, 3)} + 16e-4) - {_p(i, 3)} * {_p(3, 2)}) / det", {2, 3}), column(lambda i: f"({_p(i, 3)} * ({_p(2, 2)} + 16e-4) - {_p(i, 2)} * {_p(2, 3)}) / det", {2, 3})]
     keep = "* EXCLUDE (x, p)"
     return f"""
-    seen AS (SELECT *, timestamp >= 195e-2 AND timestamp < 395e-2 AS in_outage, first_value(driver_id) {RUN} = 'E' AS aggressive, (var_pop(acc_x) OVER w + var_pop(acc_y) OVER w) * 25e-4 AS acc_var FROM ai WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
-    moded AS (SELECT *, CASE WHEN acc_var < 18e-3 AND abs(gyro_z) < 1e-2 AND least(ai_speed, speed) < 5e-1 THEN 'STANDSTILL' WHEN ambient_lux < 100 AND least(ai_speed, speed) > 4 THEN 'PREDICTIVE_TUNNEL_BLACKOUT' WHEN least(ai_speed, speed) > 18 THEN 'HIGHWAY_CRUISING' ELSE 'NORMAL_URBAN' END AS context_mode FROM seen),
-    rows_in AS (SELECT drive_id, rn, dts, ai_speed, ai_speed_std, gyro_z, pos_x, pos_y, speed, heading, in_outage, aggressive, context_mode = 'STANDSTILL' AS still, context_mode = 'PREDICTIVE_TUNNEL_BLACKOUT' AS tunnel FROM moded),
-    ekf(drive_id, rn, x, p, ox, oy) AS (
-        SELECT drive_id, CAST(0 AS BIGINT), [pos_x, pos_y, speed, 0e0, heading, 0e0], [{", ".join(v if i == j else "0e0" for i, v in enumerate(("4e0", "4e0", "1e0", "25e-2", "5e-2", "1e-4")) for j in range(6))}], 0e0, 0e0 FROM rows_in WHERE rn = 1
+    rows_in{name} AS (SELECT drive_id, rn, {dts} AS dts, ai_speed, {sigma} AS ai_speed_std, gyro_z, pos_x, pos_y, speed, heading, in_outage, aggressive, {still} AS still, {tunnel} AS tunnel FROM moded),
+    ekf{name}(drive_id, rn, x, p, ox, oy) AS (
+        SELECT drive_id, CAST(0 AS BIGINT), [pos_x, pos_y, speed, 0e0, heading, 0e0], [{", ".join(v if i == j else "0e0" for i, v in enumerate(("4e0", "4e0", "1e0", "25e-2", "5e-2", "1e-4")) for j in range(6))}], 0e0, 0e0 FROM rows_in{name} WHERE rn = 1
         UNION ALL
         SELECT drive_id, rn, CASE WHEN in_outage THEN x ELSE list_concat(x[1:4], [{_wrapped("x[5]")}, x[6]]) END, p, ox, oy FROM (
         SELECT {keep}, {_measured_sql([4], ["kh"], ["rh"], [_wrapped("heading - x[5]")], "NOT in_outage")} FROM (
@@ -476,10 +476,10 @@ def _filter_sql() -> str:
         SELECT *, {gps(0)} AS g0, {gps(1)} AS g1, {gps(2)} AS g2 FROM (
         SELECT *, {s(0, 0)} * {cof(0, 0)} + {s(0, 1)} * {cof(0, 1)} + {s(0, 2)} * {cof(0, 2)} AS det FROM (
         SELECT * EXCLUDE (det), x[1] AS ox, x[2] AS oy, [{", ".join(_p(i, j) + (" + " + ("4e0", "4e0", "16e-2")[i] if i == j else "") for i in range(3) for j in range(3))}] AS s FROM (
-        SELECT {keep}, {_measured_sql([2, 3], ["z0", "z1"], ["16e-4", "16e-4"], ["-x[3]", "-x[4]"], "still")} FROM (
+        SELECT {keep}, {_measured_sql([2, 3], ["z0", "z1"], ["16e-4", "16e-4"], ["-x[3]", "-x[4]"], "still" if params.zupt else "false")} FROM (
         SELECT *, {two[0]} AS z0, {two[1]} AS z1 FROM (
         SELECT *, ({_p(2, 2)} + 16e-4) * ({_p(3, 3)} + 16e-4) - {_p(2, 3)} * {_p(3, 2)} AS det FROM (
-        SELECT {keep}, {_measured_sql([3], ["kn"], [nhc], ["-x[4]"], "true")} FROM (
+        SELECT {keep}, {_measured_sql([3], ["kn"], [nhc], ["-x[4]"], str(params.nhc).lower())} FROM (
         SELECT *, {column(lambda i: f"{_p(i, 3)} / ({_p(3, 3)} + {nhc})", {0, 1, 2, 3, 4})} AS kn FROM (
         SELECT {keep}, [x[1] + east * dts, x[2] + north * dts, v, lat, h, x[6]] AS x, {_matrix(lambda i, j: dot([f"fp[{6 * i + k + 1}] * ({turn[j, k]})" for k in range(6) if (j, k) in turn]) + (f" + {q[i]}" if i == j else ""))} AS p FROM (
         SELECT *, {_matrix(lambda i, j: dot([f"({turn[i, k]}) * {_p(k, j)}" for k in range(6) if (i, k) in turn]))} AS fp FROM (
@@ -487,13 +487,16 @@ def _filter_sql() -> str:
         SELECT *, sin(h) AS sn, cos(h) AS cs FROM (
         SELECT *, CASE WHEN still THEN 0e0 ELSE 1e0 END AS mv, keep * x[3] + a * ai_speed AS v, kl * x[4] AS lat, CASE WHEN still THEN x[5] ELSE {_wrapped("(x[5] + (gyro_z - x[6]) * dts)")} END AS h FROM (
         SELECT *, CASE WHEN still THEN 0e0 ELSE 1 - a END AS keep FROM (
-        SELECT r.*, e.x, e.p, CASE WHEN still THEN 0e0 ELSE 9e-1 END AS kl, CASE WHEN still THEN 0e0 ELSE 25e-2 / (1 + 15e-1 * greatest(ai_speed_std, 0)) END AS a FROM ekf e JOIN rows_in r ON r.drive_id = e.drive_id AND r.rn = e.rn + 1
+        SELECT r.*, e.x, e.p, CASE WHEN still THEN 0e0 ELSE 9e-1 END AS kl, CASE WHEN still THEN 0e0 ELSE 25e-2 / (1 + 15e-1 * greatest(ai_speed_std, 0)) END AS a FROM ekf{name} e JOIN rows_in{name} r ON r.drive_id = e.drive_id AND r.rn = e.rn + 1
         ))))))))))))))))))),
-    fused AS (SELECT d.*, x[1] AS fused_pos_x, x[2] AS fused_pos_y, x[3] AS fused_velocity, x[4] AS fused_lat_velocity, x[5] AS fused_heading, x[6] AS fused_gyro_bias, ox AS open_loop_pos_x, oy AS open_loop_pos_y,
-                     sqrt(pow(x[1] - pos_x, 2) + pow(x[2] - pos_y, 2)) AS fused_pos_error_m, sqrt(pow(ox - pos_x, 2) + pow(oy - pos_y, 2)) AS open_loop_error_m FROM moded d JOIN ekf USING (drive_id, rn))"""
+    fused{name} AS (SELECT d.*, x[1] AS fused_pos_x, x[2] AS fused_pos_y, x[3] AS fused_velocity, x[4] AS fused_lat_velocity, x[5] AS fused_heading, x[6] AS fused_gyro_bias, ox AS open_loop_pos_x, oy AS open_loop_pos_y,
+                     sqrt(pow(x[1] - pos_x, 2) + pow(x[2] - pos_y, 2)) AS fused_pos_error_m, sqrt(pow(ox - pos_x, 2) + pow(oy - pos_y, 2)) AS open_loop_error_m FROM moded d JOIN ekf{name} USING (drive_id, rn))"""
 
 
-FUSED_SQL = f"RECURSIVE {AI_SQL},{_filter_sql()}"
+_MODED_SQL = f"""RECURSIVE {AI_SQL},
+    seen AS (SELECT *, timestamp >= 195e-2 AND timestamp < 395e-2 AS in_outage, first_value(driver_id) {RUN} = 'E' AS aggressive, (var_pop(acc_x) OVER w + var_pop(acc_y) OVER w) * 25e-4 AS acc_var FROM ai WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+    moded AS (SELECT *, CASE WHEN acc_var < 18e-3 AND abs(gyro_z) < 1e-2 AND least(ai_speed, speed) < 5e-1 THEN 'STANDSTILL' WHEN ambient_lux < 100 AND least(ai_speed, speed) > 4 THEN 'PREDICTIVE_TUNNEL_BLACKOUT' WHEN least(ai_speed, speed) > 18 THEN 'HIGHWAY_CRUISING' ELSE 'NORMAL_URBAN' END AS context_mode FROM seen)"""
+FUSED_SQL = f"{_MODED_SQL},{_filter_sql()}"
 _FUSED = (*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m")
 
 
@@ -519,12 +522,22 @@ def _per_variant(df: DataFrame, variants: list[ekf.Variant]) -> DataFrame:
     return metrics.drive_metrics(ekf.fuse_variants(df, variants), {v.name: (f"{v.name}_pos_error_m", f"{v.name}_open_loop_error_m") for v in variants}, SETTLE)
 
 
-@query("q38_filter_variants")
+def _variants_sql() -> str:
+    """The metrics of all variants: a recursion for each, and their errors side by side."""
+    cols = ", ".join(f"w_{v.name}.fused_pos_error_m AS {v.name}_e, w_{v.name}.open_loop_error_m AS {v.name}_o" for v in _VARIANTS)
+    sides = " ".join(f"JOIN fused_{v.name} AS w_{v.name} USING (drive_id, rn)" for v in _VARIANTS)
+    side = f"side AS (SELECT moded.* EXCLUDE (in_outage), {cols} FROM moded {sides})"
+    return ",".join([_MODED_SQL, *[_filter_sql(f"_{v.name}", v.params, v.rule) for v in _VARIANTS], side, _metrics_sql("side", *[(v.name, f"{v.name}_e", f"{v.name}_o") for v in _VARIANTS])])
+
+
+_SPREAD = [(c, n, f) for c in ("exit", "outage_peak", "settled", "rmse") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+
+
+@query("q38_filter_variants", " UNION ALL ".join(f" SELECT '{v.name}' AS variant, " + ", ".join(f"round({'avg' if n == 'mean' else 'stddev_pop'}({v.name}_{c}), 6) + 0 AS fused_{c}_{n}" for c, n, _ in _SPREAD) + " FROM scored" for v in _VARIANTS), _variants_sql())
 def _(spark, d):
     m = _per_variant(_base_rows(spark, d), _VARIANTS)
-    figures = [(c, n, f) for c in ("exit", "outage_peak", "settled", "rmse") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    one = m.agg(*[f(f"{v.name}_{c}").alias(f"{v.name}_{c}_{n}") for v in _VARIANTS for c, n, f in figures])
-    each = [F.struct(F.lit(v.name).alias("variant"), *[F.col(f"{v.name}_{c}_{n}").alias(f"fused_{c}_{n}") for c, n, _ in figures]) for v in _VARIANTS]
+    one = m.agg(*[f(f"{v.name}_{c}").alias(f"{v.name}_{c}_{n}") for v in _VARIANTS for c, n, f in _SPREAD])
+    each = [F.struct(F.lit(v.name).alias("variant"), *[r6(F.col(f"{v.name}_{c}_{n}")).alias(f"fused_{c}_{n}") for c, n, _ in _SPREAD]) for v in _VARIANTS]
     return one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
