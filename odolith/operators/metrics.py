@@ -24,10 +24,10 @@ def _last(e: str, cond: Column | None = None) -> Column:
     return F.max_by(e, "rn") if cond is None else F.max_by(F.when(cond, F.col(e)), F.when(cond, F.col("rn")))
 
 
-def drive_metrics(df: DataFrame, errors: dict[str, tuple[str, str]], settle: float = 8.0) -> DataFrame:
+def drive_metrics(df: DataFrame, errors: dict[str, tuple[str, str]], settle: float = 8.0, extra: tuple[Column, ...] = ()) -> DataFrame:
     """One row per drive: path lengths, and for each name in ``errors`` (error, error at the outage's exit) rmse, max, final, drift and outage figures.
 
-    ``df`` has the truth, the errors, and what ``outage`` adds. Without rows in the outage its figures are 0.
+    ``df`` has the truth, the errors, and what ``outage`` adds. Without rows in the outage its figures are 0. ``extra`` are further aggregates.
     """
     step = F.hypot(F.col("pos_x") - F.lag("pos_x").over(order()), F.col("pos_y") - F.lag("pos_y").over(order()))
     inside = W.partitionBy("drive_id", "in_outage").orderBy("rn")
@@ -42,7 +42,7 @@ def drive_metrics(df: DataFrame, errors: dict[str, tuple[str, str]], settle: flo
             F.coalesce(F.max(F.when(is_in, F.col(exit_e))), F.lit(0.0)).alias(f"{name}_outage_peak"), F.coalesce(_last(exit_e, is_in), F.lit(0.0)).alias(f"{name}_exit"),
             F.coalesce(F.min_by(F.when(late, F.col(e)), F.when(late, F.col("rn"))), _last(e)).alias(f"{name}_settled"),
         ]
-    out = d.groupBy("drive_id").agg(*aggs)
+    out = d.groupBy("drive_id").agg(*aggs, *extra)
     return out.select("*", *[(100 * F.col(f"{k}_final") / (F.col("distance") + 1e-5)).alias(f"{k}_drift_pct") for k in errors])
 
 

@@ -450,29 +450,33 @@ def _wrapped(a: str) -> str:
     return f"({a} - 2 * pi() * floor(({a} + pi()) / (2 * pi())))"
 
 
-def _filter_sql(name: str = "", params: ekf.FilterParams = ekf.FilterParams(), rule: str = "context") -> str:
-    """CTEs from ``moded`` to ``fused<name>``: the six-state filter as a recursion over rows, all drives at once."""
+def _filter_sql(name: str = "", params: ekf.FilterParams = ekf.FilterParams(), rule: str = "context", heading: str = "heading") -> str:
+    """CTEs from ``moded`` to ``fused<name>``: the filter as a recursion over rows, all drives at once. Five states are six without the fourth."""
     still, tunnel, dts = ("context_mode = 'STANDSTILL'", "context_mode = 'PREDICTIVE_TUNNEL_BLACKOUT'", "dts") if rule == "context" else (f"{str(params.zupt).lower()} AND abs(sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) - 981e-2) < 25e-2 AND abs(gyro_z) < 5e-2 AND ai_speed < 4e-1", "false", f"coalesce(timestamp - lag(timestamp) {OVER}, 1e-1)")
     sigma = "ai_speed_std" if params.sigma is None else f"CAST({params.sigma!r} AS DOUBLE)"
+    lateral = ("0e0", "0e0") if params.legacy else ("25e-2", "25e-4")
     turn = {(0, 0): "1e0", (1, 1): "1e0", (4, 4): "1e0", (5, 5): "1e0", (0, 2): "keep * sn * dts", (0, 3): "kl * cs * dts", (0, 4): "mv * north * dts", (0, 5): "-mv * north * dts * dts", (1, 2): "keep * cs * dts", (1, 3): "-kl * sn * dts", (1, 4): "-mv * east * dts", (1, 5): "mv * east * dts * dts", (2, 2): "keep", (3, 3): "kl", (4, 5): "-mv * dts"}
     dot = lambda terms: " + ".join(terms) or "0e0"
-    q = ["25e-4", "25e-4", "CASE WHEN aggressive THEN 2e-1 ELSE 12e-2 END + 15e-1 * ai_speed_std * ai_speed_std", "25e-4", "9e-6", "CASE WHEN tunnel THEN 1e-14 ELSE 1e-12 END"]
+    q = ["25e-4", "25e-4", "CASE WHEN aggressive THEN 2e-1 ELSE 12e-2 END + 15e-1 * ai_speed_std * ai_speed_std", lateral[1], "9e-6", "CASE WHEN tunnel THEN 1e-14 ELSE 1e-12 END"]
     nhc = "CASE WHEN aggressive THEN 625e-4 ELSE 25e-4 END"
     column = lambda f, rows: "[" + ", ".join(f(i) if i in rows else "0e0" for i in range(6)) + "]"
     s = lambda i, j: f"s[{3 * i + j + 1}]"
     cof = lambda i, j: f"({s((i + 1) % 3, (j + 1) % 3)} * {s((i + 2) % 3, (j + 2) % 3)} - {s((i + 1) % 3, (j + 2) % 3)} * {s((i + 2) % 3, (j + 1) % 3)})"
     gps = lambda j: column(lambda i: "(" + " + ".join(f"{_p(i, k)} * {cof(j, k)}" for k in range(3)) + ") / det", {0, 1, 2, 3})
     two = [column(lambda i: f"({_p(i, 2)} * ({_p(3, 3)} + 16e-4) - {_p(i, 3)} * {_p(3, 2)}) / det", {2, 3}), column(lambda i: f"({_p(i, 3)} * ({_p(2, 2)} + 16e-4) - {_p(i, 2)} * {_p(2, 3)}) / det", {2, 3})]
+    if params.legacy:
+        two = [column(lambda i: f"{_p(i, 2)} / ({_p(2, 2)} + 16e-4)", {2}), "[0e0, 0e0, 0e0, 0e0, 0e0, 0e0]"]
+    noise, used = ("144e-4", "NOT in_outage AND speed > 1") if params.legacy else ("144e-4 * (1 + pow(15e-1 / greatest(speed, 2e-1), 2))", "NOT in_outage")
     keep = "* EXCLUDE (x, p)"
     return f"""
-    rows_in{name} AS (SELECT drive_id, rn, {dts} AS dts, ai_speed, {sigma} AS ai_speed_std, gyro_z, pos_x, pos_y, speed, heading, in_outage, aggressive, {still} AS still, {tunnel} AS tunnel FROM moded),
+    rows_in{name} AS (SELECT drive_id, rn, {dts} AS dts, ai_speed, {sigma} AS ai_speed_std, gyro_z, pos_x, pos_y, speed, {heading} AS heading, in_outage, aggressive, {still} AS still, {tunnel} AS tunnel FROM moded),
     ekf{name}(drive_id, rn, x, p, ox, oy) AS (
-        SELECT drive_id, CAST(0 AS BIGINT), [pos_x, pos_y, speed, 0e0, heading, 0e0], [{", ".join(v if i == j else "0e0" for i, v in enumerate(("4e0", "4e0", "1e0", "25e-2", "5e-2", "1e-4")) for j in range(6))}], 0e0, 0e0 FROM rows_in{name} WHERE rn = 1
+        SELECT drive_id, CAST(0 AS BIGINT), [pos_x, pos_y, speed, 0e0, heading, 0e0], [{", ".join(v if i == j else "0e0" for i, v in enumerate(("4e0", "4e0", "1e0", lateral[0], "5e-2", "1e-4")) for j in range(6))}], 0e0, 0e0 FROM rows_in{name} WHERE rn = 1
         UNION ALL
         SELECT drive_id, rn, CASE WHEN in_outage THEN x ELSE list_concat(x[1:4], [{_wrapped("x[5]")}, x[6]]) END, p, ox, oy FROM (
-        SELECT {keep}, {_measured_sql([4], ["kh"], ["rh"], [_wrapped("heading - x[5]")], "NOT in_outage")} FROM (
+        SELECT {keep}, {_measured_sql([4], ["kh"], ["rh"], [_wrapped("(heading - x[5])")], used)} FROM (
         SELECT *, {column(lambda i: f"{_p(i, 4)} / ({_p(4, 4)} + rh)", {4, 5})} AS kh FROM (
-        SELECT {keep}, 144e-4 * (1 + pow(15e-1 / greatest(speed, 2e-1), 2)) AS rh, {_measured_sql([0, 1, 2], ["g0", "g1", "g2"], ["4e0", "4e0", "16e-2"], ["pos_x - x[1]", "pos_y - x[2]", "speed - x[3]"], "NOT in_outage")} FROM (
+        SELECT {keep}, {noise} AS rh, {_measured_sql([0, 1, 2], ["g0", "g1", "g2"], ["4e0", "4e0", "16e-2"], ["pos_x - x[1]", "pos_y - x[2]", "speed - x[3]"], "NOT in_outage")} FROM (
         SELECT *, {gps(0)} AS g0, {gps(1)} AS g1, {gps(2)} AS g2 FROM (
         SELECT *, {s(0, 0)} * {cof(0, 0)} + {s(0, 1)} * {cof(0, 1)} + {s(0, 2)} * {cof(0, 2)} AS det FROM (
         SELECT * EXCLUDE (det), x[1] AS ox, x[2] AS oy, [{", ".join(_p(i, j) + (" + " + ("4e0", "4e0", "16e-2")[i] if i == j else "") for i in range(3) for j in range(3))}] AS s FROM (
@@ -494,7 +498,10 @@ def _filter_sql(name: str = "", params: ekf.FilterParams = ekf.FilterParams(), r
 
 
 _MODED_SQL = f"""RECURSIVE {AI_SQL},
-    seen AS (SELECT *, timestamp >= 195e-2 AND timestamp < 395e-2 AS in_outage, first_value(driver_id) {RUN} = 'E' AS aggressive, (var_pop(acc_x) OVER w + var_pop(acc_y) OVER w) * 25e-4 AS acc_var FROM ai WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+    way AS (SELECT drive_id, rn, speed, pos_x - coalesce(lag(pos_x) {OVER}, pos_x) AS dx, pos_y - coalesce(lag(pos_y) {OVER}, pos_y) AS dy FROM drives),
+    smooth AS (SELECT drive_id, rn, speed, atan2(avg(dx) OVER c, avg(dy) OVER c) AS c FROM way WINDOW c AS (PARTITION BY drive_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    courses AS (SELECT drive_id, rn, coalesce(last_value(CASE WHEN speed > 4e-1 THEN c END IGNORE NULLS) {RUN}, first_value(c) {RUN}) AS course FROM smooth),
+    seen AS (SELECT *, timestamp >= 195e-2 AND timestamp < 395e-2 AS in_outage, first_value(driver_id) {RUN} = 'E' AS aggressive, (var_pop(acc_x) OVER w + var_pop(acc_y) OVER w) * 25e-4 AS acc_var FROM ai JOIN courses USING (drive_id, rn) WINDOW w AS (PARTITION BY drive_id ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
     moded AS (SELECT *, CASE WHEN acc_var < 18e-3 AND abs(gyro_z) < 1e-2 AND least(ai_speed, speed) < 5e-1 THEN 'STANDSTILL' WHEN ambient_lux < 100 AND least(ai_speed, speed) > 4 THEN 'PREDICTIVE_TUNNEL_BLACKOUT' WHEN least(ai_speed, speed) > 18 THEN 'HIGHWAY_CRUISING' ELSE 'NORMAL_URBAN' END AS context_mode FROM seen)"""
 FUSED_SQL = f"{_MODED_SQL},{_filter_sql()}"
 _FUSED = (*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m")
@@ -742,15 +749,22 @@ def _(spark, d):
     return m.select("*", context.profile_label(F.col("driver_id")).alias("profile"))
 
 
-@query("q57_filter_stages")
+def _stages_sql() -> str:
+    variants = ekf.stages()
+    cols = ", ".join(f"w_{v.name}.fused_pos_error_m AS {v.name}_e, w_{v.name}.open_loop_error_m AS {v.name}_o, w_{v.name}.fused_gyro_bias AS {v.name}_b" for v in variants)
+    sides = " ".join(f"JOIN fused_{v.name} AS w_{v.name} USING (drive_id, rn)" for v in variants)
+    side = f"side AS (SELECT moded.* EXCLUDE (in_outage), {cols} FROM moded {sides}), ends AS (SELECT drive_id, {', '.join(f'arg_max({v.name}_b, rn) AS {v.name}_b' for v in variants)} FROM side GROUP BY drive_id)"
+    return ",".join([_MODED_SQL, *[_filter_sql(f"_{v.name}", v.params, v.rule, v.heading) for v in variants], side, _metrics_sql("side", *[(v.name, f"{v.name}_e", f"{v.name}_o") for v in variants])])
+
+
+@query("q57_filter_stages", " UNION ALL ".join(f" SELECT drive_id, '{v.name}' AS stage, round({v.name}_exit, 6) AS exit, round({v.name}_outage_peak, 6) AS peak, round({v.name}_b + 1e-9, 6) + 0 AS bias_end FROM scored JOIN ends USING (drive_id)" for v in ekf.stages()), _stages_sql())
 def _(spark, d):
     """Exit and peak errors, and the gyroscope bias at the end, of each drive at three stages of the filter."""
     df, variants = signals.hold_course(_base_rows(spark, d)), ekf.stages()
-    fused = ekf.fuse_variants(df, variants)
-    m = metrics.drive_metrics(fused, {v.name: (f"{v.name}_pos_error_m", f"{v.name}_open_loop_error_m") for v in variants}, SETTLE)
-    ends = fused.groupBy("drive_id").agg(*[F.max_by(f"{v.name}_gyro_bias", "rn").alias(f"{v.name}_bias") for v in variants])
-    each = F.array(*[F.struct(F.lit(v.name).alias("stage"), F.col(f"{v.name}_exit").alias("exit"), F.col(f"{v.name}_outage_peak").alias("peak"), F.col(f"{v.name}_bias").alias("bias_end")) for v in variants])
-    return m.join(ends, "drive_id").select("drive_id", F.explode(each).alias("s")).select("drive_id", "s.*")
+    ends = tuple(F.max_by(f"{v.name}_gyro_bias", "rn").alias(f"{v.name}_bias") for v in variants)
+    m = metrics.drive_metrics(ekf.fuse_variants(df, variants), {v.name: (f"{v.name}_pos_error_m", f"{v.name}_open_loop_error_m") for v in variants}, SETTLE, ends)
+    each = F.array(*[F.struct(F.lit(v.name).alias("stage"), r6(f"{v.name}_exit").alias("exit"), r6(f"{v.name}_outage_peak").alias("peak"), r6(F.col(f"{v.name}_bias") + 1e-9).alias("bias_end")) for v in variants])
+    return m.select("drive_id", F.explode(each).alias("s")).select("drive_id", "s.*")
 
 
 _RAW_SQL = f""", raw AS (SELECT drive_id, rn, driver_id, acc_x, gyro_z, rn * 100 + CASE WHEN rn % 7 = 0 THEN 5000 ELSE 0 END - CASE WHEN rn % 11 = 0 THEN 300 ELSE 0 END AS ms, 524e-1 + pos_y / 1000 AS lat, -15e-1 + pos_x / 1000 AS lon, speed * 4 AS kmh, degrees(heading) + 360 * (rn % 3) AS course FROM drives),
