@@ -29,7 +29,7 @@ from .store import cut
 CAPACITY = 4096
 END_ID = 1
 BUCKET = 4096
-_CACHE = 500_000
+_CACHE, _PIECE_CACHE = 250_000, 60_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,9 +42,10 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-        if len(self) >= _CACHE:
+        if len(self) >= _PIECE_CACHE:
             self.clear()
-        self[piece] = ids
+        if len(piece) <= 64:
+            self[piece] = ids
         return ids
 
 
@@ -63,6 +64,11 @@ class _WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.pieces = _Pieces(self.tokenizer.model)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
@@ -76,8 +82,7 @@ class _WordIds(dict):
             ids = b"".join(self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(low))
         if len(word) <= 64:
             if len(self) >= _CACHE:
-                self.clear()
-                self[""] = b""
+                self.forget()
             self[word] = ids
         return ids
 
