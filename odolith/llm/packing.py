@@ -5,7 +5,7 @@ interchangeable. Best-fit decreasing therefore runs over the histogram of length
 input): a segment tree over remaining capacities finds the tightest class of open bins in logarithmic time, and one step
 places a whole run of equal documents. The outcome is that of placing the documents one by one. The plan, some tens of
 thousands of runs at most, is broadcast; each document finds its run by (length, rank among equal lengths). Ranks are
-taken inside buckets of about ``BUCKET`` rows, so no length, however common, is one task.
+taken inside buckets of about ``BUCKET`` rows, so no length, however common, is one task; a number that each piece gets when it is made keeps rows apart that are equal.
 
 A null text counts as empty: the document is the end id alone. Only documents over the capacity are cut. Rows that repeat
 are packed as often as they occur. An empty table gives no rows.
@@ -28,10 +28,10 @@ from .store import cut
 
 CAPACITY = 4096
 END_ID = 1
-BUCKET = 4096
+BUCKET = 512
 _CACHE, _PIECE_CACHE = 250_000, 60_000
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
 class _Pieces(dict):
@@ -107,6 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        made = 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -117,8 +118,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                         own = ids[s : s + 4 * capacity]
                         for c, v in zip(cols, (doc_id, k, s // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                             c.append(v)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                cols.append([k & 0x7FFFFFFF for k in range(made, made + len(cols[0]))])
+                made += len(cols[0])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
 
@@ -195,15 +198,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``rows`` (``PIECE``) with sequence_id and offset."""
+    """``rows`` (``PIECE``) with sequence_id and offset in place of salt."""
     spark = rows.sparkSession
     done = cut(rows, "pieces")
     counts = {r[0]: r[1] for r in done.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = spark.createDataFrame(plan(counts, capacity), "length long, lo long, hi long, bin long, each long, base long").coalesce(1)
     shares = spark.createDataFrame([(k, -(-v // BUCKET)) for k, v in counts.items()], "length long, n_buckets long").coalesce(1)
-    dealt = done.join(F.broadcast(shares), "length").withColumn("bucket", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), n_buckets)"))
+    dealt = done.join(F.broadcast(shares), "length").withColumn("bucket", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32, salt), n_buckets)"))
     before = dealt.groupBy("length", "bucket").count().select("length", "bucket", (F.sum("count").over(W.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
-    inside = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    inside = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")) - 1)
     ranked = inside.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(runs), "length").where("rank >= lo and rank < hi")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("bin + (rank - lo) div each").alias("sequence_id"), F.expr("base + (rank - lo) % each * length").alias("offset"))

@@ -215,18 +215,29 @@ def test_packing_rows(spark, vocabulary):
     assert packing.pack(packing.pieces(frame(spark, []), vocabulary)).count() == 0
 
 
+def test_equal_rows_are_dealt_among_buckets(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 10)
+    docs = spark.createDataFrame([(None, "same text here")] * 500 + [(1, "other")] * 3, "doc_id long, text string").repartition(3)
+    got = packing.pack(packing.pieces(docs, vocabulary, 64), 64)
+    assert "salt" not in got.columns
+    got = got.toPandas()
+    n = got.length.max()
+    assert len(got) == 503 and got.groupby(["sequence_id", "offset"]).size().max() == 1 and got.groupby("sequence_id").length.sum().max() <= 64
+    assert got.sequence_id.nunique() == len(one_by_one([n] * 500 + [got.length.min()] * 3, 64))
+
+
 # token counts
 
 
 def test_automaton_equals_greedy_matching(spark):
     rng = random.Random(5)
     tokens = [bytes([b]) for b in range(256)] + [bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(60)] + [b" " + bytes(rng.choices(b"abc", k=rng.randint(1, 4))) for _ in range(20)]
-    a, known = wordpiece.Automaton(tokens), set(tokens)
+    a, known, longest = wordpiece.Automaton(tokens), set(tokens), 7
 
     def greedy(w):
         n = 0
         while w:
-            w = w[max(k for k in range(1, len(w) + 1) if w[:k] in known) :]
+            w = w[max(k for k in range(1, min(len(w), longest) + 1) if w[:k] in known) :]
             n += 1
         return n
 
@@ -237,9 +248,10 @@ def test_automaton_equals_greedy_matching(spark):
         wordpiece.Automaton([b"a"])
     got = wordpiece.token_counts(frame(spark, ODD), queries.tokenizer_file("byte_bpe_50k.json")).toPandas()
     known = set(wordpiece.byte_tokens(queries.tokenizer_file("byte_bpe_50k.json")))
+    longest = max(map(len, known))
     for r in got.dropna().itertuples():
         words = (ODD[int(r.doc_id)] or "").encode().split()
-        assert (r.n_words, r.n_tokens) == (len(words), sum(greedy(b" " + w[:300]) if len(w) <= 300 else r.n_tokens for w in set(words) for _ in range(words.count(w))))
+        assert (r.n_words, r.n_tokens) == (len(words), sum(greedy(b" " + w) * n for w, n in Counter(words).items()))
     assert len(got) == len(ODD) + 2
 
 
@@ -307,6 +319,21 @@ def test_simhash_groups_and_keeping_one(spark):
     assert simhash.simhash_groups(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_simhash_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(22)
+    long = prose(rng, 25, [f"w{i}" for i in range(300)])
+    texts = [*ODD, *long, *(t.upper() for t in long[:5]), *(" ".join(t.split()[:-1]) for t in long[5:12]), long[0] + " one more", *[long[3]] * 30]
+    ids = [3 * i + 7 for i in range(len(texts))]
+    rng.shuffle(ids)
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    fps = [slow_fingerprint(t) for t in texts]
+    i, j = np.nonzero(np.array([[(a ^ b).bit_count() <= 2 for b in fps] for a in fps]))
+    lab = components.local_labels(len(fps), i, j)
+    low = {c: min(ids[k] for k in range(len(ids)) if lab[k] == c) for c in set(lab)}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op7_simhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {ids[k]: (f"{fps[k]:016x}", low[lab[k]]) for k in range(len(ids))}
+
+
 def test_unlinked_groups_of_one_name_keep_a_row_each(spark):
     a, b, c, d = prose(random.Random(21), 4, [f"w{i}" for i in range(400)])
     rows = [(5, a), (7, a.upper()), (5, b), (9, b.upper()), (None, c), (None, c), (None, d), (None, "alone"), (None, a), (5, b)]
@@ -369,7 +396,7 @@ def slow_matches(docs, items):
                 both = sum((a & b).values())
                 best = max(best, both / max(1, len(m) + sum(b.values()) - both))
             if m and best >= 0.8:
-                out[d, i] = round(best, 9)
+                out[d, i] = max(round(best, 9), out.get((d, i), 0))
     return out
 
 
@@ -384,9 +411,22 @@ def test_decontamination_equals_brute_force(spark):
     texts.append("la " + "na " * 40)
     docs = frame(spark, texts)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, hamming int")
+    # items with a common preamble, one twice under the same id, and one in which a single shingle has much of the weight
+    preamble = "answer the following question with one letter only and give no reasons "
+    items += [(100 + k, preamble + " ".join(rng.choices(bag, k=12))) for k in range(4)] + [(100, preamble + "again with other words at its very end here now")]
+    heavy = " ".join(["ho"] * 12 + rng.choices(bag, k=60))
+    items.append((200, heavy))
+    extra = [preamble + "x y z", items[-4][1] + " and so on", heavy.replace("ho " * 12, "hum " * 12), heavy, heavy.replace("ho " * 12, "ho " * 8)]
+    docs = docs.unionByName(frame(spark, extra, len(texts)).dropDuplicates(["doc_id"]).where("doc_id is not null"))
+    texts = texts + extra
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, hamming int")
     got = decontam.contaminated(docs, bench).toPandas()
     want = slow_matches([(i, t) for i, t in enumerate(texts)], items)
-    mine = {(int(r.doc_id), int(r.item_id)): round(r.similarity, 9) for r in got.dropna(subset=["doc_id"]).itertuples()}
+    mine = {}
+    for r in got.dropna(subset=["doc_id"]).itertuples():
+        mine[int(r.doc_id), int(r.item_id)] = max(round(r.similarity, 9), mine.get((int(r.doc_id), int(r.item_id)), 0))
+    near = decontam.matches(docs, bench, exact=False)
+    assert near.where(f"hamming > {decontam.RADIUS}").count() == 0 < near.count()
     assert mine == want and len(want) > 15
     kept = decontam.drop_contaminated(docs, bench)
     bad = {d for d, _ in want}
