@@ -29,7 +29,7 @@ from .store import cut
 CAPACITY = 4096
 END_ID = 1
 BUCKET = 512
-_CACHE, _PIECE_CACHE = 250_000, 60_000
+_CACHE, _PIECE_CACHE = 500_000, 500_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
