@@ -548,7 +548,7 @@ def _(spark, d):
     return one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
-def _windows(spark, d) -> tuple[DataFrame, list[str]]:
+def _all_windows(spark, d) -> tuple[DataFrame, list[str]]:
     """All features of all drives, and their names."""
     f = features.features(drive_view(spark, d))
     return f, features.subset(f.columns, "all")
@@ -561,14 +561,14 @@ def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query("q39_forest_with_deviation")
 def _(spark, d):
-    f, names = _windows(spark, d)
+    f, names = _all_windows(spark, d)
     train, test = _split(f)
     return models.SpeedModel().train(train, names).predict(test).select(*KEYS, "y", "v_pred", "v_std")
 
 
 @query("q40_permutation_importance")
 def _(spark, d):
-    f, names = _windows(spark, d)
+    f, names = _all_windows(spark, d)
     train, test = _split(f)
     train = train.persist()
     m = models.SpeedModel("boosted", "conformal").train(train, names)
@@ -599,7 +599,7 @@ def _(spark, d):
 
 @query("q42_leave_one_driver_out")
 def _(spark, d):
-    f, names = _windows(spark, d)
+    f, names = _all_windows(spark, d)
     who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
     return models.leave_one_out(f.join(who, "drive_id"), names, trees=100, depth=10)
 
@@ -674,7 +674,7 @@ def _(spark, d):
 
 def _model(spark, d) -> tuple[models.SpeedModel, DataFrame]:
     """A forest of the full size, trained on two thirds of the drives, and the other drives."""
-    f, names = _windows(spark, d)
+    f, names = _all_windows(spark, d)
     return models.SpeedModel().train(_split(f)[0], names), _split(drive_view(spark, d))[1]
 
 
@@ -736,7 +736,7 @@ def _(spark, d):
 
 @query("q55_feature_ablation")
 def _(spark, d):
-    return models.feature_ablation(*_split(_windows(spark, d)[0]))
+    return models.feature_ablation(*_split(_all_windows(spark, d)[0]))
 
 
 @query("q56_model_to_metrics")
