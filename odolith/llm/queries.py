@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, preference, secret_scan, sharding, simhash, suffix, toxicity, vectors, wordpiece
+from . import decontam, packing, pii, preference, quantize, secret_scan, sharding, simhash, suffix, toxicity, vectors, whitening, wordpiece
 from .store import new_path
 
 
@@ -23,6 +23,11 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+def _counts(kinds: tuple[str, ...]) -> list:
+    """How many base spans there are of each kind. (A second parameter of a lambda, even one with a default, would be the index.)"""
+    return [F.size(F.filter("base", lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)]  # noqa: B023
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -31,8 +36,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)]
-    return found.select("doc_id", *n, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *_counts(secret_scan.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +81,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.snapshot(places=True).select("doc_id", F.md5("text").alias("text_md5"), (F.col("_size") <= sharding.TARGET).alias("within_target"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counts(pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -88,9 +105,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_personal_data": op13_personal_data,
 }
 
+def _rounds_sql(rounds: int = 2) -> str:
+    """CTEs from ``c0``, the first codebooks, to ``c<rounds>`` and ``a<rounds>``, the last assignment."""
+    gap = "list_sum(list_transform(range(len(z)), lambda j: (y[j + 1] - z[j + 1]) * (y[j + 1] - z[j + 1])))"
+    mean = "list_transform(range(len(z)), lambda j: CAST(floor(list_sum(list_transform(ys, lambda v: v[j + 1])) / len(ys)) AS BIGINT))"
+    assigned = lambda k: f"a{k} AS (SELECT vec_id, label, part, any_value(y) AS y, min(struct_pack(d := {gap}, e := entry)) AS best FROM p JOIN c{k} USING (part) GROUP BY vec_id, label, part)"
+    moved = lambda k: f"m{k} AS (SELECT part, best.e AS entry, list(y) AS ys FROM a{k} GROUP BY ALL), c{k + 1} AS (SELECT part, entry, CASE WHEN ys IS NULL THEN z ELSE {mean} END AS z FROM c{k} LEFT JOIN m{k} USING (part, entry))"
+    return ", ".join([f"{assigned(k)}, {moved(k)}" for k in range(rounds)] + [assigned(rounds)])
+
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": f"""
+        WITH v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda c: CAST(floor(256 * c) AS BIGINT)) AS x FROM embeddings WHERE len(list_filter(CAST(embedding AS DOUBLE[]), lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+        p AS (SELECT vec_id, label, part, x[part * len(x) // 16 + 1 : (part + 1) * len(x) // 16] AS y FROM v, range(16) AS t(part)),
+        c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, y AS z FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+        {_rounds_sql()},
+        books AS (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+    """,
     "op3_preference_format": """
         WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
         answers AS (SELECT pair_id, turn AS last, max(text) AS answer FROM c WHERE role = 'assistant' AND turn = (SELECT max(d.turn) FROM c AS d WHERE d.pair_id = c.pair_id AND d.role = 'assistant') GROUP BY ALL),
