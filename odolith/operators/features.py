@@ -109,10 +109,15 @@ def prepared(w: DataFrame, n: int, signals: list[str]) -> DataFrame:
 
 def features(df: DataFrame, window_sec: float = 1.5, step_sec: float = 0.2, rate: float = 10.0, group: str = "all", signals: list[str] = SIGNALS, causal: bool = False) -> DataFrame:
     """(drive_id, rn, t_end, y, features): 219 of them in group 'all', 171 in 'enhanced', 123 in 'spectral', 75 in 'base'."""
+    n, step = rows_of(window_sec, rate, 4), rows_of(step_sec, rate, 1)
+    return of_windows(windows(df, n, step, signals, causal), n, rate, group, signals)
+
+
+def of_windows(w: DataFrame, n: int, rate: float = 10.0, group: str = "all", signals: list[str] = SIGNALS) -> DataFrame:
+    """The features of windows of n rows, as ``windows`` or a stream gives them."""
     if group not in GROUPS:
         raise ValueError(f"unknown feature group {group!r}; one of {GROUPS}")
-    n, step = rows_of(window_sec, rate, 4), rows_of(step_sec, rate, 1)
-    d = prepared(windows(df, n, step, signals, causal), n, signals)
+    d = prepared(w, n, signals)
     keys = ["drive_id", "rn", "t_end", "y"]
     extra = {f"{s}_{k}": v for s in signals for k, v in base_stats(F.col(s), F.col(f"{s}__m"), F.col(f"{s}__c"), n).items()}
     d, made = d.select("*", *[v.alias(k) for k, v in extra.items()]), list(extra)

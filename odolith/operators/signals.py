@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,4 +73,18 @@ def with_signals(df: DataFrame, rate: float = 10.0, causal: bool = False) -> Dat
     ).drop("dax", "day", "daz", "dgx", "dgy", "dgz")
 
 
+def signals_of(sensors: np.ndarray, rate: float = 10.0, causal: bool = False) -> dict[str, np.ndarray]:
+    """``with_signals`` of rows (acc_x, acc_y, acc_z, gyro_x, gyro_y, gyro_z) in order."""
+    n = len(sensors)
+    step = np.zeros_like(sensors)
+    if n > 1:
+        step[1:] = (sensors[1:] - sensors[:-1]) * rate
+        if not causal:
+            step[0] = step[1]
+            step[1:-1] = (sensors[2:] - sensors[:-2]) * rate / 2
+    norm = lambda x: np.sqrt((x * x).sum(1))
+    made = [*sensors.T, norm(sensors[:, :3]), norm(sensors[:, 3:]), norm(sensors[:, :2]), norm(step[:, :3]), norm(step[:, 3:]), step[:, 5]]
+    return dict(zip(SIGNALS, made, strict=True))
+
+
 SIGNALS = ["ax", "ay", "az", "gx", "gy", "gz", "acc_mag", "gyro_mag", "acc_horiz", "jerk_mag", "alpha_mag", "alpha_z"]

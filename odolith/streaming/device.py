@@ -1,11 +1,11 @@
-"""The on-device engine as a keyed stateful stream, and streaming forms of the merging and windowing operators.
+"""The on-device engine as a keyed stream, and streaming forms of the merging and carrying operators.
 
-The state of a drive is a ring of the last 15 samples and five numbers. Batch replay and stream run the same code.
+The state of a drive is a ring of the last 15 samples and some numbers. Samples and fixes are events of their own: a fix counts after the samples of its
+time. The batch form runs the drives of a task in step, the stream one drive's events as they come in order; both give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import cos, pi, sin, sqrt
 
@@ -14,10 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RING = 15
+from odolith.operators.context import (
+    DARK, FIX_BIAS, FIX_HEADING, FIX_MOVING, FIX_PLACE, FIX_SPEED, FOLLOW, MAG_GAIN, MOVING, RING, SIGMA_BASE, SIGMA_FIRST, SIGMA_GAIN, SIGMA_STILL, STD_GAIN, STILL_TURN, STILL_VAR,
+)
+from odolith.sources.drives import GRAVITY
+from odolith.streaming.in_order import IDLE_MS, LATE, InOrder, events, in_order, seconds_as_time
+
 OUT = "drive_id long, rn long, predicted_speed double, state_speed double, state_heading double, state_x double, state_y double, gyro_bias double, sigma double, standstill boolean, tunnel_alert boolean"
-STATE = "ring array<double>, nums array<double>, seen long"
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
+SAMPLE, FIX, RESET = 0, 1, 2
+_SENSED = ["acc_x", "acc_y", "acc_z", "gyro_z", "ambient_lux", "dt"]
+_FIXED = ["pos_x", "pos_y", "speed", "heading"]
 
 
 @dataclass
@@ -28,7 +35,7 @@ class DeviceEngine:
     speed: float = 0.0
     heading: float = 0.0
     bias: float = 0.0
-    sigma: float = 0.2
+    sigma: float = SIGMA_FIRST
     seen: int = 0
     still: bool = False
     alert: bool = False
@@ -42,11 +49,11 @@ class DeviceEngine:
         ys, mags = self.ring[::2], self.ring[1::2]
         mean = sum(ys) / RING
         std = sqrt(var := max(0.0, sum(v * v for v in ys) / RING - mean * mean))
-        self.still = var < 0.02 and abs(gz) < 0.012
-        self.alert = lux < 100 and self.speed > 4
-        predicted = 0.0 if self.still else max(0.0, (sum(mags) / RING - 9.80665) * 1.85 + std * 4.2)
-        self.sigma = 0.04 if self.still else 0.15 + std * 0.35
-        alpha = 0.0 if self.still else 0.2
+        self.still = var < STILL_VAR and abs(gz) < STILL_TURN
+        self.alert = lux < DARK and self.speed > MOVING
+        predicted = 0.0 if self.still else max(0.0, (sum(mags) / RING - GRAVITY) * MAG_GAIN + std * STD_GAIN)
+        self.sigma = SIGMA_STILL if self.still else SIGMA_BASE + std * SIGMA_GAIN
+        alpha = 0.0 if self.still else FOLLOW
         self.speed = (1 - alpha) * self.speed + alpha * predicted
         self.heading += (gz - self.bias) * dt
         self.x += self.speed * sin(self.heading) * dt
@@ -54,44 +61,33 @@ class DeviceEngine:
         return predicted
 
     def fix(self, gx: float, gy: float, speed: float, heading: float | None) -> None:
-        """A satellite fix pulls position, speed and, over 1.2 m/s, heading and bias."""
-        self.x += 0.15 * (gx - self.x)
-        self.y += 0.15 * (gy - self.y)
-        self.speed += 0.2 * (speed - self.speed)
-        if heading is not None and speed > 1.2:
+        """A satellite fix pulls position, speed and, when moving, heading and bias."""
+        self.x += FIX_PLACE * (gx - self.x)
+        self.y += FIX_PLACE * (gy - self.y)
+        self.speed += FIX_SPEED * (speed - self.speed)
+        if heading is not None and heading == heading and speed > FIX_MOVING:
             err = (heading - self.heading + pi) % (2 * pi) - pi
-            self.heading = (self.heading + 0.1 * err + pi) % (2 * pi) - pi
-            self.bias += 0.005 * err
+            self.heading = (self.heading + FIX_HEADING * err + pi) % (2 * pi) - pi
+            self.bias += FIX_BIAS * err
 
     def reset(self) -> None:
         """Back to a new engine's state."""
         self.__init__()
 
-    def packed(self) -> tuple:
-        return self.ring, [self.x, self.y, self.speed, self.heading, self.bias, self.sigma, float(self.still), float(self.alert)], self.seen
+    def packed(self) -> list[float]:
+        return [self.x, self.y, self.speed, self.heading, self.bias, self.sigma, float(self.seen), float(self.still), float(self.alert), *self.ring]
 
     @classmethod
-    def unpacked(cls, state: tuple) -> DeviceEngine:
-        ring, n, seen = state
-        return cls(list(ring), *n[:6], int(seen), bool(n[6]), bool(n[7]))
-
-
-def _feed(e: DeviceEngine, pdf: pd.DataFrame, fix_every: int) -> pd.DataFrame:
-    rows = []
-    for r in pdf.sort_values("rn").itertuples(index=False):
-        p = e.sample(r.acc_x, r.acc_y, r.acc_z, r.gyro_z, r.ambient_lux, r.dt)
-        if fix_every and e.seen % fix_every == 0:
-            e.fix(r.pos_x, r.pos_y, r.speed, r.heading)
-        rows.append((r.drive_id, r.rn, p, e.speed, e.heading, e.x, e.y, e.bias, e.sigma, e.still, e.alert))
-    return pd.DataFrame(rows, columns=_NAMES)
+    def unpacked(cls, n: list[float]) -> DeviceEngine:
+        return cls(list(n[9:]), *n[:6], int(n[6]), bool(n[7]), bool(n[8]))
 
 
 class _Bank:
-    """Engines of several drives as arrays: a step takes one sample of each."""
+    """Engines of several drives as arrays: a step takes one event of each."""
 
     def __init__(self, n: int):
         self.ring, self.seen = np.zeros((n, RING, 2)), np.zeros(n, np.int64)
-        self.x, self.y, self.speed, self.heading, self.bias, self.sigma = (np.full(n, v) for v in (0.0, 0.0, 0.0, 0.0, 0.0, 0.2))
+        self.x, self.y, self.speed, self.heading, self.bias, self.sigma = (np.full(n, v) for v in (0.0, 0.0, 0.0, 0.0, 0.0, SIGMA_FIRST))
         self.still, self.alert = np.zeros(n, bool), np.zeros(n, bool)
 
     def put(self, k: int, e: DeviceEngine) -> None:
@@ -103,45 +99,52 @@ class _Bank:
         n = min(RING, int(self.seen[k]))
         return DeviceEngine(self.ring[k, RING - n :].ravel().tolist(), *(float(v[k]) for v in (self.x, self.y, self.speed, self.heading, self.bias, self.sigma)), int(self.seen[k]), bool(self.still[k]), bool(self.alert[k]))
 
-    def sample(self, n: int, ax, ay, az, gz, lux, dt) -> np.ndarray:
-        """The next sample of the first n drives; their predicted speeds."""
-        ring = self.ring[:n]
-        ring[:, :-1] = ring[:, 1:].copy()
-        ring[:, -1, 0], ring[:, -1, 1] = ay, np.sqrt(ax * ax + ay * ay + az * az)
-        self.seen[:n] += 1
-        full = np.flatnonzero(self.seen[:n] >= RING)
-        out = np.zeros(n)
-        if len(full):
-            ys, mags = ring[full, :, 0], ring[full, :, 1]
+    def sample(self, k: np.ndarray, ax, ay, az, gz, lux, dt) -> np.ndarray:
+        """A sample of each of the drives ``k``; their predicted speeds."""
+        self.ring[k, :-1] = self.ring[k, 1:]
+        self.ring[k, -1, 0], self.ring[k, -1, 1] = ay, np.sqrt(ax * ax + ay * ay + az * az)
+        self.seen[k] += 1
+        full = self.seen[k] >= RING
+        out = np.zeros(len(k))
+        if full.any():
+            k, gz, dt, lux = k[full], gz[full], dt[full], lux[full]
+            ys, mags = self.ring[k, :, 0], self.ring[k, :, 1]
             mean = ys.sum(1) / RING
             var = np.maximum((ys * ys).sum(1) / RING - mean * mean, 0.0)
-            std, gz, dt = np.sqrt(var), gz[full], dt[full]
-            still = (var < 0.02) & (np.abs(gz) < 0.012)
-            self.still[full], self.alert[full] = still, (lux[full] < 100) & (self.speed[full] > 4)
-            out[full] = np.where(still, 0.0, np.maximum((mags.sum(1) / RING - 9.80665) * 1.85 + std * 4.2, 0.0))
-            self.sigma[full] = np.where(still, 0.04, 0.15 + 0.35 * std)
-            alpha = np.where(still, 0.0, 0.2)
-            self.speed[full] = (1 - alpha) * self.speed[full] + alpha * out[full]
-            self.heading[full] += (gz - self.bias[full]) * dt
-            self.x[full] += self.speed[full] * np.sin(self.heading[full]) * dt
-            self.y[full] += self.speed[full] * np.cos(self.heading[full]) * dt
+            std = np.sqrt(var)
+            still = (var < STILL_VAR) & (np.abs(gz) < STILL_TURN)
+            self.still[k], self.alert[k] = still, (lux < DARK) & (self.speed[k] > MOVING)
+            out[full] = predicted = np.where(still, 0.0, np.maximum((mags.sum(1) / RING - GRAVITY) * MAG_GAIN + std * STD_GAIN, 0.0))
+            self.sigma[k] = np.where(still, SIGMA_STILL, SIGMA_BASE + SIGMA_GAIN * std)
+            alpha = np.where(still, 0.0, FOLLOW)
+            self.speed[k] = (1 - alpha) * self.speed[k] + alpha * predicted
+            self.heading[k] += (gz - self.bias[k]) * dt
+            self.x[k] += self.speed[k] * np.sin(self.heading[k]) * dt
+            self.y[k] += self.speed[k] * np.cos(self.heading[k]) * dt
         return out
 
     def fix(self, k: np.ndarray, gx, gy, speed, heading) -> None:
-        self.x[k] += 0.15 * (gx - self.x[k])
-        self.y[k] += 0.15 * (gy - self.y[k])
-        self.speed[k] += 0.2 * (speed - self.speed[k])
-        use = (speed > 1.2) & ~np.isnan(heading)
+        self.x[k] += FIX_PLACE * (gx - self.x[k])
+        self.y[k] += FIX_PLACE * (gy - self.y[k])
+        self.speed[k] += FIX_SPEED * (speed - self.speed[k])
+        use = (speed > FIX_MOVING) & ~np.isnan(heading)
         k, err = k[use], (heading[use] - self.heading[k[use]] + pi) % (2 * pi) - pi
-        self.heading[k] = (self.heading[k] + 0.1 * err + pi) % (2 * pi) - pi
-        self.bias[k] += 0.005 * err
+        self.heading[k] = (self.heading[k] + FIX_HEADING * err + pi) % (2 * pi) - pi
+        self.bias[k] += FIX_BIAS * err
+
+    def reset(self, k: np.ndarray) -> None:
+        for i in k.tolist():
+            self.put(i, DeviceEngine())
 
 
 _PIECE = 100_000
 
 
 def _together(pdf: pd.DataFrame, fix_every: int, carried: dict) -> tuple[pd.DataFrame, dict]:
-    """Sorted rows of several drives, all drives in step; and the last drive's engine, which the next piece may go on with."""
+    """Sorted events of several drives, all drives in step; and the last drive's engine, which the next piece may go on with.
+
+    A sample's row has the state after the fixes of its own time. ``pdf`` may have kind and t; without them all rows are samples.
+    """
     ids = pdf["drive_id"].to_numpy()
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     size = np.diff(np.append(start, len(ids)))
@@ -151,25 +154,35 @@ def _together(pdf: pd.DataFrame, fix_every: int, carried: dict) -> tuple[pd.Data
     for k, i in enumerate(start):
         if ids[i] in carried:
             bank.put(k, carried[ids[i]])
-    col = {c: pdf[c].to_numpy(dtype=float) for c in ("acc_x", "acc_y", "acc_z", "gyro_z", "ambient_lux", "dt", "pos_x", "pos_y", "speed", "heading")}
+    col = {c: pdf[c].to_numpy(dtype=float) for c in [*_SENSED, *_FIXED]}
+    kind = pdf["kind"].to_numpy() if "kind" in pdf else np.zeros(len(ids), np.int64)
+    t = pdf["t"].to_numpy() if "t" in pdf else np.arange(len(ids))
+    latest = np.full(len(start), -1)  # each drive's last sample in this piece
     out = {c: np.zeros(len(ids)) for c in _NAMES[2:9]} | {c: np.zeros(len(ids), bool) for c in _NAMES[9:]}
     for step in range(int(size[0])):
         n = int(np.searchsorted(-size, -step, side="left"))  # drives with more than ``step`` rows come first
         i = start[:n] + step
-        out["predicted_speed"][i] = bank.sample(n, *(col[c][i] for c in ("acc_x", "acc_y", "acc_z", "gyro_z", "ambient_lux", "dt")))
-        if fix_every and len(k := np.flatnonzero(bank.seen[:n] % fix_every == 0)):
-            bank.fix(k, *(col[c][i[k]] for c in ("pos_x", "pos_y", "speed", "heading")))
+        sampled = np.flatnonzero(kind[i] == SAMPLE)
+        out["predicted_speed"][i[sampled]] = bank.sample(sampled, *(col[c][i[sampled]] for c in _SENSED))
+        latest[sampled] = i[sampled]
+        fixed = kind[i] == FIX
+        if fix_every:
+            fixed |= (kind[i] == SAMPLE) & (bank.seen[:n] % fix_every == 0)
+        if len(k := np.flatnonzero(fixed)):
+            bank.fix(k, *(col[c][i[k]] for c in _FIXED))
+        if len(k := np.flatnonzero(kind[i] == RESET)):
+            bank.reset(k)
+        k = np.flatnonzero((latest[:n] >= 0) & (kind[i] != RESET))
+        k = k[t[latest[k]] == t[i[k]]]
         for c, v in zip(_NAMES[3:], (bank.speed, bank.heading, bank.x, bank.y, bank.bias, bank.sigma, bank.still, bank.alert), strict=True):
-            out[c][i] = v[:n]
+            out[c][latest[k]] = v[k]
     last = int(np.argmax(start))
-    return pd.DataFrame({"drive_id": ids, "rn": pdf["rn"].to_numpy(), **out}), {ids[-1]: bank.engine(last)}
+    made = pd.DataFrame({"drive_id": ids, "rn": pdf["rn"].to_numpy(), **out})
+    return made[kind == SAMPLE].reset_index(drop=True), {ids[-1]: bank.engine(last)}
 
 
-def replay(df: DataFrame, fix_every: int = 10) -> DataFrame:
-    """Rows of ``OUT`` for each row (drive, sensors, dt); every ``fix_every``-th sample brings a fix (0: none).
-
-    A task runs its drives in step, in sorted pieces; a drive that is longer than a piece hands its engine on.
-    """
+def _in_step(df: DataFrame, fix_every: int, order: list[str]) -> DataFrame:
+    """A task runs its drives in step, in sorted pieces that are cut between times; a drive that is longer than a piece hands its engine on."""
 
     def run(pieces):
         held, size, carried = [], 0, {}
@@ -178,56 +191,100 @@ def replay(df: DataFrame, fix_every: int = 10) -> DataFrame:
                 held.append(pdf)
                 size += len(pdf)
             if size >= _PIECE:
-                out, carried = _together(pd.concat(held, ignore_index=True), fix_every, carried)
+                whole = pd.concat(held, ignore_index=True)
                 held, size = [], 0
-                yield out
+                cut = len(whole)
+                if "t" in whole:  # a sample and the fixes of its time stay together
+                    at = whole["t"].to_numpy(), whole["drive_id"].to_numpy()
+                    while cut > 0 and all(a[cut - 1] == a[-1] for a in at):
+                        cut -= 1
+                    held, size = [whole.iloc[cut:]], len(whole) - cut
+                if cut:
+                    out, carried = _together(whole.iloc[:cut], fix_every, carried)
+                    yield out
         if held:
             yield _together(pd.concat(held, ignore_index=True), fix_every, carried)[0]
 
-    return df.repartition("drive_id").sortWithinPartitions("drive_id", "rn").mapInPandas(run, OUT)
-
-
-def stream(df: DataFrame, fix_every: int = 10, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream of rows; a trigger's rows are put in order within themselves, and a drive that is idle for ``idle_ms`` begins anew."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        engine = DeviceEngine.unpacked(state.get) if state.exists else DeviceEngine()
-        parts = [p for p in pieces if len(p)]
-        if parts:
-            yield _feed(engine, pd.concat(parts), fix_every)
-        state.update(engine.packed())
-        state.setTimeoutDuration(idle_ms)
-
-    return df.groupBy("drive_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def carry_stream(df: DataFrame, values: list[str], idle_ms: int = 3_600_000) -> DataFrame:
-    """Last observation carried forward over a stream of (drive_id, t, values): nulls take the drive's last value, across triggers, until it is idle for ``idle_ms``."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    schema = "drive_id long, t double, " + ", ".join(f"{v} double" for v in values)
-
-    def run(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = list(state.get[0]) if state.exists else [None] * len(values)
-        parts = [p for p in pieces if len(p)]
-        if parts:
-            rows = pd.concat(parts).sort_values("t")[["drive_id", "t", *values]].reset_index(drop=True)
-            for i, v in enumerate(values):
-                first = pd.Series([last[i]], dtype="float64")
-                rows[v] = pd.concat([first, rows[v].astype("float64")]).ffill().iloc[1:].to_numpy()
-                last[i] = None if pd.isna(rows[v].iloc[-1]) else float(rows[v].iloc[-1])
-            yield rows
-        state.update((last,))
-        state.setTimeoutDuration(idle_ms)
-
-    return df.groupBy("drive_id").applyInPandasWithState(run, schema, "last array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.repartition("drive_id").sortWithinPartitions("drive_id", *order).mapInPandas(run, OUT)
+
+
+def replay(df: DataFrame, fix_every: int = 10) -> DataFrame:
+    """Rows of ``OUT`` for each row (drive, sensors, dt); every ``fix_every``-th sample brings a fix (0: none)."""
+    return _in_step(df, fix_every, ["rn"])
+
+
+def device_events(samples: DataFrame, fixes: DataFrame | None = None, resets: DataFrame | None = None) -> DataFrame:
+    """One table of events, batch or stream: samples (drive_id, event_time, rn, sensors, dt), fixes (drive_id, event_time, pos_x, pos_y, speed, heading) and resets (drive_id, event_time)."""
+    out = events(samples, SAMPLE, _SENSED)
+    for other, kind, values in ((fixes, FIX, _FIXED), (resets, RESET, [])):
+        if other is not None:
+            out = out.unionByName(events(other, kind, values))
+    return out
+
+
+def replay_events(happened: DataFrame) -> DataFrame:
+    """Rows of ``OUT`` for the samples among ``device_events``, in batch."""
+    value = lambda k, kind: F.when(F.col("kind") == kind, F.get("v", F.lit(k)))
+    cols = [value(k, SAMPLE).alias(c) for k, c in enumerate(_SENSED)] + [value(k, FIX).alias(c) for k, c in enumerate(_FIXED)]
+    return _in_step(happened.select("drive_id", "t", "kind", "rn", *cols), 0, ["t", "kind", "rn"])
+
+
+class _Device(InOrder):
+    def take(self, key, state, t, kind, rn, v):
+        e = DeviceEngine.unpacked(state) if state else DeviceEngine()
+        rows, at = [], None
+        for i in range(len(t)):
+            if kind[i] == RESET:
+                e.reset()
+                continue
+            if kind[i] == SAMPLE:
+                rows.append([key, int(rn[i]), e.sample(*v[i, :6])])
+                at = t[i]
+            else:
+                e.fix(*v[i, :4])
+            if at == t[i]:
+                rows[-1][3:] = [e.speed, e.heading, e.x, e.y, e.bias, e.sigma, e.still, e.alert]
+        return e.packed(), pd.DataFrame(rows, columns=_NAMES)
+
+
+def stream(happened: DataFrame, late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``replay_events`` over a stream of ``device_events``: equal rows, in whatever order and triggers the events come within ``late``. A drive that is idle for ``idle_ms`` begins anew."""
+    rows = happened.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(len(_SENSED) - 1)), lambda k: F.coalesce(F.get("v", k), F.lit(float("nan")))))
+    return in_order(rows, _Device(idle_ms), OUT, late)
+
+
+class _Carry(InOrder):
+    """Nulls take the last value; rows of the kinds ``shown`` come out."""
+
+    def __init__(self, values: list[str], shown: list[int], idle_ms: int):
+        super().__init__(idle_ms)
+        self.values, self.shown = values, shown
+
+    def take(self, key, state, t, kind, rn, v):
+        rows = pd.DataFrame(np.concatenate([np.array([state if state else [np.nan] * v.shape[1]]), v])).ffill().to_numpy()[1:]
+        own = np.isin(kind, self.shown)
+        out = pd.DataFrame(rows[own], columns=self.values).astype(object)
+        out = out.where(out.notna(), None)
+        out.insert(0, "t", t[own] / 1e6)
+        out.insert(0, "drive_id", key)
+        return rows[-1].tolist(), out
+
+
+def carry_stream(df: DataFrame, values: list[str], late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Last observation carried forward over a stream of (drive_id, t in seconds, values): nulls take the drive's last value in order of time, until it is idle for ``idle_ms``."""
+    rows = events(df.withColumn("event_time", seconds_as_time("t")), 0, values)
+    return in_order(rows, _Carry(values, [0], idle_ms), "drive_id long, t double, " + ", ".join(f"{c} double" for c in values), late)
+
+
+def merge_stream(acc: DataFrame, gyro: DataFrame, gps: DataFrame, late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``merge_sensors`` over streams of (drive_id, t, values): three kinds of events, of which the gyroscope's come out with the last values of all."""
+    names = [c for df in (gyro, acc, gps) for c in df.columns if c not in ("drive_id", "t")]
+    rows = None
+    for kind, df in enumerate((acc, gps, gyro)):
+        wide = df.select("drive_id", "t", *[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in names])
+        one = events(wide.withColumn("event_time", seconds_as_time("t")), kind, names)
+        rows = one if rows is None else rows.unionByName(one)
+    return in_order(rows, _Carry(names, [2], idle_ms), "drive_id long, t double, " + ", ".join(f"{c} double" for c in names), late)
 
 
 def sliding_counts(df: DataFrame, length: str = "1500 milliseconds", slide: str = "200 milliseconds", late: str = "5 seconds") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odolith.functions.geo import wrap
-from odolith.operators import context, ekf, features, metrics, models, motion, signals
+from odolith.operators import context, ekf, features, metrics, models, motion
 from odolith.plans import catalogue, report
 from odolith.sources import drives, simulate
 from odolith.streaming import device
@@ -237,19 +237,6 @@ def test_window_sweep_and_feature_ablation(spark, monkeypatch):
     assert {"q54_window_sweep_metrics", "q55_feature_ablation"} <= set(catalogue.QUERIES)
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    df = simulate.simulate(spark, [("A", 6.0), ("B", 9.0)], seed=4).withColumn("dt", signals.step_dt())
-    for i in range(3):  # the drives' rows in three files, read one per trigger in order of time
-        df.where(F.floor((F.col("rn") - 1) / 30) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = device.stream(src).writeStream.format("memory").queryName("dev").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got, want = spark.sql("select * from dev").toPandas(), device.replay(df).toPandas()
-    got, want = (x.sort_values(["drive_id", "rn"]).reset_index(drop=True) for x in (got, want))
-    pd.testing.assert_frame_equal(got, want)
-    assert (want[want.rn < 15].predicted_speed == 0).all()
-
-
 def test_reports(spark):
     df = simulate.simulate(spark, [("A", 5.0)], seed=None)
     f = report.frames(df, 52.0, -1.0).toPandas()
@@ -271,16 +258,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_carried_stream_and_sliding_windows(spark, tmp_path):
-    rows = [(1, 0.0, 5.0, None), (1, 1.0, None, 2.0), (1, 2.0, None, None), (2, 0.5, None, 1.0)]
-    schema = "drive_id long, t double, a double, b double"
-    for i, part in enumerate((rows[:2], rows[2:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = device.carry_stream(src, ["a", "b"]).writeStream.format("memory").queryName("carried").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = [tuple(r) for r in spark.sql("select * from carried order by drive_id, t").collect()]
-    assert [g[:3] for g in got] == [(1, 0.0, 5.0), (1, 1.0, 5.0), (1, 2.0, 5.0), (2, 0.5, None)] and [g[3] for g in got[1:]] == [2.0, 2.0, 1.0]
+def test_sliding_windows(spark):
     df = simulate.simulate(spark, [("A", 5.0)], seed=1).withColumn("event_time", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")))
     n = device.sliding_counts(df).agg(F.max("n"), F.count("*")).first()
     assert n[0] == 15 and n[1] > 20
