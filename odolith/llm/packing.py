@@ -29,30 +29,17 @@ from .store import cut
 CAPACITY = 4096
 END_ID = 1
 BUCKET = 512
-_CACHE, _PIECE_CACHE = 500_000, 500_000
+#: words, and parts of words, that a worker keeps: at most about 110 and 10 MB
+_CACHE, _MARKS = 500_000, 50_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
-class _Pieces(dict):
-    """Ids, as bytes, of what the pre-tokenizer leaves in one piece."""
-
-    def __init__(self, model):
-        self.model = model
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-        if len(self) >= _PIECE_CACHE:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 class _WordIds(dict):
     """Ids of words, as little-endian bytes; words never span a space, so a text's ids are its words' ids in a row.
 
-    Words of printable ASCII are split here, all others and those that may hold a special token by the tokenizer itself.
+    Words of printable ASCII are split here, all others and those that may hold a special token by the tokenizer itself. What the pre-tokenizer leaves in one
+    piece is a word of its own, so words and the pieces of longer ones share one cache; pieces that as words would be split again are in ``marks``.
     """
 
     #: fixed values: the vocabulary's own pre-tokens, for lower-case printable ASCII
@@ -63,23 +50,43 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.pieces = _Pieces(self.tokenizer.model)
+        self.marks: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.pieces.clear()
+        self.marks.clear()
         self[""] = b""
 
+    def _ids(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a part of a word, of lower-case letters or of something else."""
+        if piece.isascii() and piece.isalpha():
+            return self[piece]
+        ids = self.marks.get(piece)
+        if ids is None:
+            ids = self._ids(piece)
+            if len(self.marks) >= _MARKS:
+                self.marks.clear()
+            if len(piece) <= 64:
+                self.marks[piece] = ids
+        return ids
+
     def __missing__(self, word: str) -> bytes:
         if "<|" in word:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         elif word.isascii() and word.isprintable():
             low = word.lower()
-            ids = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.SPLIT.findall(low)))
+            if low.isalpha():
+                ids = self._ids(low) if low == word else self[low]
+            else:
+                ids = b"".join(map(self._piece, self.SPLIT.findall(low)))
         else:
             low = self.tokenizer.normalizer.normalize_str(word)
-            ids = b"".join(self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(low))
+            parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(low)]
+            ids = self._ids(word) if parts == [word] else b"".join(map(self._piece, parts))
         if len(word) <= 64:
             if len(self) >= _CACHE:
                 self.forget()
