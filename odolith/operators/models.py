@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import json
 import time
-from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from odolith.operators import context, ekf, features, metrics, motion
+from odolith.operators import context, ekf, features, metrics, motion, trees
 from odolith.operators.metrics import conformal_quantile, regression
 from odolith.sources.drives import so_far
 
@@ -26,14 +26,22 @@ KINDS = {
     "random_forest": lambda k: RandomForestRegressor(labelCol="y", numTrees=k.get("trees", 100), maxDepth=k.get("depth", 12), featureSubsetStrategy="all", seed=42),
     "boosted": lambda k: GBTRegressor(labelCol="y", maxIter=k.get("trees", 100), maxDepth=min(k.get("depth", 6), 8), stepSize=k.get("step", 0.08), seed=42),
 }
+#: kinds of the shared trainer: regularised second-order boosting; and squared error with quantile models beside it
+SHARED = {
+    "second_order": lambda k: [trees.Spec("point", (), "second_order", k.get("trees", 100), min(k.get("depth", 6), 8), k.get("step", 0.08), 1.0)],
+    "hist": lambda k: [
+        trees.Spec("point", (), "squared", k.get("trees", 150), k.get("depth", 8), k.get("step", 0.1), least=k.get("least", 20)),
+        *[trees.Spec(f"q{int(100 * a)}", (), "quantile", k.get("trees", 100), k.get("depth", 8), k.get("step", 0.1), least=k.get("least", 20), alpha=a) for a in (0.05, 0.95)],
+    ],
+}
 
 
 @dataclass
 class SpeedModel:
     """Predictions v_pred >= 0 and deviations v_std.
 
-    'ensemble': population deviation over a forest's trees, 0.05 at least. 'conformal': the calibrated quantile over 1.645, 0.10 at least.
-    'quantile': half the 5 to 95 % spread of calibration residuals in the prediction's bin, over 1.645.
+    'ensemble': population deviation over a forest's trees, 0.05 at least. 'conformal': the calibrated quantile over 1.645, 0.10 at least; it needs ``calibration`` rows other than those to train on.
+    'quantile': for kind 'hist' the distance of its 5 and 95 % models; for others half the 5 to 95 % spread of residuals of the ``calibration`` rows in the prediction's bin; over 1.645.
     """
 
     kind: str = "random_forest"
@@ -44,23 +52,45 @@ class SpeedModel:
     q_hat: float = 0.5
     bins: list[float] = field(default_factory=list)
     trees: list | None = field(default=None, repr=False, compare=False)
+    fitted: dict[str, trees.Ensemble] = field(default_factory=dict, repr=False, compare=False)
 
     def train(self, df: DataFrame, names: list[str], calibration: DataFrame | None = None) -> SpeedModel:
-        if self.kind not in KINDS or self.method not in METHODS or (self.method == "ensemble" and self.kind != "random_forest"):
+        if self.kind not in {**KINDS, **SHARED} or self.method not in METHODS or (self.method == "ensemble" and self.kind != "random_forest"):
             raise ValueError(f"no {self.method} uncertainty for {self.kind}")
+        calibrated = self.method == "conformal" or (self.method == "quantile" and self.kind != "hist")
+        if calibrated and calibration is None:
+            raise ValueError(f"{self.method} uncertainty is calibrated on rows of its own")
         self.names, self.trees = names, None
-        regressor = KINDS[self.kind](self.options)
-        self.model = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), regressor.fit(VectorAssembler(inputCols=names, outputCol="features").transform(df.select("y", *names)))])
-        if self.method != "ensemble":
-            held = self._point(calibration if calibration is not None else df).withColumn("r", F.abs(F.col("y") - F.col("v_pred"))).withColumn("g", F.lit(0))
+        if self.kind in SHARED:
+            self.fitted = fit_together(df.withColumn("setting", F.lit(0)), names, {s.name: s for s in SHARED[self.kind](self.options)})[0]
+        else:
+            regressor = KINDS[self.kind](self.options)
+            self.model = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), regressor.fit(VectorAssembler(inputCols=names, outputCol="features").transform(df.select("y", *names)))])
+        if calibrated:
+            held = self._point(calibration).withColumn("r", F.abs(F.col("y") - F.col("v_pred"))).withColumn("g", F.lit(0))
             row = conformal_quantile(held.select("g", "r"), "r", ["g"]).first()
             self.q_hat = float(row["q_hat"]) if row else 0.5
-            spread = held.withColumn("b", F.least(F.floor("v_pred"), F.lit(45))).groupBy("b").agg(F.percentile(F.col("y") - F.col("v_pred"), F.array(F.lit(0.05), F.lit(0.95))).alias("q")).collect()  # 46 bins at most
+            spread = held.withColumn("b", F.least(F.floor("v_pred"), F.lit(45))).groupBy("b").agg(F.percentile_approx(F.col("y") - F.col("v_pred"), F.array(F.lit(0.05), F.lit(0.95)), 10000).alias("q")).collect()  # 46 bins at most
             of = {int(r["b"]): r["q"][1] - r["q"][0] for r in spread}
             self.bins = [float(of.get(k, 2 * self.q_hat)) for k in range(46)]
         return self
 
+    def _shared(self, df: DataFrame) -> DataFrame:
+        """v_pred, and the quantiles where there are such models, from the features' values."""
+        sent = df.sparkSession.sparkContext.broadcast(self.fitted)
+
+        @F.pandas_udf(", ".join(f"{n} double" for n in self.fitted))
+        def of(x: pd.Series) -> pd.DataFrame:
+            m = sent.value
+            codes = trees.codes_of(np.stack(x.to_numpy()).astype(float), m["point"].edges) if len(x) else np.zeros((0, len(m["point"].names)), np.uint8)
+            return pd.DataFrame({n: np.maximum(one.of(codes), 0.0) for n, one in m.items()})
+
+        out = df.withColumn("_p", of(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.names])))
+        return out.withColumns({"v_pred" if n == "point" else f"v_{n}": F.col(f"_p.{n}") for n in self.fitted}).drop("_p")
+
     def _point(self, df: DataFrame) -> DataFrame:
+        if self.kind in SHARED:
+            return self._shared(df)
         return self.model.transform(df).withColumn("v_pred", F.greatest("prediction", F.lit(0.0))).drop("prediction")
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -70,6 +100,8 @@ class SpeedModel:
         out = self._point(df)
         if self.method == "conformal":
             return out.withColumn("v_std", F.lit(max(0.10, self.q_hat / 1.645))).drop("features")
+        if self.kind == "hist":
+            return out.withColumn("v_std", F.greatest(F.col("v_q95") - F.col("v_q5"), F.lit(0.10)) / (2 * 1.645))
         spread = F.get(F.array(*[F.lit(b) for b in self.bins]), F.least(F.floor("v_pred"), F.lit(45)).cast("int"))
         return out.withColumn("v_std", F.greatest(spread, F.lit(0.10)) / (2 * 1.645)).drop("features")
 
@@ -96,7 +128,8 @@ class SpeedModel:
         return out | (places.asDict() if places else {"medae": None, "p95": None})
 
     def importances(self, top: int | None = None) -> list[tuple[str, float]]:
-        got = sorted(zip(self.names, self.model.stages[1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+        shares = self.fitted["point"].importances().items() if self.kind in SHARED else zip(self.names, self.model.stages[1].featureImportances.toArray().tolist(), strict=True)
+        got = sorted(shares, key=lambda x: (-x[1], x[0]))
         return got[:top]
 
     def schema_json(self) -> str:
@@ -104,13 +137,18 @@ class SpeedModel:
         return json.dumps({"features": self.names, "model_type": self.kind, "num_features": len(self.names)})
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        if self.kind in SHARED:
+            spark.createDataFrame([(n, json.dumps(m.packed())) for n, m in self.fitted.items()], "name string, model string").write.mode("overwrite").parquet(f"{path}/trees")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         side = json.dumps({"kind": self.kind, "method": self.method, "options": self.options, "names": self.names, "q_hat": self.q_hat, "bins": self.bins})
         spark.createDataFrame([(side,)], "value string").write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SpeedModel:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        if about["kind"] in SHARED:
+            return SpeedModel(fitted={r["name"]: trees.Ensemble.unpacked(json.loads(r["model"])) for r in spark.read.parquet(f"{path}/trees").collect()}, **about)
         return SpeedModel(model=PipelineModel.load(f"{path}/model"), **about)
 
     def size_kb(self, spark: SparkSession, path: str) -> float:
@@ -148,75 +186,107 @@ def _walk(tree: tuple, rows: np.ndarray) -> np.ndarray:
     return value[at]
 
 
-def leave_one_out(df: DataFrame, names: list[str], key: str = "driver_id", **options) -> DataFrame:
-    """For each value of ``key`` (few: drivers), metrics on its rows of a model fitted on all others."""
-    spark, df = df.sparkSession, df.persist()
-    out = []
-    for r in df.select(key).distinct().orderBy(key).collect():
-        m = SpeedModel(options=options).train(df.where(F.col(key) != r[0]), names)
-        s = m.predict(df.where(F.col(key) == r[0])).agg(F.count("*").alias("n"), *regression(F.col("y"), F.col("v_pred"))[:3]).first()
-        out.append((r[0], s["n"], s["mae"], s["rmse"], s["r2"]))
+def _specs_of(names: list[str], wanted: dict[str, trees.Spec]) -> list[trees.Spec]:
+    return [replace(spec, name=k, features=spec.features or tuple(range(len(names)))) for k, spec in wanted.items()]
+
+
+def fit_together(train: DataFrame, names: list[str], wanted: dict[str, trees.Spec], group: str | None = None) -> tuple[dict[str, trees.Ensemble], dict]:
+    """All models of ``wanted`` from rows (drive_id, rn, y, ``names``, setting) whose features are binned once; and the bins' edges. A spec without features has all."""
+    edges = trees.bin_edges(train, names)
+    data = trees.binned(train, names, edges, group).persist()
+    out = trees.fit(data, _specs_of(names, wanted), names, edges)
+    data.unpersist()
+    return out, edges
+
+
+FOREST = trees.Spec("forest", (), "forest", trees=100, depth=12)
+BOOSTED = trees.Spec("boosted", (), "second_order", trees=100, depth=6, step=0.08, l2=1.0)
+
+
+def leave_one_out(df: DataFrame, names: list[str], key: str = "driver_id", spec: trees.Spec = replace(FOREST, depth=10)) -> DataFrame:
+    """For each value of ``key`` (few: drivers), metrics on its rows of a model fitted on all others; all folds' trees grow together."""
+    spark, df = df.sparkSession, df.withColumn("setting", F.lit(0)).persist()
+    folds = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).collect()]
+    fitted, edges = fit_together(df, names, {f"fold{k}": replace(spec, held=v) for k, v in enumerate(folds)}, key)
+    p = trees.predictions(trees.binned(df, names, edges, key), fitted, ["grp", "y"])
+    own = F.coalesce(*[F.when(F.col("grp") == v, F.col(f"p_fold{k}")) for k, v in enumerate(folds)])
+    out = p.where(F.col("grp").isNotNull()).groupBy(F.col("grp").alias(key)).agg(F.count("*").alias("n"), *regression(F.col("y"), own)[:3]).orderBy(key).collect()
     df.unpersist()
-    return spark.createDataFrame(out, f"{key} string, n long, mae double, rmse double, r2 double")
+    return spark.createDataFrame([(r[key], r["n"], r["mae"], r["rmse"], r["r2"]) for r in out], f"{key} string, n long, mae double, rmse double, r2 double")
 
 
-def permutation_importance(model: SpeedModel, df: DataFrame, names: list[str] | None = None, repeats: int = 5, seed: int = 42) -> DataFrame:
+def permutation_importance(model: trees.Ensemble, df: DataFrame, names: list[str] | None = None, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Rise of the MAE when one feature's values are dealt out anew among rows: mean and deviation over repeats.
 
-    A repeat pairs each row with another one by a join of two rankings in buckets, one of them by a hash, so no column is gathered;
-    all features take their values from that row in turn.
+    A repeat pairs each row with another one, by a join of two rankings in buckets, one of them by a hash, so no column is gathered. Within a batch, features take the other row's bins in turn, and
+    only the trees that split on a feature are walked again: rows are never multiplied by features.
     """
-    spark, n = df.sparkSession, len(model.names)
-    rows = df.select("drive_id", "rn", "y", F.array(*[F.col(c).cast("double") for c in model.names]).alias("x")).persist()
-    point, error = model.model.stages[1].transform, F.avg(F.abs(F.col("y") - F.greatest("prediction", F.lit(0.0)))).alias("mae")
-    base = point(rows.select("y", array_to_vector("x").alias("features"))).agg(error).first()[0]
-    each = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(repeats)])))
-    each = each.withColumn("b", F.pmod(F.xxhash64("drive_id", "rn", F.col("k") + seed), F.lit(64)))
-    rank = lambda *by: F.row_number().over(W.partitionBy("k", "b").orderBy(*by))
-    each = each.withColumn("i", rank("drive_id", "rn")).withColumn("j", rank(F.xxhash64("drive_id", "rn", F.col("k"), F.lit(seed))))
-    dealt = each.select("k", "b", "i", "y", "x").join(each.select("k", "b", F.col("j").alias("i"), F.col("x").alias("z")), ["k", "b", "i"])
-    dealt = dealt.withColumn("f", F.explode(F.array(*[F.lit(model.names.index(c)) for c in names or model.names])))
-    mixed = F.concat(F.slice("x", F.lit(1), F.col("f")), F.slice("z", F.col("f") + 1, F.lit(1)), F.slice("x", F.col("f") + 2, F.lit(n)))
-    gains = defaultdict(list)
-    for r in point(dealt.select("k", "f", "y", array_to_vector(mixed).alias("features"))).groupBy("f", "k").agg(error).collect():  # features x repeats
-        gains[r["f"]].append(r["mae"] - base)
+    spark, wanted = df.sparkSession, names or [model.names[f] for f in model.spec.features]
+    rows = trees.binned(df.withColumn("setting", F.lit(model.spec.setting)), model.names, {model.spec.setting: model.edges}).select("k", "y", "b").where("y is not null").persist()
+    each = rows.withColumn("repeat", F.explode(F.array(*[F.lit(k) for k in range(repeats)])))
+    buckets = 1 + rows.count() // 50_000  # few rows of a bucket would be paired with themselves
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("k", "repeat", F.lit(seed)), F.lit(buckets)))
+    rank = lambda *by: F.row_number().over(W.partitionBy("repeat", "bucket").orderBy(*by))
+    each = each.withColumn("i", rank("k", "y")).withColumn("j", rank(F.xxhash64("k", "repeat", F.lit(seed + 1)), F.col("y")))
+    dealt = each.select("repeat", "bucket", "i", "y", "b").join(each.select("repeat", "bucket", F.col("j").alias("i"), F.col("b").alias("z")), ["repeat", "bucket", "i"])
+    sent, places = spark.sparkContext.broadcast(model), [model.names.index(c) for c in wanted]
+
+    def swap(batches):
+        m = sent.value
+        walks, users = m.walks(), {f: [k for k, t in enumerate(m.trees) if f in t.feature] for f in places}
+        for b in batches:
+            codes, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("b", "z"))
+            y, repeat = b.column("y").to_numpy(), b.column("repeat").to_numpy()
+            own = m.each(codes)
+            shape = (lambda total: m.base + (total if m.spec.boosted else total / len(walks)))
+            plain = own.sum(0)
+            before, mixed, gains = np.abs(y - np.maximum(shape(plain), 0.0)), codes.copy(), np.zeros((len(places), b.num_rows))
+            for q, f in enumerate(places):
+                if users[f]:
+                    mixed[:, f] = other[:, f]
+                    moved = plain + sum(walks[k].value[walks[k].nodes(mixed)] - own[k] for k in users[f])
+                    gains[q] = np.abs(y - np.maximum(shape(moved), 0.0)) - before
+                    mixed[:, f] = codes[:, f]
+            for r in np.unique(repeat):
+                use = repeat == r
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(places)), pa.int32()), pa.array(np.full(len(places), r), pa.int32()), pa.array(gains[:, use].sum(1)), pa.array(np.full(len(places), use.sum()), pa.int64())], ["f", "repeat", "s", "n"])
+
+    per = dealt.mapInArrow(swap, "f int, repeat int, s double, n long").groupBy("f", "repeat").agg((F.sum("s") / F.sum("n")).alias("gain"))
+    of = per.groupBy("f").agg(F.avg("gain").alias("m"), F.stddev_pop("gain").alias("s")).collect()  # a row for each feature
     rows.unpersist()
-    out = []
-    for c in names or model.names:
-        g = gains[model.names.index(c)]
-        mean = sum(g) / repeats
-        out.append((c, mean, (sum((x - mean) ** 2 for x in g) / repeats) ** 0.5))
-    return spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")
+    got = {r["f"]: (r["m"], r["s"]) for r in of}
+    return spark.createDataFrame([(c, *got.get(k, (0.0, 0.0))) for k, c in enumerate(wanted)], "feature string, importance_mean double, importance_std double")
 
 
-def _over_drives(model: SpeedModel, df: DataFrame) -> tuple[float, float, float]:
+def _over_drives(predicted: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     """MAE, RMSE and R2 as means over drives."""
-    per = model._point(df).groupBy("drive_id").agg(*regression(F.col("y"), F.col("v_pred"))[:3])
-    return tuple(per.agg(F.avg("mae"), F.avg("rmse"), F.avg("r2")).first())
-
-
-def window_sweep(train: DataFrame, test: DataFrame, seconds=(0.5, 1.0, 1.5, 2.0, 3.0), **options) -> DataFrame:
-    """For each window length a forest on all features of ``train``'s drives, with its metrics on those of ``test``."""
-    out = []
-    for s in seconds:
-        f = features.features(train, window_sec=s).persist()
-        names = features.subset(f.columns, "all")
-        m = SpeedModel(options=options).train(f, names)
-        out.append((float(s), len(names), f.count(), *_over_drives(m, features.features(test, window_sec=s))))
-        f.unpersist()
+    per = predicted.groupBy("drive_id", *by).agg(*regression(F.col("y"), F.col(p))[:3])
+    return per.groupBy(*by).agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"))
+
+
+def window_sweep(train: DataFrame, test: DataFrame, seconds=(0.5, 1.0, 1.5, 2.0, 3.0), spec: trees.Spec = FOREST) -> DataFrame:
+    """For each window length a forest on all features of ``train``'s drives, with its metrics on those of ``test``. The forests of all lengths grow together."""
+    of = lambda drives: reduce(DataFrame.unionByName, [features.features(drives, window_sec=s).withColumn("setting", F.lit(k)) for k, s in enumerate(seconds)])
+    f = of(train).persist()
+    names = features.subset([c for c in f.columns if c != "setting"], "all")
+    fitted, edges = fit_together(f, names, {f"s{k}": replace(spec, setting=k) for k in range(len(seconds))})
+    counts = {r["setting"]: r["n"] for r in f.groupBy("setting").agg(F.count("*").alias("n")).collect()}
+    f.unpersist()
+    p = trees.predictions(trees.binned(of(test), names, edges), fitted, ["drive_id", "setting", "y"])
+    got = {r["setting"]: r for r in _over_drives(p.withColumn("p", F.coalesce(*[F.col(f"p_{n}") for n in fitted])), ["setting"]).collect()}
+    out = [(float(s), len(names), counts.get(k, 0), *((got[k]["mae"], got[k]["rmse"], got[k]["r2"]) if k in got else (None,) * 3)) for k, s in enumerate(seconds)]
     return train.sparkSession.createDataFrame(out, "window_sec double, n_features int, train_windows long, mae double, rmse double, r2 double")
 
 
-def feature_ablation(train: DataFrame, test: DataFrame, **options) -> DataFrame:
-    """For each subset of the features boosted trees on ``train``'s windows, with their metrics on ``test``'s."""
-    spark, train, test, out = train.sparkSession, train.persist(), test.persist(), []
-    for kind in features.SUBSETS:
-        names = features.subset(train.columns, kind)
-        m = SpeedModel("boosted", "conformal", options).train(train, names)
-        out.append((kind, len(names), *_over_drives(m, test)))
-    train.unpersist()
-    test.unpersist()
-    return spark.createDataFrame(out, "subset string, n_features int, mae double, rmse double, r2 double")
+def feature_ablation(train: DataFrame, test: DataFrame, spec: trees.Spec = BOOSTED) -> DataFrame:
+    """For each subset of the features boosted trees on ``train``'s windows, with their metrics on ``test``'s. A round of all subsets is one job."""
+    names = features.subset(train.columns, "all")
+    own = {kind: features.subset(names, kind) for kind in features.SUBSETS}
+    fitted, edges = fit_together(train.withColumn("setting", F.lit(0)), names, {kind: replace(spec, features=tuple(names.index(c) for c in cols)) for kind, cols in own.items()})
+    p = trees.predictions(trees.binned(test.withColumn("setting", F.lit(0)), names, edges), fitted, ["drive_id", "y"]).persist()
+    got = [(kind, len(own[kind]), *_over_drives(p, [], f"p_{kind}").first()) for kind in own]
+    p.unpersist()
+    return train.sparkSession.createDataFrame(got, "subset string, n_features int, mae double, rmse double, r2 double")
 
 
 # fixed values: deviations of the noise on acc_x, acc_y and on gyro_z, constant errors of both, and the share of windows lost

@@ -570,10 +570,8 @@ def _(spark, d):
 def _(spark, d):
     f, names = _all_windows(spark, d)
     train, test = _split(f)
-    train = train.persist()
-    m = models.SpeedModel("boosted", "conformal").train(train, names)
-    train.unpersist()
-    return models.permutation_importance(m, test)
+    fitted, _ = models.fit_together(train.withColumn("setting", F.lit(0)), names, {"boosted": models.BOOSTED})
+    return models.permutation_importance(fitted["boosted"], test)
 
 
 _DEVICE_SQL = f"""{DRIVES_SQL},
@@ -601,7 +599,7 @@ def _(spark, d):
 def _(spark, d):
     f, names = _all_windows(spark, d)
     who = drive_view(spark, d).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("driver_id"))
-    return models.leave_one_out(f.join(who, "drive_id"), names, trees=100, depth=10)
+    return models.leave_one_out(f.join(who, "drive_id"), names)
 
 
 _SIMULATED = f"""WITH RECURSIVE spec(drive_id, style, smooth, bias_x, bias_y, bias_turn) AS (VALUES (0, 'A', 92e-2, -3e-2, 5e-2, 15e-2), (1, 'B', 95e-2, -2e-2, 4e-2, 12e-2), (2, 'D', 88e-2, -3e-2, 5e-2, 15e-2), (3, 'E', 82e-2, -5e-2, 7e-2, 2e-1)),

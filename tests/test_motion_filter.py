@@ -1,5 +1,6 @@
 """The filter, context rules, models, sources and streaming against independent restatements of the formulas."""
 
+import dataclasses
 import json
 import math
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odolith.functions.geo import wrap
-from odolith.operators import context, ekf, features, metrics, models, motion
+from odolith.operators import context, ekf, features, metrics, models, motion, signals, trees
 from odolith.plans import catalogue, report
 from odolith.sources import drives, simulate
 from odolith.streaming import device
@@ -185,22 +186,30 @@ def test_models_predict_and_survive_saving(spark, tmp_path):
     again = models.SpeedModel.load(spark, str(tmp_path / "m")).predict(df).toPandas()
     assert np.allclose(p.sort_values(["drive_id", "rn"]).v_pred, again.sort_values(["drive_id", "rn"]).v_pred) and m.size_kb(spark, str(tmp_path / "m")) > 0
     for method in ("conformal", "quantile"):
-        q = models.SpeedModel("boosted", method, {"trees": 3, "depth": 3}).train(df, names).predict(df).toPandas()
+        a, b = df.where("drive_id = 0"), df.where("drive_id <> 0")
+        q = models.SpeedModel("boosted", method, {"trees": 3, "depth": 3}).train(a, names, b).predict(df).toPandas()
         assert (q.v_std > 0).all()
+        with pytest.raises(ValueError, match="rows of its own"):
+            models.SpeedModel("boosted", method).train(a, names)
     with pytest.raises(ValueError, match="ensemble"):
         models.SpeedModel("boosted", "ensemble").train(df, names)
 
 
-def small_regressors(monkeypatch):
-    """Small trees in place of the models; gives a list of the sizes asked for."""
-    seen, made = [], dict(models.KINDS)
+def small_trees(monkeypatch):
+    """Small trees in place of the models; gives a list of the models asked for."""
+    seen, fit, made = [], trees.fit, dict(models.KINDS)
+    monkeypatch.setattr(trees, "fit", lambda data, specs, *a: seen.extend(specs) or fit(data, [dataclasses.replace(s, trees=2, depth=2) for s in specs], *a))
     for kind in made:
         monkeypatch.setitem(models.KINDS, kind, lambda k, kind=kind: seen.append((kind, k.get("trees", 100), k.get("depth", {"boosted": 6, "random_forest": 12}[kind]))) or made[kind]({"trees": 2, "depth": 2}))
     return seen
 
 
+def size(s):
+    return s if isinstance(s, tuple) else (s.loss, s.trees, s.depth, len(s.features))
+
+
 def test_model_queries_are_of_full_size(spark, monkeypatch):
-    seen, given = small_regressors(monkeypatch), []
+    seen, given = small_trees(monkeypatch), []
     whole = models.permutation_importance
     monkeypatch.setattr(models, "permutation_importance", lambda m, df, *a, **k: given.append(df) or whole(m, df, *a, **k))
     got = catalogue.QUERIES["q40_permutation_importance"](spark, SF).toPandas()
@@ -208,33 +217,44 @@ def test_model_queries_are_of_full_size(spark, monkeypatch):
     assert given[0].where("drive_id % 3 <> 0").count() == 0 < given[0].count()
     for q in ("q39_forest_with_deviation", "q42_leave_one_driver_out"):
         catalogue.QUERIES[q](spark, SF)
-    assert seen[:2] == [("boosted", 100, 6), ("random_forest", 100, 12)] and set(seen[2:]) == {("random_forest", 100, 10)}
+    assert [size(s) for s in seen[:2]] == [("second_order", 100, 6, 219), ("random_forest", 100, 12)]
+    who = catalogue.drive_view(spark, SF).groupBy("drive_id").agg(F.min_by("driver_id", "rn").alias("w")).select("w").distinct().orderBy("w").collect()
+    assert [(size(s), s.held) for s in seen[2:]] == [(("forest", 100, 10, 219), r["w"]) for r in who] and len(who) > 2
 
 
 def test_permuted_feature_raises_the_error(spark):
+    """Against trees walked again for every copy of the rows."""
     rows = [(i % 7, i, float(i * 37 % 101), float(i * 53 % 97), 3.0) for i in range(400)]
     df = spark.createDataFrame([(*r, r[2]) for r in rows], "drive_id long, rn long, a double, b double, c double, y double")
-    m = models.SpeedModel("boosted", "conformal", {"trees": 10, "depth": 5}).train(df, ["a", "b", "c"])
+    m = models.fit_together(df.withColumn("setting", F.lit(0)), ["a", "b", "c"], {"m": dataclasses.replace(models.BOOSTED, trees=30, depth=5)})[0]["m"]
     got = {r["feature"]: r for r in models.permutation_importance(m, df).collect()}
     assert list(got) == ["a", "b", "c"] and got["a"].importance_mean > 15 and got["a"].importance_std > 0
     assert abs(got["b"].importance_mean) < 1 and got["c"].importance_mean == pytest.approx(0, abs=1e-9)
     assert [r["feature"] for r in models.permutation_importance(m, df, ["b"], repeats=2).collect()] == ["b"]
+    codes = trees.codes_of(df.select("a", "b", "c").toPandas().to_numpy(), m.edges)
+    y, rng = np.array([r[2] for r in rows]), np.random.default_rng(0)
+    rise = []
+    for _ in range(40):
+        mixed = codes.copy()
+        mixed[:, 0] = rng.permutation(mixed[:, 0])
+        rise.append(np.abs(y - np.maximum(m.of(mixed), 0)).mean() - np.abs(y - np.maximum(m.of(codes), 0)).mean())
+    assert got["a"].importance_mean == pytest.approx(np.mean(rise), rel=0.1)
 
 
 def test_window_sweep_and_feature_ablation(spark, monkeypatch):
-    seen = small_regressors(monkeypatch)
+    seen = small_trees(monkeypatch)
     d = simulate.simulate(spark, [("A", 20.0), ("E", 20.0)], seed=2).persist()
     first = F.col("drive_id") == d.agg(F.min("drive_id")).first()[0]
-    got = models.window_sweep(d.where(first), d.where(~first), seconds=(0.5,)).first()
-    assert (got.window_sec, got.n_features) == (0.5, 219) and 0 < got.mae <= got.rmse and got.r2 < 1
-    assert got.train_windows == d.where(first).where("rn >= 5 and (rn - 5) % 2 = 0").count()
+    got = models.window_sweep(d.where(first), d.where(~first), seconds=(0.5, 1.0)).collect()
+    assert [(r.window_sec, r.n_features) for r in got] == [(0.5, 219), (1.0, 219)] and all(0 < r.mae <= r.rmse and r.r2 < 1 for r in got)
+    assert [r.train_windows for r in got] == [d.where(first).where(f"rn >= {n} and (rn - {n}) % 2 = 0").count() for n in (5, 10)]
     rows = [(i % 4, i, float(i), float(i % 5), float(i % 3), float(i % 7), float(i)) for i in range(200)]
     f = spark.createDataFrame(rows, "drive_id long, rn long, y double, ax_mean double, ax_median double, jerk_mag_mean double, ax_spec_centroid double")
     got = models.feature_ablation(f.where("drive_id > 0"), f.where("drive_id = 0")).collect()
     assert [(r["subset"], r["n_features"]) for r in got] == [("base", 2), ("enhanced", 2), ("kinematic", 3), ("all", 4)]
     assert got[3].mae < got[0].mae and all(r.mae <= r.rmse for r in got)
-    assert seen == [("random_forest", 100, 12)] + [("boosted", 100, 6)] * 4
-    assert {"q54_window_sweep_metrics", "q55_feature_ablation"} <= set(catalogue.QUERIES)
+    assert [(size(s)[:3], s.setting) for s in seen] == [(("forest", 100, 12), k) for k in (0, 1)] + [(("second_order", 100, 6), 0)] * 4
+    assert [len(s.features) for s in seen] == [219, 219, 2, 2, 3, 4] and {"q54_window_sweep_metrics", "q55_feature_ablation"} <= set(catalogue.QUERIES)
 
 
 def test_reports(spark):
