@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from odolith.functions import geo, noise
-from odolith.operators import context, ekf, features, metrics, models, motion, signals
+from odolith.operators import blocked, context, ekf, features, merkle, metrics, models, motion, signals, trees
 from odolith.plans import report
 from odolith.sources import drives, simulate
 from odolith.sources.drives import DRIVES_SQL, drive_view, order
@@ -655,7 +655,10 @@ _MIXED_SQL = f"round(acc_mag_d * {_RMS.format(s='acc_horiz')}, 6) AS vibration_p
 @query("q44_all_features", f" SELECT drive_id, rn, round(t_end, 6) AS t_end, round(y, 6) AS y, {', '.join(_features_sql(x) for x in features.SIGNALS)}, {_MIXED_SQL} FROM spec", _ALL_SQL)
 def _(spark, d):
     """All features but the twelve zcr, which ``q62_zero_crossings`` has where a mean's rounding doesn't decide."""
-    f = features.features(drive_view(spark, d))
+    return _shown_features(features.features(drive_view(spark, d)))
+
+
+def _shown_features(f: DataFrame) -> DataFrame:
     plain = ("t_end", "y", *[k for k, _ in features.interactions(F.col).items()], *[f"{x}_{k}" for x in features.SIGNALS for k in ("spec_centroid", "dom_freq", "power_low", "power_high")])
     # moments of few distinct values are often exact in seven places and end in 5: a shift keeps engines from rounding such a tie apart
     return f.select(*KEYS, *[r6(c) if c in plain else r6(F.col(c) + 1e-9).alias(c) for c in f.columns if c not in KEYS and not c.endswith("_zcr")])
@@ -826,3 +829,47 @@ def _(spark, d):
 def _(spark, d):
     b = report.baseline(motion.naive(drive_view(spark, d)))
     return b.select(*KEYS, *[r6(F.col(c) + 1e-9).alias(c) for c in b.columns if c not in KEYS])
+
+
+#: rows of a block in the queries on blocked drives: their drives of 45 to 99 rows are several blocks each
+_SHORT = 20
+
+
+@query("q65_blocked_dead_reckoning", f" SELECT drive_id, rn, {s6('timestamp', 'heading', 'pos_x', 'pos_y', 'naive_heading', 'naive_velocity', 'naive_pos_x', 'naive_pos_y', 'pos_error_m', 'speed_error_mps')} FROM naive", NAIVE_SQL)
+def _(spark, d):
+    """From events to dead reckoning without a drive in one task: row numbers, time steps and running sums by blocks."""
+    n = blocked.naive(blocked.drive_view(spark, d, _SHORT), _SHORT)
+    return n.select(*KEYS, *[r6(c) for c in ("timestamp", "heading", "pos_x", "pos_y", "naive_heading", "naive_velocity", "naive_pos_x", "naive_pos_y", "pos_error_m", "speed_error_mps")])
+
+
+@query("q66_blocked_model_reckoning", f", w AS (SELECT *, sqrt(pow(pos_x - lag(pos_x) {OVER}, 2) + pow(pos_y - lag(pos_y) {OVER}, 2)) AS st FROM ai) SELECT drive_id, rn, {s6('ai_heading', 'ai_pos_x', 'ai_pos_y', 'ai_pos_error_m')}, round(sum(coalesce(st, 0)) {RUN}, 6) + 0 AS cum_dist_m FROM w", AI_SQL)
+def _(spark, d):
+    dense = motion.dense_speed(_stand_in(drive_view(spark, d)))
+    out = blocked.cumulative_distance(blocked.ai_dead_reckoning(dense, _SHORT), _SHORT)
+    return out.select(*KEYS, *[r6(c) for c in ("ai_heading", "ai_pos_x", "ai_pos_y", "ai_pos_error_m", "cum_dist_m")])
+
+
+@query("q67_blocked_features", ORACLES["q44_all_features"], "")
+def _(spark, d):
+    f = blocked.features(drive_view(spark, d), _SHORT)
+    return _shown_features(f)
+
+
+_TEXT = "CASE WHEN {c} IS NULL THEN '-' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_LEAVES = f"""rows_in AS (SELECT CAST(user_id AS VARCHAR) AS grp, CAST(floor(event_id / 512.0) AS BIGINT) AS idx, event_id AS o, sha256({' || '.join(_TEXT.format(c=c) for c in ('event_id', 'event_type', 'props'))}) AS hash FROM events),
+    leaf AS (SELECT grp, idx, sha256(string_agg(hash, ',' ORDER BY o, hash)) AS hash, count(*) AS n FROM rows_in GROUP BY grp, idx)"""
+
+
+@query("q68_hash_trees", " SELECT grp, sha256(string_agg(hash, ',' ORDER BY up, hash)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM (SELECT grp, CAST(floor(idx / 8.0) AS BIGINT) AS up, sha256(string_agg(hash, ',' ORDER BY idx, hash)) AS hash, sum(n) AS n FROM leaf GROUP BY ALL) GROUP BY grp", _LEAVES)
+def _(spark, d):
+    """Roots of the users' hash trees over blocks of events, of one level between leaves and roots."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return merkle.levels(merkle.leaves(e, "user_id", "event_id", ["event_type", "props"], span=512), 1, 8)[-1].select("grp", "hash", "n")
+
+
+@query("q69_where_runs_differ", f", gone AS (SELECT user_id, min(event_id) AS o FROM events WHERE event_id % 97 = 0 GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS grp, o FROM gone", "x AS (SELECT 1)")
+def _(spark, d):
+    """Two runs of which one has other values for some events: the first such event of each user, found from the roots down."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "props")
+    other = e.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
+    return merkle.first_differences(e, other, "user_id", "event_id", ["event_type", "props"], span=64, fan=8)

@@ -24,25 +24,30 @@ def so_far():
 
 SENSORS = ["acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z"]
 COLUMNS = ["drive_id", "rn", "driver_id", "timestamp", "pos_x", "pos_y", "speed", "heading", *SENSORS, "ambient_lux"]
+# fixed values: the place that coordinates are relative to, and standard gravity
 ORIGIN = (52.40166, -1.50529)
 GRAVITY = 9.80665
+# fixed values: a step of time that isn't positive, or is longer, counts as the usual one
+USUAL_STEP, LONGEST_STEP = 0.1, 1
+
+
+def repaired_step(d: Column) -> Column:
+    return F.when(d.isNull(), 0.0).when((d <= 0) | (d > LONGEST_STEP), USUAL_STEP).otherwise(d)
 
 
 def repaired_dt(t: Column) -> Column:
     """Seconds since the row before: 0 at first; steps that are not positive, or over a second, count as 0.1."""
     d = t - F.lag(t).over(order())
-    return F.when(d.isNull(), 0.0).when((d <= 0) | (d > 1), 0.1).otherwise(d)
+    return repaired_step(d)
 
 
-def drive_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drive for each user of ``events``; sensors, light and driver are fixed functions of its columns."""
-    # the one shuffle that all windows over drives share; its number of partitions is set, as what follows is heavy in work, not in bytes
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
-    first = W.partitionBy("user_id").orderBy("ts", "event_id")
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of drives before they are numbered: (drive_id, ts, event_id, driver_id, raw_t, speed, sensors, ambient_lux) of ``events``."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
-    rows = e.select(
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias("drive_id"),
-        F.row_number().over(first).cast("long").alias("rn"),
+        "ts",
+        "event_id",
         F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").when(F.col("event_type") == "signup", "D").otherwise("E").alias("driver_id"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("raw_t"),
         F.least(F.greatest(F.col("value") / 10, F.lit(0.0)), F.lit(45.0)).alias("speed"),
@@ -54,6 +59,13 @@ def drive_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k - 50) / 500).alias("gyro_z"),
         F.when(F.col("event_type") == "error", 30.0).otherwise(1500.0).alias("ambient_lux"),
     )
+
+
+def drive_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drive for each user of ``events``; sensors, light and driver are fixed functions of its columns."""
+    # the one shuffle that all windows over drives share; its number of partitions is set, as what follows is heavy in work, not in bytes
+    e = event_rows(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "drive_id")
+    rows = e.withColumn("rn", F.row_number().over(W.partitionBy("drive_id").orderBy("ts", "event_id")).cast("long"))
     timed = rows.withColumn("dt", repaired_dt(F.col("raw_t")))
     turned = timed.withColumn("timestamp", F.sum("dt").over(so_far())).withColumn("heading", wrap(F.sum(F.col("gyro_z") * F.col("dt")).over(so_far())))
     placed = turned.withColumn("pos_x", F.sum(F.col("speed") * F.sin("heading") * F.col("dt")).over(so_far())).withColumn("pos_y", F.sum(F.col("speed") * F.cos("heading") * F.col("dt")).over(so_far()))
