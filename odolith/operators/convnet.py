@@ -80,7 +80,7 @@ def forward(x: np.ndarray, w: dict, add=lambda v: v, moments: dict | None = None
     s["p2"] = _patches(s["a1"])
     z, s["n2"] = _normal(s["p2"] @ w["c2_w"] + w["c2_b"], w, "n2", add, moments)
     s["a2"] = np.maximum(z, 0)
-    s["f"] = s["a2"].reshape(len(x), POOL, HIDDEN // POOL, CHANNELS[1]).mean(2).transpose(0, 2, 1).reshape(len(x), -1)
+    s["f"] = s["a2"].reshape(len(x), POOL, HIDDEN // POOL, CHANNELS[1]).mean(2).transpose(0, 2, 1).reshape(len(x), CHANNELS[1] * POOL)
     s["a3"] = np.maximum(s["f"] @ w["h1_w"] + w["h1_b"], 0)
     s["out"] = np.maximum(s["a3"] @ w["h2_w"] + w["h2_b"], 0)[:, 0]
     return s["out"], s
@@ -195,7 +195,7 @@ class ConvSpeedModel:
                 packed = {"w": {k: v.tolist() for k, v in w.items()}, "m": {k: v.tolist() for k, v in moments.items()}, "l": losses}
                 yield pa.RecordBatch.from_arrays([pa.array([json.dumps(packed)])], ["model"])
 
-        got = json.loads(rows.repartition(tasks, "k").mapInArrow(run, "model string", barrier=True).first()["model"])  # one row: the weights
+        got = json.loads(rows.repartition(tasks, "k").mapInArrow(run, "model string", barrier=True).collect()[0]["model"])  # one row: the weights
         self.weights, self.moments = ({k: np.array(v) for k, v in got[c].items()} for c in ("w", "m"))
         self.losses = got["l"]
         if calibration is not None:

@@ -17,7 +17,7 @@ from odolith.operators import blocked, context, ekf, features, merkle, metrics,
 from odolith.plans import report
 from odolith.sources import drives, simulate
 from odolith.sources.drives import DRIVES_SQL, drive_view, order
-from odolith.streaming import device
+from odolith.streaming import device, run, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -873,3 +873,54 @@ def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "props")
     other = e.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
     return merkle.first_differences(e, other, "user_id", "event_id", ["event_type", "props"], span=64, fan=8)
+
+
+_EDGES = ", ".join(f"quantile_disc(v, {k} / 32e0) AS e{k}" for k in range(1, 32))
+_BINNED = f"""{ORACLES["q11_base_features"].removeprefix("WITH ").rsplit(" SELECT drive_id, rn, round(list_avg(acc_mag)", 1)[0]},
+    f AS (SELECT drive_id, rn, round(y, 6) AS y, round(list_avg(acc_mag), 6) + 0 AS acc_mag_mean, round(list_max(gz), 6) + 0 AS gz_max, round(list_stddev_pop(jerk_mag), 6) + 0 AS jerk_mag_std FROM ends WHERE drive_id % 3 <> 0),
+    long AS (UNPIVOT f ON acc_mag_mean, gz_max, jerk_mag_std INTO NAME feature VALUE v),
+    edges AS (SELECT feature, list_sort(list_distinct([{", ".join(f"e{k}" for k in range(1, 32))}])) AS e FROM (SELECT feature, {_EDGES} FROM long GROUP BY feature)),
+    placed AS (SELECT feature, 1 + len(list_filter(e, lambda x: x < v)) AS bin, y FROM long JOIN edges USING (feature))"""
+
+
+@query("q70_split_histogram", " SELECT feature, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(sum((SELECT avg(y) FROM f) - y), 4) + 0 AS g FROM placed GROUP BY feature, bin", _BINNED)
+def _(spark, d):
+    """What trees of the shared trainer choose their first split by: gradients and counts by feature and bin, over the drives to train on."""
+    f = _split(_windows(spark, d, _THREE))[0]
+    f = f.select(*KEYS, r6("y"), r6(F.col("acc_mag__m")).alias("acc_mag_mean"), r6(F.array_max("gz")).alias("gz_max"), r6(_base("jerk_mag")["std"]).alias("jerk_mag_std"), F.lit(0).alias("setting")).persist()
+    names = ["acc_mag_mean", "gz_max", "jerk_mag_std"]
+    edges = trees.bin_edges(f, names)
+    data = trees.binned(f, names, edges)
+    model = trees.fit(data, [trees.Spec("m", (0, 1, 2), "squared", trees=0)], names, edges)["m"]
+    return trees.histograms(data, model).select("feature", "bin", F.col("n").cast("long").alias("n"), r6("g", 4))
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("event_time", F.timestamp_micros(F.round((F.col("timestamp") + 1_000_000_000) * 1_000_000).cast("long")))
+
+
+@query("q71_streamed_device", ORACLES["q41_device_replay"], "")
+def _(spark, d):
+    """The device engine as a stream: samples and fixes as events that arrive late and shuffled."""
+    v = _timed(drive_view(spark, d).withColumn("dt", signals.step_dt()))
+    happened = device.device_events(v, v.where("rn % 10 = 0"))
+    out = run.to_the_end(spark, run.as_arrivals(happened, 5, 2), device.stream, device.OUT)
+    return out.select(*KEYS, *[r6(F.col(c) + 1e-9).alias(c) for c in _DEVICE], "standstill", "tunnel_alert")
+
+
+@query("q72_streamed_features", ORACLES["q44_all_features"], "")
+def _(spark, d):
+    """All features over a stream of samples that arrive late and shuffled."""
+    v = _timed(drive_view(spark, d)).select("drive_id", "rn", "event_time", "timestamp", "speed", *drives.SENSORS)
+    windows = "drive_id long, rn long, t_end double, y double, " + ", ".join(f"{x} array<double>" for x in features.SIGNALS)
+    w = run.to_the_end(spark, run.as_arrivals(v, 5, 2), lambda s: sequences.windows_stream(s, SIZE, STEP), windows)
+    return _shown_features(features.of_windows(w, SIZE))
+
+
+@query("q73_streamed_filter", f" SELECT drive_id, rn, context_mode, {', '.join(f'round({c} + 1e-9, 6) + 0 AS {c}' for c in _FUSED)} FROM fused", FUSED_SQL)
+def _(spark, d):
+    """The fusion filter over a stream, with the variance that looks four rows ahead."""
+    base = _timed(metrics.outage(_ai(spark, d), OUT_START, OUT_END).withColumn("style", context.driver_style(F.first("driver_id").over(drives.so_far()))))
+    schema = "drive_id long, rn long, context_mode string, " + ", ".join(f"{c} double" for c in sequences.FUSED)
+    out = run.to_the_end(spark, run.as_arrivals(base, 5, 2), lambda s: sequences.fuse_stream(s, scale=0.0025), schema)
+    return out.select(*KEYS, "context_mode", *[r6(F.col(c) + 1e-9).alias(c) for c in _FUSED])

@@ -19,7 +19,7 @@ from odolith.streaming.in_order import IDLE_MS, LATE, InOrder, events, in_order
 
 _AHEAD, _BACK = 4, 5
 _FILTERED = ["timestamp", "acc_x", "acc_y", "gyro_z", "ambient_lux", "ai_speed", "ai_speed_std", "pos_x", "pos_y", "speed", "heading", "in_outage", "aggressive"]
-_FUSED = [*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m"]
+FUSED = [*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m", "open_loop_error_m"]
 
 
 class _Rows:
@@ -77,7 +77,7 @@ class _Filter(InOrder):
         x, p = ends[0]
         out = got.assign(drive_id=key, context_mode=mode, fused_pos_error_m=np.hypot(got["fused_pos_x"] - pdf["pos_x"], got["fused_pos_y"] - pdf["pos_y"]), open_loop_error_m=np.hypot(got["open_loop_pos_x"] - pdf["pos_x"], got["open_loop_pos_y"] - pdf["pos_y"]))
         first = max(0, until - _BACK)
-        return self.rows.packed([until - first, 1, own[2], *x, *p.ravel()], rows[first:]), out[["drive_id", "rn", "context_mode", *_FUSED]]
+        return self.rows.packed([until - first, 1, own[2], *x, *p.ravel()], rows[first:]), out[["drive_id", "rn", "context_mode", *FUSED]]
 
 
 def fuse_stream(df: DataFrame, scale: float = 1.0, first_dt: float | None = None, late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -86,7 +86,7 @@ def fuse_stream(df: DataFrame, scale: float = 1.0, first_dt: float | None = None
     A row comes out once four later ones are known, or when its drive ends. The style is that of a drive's first row.
     """
     rows = events(df.withColumn("aggressive", F.col("style") == "aggressive"), 0, _FILTERED)
-    return in_order(rows, _Filter(scale, first_dt, idle_ms), "drive_id long, rn long, context_mode string, " + ", ".join(f"{c} double" for c in _FUSED), late)
+    return in_order(rows, _Filter(scale, first_dt, idle_ms), "drive_id long, rn long, context_mode string, " + ", ".join(f"{c} double" for c in FUSED), late)
 
 
 _WINDOWED = [*SENSORS, "timestamp", "speed"]

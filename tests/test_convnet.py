@@ -51,8 +51,8 @@ def rows(spark, n=160):
 
 def test_learns_the_same_in_one_task_and_in_four(spark, tmp_path):
     df, names = rows(spark), ["a", "b", "c"]
-    one = convnet.ConvSpeedModel().train(df.repartition(3), names, epochs=4, batch=16, tasks=1)
-    four = convnet.ConvSpeedModel().train(df.repartition(2), names, epochs=4, batch=16, tasks=4)
+    one = convnet.ConvSpeedModel().train(df.repartition(3), names, epochs=2, batch=40, tasks=1)
+    four = convnet.ConvSpeedModel().train(df.repartition(2), names, epochs=2, batch=40, tasks=4)
     for k, v in one.weights.items():
         assert np.allclose(v, four.weights[k], atol=1e-6), k
     assert all(np.allclose(v, four.moments[k], atol=1e-6) for k, v in one.moments.items())
