@@ -29,8 +29,8 @@ from .store import cut
 CAPACITY = 4096
 END_ID = 1
 BUCKET = 512
-#: words, and parts of words that are no ASCII letters, that a worker keeps: at most about 110 and 50 MB
-_CACHE, _MARKS = 500_000, 250_000
+#: words, and parts of words that are no ASCII letters, that a worker keeps: at most about 110 and 15 MB
+_CACHE, _MARKS = 500_000, 87_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
