@@ -11,8 +11,10 @@ of ``SIMILARITY`` with it: the sum of the smaller counts of each shingle over th
    shingle and whose q-th shared shingle lies within the window (and the last window of the text) are all that can count.
 3. Fingerprints. SimHash over the window's shingle hashes. The 64 bits are cut into ``RADIUS`` + 1 blocks, and the distinct fingerprints of an item's windows
    meet the item's own where they agree on a block, which guarantees all within the radius; each counts at the first block it agrees on.
-4. Verification of the windows within the radius, by exact shingle counts. Those of step 2 that lie farther (at a similarity of 0.8 one in some
-   thousand where shingles are distinct, and up to half of them where one shingle has much of the weight) are verified in the same way unless ``exact`` is off, so that the result is whole.
+4. Verification of the windows that the blocks select, by exact shingle counts.
+5. An extra pass, unless ``exact`` is off, so that the result is whole: the windows of step 2 that the blocks didn't select (at a similarity of 0.8 one in some
+   thousand of those that reach it where shingles are distinct, and up to half where one shingle has much of the weight), but for pairs of document and item that step 4
+   has settled at a similarity of 1.
 
 The benchmark's rare shingles are broadcast while there are at most ``SMALL`` of them, items while their shingles together are, and keys of candidate
 documents likewise, each a long or two; beyond that they are shuffled. No group is gathered: an array holds one text's or one item's shingles.
@@ -143,19 +145,29 @@ def near(printed: DataFrame, items: DataFrame) -> DataFrame:
     return met.where((F.bit_count(differ) <= RADIUS) & ~earlier).select("item_id", "of", "fp")
 
 
+def _verified(candidates: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, of, n_words, start, hamming, similarity) of the windows that reach the similarity."""
+    shared = F.aggregate(F.array_distinct("item"), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter("item", lambda y: y == x)), F.size(F.filter("win", lambda y: y == x))))
+    found = candidates.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))).withColumn("shared", shared)
+    found = found.withColumn("similarity", F.col("shared") / (F.size("win") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
+    return found.select("doc_id", "th", "item_id", "of", "n_words", "start", "hamming", "similarity")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, exact: bool = True) -> DataFrame:
     """(doc_id, th, item_id, start, n_words, hamming, similarity): the best window of each contaminated document and item.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; start counts words, th is the text's hash. Without ``exact``
-    only windows within the radius are looked at.
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; start counts words, th is the text's hash. The blocks select the
+    windows; with ``exact``, a second pass verifies those they left, of pairs that a window within the radius didn't already equal.
     """
     printed, items = windows(docs, benchmark)
-    close = near(printed, items)
-    within = printed.join(close, ["item_id", "of", "fp"], "left_semi")
-    candidates = within.unionByName(printed.join(close, ["item_id", "of", "fp"], "left_anti")) if exact else within
-    shared = F.aggregate(F.array_distinct("item"), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter("item", lambda y: y == x)), F.size(F.filter("win", lambda y: y == x))))
-    found = candidates.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))).withColumn("shared", shared)
-    found = found.withColumn("similarity", F.col("shared") / (F.size("win") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= SIMILARITY - 1e-12)
+    close = cut(near(printed, items).withColumn("near", F.lit(True)), "near")
+    marked = printed.join(_sized(close, close.count()), ["item_id", "of", "fp"], "left")
+    found = cut(_verified(marked.where("near")), "selected")
+    if exact:
+        settled = found.where("similarity = 1").select(*[F.col(c).alias(f"{c}_") for c in ("doc_id", "th", "item_id", "of")]).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("th") == F.col("th_")) & (F.col("item_id") == F.col("item_id_")) & (F.col("of") == F.col("of_"))
+        left = marked.where("near is null").join(_sized(settled, settled.count()), same, "left_anti")
+        found = found.unionByName(_verified(left))
     best = found.groupBy("doc_id", "th", "item_id", "n_words").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("hamming")).alias("apart"))).alias("b"))
     return best.select("doc_id", "th", "item_id", (-F.col("b.back")).alias("start"), "n_words", (-F.col("b.apart")).alias("hamming"), "b.similarity")
 

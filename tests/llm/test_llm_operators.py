@@ -382,6 +382,18 @@ def test_repeats_equal_brute_force(spark, limits):
 # decontamination
 
 
+def test_blocks_select_the_windows(spark, monkeypatch):
+    """Without fingerprints that meet, the blocks' pass finds nothing, and the extra pass is given what they settle no more."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    pairs = lambda df: {(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in df.collect()}
+    whole, blocks = pairs(decontam.matches(docs, bench)), pairs(decontam.matches(docs, bench, exact=False))
+    assert blocks <= whole and len(blocks) >= 0.9 * len(whole) > 0
+    own = decontam.near
+    monkeypatch.setattr(decontam, "near", lambda *a: own(*a).limit(0))
+    assert pairs(decontam.matches(docs, bench, exact=False)) == set() and pairs(decontam.matches(docs, bench)) == whole
+
+
 def slow_matches(docs, items):
     words = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
     shingles = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])
@@ -428,6 +440,9 @@ def test_decontamination_equals_brute_force(spark):
     near = decontam.matches(docs, bench, exact=False)
     assert near.where(f"hamming > {decontam.RADIUS}").count() == 0 < near.count()
     assert mine == want and len(want) > 15
+    found = {(r["doc_id"], r["item_id"]) for r in near.collect()}
+    missed = {p for p in want if p not in found}
+    assert len(missed) <= 0.1 * len(want) and found - {(None, i) for _, i in want} <= set(want)  # by the blocks alone
     kept = decontam.drop_contaminated(docs, bench)
     bad = {d for d, _ in want}
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} - {None} == set(range(len(texts))) - bad
