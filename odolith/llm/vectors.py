@@ -82,22 +82,31 @@ class Index:
         return a.astype(np.int64) * len(self.books[1]) + b
 
     def cells(self, u: np.ndarray) -> list[np.ndarray]:
-        """The cells within the margin of each row; the home cell is the first."""
+        """The cells within the margin of each row, nearest first: the home cell, then the others as the traversal meets them."""
         order, gap = [], []
         for g in self._gaps(u):
             m = max(1, int((g <= self.margin).sum(1).max(initial=1)))  # no further place of this sequence is within the margin
             o = np.argsort(g, axis=1, kind="stable")[:, :m]
             order.append(o)
             gap.append(np.take_along_axis(g, o, axis=1))
+        # multi-sequence traversal, all rows in step: a row's frontier has, for each place i of the first sequence, the next place j of the second;
+        # its nearest cell is visited next, and the row ends when that is beyond the margin
+        live, k = np.arange(len(u)), len(self.books[1])
+        a, b = (np.pad(g, ((0, 0), (0, 1)), constant_values=np.inf) for g in gap)  # a place after the last is never near
+        nxt = np.zeros((len(u), gap[0].shape[1]), np.int64)
         rows, cells = [], []
-        # the traversal goes up two sorted sequences for all rows in step; a place (i, j) beyond all margins ends its line
-        for i in range(gap[0].shape[1]):
-            for j in range(gap[1].shape[1]):
-                near = np.flatnonzero(gap[0][:, i] + gap[1][:, j] <= self.margin) if i or j else np.arange(len(u))
-                if not len(near):
-                    break
-                rows.append(near)
-                cells.append(order[0][near, i].astype(np.int64) * len(self.books[1]) + order[1][near, j])
+        first = True
+        while len(live):
+            reach = a[live, :-1] + np.take_along_axis(b[live], nxt[live], axis=1)
+            reach[:, 1:][nxt[live][:, 1:] >= nxt[live][:, :-1]] = np.inf  # (i, j) is open once (i - 1, j) has been visited
+            i = reach.argmin(1)
+            r = np.arange(len(live))
+            near = np.ones(len(live), bool) if first else reach[r, i] <= self.margin
+            live, i, first = live[near], i[near], False
+            j = nxt[live, i]
+            rows.append(live)
+            cells.append(order[0][live, i].astype(np.int64) * k + order[1][live, j])
+            nxt[live, i] += 1
         if not rows:
             return []
         row, cell = np.concatenate(rows), np.concatenate(cells)

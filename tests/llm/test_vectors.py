@@ -104,3 +104,16 @@ def test_cells_are_those_within_the_margin():
     for k, cells in enumerate(ix.cells(u)):
         assert cells[0] == d[k].argmin() == ix.homes(u[k : k + 1])[0] and len(set(cells.tolist())) == len(cells)
         assert set(cells.tolist()) == set(np.flatnonzero(d[k] <= d[k].min() + ix.margin + 1e-12).tolist())
+
+
+def test_traversal_meets_the_nearest_cells_first():
+    rng = np.random.default_rng(3)
+    for k, margin in ((1, 0.0), (5, 0.3), (12, 2.0), (9, 1e9)):
+        ix = vectors.Index(rng.normal(size=(k, 4)), rng.normal(size=(k + 2, 4)), margin)
+        u = vectors.unit(rng.normal(size=(60, 8)))
+        a, b = ix._gaps(u)
+        for r, cells in enumerate(ix.cells(u)):
+            gap = (a[r][:, None] + b[r][None, :]).ravel()  # cell (i, j) is number i * len(second) + j
+            assert sorted(cells) == np.flatnonzero(gap <= margin).tolist()
+            assert (np.diff(gap[cells]) >= 0).all() and cells[0] == ix.homes(u[r : r + 1])[0]
+    assert ix.cells(np.zeros((0, 8))) == []
