@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from odolith.functions import geo, noise
 from odolith.operators import blocked, context, ekf, features, merkle, metrics, models, motion, signals, trees
 from odolith.plans import report
-from odolith.sources import drives, simulate
+from odolith.sources import drives, log_rows, simulate
 from odolith.sources.drives import DRIVES_SQL, drive_view, order
 from odolith.streaming import device, run, sequences
 
@@ -924,3 +924,14 @@ def _(spark, d):
     schema = "drive_id long, rn long, context_mode string, " + ", ".join(f"{c} double" for c in sequences.FUSED)
     out = run.to_the_end(spark, run.as_arrivals(base, 5, 2), lambda s: sequences.fuse_stream(s, scale=0.0025), schema)
     return out.select(*KEYS, "context_mode", *[r6(F.col(c) + 1e-9).alias(c) for c in _FUSED])
+
+
+@query("q74_log_slices", " SELECT drive_id, rn, round(speed, 6) + 0 AS speed, round(acc_x, 6) + 0 AS acc_x, round(gyro_z, 6) + 0 AS gyro_z FROM drives WHERE rn > 10 AND rn <= 40")
+def _(spark, d):
+    """Rows 11 to 40 of each drive, from its log, by the bytes that hold them."""
+    at = run.folder(spark)
+    kept = drive_view(spark, d).select(F.col("drive_id").alias("name"), "rn", "speed", "acc_x", "gyro_z")
+    kept.repartition("name").sortWithinPartitions("name", "rn").drop("rn").write.partitionBy("name").option("header", True).csv(f"{at}/logs")
+    log_rows.write_index(spark, f"{at}/logs", f"{at}/index", block=1 << 12, min_bytes=0)
+    logs = log_rows.read_rows(spark, f"{at}/logs", f"{at}/index").where("rn > 10 AND rn <= 40")
+    return logs.select(F.regexp_extract("drive_id", "name=([0-9]+)/", 1).cast("long").alias("drive_id"), "rn", *[r6(F.col(c).cast("double")).alias(c) for c in ("speed", "acc_x", "gyro_z")])
