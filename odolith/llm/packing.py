@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, give_back
 
 CAPACITY = 4096
 END_ID = 1
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 cols.append([k & 0x7FFFFFFF for k in range(made, made + len(cols[0]))])
                 made += len(cols[0])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, give_back
 
 THRESHOLD = 0.3
 BUCKET_BITS = 22
@@ -107,6 +107,7 @@ def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
             f = [np.unique(features(t)).astype("<u4").tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(f, pa.binary())], ["o", "y", "fold", "f"])
         _hash.clear()
+        give_back()
 
     return texts.mapInArrow(featurize, "o long, y int, fold int, f binary")
 
@@ -133,6 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
         if rows:
             idx, w, bias = ftrl(rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(idx, -1), pa.int64()), pa.array(np.append(w, bias), pa.float64())], ["bucket", "weight"])
+        del rows
+        give_back()
 
     got = _sample(docs, labels, train_rows).select("o", "y", "f").repartition(1).sortWithinPartitions("o", "y", "f").mapInArrow(learn, "bucket long, weight double")
     return [(r[0], r[1]) for r in got.collect()]  # the non-zero weights: fewer than there are buckets
@@ -197,6 +200,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
             s = [score_text(t.as_py(), *model) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64())], ["doc_id", "held_out", "score"])
         _hash.clear()  # an idle worker keeps no words
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -211,5 +215,6 @@ def drop_toxic(docs: DataFrame, weights: list[tuple[int, float]], threshold: flo
         for b in batches:
             yield b.filter(pa.array([score_text(t.as_py(), *model) < threshold for t in b.column(at)], pa.bool_()))
         _hash.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
