@@ -1,13 +1,16 @@
 """Sliding-window features: 18 statistics of each of 12 signals and three interactions, from one shuffle by drive.
 
 Each signal's window is collected once by a ROWS frame; rows that end no window are dropped before any statistic is taken, so the
-array functions run on surviving rows only. All is plain columns: a projection that needs few features computes few.
+statistics are those of surviving rows only. Single statistics are plain columns; all features of many windows come from ``of_windows``, which
+takes the same sums in the same order over batches of windows.
 """
 
 from __future__ import annotations
 
 from math import cos, pi, sin
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +86,9 @@ def spectral_stats(p: Column, n: int, rate: float = 10.0) -> dict[str, Column]:
     }
 
 
-def interactions(c) -> dict[str, Column]:
-    """``c`` gives a feature's column by name."""
-    return {"vibration_power": c("acc_mag_std") * c("acc_horiz_rms"), "jerk_motion_intensity": c("jerk_mag_rms") * (c("gyro_mag_mean") + 0.01), "curv_ratio": F.abs(c("ax_mean")) / (F.abs(c("gz_mean")) + 0.05)}
+def interactions(c, size=F.abs) -> dict:
+    """``c`` gives a feature by name, a column or an array, and ``size`` what is without sign."""
+    return {"vibration_power": c("acc_mag_std") * c("acc_horiz_rms"), "jerk_motion_intensity": c("jerk_mag_rms") * (c("gyro_mag_mean") + 0.01), "curv_ratio": size(c("ax_mean")) / (size(c("gz_mean")) + 0.05)}
 
 
 def rows_of(seconds: float, rate: float, least: int) -> int:
@@ -117,22 +120,100 @@ def of_windows(w: DataFrame, n: int, rate: float = 10.0, group: str = "all", sig
     """The features of windows of n rows, as ``windows`` or a stream gives them."""
     if group not in GROUPS:
         raise ValueError(f"unknown feature group {group!r}; one of {GROUPS}")
-    d = prepared(w, n, signals)
-    keys = ["drive_id", "rn", "t_end", "y"]
-    extra = {f"{s}_{k}": v for s in signals for k, v in base_stats(F.col(s), F.col(f"{s}__m"), F.col(f"{s}__c"), n).items()}
-    d, made = d.select("*", *[v.alias(k) for k, v in extra.items()]), list(extra)
-    if group in ("all", "enhanced"):
-        d = d.select("*", *[quantile(F.col(f"{s}__z"), n, 0.5).alias(f"{s}__q") for s in signals])
-        extra = {f"{s}_{k}": v for s in signals for k, v in enhanced_stats(F.col(f"{s}__c"), F.col(f"{s}__z"), F.col(f"{s}__q"), F.col(f"{s}_std"), n).items() if k != "zcr_true"}
-        d, made = d.select("*", *[v.alias(k) for k, v in extra.items()]), made + list(extra)
-    if group in ("all", "spectral"):
-        d = d.select("*", *[power(F.col(f"{s}__c"), n).alias(f"{s}__p") for s in signals])
-        extra = {f"{s}_{k}": v for s in signals for k, v in spectral_stats(F.col(f"{s}__p"), n, rate).items()}
-        d, made = d.select("*", *[v.alias(k) for k, v in extra.items()]), made + list(extra)
-    if set(signals) == set(SIGNALS):
-        extra = interactions(F.col)
-        d, made = d.select("*", *[v.alias(k) for k, v in extra.items()]), made + list(extra)
-    return d.select(*keys, *made)
+    names = feature_names(group, signals)
+
+    @F.arrow_udf("struct<" + ", ".join(f"{k}: double" for k in names) + ">")
+    def made(*arrays: pa.Array) -> pa.Array:
+        got: dict[str, pa.Array] = {}
+        for s, a in zip(signals, arrays, strict=True):
+            got |= {f"{s}_{k}": v for k, v in _signal(a, n, rate, group).items()}
+        plain = {k: got[k].to_numpy(zero_copy_only=False) for k in _MIXED if k in got}
+        if "curv_ratio" in names:
+            got |= {k: pa.array(v) for k, v in interactions(lambda k: plain[k], np.abs).items()}
+        return pa.StructArray.from_arrays([got[k] for k in names], names)
+
+    return w.select("drive_id", "rn", "t_end", "y", made(*signals).alias("_f")).select("drive_id", "rn", "t_end", "y", *[F.col(f"_f.{k}").alias(k) for k in names])
+
+
+_BASE = ("mean", "std", "min", "max", "p2p", "rms")
+_ENHANCED = ("median", "iqr", "mad", "skew", "kurt", "p10", "p90", "zcr")
+_SPECTRUM = ("spec_centroid", "dom_freq", "power_low", "power_high")
+_MIXED = ("acc_mag_std", "acc_horiz_rms", "jerk_mag_rms", "gyro_mag_mean", "ax_mean", "gz_mean")
+
+
+def feature_names(group: str = "all", signals: list[str] = SIGNALS) -> list[str]:
+    """Names of a group's features in their order."""
+    out = [f"{s}_{k}" for s in signals for k in _BASE]
+    out += [f"{s}_{k}" for s in signals for k in _ENHANCED] if group in ("all", "enhanced") else []
+    out += [f"{s}_{k}" for s in signals for k in _SPECTRUM] if group in ("all", "spectral") else []
+    return out + (list(interactions(lambda _: 1.0, abs)) if set(signals) == set(SIGNALS) else [])
+
+
+def _signal(a: pa.Array, n: int, rate: float, group: str) -> dict[str, pa.Array]:
+    """A signal's features of a batch of windows; a window with nulls in it is shorter, as a collected list has none."""
+    size = np.diff(a.offsets.to_numpy())
+    flat = a.flatten().to_numpy(zero_copy_only=False)
+    if (size == n).all():
+        return {k: pa.array(v) for k, v in _of_size(flat.reshape(-1, n), n, rate, group).items() if v is not None}
+    begin, out = np.cumsum(size) - size, {}
+    for own in np.unique(size):
+        at = np.flatnonzero(size == own)
+        for k, v in _of_size(flat[begin[at][:, None] + np.arange(own)[None]], n, rate, group).items():
+            value, known = out.setdefault(k, (np.zeros(len(size)), np.zeros(len(size), bool)))
+            if v is not None:
+                value[at], known[at] = v, True
+    return {k: pa.array(value, mask=~known) for k, (value, known) in out.items()}
+
+
+def _added(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, element after element as ``_sum`` adds them."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        out = out + x[:, k]
+    return out
+
+
+def _of_size(x: np.ndarray, n: int, rate: float, group: str) -> dict[str, np.ndarray | None]:
+    """``base_stats``, ``enhanced_stats`` without zcr_true and ``spectral_stats`` of windows of as many values each; None is null, as columns give it where a window has fewer than n."""
+    size = x.shape[1]
+
+    def at(z, q):
+        place = q * (n - 1)
+        lo = int(place)
+        if z is None or lo + (place != lo) >= size:
+            return None
+        return z[:, lo] if place == lo else z[:, lo] + (z[:, lo + 1] - z[:, lo]) * (place - lo)
+
+    with np.errstate(all="ignore"):
+        m = _added(x) / n
+        c = x - m[:, None]
+        std, rms = np.sqrt(_added(c * c) / n), np.sqrt(_added(x * x) / n)
+        low, high = (np.fmin.reduce(x, axis=1), x.max(1)) if size else (None, None)
+        out = {"mean": m, "std": std, "min": low, "max": high, "p2p": high - low if size else None, "rms": rms}
+        if group in ("all", "enhanced"):
+            z = np.sort(x, axis=1)
+            med, q1, q3 = at(z, 0.5), at(z, 0.25), at(z, 0.75)
+            far = None if med is None else np.sort(np.abs(z - med[:, None]), axis=1)
+            flat, away = std <= 1e-6, c != 0
+            out |= {
+                "median": med, "iqr": None if q3 is None else q3 - q1, "mad": at(far, 0.5),
+                "skew": np.where(flat, 0.0, _added(c * c * c) / n / (std * std * std)), "kurt": np.where(flat, 0.0, _added(c * c * c * c) / n / (std * std * std * std) - 3),
+                "p10": at(z, 0.1), "p90": at(z, 0.9), "zcr": (away[:, 1:] != away[:, :-1]).sum(1) / (n - 1),
+            }
+        if group in ("all", "spectral"):
+            out |= dict.fromkeys(_SPECTRUM) if size < n else _spectrum(c, n, rate)
+    return out
+
+
+def _spectrum(c: np.ndarray, n: int, rate: float) -> dict[str, np.ndarray]:
+    freq = np.array([k * rate / n for k in range(n // 2 + 1)])
+    part = lambda f: [_added(c * np.array([f(2 * pi * k * i / n) for i in range(n)])) for k in range(n // 2 + 1)]
+    p = np.stack([re * re + im * im for re, im in zip(part(cos), part(sin), strict=True)], 1)
+    total = _added(p) + 1e-9
+    return {
+        "spec_centroid": _added(p * freq) / total, "dom_freq": np.floor(np.sqrt(p) * 1e9 + 0.5).argmax(1) * rate / n,
+        "power_low": _added(p * (freq <= 1.5)) / total, "power_high": _added(p * ((freq > 1.5) & (freq <= 5.0))) / total,
+    }
 
 
 # fixed values: parts of names that leave a feature out of a subset
