@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odolith.streaming.run import folder
+
 SPAN, FAN = 4096, 64
 #: levels of the trie over groups
 TRIE = 4
@@ -53,11 +55,16 @@ def levels(blocks: DataFrame, h: int, fan: int = FAN) -> list[DataFrame]:
     """The levels over ``leaves``, these first; the last has a root for each group."""
     out = [blocks]
     for k in range(h + 1):
-        up = out[-1].select("grp", _parent(k, h, fan).alias("up"), F.col("idx").alias("o"), "hash", "n")
-        out.append(_joined(up, ["grp", "up"], "o").withColumnRenamed("up", "idx"))
+        out.append(_above(out[-1], k, h, fan))
     return out
 
 
+def _above(nodes: DataFrame, k: int, h: int, fan: int) -> DataFrame:
+    """The level over level k."""
+    up = nodes.select("grp", _parent(k, h, fan).alias("up"), F.col("idx").alias("o"), "hash", "n")
+    return _joined(up, ["grp", "up"], "o").withColumnRenamed("up", "idx")
+
+
 def root(groups: DataFrame) -> DataFrame:
     """(hash, n) of the whole table, from the last of ``levels``."""
     d = groups.select(F.substring(F.sha2(_text("grp"), 256), 1, TRIE).alias("p"), F.conv(F.substring(F.sha2(_text("grp"), 256), TRIE + 1, 12), 16, 10).cast("long").alias("o"), "hash", "n")
@@ -70,15 +77,27 @@ def root(groups: DataFrame) -> DataFrame:
 
 def differing_blocks(a: DataFrame, b: DataFrame, fan: int = FAN) -> DataFrame:
     """(grp, idx) of the blocks in which two tables of ``leaves`` differ: from the groups' roots down, only what is under a node that differs is looked at."""
-    h = height(a, b, fan=fan)
+    h, spark, at = height(a, b, fan=fan), a.sparkSession, folder(a.sparkSession)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        # both sides of a level take what the level above found, so that a plan which isn't cut here would double with each level
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    trees = []
+    for side, x in zip("ab", (a, b), strict=True):
+        own = [x]
+        for k in range(h + 1):
+            own.append(kept(_above(own[-1], k, h, fan), f"{side}{k}"))
+        trees.append(own)
     wanted = None
-    for k, (x, y) in reversed(list(enumerate(zip(levels(a, h, fan), levels(b, h, fan), strict=True)))):
+    for k, (x, y) in reversed(list(enumerate(zip(*trees, strict=True)))):
         x, y = (t.select("grp", "idx", F.col("hash").alias(n), _parent(k, h, fan).alias("up")) for t, n in ((x, "ha"), (y, "hb")))
         if wanted is not None:
             x, y = (t.join(wanted, F.col("grp").eqNullSafe(F.col("_g")) & F.col("up").eqNullSafe(F.col("_i")), "left_semi") for t in (x, y))
         met = x.alias("x").join(y.alias("y"), F.col("x.grp").eqNullSafe(F.col("y.grp")) & F.col("x.idx").eqNullSafe(F.col("y.idx")), "full")
         here = F.coalesce("ha", "hb").isNotNull() & ~F.col("ha").eqNullSafe(F.col("hb"))
-        wanted = met.where(here).select(F.coalesce("x.grp", "y.grp").alias("_g"), F.coalesce("x.idx", "y.idx").alias("_i"))
+        wanted = kept(met.where(here).select(F.coalesce("x.grp", "y.grp").alias("_g"), F.coalesce("x.idx", "y.idx").alias("_i")), f"odd{k}")
     return wanted.select(F.col("_g").alias("grp"), F.col("_i").alias("idx"))
 
 

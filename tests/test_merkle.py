@@ -53,3 +53,14 @@ def test_first_differences(spark, fan):
     got = merkle.first_differences(spark.createDataFrame(rows, KIND), spark.createDataFrame(other, KIND), "g", "o", ["v", "w"], span=8, fan=fan)
     assert {r["grp"]: r["o"] for r in got.collect()} == want and "new" in want
     assert not merkle.first_differences(spark.createDataFrame(rows, KIND), spark.createDataFrame(rows[::-1], KIND), "g", "o", ["v", "w"], span=8, fan=fan).collect()
+
+
+def test_plans_do_not_double_with_levels(spark):
+    """The plan that finds the blocks is as long for many levels as for few."""
+    rows, size = rows_of(), {}
+    for fan in (4, 64):
+        leaf = merkle.leaves(spark.createDataFrame(rows, KIND), "g", "o", ["v", "w"], 8)
+        odd = merkle.differing_blocks(leaf, leaf.where("idx <> 3"), fan)
+        size[fan] = odd._jdf.queryExecution().optimizedPlan().toString().count("Join")
+        assert {r["idx"] for r in odd.collect()} == {3}
+    assert size[4] <= size[64]
