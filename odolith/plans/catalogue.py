@@ -889,7 +889,7 @@ def _(spark, d):
     f = _split(_windows(spark, d, _THREE))[0]
     f = f.select(*KEYS, r6("y"), r6(F.col("acc_mag__m")).alias("acc_mag_mean"), r6(F.array_max("gz")).alias("gz_max"), r6(_base("jerk_mag")["std"]).alias("jerk_mag_std"), F.lit(0).alias("setting")).persist()
     names = ["acc_mag_mean", "gz_max", "jerk_mag_std"]
-    edges = trees.bin_edges(f, names)
+    edges = trees.bin_edges(f, names, exact=True)
     data = trees.binned(f, names, edges)
     model = trees.fit(data, [trees.Spec("m", (0, 1, 2), "squared", trees=0)], names, edges)["m"]
     return trees.histograms(data, model).select("feature", "bin", F.col("n").cast("long").alias("n"), r6("g", 4))
