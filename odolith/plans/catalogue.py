@@ -930,8 +930,7 @@ def _(spark, d):
 def _(spark, d):
     """Rows 11 to 40 of each drive, from its log, by the bytes that hold them."""
     at = run.folder(spark)
-    kept = drive_view(spark, d).select(F.col("drive_id").alias("name"), "rn", "speed", "acc_x", "gyro_z")
-    kept.repartition("name").sortWithinPartitions("name", "rn").drop("rn").write.partitionBy("name").option("header", True).csv(f"{at}/logs")
+    log_rows.write_logs(drive_view(spark, d).select(*KEYS, "speed", "acc_x", "gyro_z"), f"{at}/logs")
     log_rows.write_index(spark, f"{at}/logs", f"{at}/index", block=1 << 12, min_bytes=0)
     logs = log_rows.read_rows(spark, f"{at}/logs", f"{at}/index").where("rn > 10 AND rn <= 40")
-    return logs.select(F.regexp_extract("drive_id", "name=([0-9]+)/", 1).cast("long").alias("drive_id"), "rn", *[r6(F.col(c).cast("double")).alias(c) for c in ("speed", "acc_x", "gyro_z")])
+    return logs.select(F.col("drive_id").cast("long").alias("drive_id"), "rn", *[r6(F.col(c).cast("double")).alias(c) for c in ("speed", "acc_x", "gyro_z")])

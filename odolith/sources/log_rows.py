@@ -1,9 +1,9 @@
 r"""Row ranges of CSV logs, reading only the bytes that hold them.
 
 ``write_index`` counts, once, the lines that begin in each block of each log and writes a row per block. The data source
-``log_rows`` plans its partitions from that index: a partition is a range of bytes of one file with the number of its first row, and
+``log_rows`` plans its partitions from that index: ranges of bytes of files, each with the number of its first row, and
 ranges of rows or names of drives, as filters on rn and drive_id or as the manifest of ``read_slices``, leave the other blocks unread.
-A log of any length is as many tasks as it has parts of ``PART`` bytes.
+A log of any length is as many tasks as it has parts of ``PART`` bytes; short ones share a task, where each counts as ``OPENING`` bytes more.
 
 Columns are strings (an empty field is null), named by the first log's header; other logs match by name. To these come drive_id (the log's path
 below the root, without .csv), rn (from 1) and driver_id. A row is a line: fields with line breaks in them aren't supported; empty lines don't
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import csv
 import json
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +32,10 @@ from .drives import infer_driver
 
 BLOCK = 4 << 20
 PART = 64 << 20
+OPENING = 256 << 10
 _INDEX = "path string, drive_id string, start long, stop long, first_rn long, rows long"
 _ADDED = ("drive_id", "rn", "driver_id")
+_ROWS = 10_000
 
 
 def _fs(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -97,8 +100,48 @@ def write_index(spark: SparkSession, root: str, index: str, block: int = BLOCK,
     out.where("rows > 0").repartitionByRange("drive_id", "start").sortWithinPartitions("drive_id", "start").write.mode("overwrite").parquet(index)
 
 
+def write_logs(df: DataFrame, root: str) -> None:
+    """Writes rows (drive_id, rn, values) as a log for each drive, named by it, in order of rn. A log appears once it is whole, so a task may be run again."""
+    names = [c for c in df.columns if c not in ("drive_id", "rn")]
+    fs, base = _fs(root)
+    fs.create_dir(base, recursive=True)
+
+    def write(batches):
+        drive, file, part, done = None, None, "", 0
+        for b in batches:
+            ids, rows = b.column("drive_id").to_numpy(zero_copy_only=False), pa.table([b.column(c) for c in names], names)
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                new = file is None or ids[i] != drive
+                if new:
+                    if file is not None:
+                        file.close()
+                        fs.move(part, f"{base}/{drive}.csv")
+                    drive, part = ids[i], f"{base}/{ids[i]}.{uuid.uuid4().hex}.part"
+                    file, done = fs.open_output_stream(part), done + 1
+                pa.csv.write_csv(rows.slice(i, j - i), file, pa.csv.WriteOptions(include_header=new))
+        if file is not None:
+            file.close()
+            fs.move(part, f"{base}/{drive}.csv")
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["logs"])
+
+    df.repartition("drive_id").sortWithinPartitions("drive_id", "rn").mapInArrow(write, "logs long").agg(F.sum("logs")).first()
+
+
+@dataclass
+class Pieces(InputPartition):
+    """``path`` is the first one's; ``stop`` less ``start`` is the bytes of all."""
+
+    own: list
+    path: str
+    start: int = 0
+    stop: int = 0
+
+
 @dataclass
-class Piece(InputPartition):
+class Piece:
     path: str
     drive_id: str
     start: int
@@ -149,7 +192,7 @@ class LogReader(DataSourceReader):
                 self.drives = named if self.drives is None else self.drives & named
             yield f
 
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[Pieces]:
         wanted = None
         if "ranges" in self.options:
             wanted = {}
@@ -171,27 +214,49 @@ class LogReader(DataSourceReader):
                 out[-1].stop = stop
             else:
                 out.append(Piece(path, drive, start, stop, first, ranges))
-        return out
-
-    def read(self, partition: Piece | None):
+        tasks, size = [], 0
+        for p in out:
+            more = p.stop - p.start + OPENING
+            if not tasks or size + more > self.part + OPENING:
+                tasks.append(Pieces([], p.path))
+                size = 0
+            tasks[-1].own.append(p)
+            tasks[-1].stop += p.stop - p.start
+            size += more
+        return tasks
+
+    def read(self, partition: Pieces | None):
         if partition is None:  # what Spark makes of no partitions
             return
         fs, _ = _fs(self.options["path"])
-        with fs.open_input_file(partition.path) as f:
+        held, size = [], 0
+        for piece in partition.own:
+            rows = self._rows(fs, piece)
+            if rows is not None:
+                held.append(rows)
+                size += rows.num_rows
+            if size >= _ROWS:
+                yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=_ROWS)
+                held, size = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=_ROWS)
+
+    def _rows(self, fs: pa.fs.FileSystem, piece: Piece) -> pa.Table | None:
+        with fs.open_input_file(piece.path) as f:
             size = f.size()
             header = _header(f, size)
-            text = _lines(f, size, partition.start, partition.stop).decode("latin-1")
+            text = _lines(f, size, piece.start, piece.stop).decode("latin-1")
         if not text:
-            return
+            return None
         own = _parsed(text, header)
-        rn = partition.first_rn + np.arange(own.num_rows)
+        rn = piece.first_rn + np.arange(own.num_rows)
         keep = np.zeros(len(rn), bool)
-        for a, b in partition.ranges:
+        for a, b in piece.ranges:
             keep |= (rn >= max(a, 1)) & (rn <= b)
         none = pa.nulls(own.num_rows, pa.string())
         cols = [own[n].combine_chunks() if n in header else none for n in self.names]
-        cols += [pa.array([partition.drive_id] * len(rn), pa.string()), pa.array(rn, pa.int64()), pa.array([partition.path] * len(rn), pa.string())]
-        yield from pa.table(cols, [*self.names, *_ADDED]).filter(pa.array(keep)).to_batches(max_chunksize=10_000)
+        cols += [pa.array([piece.drive_id] * len(rn), pa.string()), pa.array(rn, pa.int64()), pa.array([piece.path] * len(rn), pa.string())]
+        return pa.table(cols, [*self.names, *_ADDED]).filter(pa.array(keep))
 
 
 def _parsed(text: str, header: list[str]) -> pa.Table:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from odolith.sources import drives, log_rows
 
@@ -86,3 +87,16 @@ def test_pointers_and_no_logs(spark, tmp_path):
     log_rows.write_index(spark, str(tmp_path / "logs"), str(tmp_path / "i"))
     df = log_rows.read_rows(spark, str(tmp_path / "logs"), str(tmp_path / "i"))
     assert df.count() == 0 and df.columns == ["drive_id", "rn", "driver_id"]
+
+
+def test_short_logs_share_tasks(spark, tmp_path):
+    """Logs are written whole, drives longer than a batch too, and many short ones are few tasks."""
+    rows = spark.range(30_000).select(F.when(F.col("id") < 15_000, F.lit(7)).otherwise(F.col("id") % 400 + 100).alias("drive_id"), F.col("id").alias("rn"), (F.col("id") / 7).alias("v"))
+    log_rows.write_logs(rows, str(tmp_path / "logs"))
+    log_rows.write_index(spark, str(tmp_path / "logs"), str(tmp_path / "i"), min_bytes=0)
+    got = log_rows.read_rows(spark, str(tmp_path / "logs"), str(tmp_path / "i"))
+    assert got.rdd.getNumPartitions() < 10
+    want = rows.toPandas().sort_values(["drive_id", "rn"])
+    back = got.select(F.col("drive_id").cast("long").alias("drive_id"), "rn", F.col("v").cast("double").alias("v")).toPandas().sort_values(["drive_id", "rn"])
+    assert back["drive_id"].tolist() == want["drive_id"].tolist() and back["v"].tolist() == want["v"].tolist()
+    assert (back.groupby("drive_id")["rn"].agg(["min", "max", "size"]).assign(d=lambda x: x["max"] - x["size"])[["min", "d"]] == [1, 0]).all(axis=None)
