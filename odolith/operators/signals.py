@@ -73,15 +73,19 @@ def with_signals(df: DataFrame, rate: float = 10.0, causal: bool = False) -> Dat
     ).drop("dax", "day", "daz", "dgx", "dgy", "dgz")
 
 
-def signals_of(sensors: np.ndarray, rate: float = 10.0, causal: bool = False) -> dict[str, np.ndarray]:
-    """``with_signals`` of rows (acc_x, acc_y, acc_z, gyro_x, gyro_y, gyro_z) in order."""
+def signals_of(sensors: np.ndarray, rate: float = 10.0, causal: bool = False, start: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """``with_signals`` of rows (acc_x, acc_y, acc_z, gyro_x, gyro_y, gyro_z) in order; of several drives' rows if it is said where each begins."""
     n = len(sensors)
+    first = np.zeros(n + 1, bool)
+    first[np.append([0] if start is None else start, n)] = True
     step = np.zeros_like(sensors)
     if n > 1:
         step[1:] = (sensors[1:] - sensors[:-1]) * rate
         if not causal:
-            step[0] = step[1]
-            step[1:-1] = (sensors[2:] - sensors[:-2]) * rate / 2
+            inner, begins = np.flatnonzero(~first[:-1] & ~first[1:]), np.flatnonzero(first[:-1] & ~first[1:])
+            step[begins] = step[begins + 1]
+            step[inner] = (sensors[inner + 1] - sensors[inner - 1]) * rate / 2
+        step[np.flatnonzero(first[:-1] & (first[1:] | causal))] = 0
     norm = lambda x: np.sqrt((x * x).sum(1))
     made = [*sensors.T, norm(sensors[:, :3]), norm(sensors[:, 3:]), norm(sensors[:, :2]), norm(step[:, :3]), norm(step[:, 3:]), step[:, 5]]
     return dict(zip(SIGNALS, made, strict=True))

@@ -141,7 +141,7 @@ _PIECE = 100_000
 
 
 def _together(pdf: pd.DataFrame, fix_every: int, carried: dict) -> tuple[pd.DataFrame, dict]:
-    """Sorted events of several drives, all drives in step; and the last drive's engine, which the next piece may go on with.
+    """Sorted events of several drives, all drives in step; and each drive's engine at its end, which later events may go on with.
 
     A sample's row has the state after the fixes of its own time. ``pdf`` may have kind and t; without them all rows are samples.
     """
@@ -176,9 +176,8 @@ def _together(pdf: pd.DataFrame, fix_every: int, carried: dict) -> tuple[pd.Data
         k = k[t[latest[k]] == t[i[k]]]
         for c, v in zip(_NAMES[3:], (bank.speed, bank.heading, bank.x, bank.y, bank.bias, bank.sigma, bank.still, bank.alert), strict=True):
             out[c][latest[k]] = v[k]
-    last = int(np.argmax(start))
     made = pd.DataFrame({"drive_id": ids, "rn": pdf["rn"].to_numpy(), **out})
-    return made[kind == SAMPLE].reset_index(drop=True), {ids[-1]: bank.engine(last)}
+    return made[kind == SAMPLE].reset_index(drop=True), {d: bank.engine(k) for k, d in enumerate(ids[start].tolist())}
 
 
 def _in_step(df: DataFrame, fix_every: int, order: list[str]) -> DataFrame:
@@ -200,7 +199,8 @@ def _in_step(df: DataFrame, fix_every: int, order: list[str]) -> DataFrame:
                         cut -= 1
                     held, size = [whole.iloc[cut:]], len(whole) - cut
                 if cut:
-                    out, carried = _together(whole.iloc[:cut], fix_every, carried)
+                    out, ends = _together(whole.iloc[:cut], fix_every, carried)
+                    carried = {d: ends[d] for d in whole["drive_id"].iloc[cut - 1 : cut]}
                     yield out
         if held:
             yield _together(pd.concat(held, ignore_index=True), fix_every, carried)[0]
@@ -230,21 +230,13 @@ def replay_events(happened: DataFrame) -> DataFrame:
 
 
 class _Device(InOrder):
-    def take(self, key, state, t, kind, rn, v):
-        e = DeviceEngine.unpacked(state) if state else DeviceEngine()
-        rows, at = [], None
-        for i in range(len(t)):
-            if kind[i] == RESET:
-                e.reset()
-                continue
-            if kind[i] == SAMPLE:
-                rows.append([key, int(rn[i]), e.sample(*v[i, :6])])
-                at = t[i]
-            else:
-                e.fix(*v[i, :4])
-            if at == t[i]:
-                rows[-1][3:] = [e.speed, e.heading, e.x, e.y, e.bias, e.sigma, e.still, e.alert]
-        return e.packed(), pd.DataFrame(rows, columns=_NAMES)
+    def take(self, d):
+        pdf = pd.DataFrame({"drive_id": d.drive, "t": d.t, "kind": d.kind, "rn": d.rn})
+        for kind, names in ((SAMPLE, _SENSED), (FIX, _FIXED)):
+            own = d.kind == kind
+            pdf = pdf.assign(**{c: np.where(own, d.v[:, k], np.nan) for k, c in enumerate(names)})
+        out, ends = _together(pdf, 0, {i: DeviceEngine.unpacked(s.tolist()) for i, s in zip(d.ids, d.states, strict=True) if s is not None})
+        return [np.array(ends[i].packed()) for i in d.ids], out
 
 
 def stream(happened: DataFrame, late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -260,14 +252,20 @@ class _Carry(InOrder):
         super().__init__(idle_ms)
         self.values, self.shown = values, shown
 
-    def take(self, key, state, t, kind, rn, v):
-        rows = pd.DataFrame(np.concatenate([np.array([state if state else [np.nan] * v.shape[1]]), v])).ffill().to_numpy()[1:]
-        own = np.isin(kind, self.shown)
+    def take(self, d):
+        before = np.array([np.full(d.v.shape[1], np.nan) if s is None else s for s in d.states])
+        place = np.arange(len(d.drive)) + np.cumsum(np.bincount(d.start, minlength=len(d.drive)))  # behind the own drive's state
+        rows = np.empty((len(d.drive) + len(d.ids), d.v.shape[1]))
+        rows[place], rows[d.start + np.arange(len(d.ids))] = d.v, before
+        drive = np.empty(len(rows), np.int64)
+        drive[place], drive[d.start + np.arange(len(d.ids))] = d.drive, d.ids
+        rows = pd.DataFrame(rows).groupby(drive).ffill().to_numpy()[place]
+        own = np.isin(d.kind, self.shown)
         out = pd.DataFrame(rows[own], columns=self.values).astype(object)
         out = out.where(out.notna(), None)
-        out.insert(0, "t", t[own] / 1e6)
-        out.insert(0, "drive_id", key)
-        return rows[-1].tolist(), out
+        out.insert(0, "t", d.t[own] / 1e6)
+        out.insert(0, "drive_id", d.drive[own])
+        return [rows[k - 1] for k in np.append(d.start[1:], len(rows))], out
 
 
 def carry_stream(df: DataFrame, values: list[str], late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:

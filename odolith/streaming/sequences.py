@@ -15,7 +15,7 @@ from odolith.operators import ekf, features
 from odolith.operators.context import STANDSTILL, TUNNEL, context_of
 from odolith.operators.signals import SIGNALS, signals_of
 from odolith.sources.drives import SENSORS
-from odolith.streaming.in_order import IDLE_MS, LATE, InOrder, events, in_order
+from odolith.streaming.in_order import IDLE_MS, LATE, Drives, InOrder, events, in_order
 
 _AHEAD, _BACK = 4, 5
 _FILTERED = ["timestamp", "acc_x", "acc_y", "gyro_z", "ambient_lux", "ai_speed", "ai_speed_std", "pos_x", "pos_y", "speed", "heading", "in_outage", "aggressive"]
@@ -23,19 +23,25 @@ FUSED = [*ekf.STATE, "open_loop_pos_x", "open_loop_pos_y", "fused_pos_error_m",
 
 
 class _Rows:
-    """Rows kept in a state: their number comes first, then what else there is, then time, row number and values of each."""
+    """Rows kept in a drive's state: what else there is comes first, then time, row number and values of each row."""
 
     def __init__(self, width: int, fixed: int):
         self.width, self.fixed = width + 2, fixed
 
-    def unpacked(self, state: list[float] | None) -> tuple[list[float], np.ndarray]:
-        if not state:
-            return [0.0] * self.fixed, np.zeros((0, self.width))
-        return state[: self.fixed], np.array(state[self.fixed :]).reshape(-1, self.width)
+    def unpacked(self, states: list[np.ndarray | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """A row of the rest for each drive, and the kept rows."""
+        own = np.array([np.zeros(self.fixed) if s is None else s[: self.fixed] for s in states]).reshape(-1, self.fixed)
+        return own, [np.zeros((0, self.width)) if s is None else s[self.fixed :].reshape(-1, self.width) for s in states]
+
+    def with_new(self, d: Drives) -> tuple[np.ndarray, list[np.ndarray]]:
+        """``unpacked``, with the new rows behind the kept ones."""
+        own, kept = self.unpacked(d.states)
+        # a double holds 15 digits of the microseconds exactly, and row numbers too
+        return own, [np.concatenate(x) if len(x[0]) else x[1] for x in zip(kept, d.parts(np.column_stack([d.t, d.rn, d.v])), strict=True)]
 
     @staticmethod
-    def packed(other: list[float], rows: np.ndarray) -> list[float]:
-        return [*map(float, other), *rows.ravel().tolist()]
+    def packed(own: np.ndarray, rows: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.concatenate([o, r.ravel()]) for o, r in zip(own, rows, strict=True)]
 
 
 class _Filter(InOrder):
@@ -46,38 +52,44 @@ class _Filter(InOrder):
         self.scale, self.first_dt = scale, first_dt
         self.rows = _Rows(len(_FILTERED), 3 + 6 + 36)
 
-    def take(self, key, state, t, kind, rn, v):
-        own, kept = self.rows.unpacked(state)
-        # a double holds 15 digits of the microseconds exactly, and row numbers too
-        return self._run(key, own, np.concatenate([kept, np.column_stack([t, rn, v])]), _AHEAD)
+    def take(self, d):
+        return self._run(np.array(d.ids), *self.rows.with_new(d), _AHEAD)
 
-    def finish(self, key, state):
-        return self._run(key, *self.rows.unpacked(state), 0)[1]
+    def finish(self, ids, states):
+        return self._run(np.array(ids), *self.rows.unpacked(states), 0)[1]
 
-    def _run(self, key, own, rows, ahead):
-        done, begun = int(own[0]), bool(own[1])
-        until = len(rows) - ahead
-        if until <= done or (not begun and self.first_dt is None and len(rows) < 2 and ahead):
+    def _run(self, ids, own, rows, ahead):
+        """All drives that have a row to filter are run in step."""
+        size, done, begun = np.array([len(r) for r in rows]), own[:, 0].astype(np.int64), own[:, 1] > 0
+        until = size - ahead
+        due = np.flatnonzero((until > done) & (begun | (size >= 2) | (ahead == 0) | (self.first_dt is not None)))
+        if not len(due):
             return self.rows.packed(own, rows), None
-        at = np.arange(done, until)
-        c = {n: rows[:, 2 + k] for k, n in enumerate(_FILTERED)}
-        var = np.zeros(len(at))
+        every, size, done, begun, until = np.concatenate([rows[k] for k in due]), size[due], done[due], begun[due], until[due]
+        start = np.cumsum(size) - size
+        drive, local = np.repeat(np.arange(len(due)), size), np.arange(len(every)) - np.repeat(start, size)
+        at = np.flatnonzero((local >= done[drive]) & (local < until[drive]))
+        c = {n: every[:, 2 + k] for k, n in enumerate(_FILTERED)}
+        var, wide = np.zeros(len(at)), np.full(len(every) + len(due) * (_BACK + _AHEAD), np.nan)
+        place = np.arange(len(every)) + drive * (_BACK + _AHEAD) + _BACK  # each drive with room on both sides
         for axis in ("acc_x", "acc_y"):
-            wide = np.concatenate([np.full(_BACK, np.nan), c[axis], np.full(_AHEAD, np.nan)])
-            var += np.nanvar(np.lib.stride_tricks.sliding_window_view(wide, _BACK + _AHEAD + 1)[at], axis=1)
+            wide[place] = c[axis]
+            var += np.nanvar(np.lib.stride_tricks.sliding_window_view(wide, _BACK + _AHEAD + 1)[place[at] - _BACK], axis=1)
         mode = context_of(c["ambient_lux"][at], np.fmin(c["ai_speed"], c["speed"])[at], var * self.scale, np.abs(c["gyro_z"][at]))
         dt = np.diff(c["timestamp"], prepend=np.nan)
-        if not begun:
-            own[2] = c["aggressive"][0] > 0
-            dt[0] = self.first_dt if self.first_dt is not None else dt[1] if len(rows) > 1 else 0.1
+        new = start[~begun]
+        own[due[~begun], 2] = c["aggressive"][new] > 0
+        dt[new] = self.first_dt if self.first_dt is not None else np.where(size[~begun] > 1, dt[np.minimum(new + 1, len(dt) - 1)], 0.1)
         pdf = pd.DataFrame({n: c[n][at] for n in ("ai_speed", "ai_speed_std", "gyro_z", "pos_x", "pos_y", "speed", "heading")})
-        pdf = pdf.assign(drive_id=0, rn=rows[at, 1].astype(np.int64), dt=dt[at], still=mode == STANDSTILL, tunnel=mode == TUNNEL, in_outage=c["in_outage"][at] > 0, aggressive=own[2] > 0)
-        carried = {0: (np.array(own[3:9]), np.array(own[9:45]).reshape(6, 6))} if begun else None
+        pdf = pdf.assign(drive_id=drive[at], rn=every[at, 1].astype(np.int64), dt=dt[at], still=mode == STANDSTILL, tunnel=mode == TUNNEL, in_outage=c["in_outage"][at] > 0, aggressive=own[due, 2][drive[at]] > 0)
+        carried = {k: (own[due[k], 3:9], own[due[k], 9:45].reshape(6, 6)) for k in np.flatnonzero(begun).tolist()}
         got, ends = ekf.run_filter(pdf, ekf.FilterParams(), carried)
-        x, p = ends[0]
-        out = got.assign(drive_id=key, context_mode=mode, fused_pos_error_m=np.hypot(got["fused_pos_x"] - pdf["pos_x"], got["fused_pos_y"] - pdf["pos_y"]), open_loop_error_m=np.hypot(got["open_loop_pos_x"] - pdf["pos_x"], got["open_loop_pos_y"] - pdf["pos_y"]))
-        first = max(0, until - _BACK)
-        return self.rows.packed([until - first, 1, own[2], *x, *p.ravel()], rows[first:]), out[["drive_id", "rn", "context_mode", *FUSED]]
+        out = got.assign(drive_id=ids[due][drive[at]], context_mode=mode, fused_pos_error_m=np.hypot(got["fused_pos_x"] - pdf["pos_x"], got["fused_pos_y"] - pdf["pos_y"]), open_loop_error_m=np.hypot(got["open_loop_pos_x"] - pdf["pos_x"], got["open_loop_pos_y"] - pdf["pos_y"]))
+        first = np.maximum(0, until - _BACK)
+        for k, q in enumerate(due.tolist()):
+            x, p = ends[k]
+            own[q, 0], own[q, 1], own[q, 3:9], own[q, 9:45], rows[q] = until[k] - first[k], 1, x, p.ravel(), rows[q][first[k] :]
+        return self.rows.packed(own, rows), out[["drive_id", "rn", "context_mode", *FUSED]]
 
 
 def fuse_stream(df: DataFrame, scale: float = 1.0, first_dt: float | None = None, late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -100,28 +112,27 @@ class _Windows(InOrder):
         self.size, self.step, self.causal, self.rate = size, step, causal, rate
         self.rows = _Rows(len(_WINDOWED), 2)
 
-    def take(self, key, state, t, kind, rn, v):
-        own, kept = self.rows.unpacked(state)
-        return self._run(key, own, np.concatenate([kept, np.column_stack([t, rn, v])]), 0 if self.causal else 1)
+    def take(self, d):
+        return self._run(np.array(d.ids), *self.rows.with_new(d), 0 if self.causal else 1)
 
-    def finish(self, key, state):
-        return self._run(key, *self.rows.unpacked(state), 0)[1]
+    def finish(self, ids, states):
+        return self._run(np.array(ids), *self.rows.unpacked(states), 0)[1]
 
-    def _run(self, key, own, rows, ahead):
-        """Ends of windows among the rows from ``own[1]`` on, of which the last ``ahead`` wait for a neighbour."""
-        before, done = int(own[0]), int(own[1])
-        until = len(rows) - ahead
-        place = before + np.arange(done, max(until, done)) + 1  # as row numbers from 1 on
-        ends = np.flatnonzero((place >= self.size) & ((place - self.size) % self.step == 0)) + done
-        first = max(0, until - self.size)
+    def _run(self, ids, own, rows, ahead):
+        """Ends of windows among each drive's rows from its ``own[1]`` on, of which the last ``ahead`` wait for a neighbour."""
+        every, size = np.concatenate(rows), np.array([len(r) for r in rows])
+        before, done = own.astype(np.int64).T
+        until, start = size - ahead, np.cumsum(size) - size
+        drive, local = np.repeat(np.arange(len(rows)), size), np.arange(len(every)) - np.repeat(start, size)
+        place = before[drive] + local + 1  # as row numbers from 1 on
+        ends = np.flatnonzero((local >= done[drive]) & (local < until[drive]) & (place >= self.size) & ((place - self.size) % self.step == 0))
         out = None
         if len(ends):
-            sig = signals_of(rows[:, 2:8], self.rate, self.causal)
+            sig = signals_of(every[:, 2:8], self.rate, self.causal, start[size > 0])
             spans = ends[:, None] + np.arange(1 - self.size, 1)[None]
-            out = pd.DataFrame({"drive_id": key, "rn": rows[ends, 1].astype(np.int64), "t_end": rows[ends, 8], "y": rows[ends, 9]})
-            for s in SIGNALS:
-                out[s] = list(sig[s][spans])
-        return self.rows.packed([before + first, until - first], rows[first:]), out
+            out = pd.DataFrame({"drive_id": ids[drive[ends]], "rn": every[ends, 1].astype(np.int64), "t_end": every[ends, 8], "y": every[ends, 9], **{s: list(sig[s][spans]) for s in SIGNALS}})
+        first = np.maximum(0, until - self.size)
+        return self.rows.packed(np.column_stack([before + first, until - first]).astype(float), [r[k:] for r, k in zip(rows, first.tolist(), strict=True)]), out
 
 
 def windows_stream(df: DataFrame, size: int = 15, step: int = 2, causal: bool = False, late: str | None = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
