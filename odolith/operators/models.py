@@ -53,16 +53,31 @@ class SpeedModel:
     bins: list[float] = field(default_factory=list)
     trees: list | None = field(default=None, repr=False, compare=False)
     fitted: dict[str, trees.Ensemble] = field(default_factory=dict, repr=False, compare=False)
+    #: a random forest grown by the shared trainer, to the size and from the seed that Spark ML's has here; Spark ML's sums up every node's bins over all tasks, which at this size doesn't end
+    shared: bool = False
+
+    @property
+    def _is_shared(self) -> bool:
+        return self.kind in SHARED or self.shared
 
     def train(self, df: DataFrame, names: list[str], calibration: DataFrame | None = None) -> SpeedModel:
         if self.kind not in {**KINDS, **SHARED} or self.method not in METHODS or (self.method == "ensemble" and self.kind != "random_forest"):
             raise ValueError(f"no {self.method} uncertainty for {self.kind}")
+        if self.shared and self.kind != "random_forest":
+            raise ValueError(f"{self.kind} is not grown as a shared forest")
         calibrated = self.method == "conformal" or (self.method == "quantile" and self.kind != "hist")
         if calibrated and calibration is None:
             raise ValueError(f"{self.method} uncertainty is calibrated on rows of its own")
         self.names, self.trees = names, None
         if self.kind in SHARED:
             self.fitted = fit_together(df.withColumn("setting", F.lit(0)), names, {s.name: s for s in SHARED[self.kind](self.options)})[0]
+        elif self.shared:
+            asked, data = KINDS[self.kind](self.options), df.withColumn("setting", F.lit(0))
+            edges = trees.bin_edges(data, names)
+            rows = trees.binned(data, names, edges).persist()
+            spec = trees.Spec("point", tuple(range(len(names))), trees=asked.getNumTrees(), depth=asked.getMaxDepth(), seed=asked.getSeed())
+            self.fitted = {"point": trees.forest(rows, spec, names, edges)}
+            rows.unpersist()
         else:
             regressor = KINDS[self.kind](self.options)
             self.model = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), regressor.fit(VectorAssembler(inputCols=names, outputCol="features").transform(df.select("y", *names)))])
@@ -89,7 +104,7 @@ class SpeedModel:
         return out.withColumns({"v_pred" if n == "point" else f"v_{n}": F.col(f"_p.{n}") for n in self.fitted}).drop("_p")
 
     def _point(self, df: DataFrame) -> DataFrame:
-        if self.kind in SHARED:
+        if self._is_shared:
             return self._shared(df)
         return self.model.transform(df).withColumn("v_pred", F.greatest("prediction", F.lit(0.0))).drop("prediction")
 
@@ -107,17 +122,21 @@ class SpeedModel:
 
     def _over_trees(self, df: DataFrame) -> DataFrame:
         """Mean and deviation over a forest's trees, in one pass over broadcast trees rather than a transformer for each."""
-        if self.trees is None:
+        if self.trees is None and not self.shared:
             self.trees = [_nodes(t.toDebugString) for t in self.model.stages[1].trees]  # text of the model's size
-        sent, names = df.sparkSession.sparkContext.broadcast(self.trees), self.names
+        shared, names = self.shared, self.names
+        sent = df.sparkSession.sparkContext.broadcast(self.fitted["point"] if shared else self.trees)
 
         @F.pandas_udf("v_pred double, v_std double")
         def over(x: pd.Series) -> pd.DataFrame:
             rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(names)))
-            got = np.stack([_walk(t, rows) for t in sent.value]) if len(rows) else np.zeros((1, 0))
+            if shared:
+                got = sent.value.each(trees.codes_of(rows.astype(float), sent.value.edges)) if len(rows) else np.zeros((1, 0))
+            else:
+                got = np.stack([_walk(t, rows) for t in sent.value]) if len(rows) else np.zeros((1, 0))
             return pd.DataFrame({"v_pred": np.maximum(got.mean(0), 0.0), "v_std": np.maximum(got.std(0), 0.05)})
 
-        out = df.withColumn("_p", over(F.array(*[F.col(c).cast("double") for c in names])))
+        out = df.withColumn("_p", over(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) if shared else F.col(c).cast("double") for c in names])))
         return out.withColumn("v_pred", F.col("_p.v_pred")).withColumn("v_std", F.col("_p.v_std")).drop("_p")
 
     def evaluate(self, df: DataFrame) -> dict:
@@ -128,7 +147,7 @@ class SpeedModel:
         return out | (places.asDict() if places else {"medae": None, "p95": None})
 
     def importances(self, top: int | None = None) -> list[tuple[str, float]]:
-        shares = self.fitted["point"].importances().items() if self.kind in SHARED else zip(self.names, self.model.stages[1].featureImportances.toArray().tolist(), strict=True)
+        shares = self.fitted["point"].importances().items() if self._is_shared else zip(self.names, self.model.stages[1].featureImportances.toArray().tolist(), strict=True)
         got = sorted(shares, key=lambda x: (-x[1], x[0]))
         return got[:top]
 
@@ -137,17 +156,17 @@ class SpeedModel:
         return json.dumps({"features": self.names, "model_type": self.kind, "num_features": len(self.names)})
 
     def save(self, spark: SparkSession, path: str) -> None:
-        if self.kind in SHARED:
+        if self._is_shared:
             spark.createDataFrame([(n, json.dumps(m.packed())) for n, m in self.fitted.items()], "name string, model string").write.mode("overwrite").parquet(f"{path}/trees")
         else:
             self.model.write().overwrite().save(f"{path}/model")
-        side = json.dumps({"kind": self.kind, "method": self.method, "options": self.options, "names": self.names, "q_hat": self.q_hat, "bins": self.bins})
+        side = json.dumps({"kind": self.kind, "method": self.method, "options": self.options, "names": self.names, "q_hat": self.q_hat, "bins": self.bins, "shared": self.shared})
         spark.createDataFrame([(side,)], "value string").write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SpeedModel:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        if about["kind"] in SHARED:
+        if about["kind"] in SHARED or about.get("shared"):
             return SpeedModel(fitted={r["name"]: trees.Ensemble.unpacked(json.loads(r["model"])) for r in spark.read.parquet(f"{path}/trees").collect()}, **about)
         return SpeedModel(model=PipelineModel.load(f"{path}/model"), **about)
 

@@ -254,22 +254,35 @@ class _Rows:
 
 def best_splits(hist: np.ndarray, l2: float, least: float) -> tuple[np.ndarray, ...]:
     """Of histograms (nodes, features, 1 + bins, [G, H, n]): gain, feature, bin, nulls left, and G, H, n of the left side, for each node's best split."""
-    total = hist.sum(2)[:, :1]
-    score = lambda x: x[..., 0] ** 2 / np.maximum(x[..., 1] + l2, 1e-300)
+    gain, f, at, null_left = _splits(np.ascontiguousarray(hist[..., 0]), np.ascontiguousarray(hist[..., 1]), l2, least)
+    own = hist[np.arange(len(hist)), f]
+    low = own[:, 1:].cumsum(1)[np.arange(len(hist)), at - 1]
+    return gain, f, at, null_left, np.where(null_left[:, None], low + own[:, 0], low)
+
+
+def _splits(g: np.ndarray, h: np.ndarray, l2: float, least: float) -> tuple[np.ndarray, ...]:
+    """Gain, feature, bin and nulls left of each node's best split, of gradients and Hessians (nodes, features, 1 + bins). A row's Hessian is at least 1, so where there are rows there is one."""
+    total_g, total_h = (x[:, 0].cumsum(1)[:, -1:, None] for x in (g, h))
+    none = total_g**2 / np.maximum(total_h + l2, 1e-300)
+    down_g, down_h = g[:, :, 1:-1].cumsum(2), h[:, :, 1:-1].cumsum(2)
     best = None
-    down = hist[:, :, 1:].cumsum(2)[:, :, :-1]
-    nulls = hist[:, :, :1]
-    for null_left in (False, True) if nulls[..., 2].any() else (False,):
-        low = down + nulls if null_left else down
-        high = total[:, :, None] - low
-        gain = score(low) + score(high) - score(total)[:, :, None]
-        gain = np.where((low[..., 1] >= least) & (high[..., 1] >= least) & (low[..., 2] > 0) & (high[..., 2] > 0), gain / 2, -np.inf)
-        flat = gain.reshape(len(hist), -1)
-        k = flat.argmax(1)
-        g = flat[np.arange(len(hist)), k]
-        own = low.reshape(len(hist), -1, 3)[np.arange(len(hist)), k]
-        new = (g, k // down.shape[2], k % down.shape[2] + 1, np.full(len(hist), null_left), own)
-        best = new if best is None else tuple(np.where((g > best[0]).reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(new, best, strict=True))
+    with np.errstate(divide="ignore", invalid="ignore"):  # sides without rows don't count
+        for null_left in (False, True) if h[:, :, 0].any() else (False,):
+            low_g, low_h = (down_g + g[:, :, :1], down_h + h[:, :, :1]) if null_left else (down_g, down_h)
+            high_g, high_h = total_g - low_g, total_h - low_h
+            poor = np.minimum(low_h, high_h) < max(least, 1e-9)
+            gain = low_g * low_g
+            gain /= low_h + l2 if l2 else low_h
+            high_g *= high_g
+            high_g /= np.add(high_h, l2, out=high_h) if l2 else high_h
+            gain += high_g
+            gain -= none
+            gain /= 2
+            gain[poor] = -np.inf
+            flat = gain.reshape(len(g), -1)
+            k = flat.argmax(1)
+            new = (flat[np.arange(len(g)), k], k // gain.shape[2], k % gain.shape[2] + 1, np.full(len(g), null_left))
+            best = new if best is None else tuple(np.where(new[0] > best[0], x, y) for x, y in zip(new, best, strict=True))
     return best
 
 
@@ -281,6 +294,20 @@ def _histograms(codes: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarra
     return np.stack([np.bincount(at, np.repeat(g, f), size), np.bincount(at, np.repeat(h, f), size), np.bincount(at, minlength=size)], -1).reshape(slots, f, bins, 3)
 
 
+#: cells of histograms and of rows' bins that are worked on at once, so that they stay in a core's cache
+_CELLS = 60_000
+
+
+def _chunks(sizes: np.ndarray, width: int, bins: int):
+    """Runs of nodes whose histograms, and whose rows' bins, are about ``_CELLS`` at most, or single nodes."""
+    cost = np.maximum(sizes, bins) * width
+    begin = 0
+    while begin < len(sizes):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(cost[begin : begin + 64]), _CELLS, "right")))
+        yield begin, min(end, len(sizes))
+        begin = end
+
+
 def _leaf(s: Spec, g: float, h: float, residuals: np.ndarray | None = None) -> float:
     if s.loss == "quantile":
         return s.step * float(np.quantile(residuals, s.alpha, method="inverted_cdf")) if residuals is not None and len(residuals) else 0.0
@@ -292,34 +319,36 @@ def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, r: np.ndarray, depth:
     tree = Tree()
     slot = np.zeros(len(codes), np.int64)  # each row's node
     level = [0]
-    least = s.least
+    width = codes.shape[1]
+    cell = codes + np.arange(width) * bins  # each value's place in a node's histogram
+    ones = bool((h == 1).all())
     for left in range(depth, -1, -1):
         nxt = []
         order = np.argsort(slot, kind="stable")
-        bounds = np.searchsorted(slot[order], level), np.searchsorted(slot[order], level, "right")
-        for k in range(0, len(level), 64):  # as many nodes at once as their histograms allow
-            part = level[k : k + 64]
-            rows = [order[a:b] for a, b in zip(bounds[0][k : k + 64], bounds[1][k : k + 64], strict=True)]
-            own = np.concatenate(rows)
-            sums = np.array([[g[i].sum(), h[i].sum(), len(i)] for i in rows])
-            for node, i, t in zip(part, rows, sums, strict=True):
-                tree.cover[node] = float(t[1])
-                tree.value[node] = _leaf(s, t[0], t[1], r[i])
-            if not left:
-                continue
-            open_ = [j for j, i in enumerate(rows) if sums[j][2] > 1 and sums[j][1] >= 2 * least and np.ptp(r[i]) > 0]
-            if not open_:
-                continue
-            own = np.concatenate([rows[j] for j in open_])
-            place = np.repeat(np.arange(len(open_)), [len(rows[j]) for j in open_])
-            gain, f, b, null_left, _ = best_splits(_histograms(codes[own], place, g[own], h[own], len(open_), bins), s.l2, least)
-            for q, j in enumerate(open_):
-                if gain[q] <= max(s.gamma, 1e-12):
+        begin, end = np.searchsorted(slot[order], level), np.searchsorted(slot[order], level, "right")
+        rows = [order[a:b] for a, b in zip(begin, end, strict=True)]
+        each, size = np.concatenate(rows), end - begin
+        first = np.cumsum(size) - size
+        weight = np.add.reduceat(h[each], first)
+        for node, i, t in zip(level, rows, weight.tolist(), strict=True):
+            tree.cover[node], tree.value[node] = t, _leaf(s, float(g[i].sum()), t, r[i])
+        if not left:
+            break
+        spread = np.maximum.reduceat(r[each], first) > np.minimum.reduceat(r[each], first)
+        open_ = np.flatnonzero((size > 1) & (weight >= 2 * s.least) & spread)
+        for k, until in _chunks(size[open_], width, bins):
+            part = open_[k:until]
+            own, place = np.concatenate([rows[j] for j in part]), np.repeat(np.arange(len(part)), size[part])
+            at, shape = (cell[own] + (place * (width * bins))[:, None]).ravel(), (len(part), width, bins)
+            hist_g = np.bincount(at, np.repeat(g[own], width), len(part) * width * bins).reshape(shape)
+            hist_h = np.bincount(at, None if ones else np.repeat(h[own], width), len(part) * width * bins).astype(float, copy=False).reshape(shape)
+            for j, gain, f, b, null_left in zip(part.tolist(), *(x.tolist() for x in _splits(hist_g, hist_h, s.l2, s.least)), strict=True):
+                if gain <= max(s.gamma, 1e-12):
                     continue
                 i = rows[j]
-                lo, hi = tree.split(part[j], s.features[f[q]], b[q], null_left[q], gain[q])
-                c = codes[i, f[q]]
-                slot[i] = np.where(np.where(c == 0, null_left[q], c <= b[q]), lo, hi)
+                lo, hi = tree.split(level[j], s.features[f], b, null_left, gain)
+                c = codes[i, f]
+                slot[i] = np.where(np.where(c == 0, null_left, c <= b), lo, hi)
                 nxt += [lo, hi]
         level = nxt
         if not level:
@@ -347,8 +376,9 @@ def _sums(data: DataFrame, sent, nodes: list[tuple[int, int]], bins: int, make,
                 slot[[nodes[j][1] for j in own]] = np.arange(len(own))
                 use = np.flatnonzero(slot[leaf] >= 0)
                 f = np.array(models[i].spec.features)
+                codes = rows.codes[at[use]]
                 for k in range(0, len(f) if len(use) else 0, BLOCK):
-                    got = _histograms(rows.codes[at[use]][:, f[k : k + BLOCK]], slot[leaf[use]], g[use], h[use], len(own), bins)
+                    got = _histograms(codes[:, f[k : k + BLOCK]], slot[leaf[use]], g[use], h[use], len(own), bins)
                     for j, x in zip(own, got, strict=True):
                         if x[..., 2].any():
                             key = (j, k // BLOCK)
@@ -500,6 +530,15 @@ def _leaf_quantiles(data: DataFrame, models: list[Ensemble], grown: list[tuple[i
 
 def fit(data: DataFrame, specs: list[Spec], names: list[str], edges: dict[int, list[np.ndarray]]) -> dict[str, Ensemble]:
     """The models of all ``specs`` from the rows of ``binned``, which should be persisted."""
+    return _fit(data, specs, names, edges)
+
+
+def forest(data: DataFrame, spec: Spec, names: list[str], edges: dict[int, list[np.ndarray]]) -> Ensemble:
+    """One forest from the rows of ``binned``."""
+    return _fit(data, [spec], names, edges)[spec.name]
+
+
+def _fit(data: DataFrame, specs: list[Spec], names: list[str], edges: dict[int, list[np.ndarray]]) -> dict[str, Ensemble]:
     if any(s.loss not in LOSSES for s in specs):
         raise ValueError(f"losses are {LOSSES}")
     if not specs:

@@ -563,7 +563,7 @@ def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _(spark, d):
     f, names = _all_windows(spark, d)
     train, test = _split(f)
-    return models.SpeedModel().train(train, names).predict(test).select(*KEYS, "y", "v_pred", "v_std")
+    return models.SpeedModel(shared=True).train(train, names).predict(test).select(*KEYS, "y", "v_pred", "v_std")
 
 
 @query("q40_permutation_importance")
@@ -676,7 +676,7 @@ def _(spark, d):
 def _model(spark, d) -> tuple[models.SpeedModel, DataFrame]:
     """A forest of the full size, trained on two thirds of the drives, and the other drives."""
     f, names = _all_windows(spark, d)
-    return models.SpeedModel().train(_split(f)[0], names), _split(drive_view(spark, d))[1]
+    return models.SpeedModel(shared=True).train(_split(f)[0], names), _split(drive_view(spark, d))[1]
 
 
 @query("q46_robustness")
