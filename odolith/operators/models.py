@@ -248,6 +248,7 @@ def permutation_importance(model: trees.Ensemble, df: DataFrame, names: list[str
     rank = lambda *by: F.row_number().over(W.partitionBy("repeat", "bucket").orderBy(*by))
     each = each.withColumn("i", rank("k", "y")).withColumn("j", rank(F.xxhash64("k", "repeat", F.lit(seed + 1)), F.col("y")))
     dealt = each.select("repeat", "bucket", "i", "y", "b").join(each.select("repeat", "bucket", F.col("j").alias("i"), F.col("b").alias("z")), ["repeat", "bucket", "i"])
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "repeat", "bucket", "i")  # heavy in work, not in bytes: a bucket has a repeat's rows
     sent, places = spark.sparkContext.broadcast(model), [model.names.index(c) for c in wanted]
 
     def swap(batches):

@@ -4,20 +4,22 @@
 forests, the next tree of boosted models) goes level by level. Nodes with many rows share one aggregation a level: every task adds up histograms (gradients, Hessians, counts by feature and bin) of the nodes its rows
 are in, the sums are shuffled by node and block of features, and the best split of each block comes to the driver. A node with at most ``SMALL`` rows goes with all below it to one task
 that finishes the subtree. So the work is a pass a level over one table of bytes, whatever the number of models, and no task holds more than its histograms
-or ``SMALL`` rows. Boosted models' predictions so far are recomputed from the trees that are sent, so no state but the trees outlives a job, and a lost
-executor costs a re-read.
+or ``SMALL`` rows. Boosted models of squared error grow by levels alone, over rows kept as arrays with their residuals, which take in the trees of every ``KEPT`` rounds: a job a level, or for
+a model of at most ``WHOLE`` rows all rounds in one task. Quantile models' predictions so far are recomputed from the trees that are sent. A lost executor costs a re-read.
 
 Bins are quantiles, ``BINS`` of them, in which equal values stay together; a null or NaN is a bin of its own, and each split sends it where the gain is greater.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+import pickle
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ SMALL = 16384
 #: nodes that are aggregated at once, and features of a block
 NODES, BLOCK = 512, 32
 LOSSES = ("forest", "second_order", "squared", "quantile")
+#: losses whose Hessian is 1; rounds after which their rows' residuals are made anew
+SQUARES, KEPT = ("second_order", "squared"), 5
+#: rows up to which such a model grows in one task, and rows that are counted at once there
+WHOLE, PIECE = 65_536, 8192
 
 
 @dataclass(frozen=True)
@@ -162,8 +168,14 @@ def bin_edges(df: DataFrame, names: list[str], bins: int = BINS, exact: bool = F
     """For each setting (a column of few ints) and feature, the greatest values of all bins but the last: from one aggregation of sketches, whose ranks are off by a ten-thousandth
     at most, or ``exact`` from a count of each value, in the ranges that the sketches cut, so that no feature is sorted in one task."""
     share = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    own = df.select("setting", *_values(names))
-    got = own.groupBy("setting").agg(*[F.percentile_approx(c, share, 10000).alias(c) for c in names]).collect()
+    own, width = df.select("setting", *_values(names)), min(BLOCK, len(names))
+    # blocks of features are groups, so that no task merges the sketches of all features
+    blocks = own.select("setting", F.posexplode(F.array(*[F.array(*names[k : k + BLOCK]) for k in range(0, len(names), BLOCK)])).alias("block", "v"))
+    sketched: dict[int, dict] = {}
+    for r in blocks.groupBy("setting", "block").agg(*[F.percentile_approx(F.get("v", F.lit(j)), share, 10000).alias(f"q{j}") for j in range(width)]).collect():
+        one = sketched.setdefault(r["setting"], {"setting": r["setting"]})
+        one.update({c: r[f"q{j}"] for j, c in enumerate(names[r["block"] * BLOCK :][:BLOCK])})
+    got = list(sketched.values())
     if exact:
         return _exact_edges(own, names, bins, got)
     return {r["setting"]: [np.unique(np.array(r[c] or [], float)) for c in names] for r in got}
@@ -528,6 +540,179 @@ def _leaf_quantiles(data: DataFrame, models: list[Ensemble], grown: list[tuple[i
         grown[q][2].value[node] = s.step * float(r["v"][shares.index(s.alpha)])
 
 
+def _packed(data: DataFrame, models: list[Ensemble], apart: bool) -> RDD:
+    """The rows of ``binned`` as pieces, a batch each: bins by feature, and for each model its rows' places (None: all) and residuals. ``apart``: (model, (its rows' bins, residuals and hashes)) instead."""
+
+    def pack(batches):
+        for b in batches:
+            rows, own = _Rows(b), []
+            for i, m in enumerate(models):
+                at = rows.seen(m.spec)
+                if apart and len(at):
+                    own.append((i, pickle.dumps((rows.codes[np.ix_(at, np.array(m.spec.features))], rows.y[at] - m.base, rows.k[at]), 5)))
+                elif not apart:
+                    own.append((None if len(at) == rows.n else at, rows.y[at] - m.base))
+            if not apart:
+                own = [(0, pickle.dumps((np.ascontiguousarray(rows.codes.T), own), 5))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["model", "piece"])
+
+    return data.mapInArrow(pack, "model int, piece binary").rdd
+
+
+def _after(piece: tuple, since: list[list[Walk]]) -> tuple:
+    """A piece whose residuals are those after the trees of ``since``."""
+    codes, own = piece
+    done = []
+    for (at, r), walks in zip(own, since, strict=True):
+        seen = codes.T if at is None else codes.T[at]
+        for w in walks:
+            r = r - w.value[w.nodes(seen)]
+        done.append((at, r))
+    return codes, done
+
+
+def _counted(pieces, since: list[list[Walk]], open_: list[tuple[int, Walk, list[int]]], specs: list[Spec], bins: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Sums of gradients, and rows, by feature, node and bin, for each place in ``open_`` (model, its next tree so far, nodes) and block of features."""
+    total: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for piece in pieces:
+        codes, own = _after(piece, since)
+        for q, (i, walk, nodes) in enumerate(open_):
+            at, r = own[i]
+            slot = np.full(len(walk.feature), -1)
+            slot[nodes] = np.arange(len(nodes))
+            node = slot[walk.nodes(codes.T if at is None else codes.T[at])]
+            use = np.flatnonzero(node >= 0)
+            if not len(use):
+                continue
+            if len(use) < len(node):
+                node, r, at = node[use], r[use], use if at is None else at[use]
+            base, size, g = node * bins, len(nodes) * bins, -r
+            for k in range(0, len(specs[i].features), BLOCK):
+                block = specs[i].features[k : k + BLOCK]
+                if (q, k) not in total:
+                    total[q, k] = np.zeros((len(block), size)), np.zeros((len(block), size), np.int64)
+                sums, rows = total[q, k]
+                for j, f in enumerate(block):
+                    cell = base + (codes[f] if at is None else codes[f][at])
+                    sums[j] += np.bincount(cell, g, size)
+                    rows[j] += np.bincount(cell, minlength=size)
+    return total
+
+
+def _chosen(q: int, k: int, sums: np.ndarray, rows: np.ndarray, open_: list[tuple[int, Walk, list[int]]], specs: list[Spec], bins: int):
+    """Of a block's sums ((place, node), best split) for nodes with rows: gain, feature, bin, nulls left, gradients and rows of the node and of its left side. A row's Hessian is 1."""
+    i, _, nodes = open_[q]
+    g, n = (x.astype(float).reshape(-1, len(nodes), bins).transpose(1, 0, 2) for x in (sums, rows))
+    hist = np.stack([g, n, n], -1)
+    gain, f, at, null_left, low = best_splits(hist, specs[i].l2, specs[i].least)
+    whole = hist[:, 0].sum(1)
+    for j in np.flatnonzero(whole[:, 2]):
+        yield (q, nodes[j]), (float(gain[j]), int(f[j]) + k, int(at[j]), bool(null_left[j]), *map(float, (*whole[j, :2], *low[j, :2])))
+
+
+def _level(pieces: RDD, since: list[list[Walk]], open_: list[tuple[int, Walk, list[int]]], specs: list[Spec], bins: int):
+    """The best splits of all blocks: tasks' sums of a block meet in one task, which adds them in the order of the tasks."""
+    blocks = [(q, k) for q, (i, _, _) in enumerate(open_) for k in range(0, len(specs[i].features), BLOCK)]
+
+    def count(part: int, own):
+        for key, (sums, rows) in _counted(own, since, open_, specs, bins).items():
+            yield blocks.index(key), (part, sums, rows.astype(np.int32))
+
+    def choose(got):
+        held: dict[int, list] = {}
+        for b, x in got:
+            held.setdefault(b, []).append(x)
+        for b, parts in held.items():
+            parts.sort(key=lambda x: x[0])
+            yield from _chosen(*blocks[b], *(sum(p[c] for p in parts) for c in (1, 2)), open_, specs, bins)
+
+    tasks = min(len(blocks), pieces.getNumPartitions())
+    return pieces.mapPartitionsWithIndex(count).partitionBy(tasks, lambda b: b).mapPartitions(choose).collect()  # a row for each node and block of features
+
+
+def _rounds(specs: list[Spec], level, taken_in) -> list[list[Tree]]:
+    """All trees of boosted models of squared error. ``level`` gives best splits of nodes after the trees since rows last took trees in, which ``taken_in`` makes them do."""
+    trees: list[list[Tree]] = [[] for _ in specs]
+    since: list[list[Walk]] = [[] for _ in specs]
+    for t in range(max(s.trees for s in specs)):
+        if t and t % KEPT == 0:
+            taken_in(since)
+            since = [[] for _ in specs]
+        grown = {i: Tree() for i, s in enumerate(specs) if t < s.trees}
+        nodes = [(i, 0, specs[i].depth) for i in grown]
+        while nodes:
+            nxt = []
+            for k in range(0, len(nodes), NODES):
+                left_of = {(i, node): left for i, node, left in nodes[k : k + NODES]}
+                open_ = [(i, grown[i].arrays(), [node for j, node in left_of if j == i]) for i in sorted({i for i, _ in left_of})]
+                best: dict[tuple[int, int], tuple] = {}
+                for key, x in level(since, open_):
+                    if key not in best or (x[0], -x[1]) > (best[key][0], -best[key][1]):
+                        best[key] = x
+                for (q, node), (gain, f, at, null_left, g, h, gl, hl) in sorted(best.items()):
+                    i = open_[q][0]
+                    tree, s, left = grown[i], specs[i], left_of[i, node]
+                    tree.cover[node], tree.value[node] = h, _leaf(s, g, h)
+                    if not left or gain <= max(s.gamma, 1e-12):
+                        continue
+                    for child, gs, hs in zip(tree.split(node, s.features[f], at, null_left, gain), (gl, g - gl), (hl, h - hl), strict=True):
+                        tree.cover[child], tree.value[child] = hs, _leaf(s, gs, hs)
+                        if left > 1:
+                            nxt.append((i, child, left - 1))
+            nodes = nxt
+        for i, tree in grown.items():
+            trees[i].append(tree)
+            since[i].append(tree.arrays())
+    return trees
+
+
+def _boost(data: DataFrame, models: list[Ensemble], bins: int) -> None:
+    """Adds all trees to boosted models of squared error, in jobs of a level each, over pieces that are kept with their residuals."""
+    specs, held, old = [m.spec for m in models], [], []
+    held.append(_packed(data, models, False).coalesce(data.sparkSession.sparkContext.defaultParallelism).map(lambda r: pickle.loads(r[1])).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def level(since, open_):
+        got = _level(held[0], since, open_, specs, bins)
+        while old:
+            old.pop().unpersist()  # what took its place is there now
+        return got
+
+    def taken_in(since):
+        old.append(held.pop())
+        held.append(old[0].map(partial(_after, since=since)).persist(StorageLevel.MEMORY_AND_DISK))
+
+    for m, grown in zip(models, _rounds(specs, level, taken_in), strict=True):
+        m.trees.extend(grown)
+    held[0].unpersist()
+
+
+def _boost_apart(data: DataFrame, models: list[Ensemble], bins: int) -> None:
+    """Adds all trees to boosted models of squared error with at most ``WHOLE`` rows, a task for each: the same levels, without a job for each of them."""
+    specs = [m.spec for m in models]
+
+    def run(i: int, got):
+        blobs = [pickle.loads(b) for _, b in got]
+        codes, r, k = (np.concatenate([b[c] for b in blobs]) for c in range(3))
+        order = np.lexsort((*codes.T[::-1], r, k)) if len(np.unique(k)) < len(k) else np.argsort(k)  # sums don't hang on the order in which rows came
+        own = [replace(specs[i], features=tuple(range(codes.shape[1])))]
+        held = [(np.ascontiguousarray(codes[order[a : a + PIECE]].T), [(None, r[order[a : a + PIECE]])]) for a in range(0, len(r), PIECE)]
+
+        def level(since, open_):
+            for (q, b), (sums, rows) in _counted(held, since, open_, own, bins).items():
+                yield from _chosen(q, b, sums, rows, open_, own, bins)
+
+        def taken_in(since):
+            held[:] = [_after(p, since) for p in held]
+
+        for t in _rounds(own, level, taken_in)[0]:
+            t.feature = [specs[i].features[f] if f >= 0 else -1 for f in t.feature]
+            yield i, t
+
+    dealt = _packed(data, models, True).map(lambda r: (r[0], bytes(r[1]))).partitionBy(len(models), lambda i: i)
+    for i, t in dealt.mapPartitionsWithIndex(run).collect():  # the trees, in their order
+        models[i].trees.append(t)
+
+
 def fit(data: DataFrame, specs: list[Spec], names: list[str], edges: dict[int, list[np.ndarray]]) -> dict[str, Ensemble]:
     """The models of all ``specs`` from the rows of ``binned``, which should be persisted."""
     return _fit(data, specs, names, edges)
@@ -554,8 +739,14 @@ def _fit(data: DataFrame, specs: list[Spec], names: list[str], edges: dict[int,
         _round(data, models, forests, [first[f"n{k}"] for k, _, _ in forests], bins)
         for k, _, tree in forests:
             models[k].trees.append(tree)
+    square = [(m, first[f"n{k}"]) for k, m in enumerate(models) if m.spec.loss in SQUARES and m.spec.trees and first[f"n{k}"]]
+    for boost, own in ((_boost_apart, [m for m, n in square if n <= WHOLE]), (_boost, [m for m, n in square if n > WHOLE])):
+        if own:
+            boost(data, own, bins)
     for t in range(max((m.spec.trees for m in models if m.spec.boosted), default=0)):
-        own = [(k, t, Tree()) for k, m in enumerate(models) if m.spec.boosted and t < m.spec.trees]
+        own = [(k, t, Tree()) for k, m in enumerate(models) if m.spec.boosted and t < m.spec.trees and len(m.trees) == t]
+        if not own:
+            break
         _round(data, models, own, [first[f"n{k}"] for k, _, _ in own], bins)
         for k, _, tree in own:
             models[k].trees.append(tree)
