@@ -1,5 +1,6 @@
 """Boosted trees by levels: in one task or a job a level, the same trees; and steps that mustn't meet in one task."""
 
+import dataclasses
 import uuid
 
 import numpy as np
@@ -62,3 +63,11 @@ def test_importance_is_spread_over_tasks(spark, rows, monkeypatch):
     monkeypatch.setattr(type(df), "mapInArrow", lambda d, f, schema, *a: (parts.append(d.rdd.getNumPartitions()) if "gain" not in schema and schema.startswith("f int") else None, whole(d, f, schema, *a))[1])
     got = {r["feature"]: r["importance_mean"] for r in models.permutation_importance(m, df.drop("setting"), repeats=2).collect()}
     assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and max(got, key=got.get) == "x0"
+
+
+def test_an_ablation_has_no_more_jobs_for_more_rounds(spark, rows):
+    df = rows[0].drop("setting", "who")
+    s = trees.Spec("m", (), "second_order", 2, 3, 0.5, l2=1.0)
+    few, jobs = jobs_of(spark, lambda: models.feature_ablation(df.where("rn % 3 > 0"), df.where("rn % 3 = 0"), s).collect())
+    more, same = jobs_of(spark, lambda: models.feature_ablation(df.where("rn % 3 > 0"), df.where("rn % 3 = 0"), dataclasses.replace(s, trees=9)).collect())
+    assert jobs == same and [r["n_features"] for r in more] == [40] * 4 and all(b["mae"] < a["mae"] for a, b in zip(few, more, strict=True))
