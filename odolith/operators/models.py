@@ -72,12 +72,13 @@ class SpeedModel:
         if self.kind in SHARED:
             self.fitted = fit_together(df.withColumn("setting", F.lit(0)), names, {s.name: s for s in SHARED[self.kind](self.options)})[0]
         elif self.shared:
-            asked, data = KINDS[self.kind](self.options), df.withColumn("setting", F.lit(0))
+            asked, data = KINDS[self.kind](self.options), df.withColumn("setting", F.lit(0)).persist()
             edges = trees.bin_edges(data, names)
             rows = trees.binned(data, names, edges).persist()
             spec = trees.Spec("point", tuple(range(len(names))), trees=asked.getNumTrees(), depth=asked.getMaxDepth(), seed=asked.getSeed())
             self.fitted = {"point": trees.forest(rows, spec, names, edges)}
             rows.unpersist()
+            data.unpersist()
         else:
             regressor = KINDS[self.kind](self.options)
             self.model = PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), regressor.fit(VectorAssembler(inputCols=names, outputCol="features").transform(df.select("y", *names)))])
@@ -92,7 +93,7 @@ class SpeedModel:
 
     def _shared(self, df: DataFrame) -> DataFrame:
         """v_pred, and the quantiles where there are such models, from the features' values."""
-        sent = df.sparkSession.sparkContext.broadcast(self.fitted)
+        sent = df.sparkSession.sparkContext.broadcast({n: m.light() for n, m in self.fitted.items()})
 
         @F.pandas_udf(", ".join(f"{n} double" for n in self.fitted))
         def of(x: pd.Series) -> pd.DataFrame:
@@ -125,7 +126,7 @@ class SpeedModel:
         if self.trees is None and not self.shared:
             self.trees = [_nodes(t.toDebugString) for t in self.model.stages[1].trees]  # text of the model's size
         shared, names = self.shared, self.names
-        sent = df.sparkSession.sparkContext.broadcast(self.fitted["point"] if shared else self.trees)
+        sent = df.sparkSession.sparkContext.broadcast(self.fitted["point"].light() if shared else self.trees)
 
         @F.pandas_udf("v_pred double, v_std double")
         def over(x: pd.Series) -> pd.DataFrame:
