@@ -53,3 +53,14 @@ def test_whole_trees_equal_those_of_dealt_nodes(spark, monkeypatch):
     assert [len(m.trees) for m in whole.values()] == [9, 3, 2] and {f for t in whole["held"].trees for f in t.feature} == {-1, 1, 2, 5}
     for p in ("p_all", "p_held"):
         assert np.allclose(a[p], b[p]) and np.allclose(a[p], c[p]), p
+
+
+def test_sketches_of_edges_are_off_by_few_ranks_and_leave_out_what_is_no_value(spark, monkeypatch):
+    monkeypatch.setattr(trees, "RANKS", 40)
+    df = spark.range(6000).select(F.pmod("id", F.lit(2)).cast("int").alias("setting"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / 8.0).alias("a"), F.when(F.col("id") % 3 > 0, F.lit(float("nan"))).otherwise(F.col("id") % 4).alias("b b"), F.lit(None).cast("double").alias("c"))
+    got, pdf = trees.bin_edges(df, ["a", "b b", "c"]), df.toPandas()
+    for k in (0, 1):
+        v = np.sort(pdf[pdf.setting == k]["a"].dropna().to_numpy())
+        want = np.array([-(-q * len(v) // trees.BINS) for q in range(1, trees.BINS)])
+        assert len(got[k][0]) == len(want) and np.abs(np.searchsorted(v, got[k][0], "right") - want).max() <= len(v) / 40 + 8
+        assert set(got[k][1]) <= set(pdf[pdf.setting == k]["b b"].dropna()) and len(got[k][1]) and not len(got[k][2])
