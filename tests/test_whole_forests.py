@@ -51,6 +51,8 @@ def test_whole_trees_equal_those_of_dealt_nodes(spark, monkeypatch):
     big = trees.fit(data, specs, names, edges)
     a, b, c = (trees.predictions(data, m, ["rn"]).toPandas().sort_values("rn") for m in (whole, each, big))
     assert [len(m.trees) for m in whole.values()] == [9, 3, 2] and {f for t in whole["held"].trees for f in t.feature} == {-1, 1, 2, 5}
+    own = trees.predictions(data, {"held": whole["held"]}, ["rn", "grp"], held=True).toPandas().sort_values("rn")
+    assert np.array_equal(own.p_held.notna(), own.grp == "P") and np.array_equal(own.p_held[own.grp == "P"], a.p_held[(own.grp == "P").to_numpy()])
     for p in ("p_all", "p_held"):
         assert np.allclose(a[p], b[p]) and np.allclose(a[p], c[p]), p
 
