@@ -215,3 +215,18 @@ def test_a_damaged_stream_hides_none_that_follows():
         for good in (zlib.compress(KEY.encode()), gzip.compress(KEY.encode())):
             text = "x " + base64.b64encode(damaged + good).decode() + " y"
             assert secret_scan.all_spans(text)[1], (damaged, good)
+
+
+def test_compressed_data_within_compressed_data():
+    key = KEY.encode()
+    rng = random.Random(6)
+    for data in (gzip.compress(gzip.compress(key)), gzip.compress(b"tar" + bz2.compress(key)), lzma.compress(zlib.compress(b"x^2 " + gzip.compress(bz2.compress(key) + b"tail"))), gzip.compress(b"one") + gzip.compress(b"x" + zlib.compress(key))):
+        text = "x " + base64.b64encode(data).decode().rstrip("=")
+        assert (2, 0, len(text)) in secret_scan.all_spans(text)[1]
+        text = "x " + urllib.parse.quote(data)
+        assert any(k == 0 for _, k, _ in secret_scan.all_spans(text)[1])
+    assert any(k == 0 for _, k, _ in secret_scan.all_spans("".join(f"\\u{b:04x}" for b in gzip.compress(key)))[1])
+    # streams and heads that go on in another piece of what holds them
+    for lead, size in ((b"some words, " * 80_000, 120_000), *((b"w" * (secret_scan._PIECE - k), 1000) for k in range(4))):
+        text = "x " + base64.b64encode(gzip.compress(lead + gzip.compress(rng.randbytes(size) + key, 1) + b" more " + gzip.compress(b"password=abcdefgh"), 1)).decode().rstrip("=")
+        assert {(2, 0, len(text)), (2, 2, len(text))} <= set(secret_scan.all_spans(text)[1])
