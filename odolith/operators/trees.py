@@ -4,14 +4,19 @@
 forests, the next tree of boosted models) goes level by level. Nodes with many rows share one aggregation a level: every task adds up histograms (gradients, Hessians, counts by feature and bin) of the nodes its rows
 are in, the sums are shuffled by node and block of features, and the best split of each block comes to the driver. A node with at most ``SMALL`` rows goes with all below it to one task
 that finishes the subtree. So the work is a pass a level over one table of bytes, whatever the number of models, and no task holds more than its histograms
-or ``SMALL`` rows. Boosted models of squared error grow by levels alone, over rows kept as arrays with their residuals, which take in the trees of every ``KEPT`` rounds: a job a level, or for
-a model of at most ``WHOLE`` rows all rounds in one task. Quantile models' predictions so far are recomputed from the trees that are sent. A lost executor costs a re-read.
+or ``SMALL`` rows. Quantile models' predictions so far are recomputed from the trees that are sent. A lost executor costs a re-read.
+
+Boosted models of squared error grow by levels alone, over rows kept as arrays with their residuals, which take in the trees of every ``KEPT`` rounds: a job a level, or for a model of at most ``WHOLE`` rows all rounds
+in one task. Forests of few rows (``WHOLE_FOREST``) are grown in tasks that have all of them. For larger ones, up to ``COLUMNS`` rows, features are dealt out in place of rows: each task of one barrier stage has some
+features of all rows, counts these alone, and learns from the others (``allGather``) which split is best and, a bit for each row, which side of it rows are on. So rows are shuffled once and sums never, however many
+trees and nodes there are. An ``allGather`` takes a second whatever it sends, so many trees grow side by side.
 
 Bins are quantiles, ``BINS`` of them, in which equal values stay together; a null or NaN is a bin of its own, and each split sends it where the gain is greater.
 """
 
 from __future__ import annotations
 
+import base64
 import pickle
 from dataclasses import dataclass, field, replace
 from functools import partial, reduce
@@ -19,7 +24,7 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, BarrierTaskContext, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +42,8 @@ SQUARES, KEPT = ("second_order", "squared"), 5
 WHOLE, PIECE = 65_536, 8192
 #: times ``SMALL``: rows of a forest's node that is finished in one task, and rows of a forest whose trees are grown whole, some in each task
 NODE_OF_FOREST, WHOLE_FOREST = 8, 12
+#: rows up to which a forest's features are dealt out, so that a task holds a few dozen bytes of each; rows of all trees that grow side by side then, and such trees
+COLUMNS, TOGETHER = 12_000_000, (84_000_000, 48)
 #: share of a node's score up to which gains tie: what the rounding of sums can make of equal ones
 _TIE = 1e-10
 
@@ -100,7 +107,8 @@ class Tree:
             self.left[at], self.right[at] = to[other.left[k]], to[other.right[k]]
 
     def arrays(self) -> Walk:
-        return Walk(*(np.array(getattr(self, n)) for n in ("feature", "bin", "null_left", "left", "right", "value")))
+        kinds = (("feature", np.int16), ("bin", np.int16), ("null_left", bool), ("left", np.int32), ("right", np.int32), ("value", float))
+        return Walk(*(np.array(getattr(self, n), kind) for n, kind in kinds))
 
 
 @dataclass
@@ -163,7 +171,7 @@ class Ensemble:
         return {self.names[f]: float(total[f]) for f in self.spec.features}
 
     def packed(self) -> dict:
-        return {"spec": {**self.spec.__dict__, "features": list(self.spec.features)}, "base": self.base, "trees": [t.__dict__ for t in self.trees], "names": self.names, "edges": [list(map(float, e)) for e in self.edges]}
+        return {"spec": {**self.spec.__dict__, "features": list(self.spec.features)}, "base": self.base, "trees": [{k: np.asarray(v).tolist() for k, v in t.__dict__.items()} for t in self.trees], "names": self.names, "edges": [list(map(float, e)) for e in self.edges]}
 
     @classmethod
     def unpacked(cls, d: dict) -> Ensemble:
@@ -811,6 +819,180 @@ def _forests_apart(data: DataFrame, models: list[Ensemble], bins: int) -> None:
     for i, _, tree in sorted(dealt.mapPartitionsWithIndex(run).collect(), key=lambda x: x[:2]):  # the trees
         models[i].trees.append(tree)
 
+class _Growing:
+    """A forest's tree that all tasks grow alike, each from its features: ``at`` are its rows, ``w`` how often they are in its sample, ``y`` the targets of all rows."""
+
+    def __init__(self, spec: Spec, y: np.ndarray, at: np.ndarray, w: np.ndarray):
+        self.spec, self.y, self.at, self.w = spec, y, at.astype(np.int32), w.astype(np.uint8)
+        self.slot = np.zeros(len(at), np.uint16 if spec.depth < 16 else np.int32)  # the node of the level that a row is in
+        self.levels: list[dict[str, np.ndarray]] = []
+        self.nodes, self.first = 1, 0  # nodes of this level, and the number of the first
+        self.sums: list | None = None  # of the level's nodes, and of their parents
+        self.parents: list | None = None
+
+    def weigh(self, left: int) -> bool:
+        """Takes down the nodes of a level; False if none can be split."""
+        n, s, slot, y = self.nodes, self.spec, self.slot.astype(np.int64), self.y[self.at]
+        self.size, self.total, self.weight = np.bincount(slot, minlength=n), np.bincount(slot, -(self.w * y), n), np.bincount(slot, self.w, n)
+        below = self.weight + s.l2
+        kinds = (("feature", np.int16), ("bin", np.int16), ("null_left", bool), ("left", np.int32), ("right", np.int32), ("gain", float))
+        self.levels.append({c: np.zeros(n, kind) for c, kind in kinds} | {"value": -s.step * self.total / np.where(below > 0, below, 1.0), "cover": self.weight})
+        self.levels[-1]["feature"] -= 1
+        open_ = (self.size > 1) & (self.weight >= 2 * s.least) if left else np.zeros(n, bool)
+        if left:
+            one = np.zeros(n)
+            one[slot] = y
+            open_ &= np.bincount(slot[y != one[slot]], minlength=n) > 0
+        self.which = np.flatnonzero(open_)
+        return len(self.which) > 0
+
+    def best(self, codes: np.ndarray, places: np.ndarray, bins: int, keep: int) -> tuple[np.ndarray, ...]:
+        """Gain, feature, bin and nulls left of each open node's best split among the features in these rows of ``codes``. Of two nodes with one parent only the smaller one is counted, as in ``grow``, while a level's sums are at most ``keep`` cells."""
+        n, cells, s = len(self.which), len(places) * bins, self.spec
+        out = np.full(n, -np.inf), np.zeros(n, np.int16), np.zeros(n, np.int16), np.zeros(n, bool)
+        if not len(places):
+            return out
+        if self.parents is None:
+            pair, few = self.which, np.arange(self.nodes)
+        else:
+            pair, few = self.which // 2, 2 * np.arange(self.nodes // 2) + (self.size[1::2] < self.size[::2])
+        pairs = np.unique(pair)
+        self.sums = [np.zeros((self.nodes, len(places), bins)) for _ in range(2)] if self.nodes * cells <= keep else None
+        for a, z in _runs(len(pairs), cells, _COUNTED):
+            to = np.full(self.nodes, -1, np.int32)
+            to[few[pairs[a:z]]] = np.arange(z - a)
+            place = to[self.slot]
+            use = np.flatnonzero(place >= 0)
+            rows, w, place = self.at[use].astype(np.int64), self.w[use].astype(float), place[use].astype(np.int64) * bins
+            g = -w * self.y[rows]
+            sums = [np.empty((z - a, len(places), bins)) for _ in range(2)]
+            for k, f in enumerate(places):
+                cell = place + codes[f][rows]
+                for one, weights in zip(sums, (g, w), strict=True):
+                    one[:, k] = np.bincount(cell, weights, (z - a) * bins).reshape(z - a, bins)
+            lo, hi = np.searchsorted(pair, [pairs[a], pairs[z - 1] + 1])
+            for x, y in _runs(hi - lo, cells, _CELLS):
+                own = slice(lo + x, lo + y)
+                at, rest = np.searchsorted(pairs[a:z], pair[own]), self.which[own] != few[pair[own]]
+                hist = [one[at] for one in sums]
+                for c in range(2) if rest.any() else ():
+                    hist[c][rest] = self.parents[c][pair[own][rest]] - hist[c][rest]
+                for c in range(2) if self.sums else ():
+                    self.sums[c][self.which[own]] = hist[c]
+                for o, v in zip(out, _splits(*hist, s.l2, s.least), strict=True):
+                    o[own] = v
+        return out
+
+    def choose(self, found: list[tuple[np.ndarray, ...]]) -> None:
+        """Takes the best of the tasks' splits, of those that tie the first as ``_splits`` has them."""
+        gain, feature, at, null_left = (np.stack(x) for x in zip(*found, strict=True))
+        top, none = gain.max(0), self.total[self.which] ** 2 / np.maximum(self.weight[self.which] + self.spec.l2, 1e-300)
+        task = np.where(gain >= top - _TIE * (np.abs(top) + none), feature.astype(np.int64) + (null_left.astype(np.int64) << 20), 1 << 30).argmin(0)
+        good = gain[task, np.arange(len(task))] > max(self.spec.gamma, 1e-12)
+        task, nodes, each = task[good], self.which[good], np.flatnonzero(good)
+        for name, x in (("feature", feature), ("bin", at), ("null_left", null_left), ("gain", gain)):
+            self.levels[-1][name][nodes] = x[task, each]
+        self.task = np.full(self.nodes, -1, np.int16)  # whose split it is
+        self.task[nodes] = task
+
+    def sides(self, me: int, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which rows of the nodes that this task's features split go left, as bits; ``place`` has the rows of ``codes`` of features."""
+        level, use = self.levels[-1], np.flatnonzero((self.task == me)[self.slot])
+        slot = self.slot[use]
+        c = codes[place[level["feature"]][slot], self.at[use]]
+        return np.packbits(np.where(c == 0, level["null_left"][slot], c <= level["bin"][slot]))
+
+    def part(self, bits: list[np.ndarray]) -> None:
+        """Sends rows to the next level by the bits of all tasks."""
+        owner, low = self.task[self.slot], np.zeros(len(self.slot), bool)
+        for p, b in enumerate(bits):
+            if len(b):
+                use = np.flatnonzero(owner == p)
+                low[use] = np.unpackbits(b, count=len(use)).view(bool)
+        split, live, level = self.task >= 0, owner >= 0, self.levels[-1]
+        n, to = int(split.sum()), 2 * (np.cumsum(split, dtype=np.int32) - 1)
+        level["left"][split] = self.first + self.nodes + 2 * np.arange(n)
+        level["right"][split] = level["left"][split] + 1
+        slot = (to[self.slot] + ~low).astype(self.slot.dtype)
+        if live.all():
+            self.slot = slot
+        else:
+            self.slot, self.at, self.w = slot[live], self.at[live], self.w[live]
+        self.parents, self.sums = self.sums and [x[split] for x in self.sums], None
+        self.first, self.nodes = self.first + self.nodes, 2 * n
+
+    def done(self) -> Tree:
+        return Tree(**{c: np.concatenate([x[c] for x in self.levels]) for c in Tree().__dict__})
+
+
+def _grown(trees: list[_Growing], own: list[int], codes: np.ndarray, me: int, share, bins: int) -> None:
+    """Grows trees side by side: ``own`` are the features of this task, number ``me``, in the order of ``codes``; ``share`` gives what all tasks have sent."""
+    place = np.zeros(1 + max(*own, *(f for t in trees for f in t.spec.features)), np.int64)
+    place[own] = np.arange(len(own))
+    mine = [np.array([f for f in own if f in set(t.spec.features)], np.int16) for t in trees]
+    left, live = [t.spec.depth for t in trees], list(range(len(trees)))
+    while live := [q for q in live if trees[q].nodes and trees[q].weigh(left[q])]:
+        found = []
+        for q in live:
+            gain, f, b, null_left = trees[q].best(codes, place[mine[q]], bins, 2 * _PARENTS // len(trees) if left[q] > 1 else 0)
+            found.append((gain, mine[q][f] if len(mine[q]) else f, b, null_left))
+        for q, *each in zip(live, *share(found), strict=True):
+            trees[q].choose(each)
+        for q, *each in zip(live, *share([trees[q].sides(me, codes, place) for q in live]), strict=True):
+            trees[q].part(each)
+            left[q] -= 1
+
+
+def _by_columns(data: DataFrame, models: list[Ensemble], bins: int) -> None:
+    """Adds all trees to forests of one setting, in a barrier stage of tasks that have some features of all rows each."""
+    specs = [m.spec for m in models]
+    wanted = sorted({f for s in specs for f in s.features})
+    tasks = min(data.sparkSession.sparkContext.defaultParallelism, len(wanted))
+    own = [wanted[p::tasks] for p in range(tasks)]
+    numbers = [(i, t) for i, s in enumerate(specs) for t in range(s.trees)]
+
+    def pack(batches):
+        part = TaskContext.get().partitionId()
+        for n, b in enumerate(batches):
+            rows = _Rows(b)
+            use = np.flatnonzero((rows.setting == specs[0].setting) & ~np.isnan(rows.y))
+            if len(use):
+                seen = [None if s.held is None else np.packbits(rows.grp[use] != s.held) for s in specs]
+                codes = np.ascontiguousarray(rows.codes[use].T)
+                pieces = [pickle.dumps((part, n, codes[f], rows.y[use], rows.k[use], seen), 5) for f in own]
+                yield pa.RecordBatch.from_arrays([pa.array(range(tasks), pa.int32()), pa.array(pieces, pa.binary())], ["task", "piece"])
+
+    def run(got):
+        team = BarrierTaskContext.get()
+        me = team.partitionId()
+
+        def share(x):
+            return [x] if tasks == 1 else [pickle.loads(base64.b64decode(m)) for m in team.allGather(base64.b64encode(pickle.dumps(x, 5)).decode())]
+
+        pieces = sorted((pickle.loads(x) for _, x in got), key=lambda x: x[:2])  # the same order of rows in all tasks
+        y, k = (np.concatenate([x[c] for x in pieces]) for c in (3, 4))
+        seen = [None if s.held is None else np.concatenate([np.unpackbits(x[5][i], count=len(x[3])).view(bool) for x in pieces]) for i, s in enumerate(specs)]
+        order = np.lexsort((y, k))  # sums don't hang on the order in which rows came
+        codes = np.empty((len(own[me]), len(y)), np.uint8)
+        for f in range(len(codes)):
+            codes[f] = np.concatenate([x[2][f] for x in pieces])[order]
+        del pieces
+        y, k, seen = y[order], k[order], [None if x is None else x[order] for x in seen]
+        groups = -(-len(numbers) // max(1, min(TOGETHER[0] // len(y), TOGETHER[1])))
+        for group in range(groups):
+            trees = []
+            for i, t in numbers[group::groups]:
+                w = _weights(k, t, specs[i].seed)
+                at = np.flatnonzero(w if seen[i] is None else w * seen[i])
+                trees.append(_Growing(specs[i], y, at, w[at]))
+            _grown(trees, own[me], codes, me, share, bins)
+            if not me:
+                yield from ((i, t, tree.done()) for (i, t), tree in zip(numbers[group::groups], trees, strict=True))
+
+    dealt = data.mapInArrow(pack, "task int, piece binary").rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(tasks, lambda p: p)
+    for i, _, tree in sorted(dealt.barrier().mapPartitions(run).collect(), key=lambda x: x[:2]):  # the trees
+        models[i].trees.append(tree)
+
 
 def fit(data: DataFrame, specs: list[Spec], names: list[str], edges: dict[int, list[np.ndarray]]) -> dict[str, Ensemble]:
     """The models of all ``specs`` from the rows of ``binned``, which should be persisted."""
@@ -836,6 +1018,11 @@ def _fit(data: DataFrame, specs: list[Spec], names: list[str], edges: dict[int,
     apart = [m for k, m in enumerate(models) if not m.spec.boosted and m.spec.trees and 0 < first[f"n{k}"] <= WHOLE_FOREST * SMALL]
     if apart:
         _forests_apart(data, apart, bins)
+    if data.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false") != "true":  # or else a barrier stage isn't to be had
+        for setting in sorted({s.setting for s in specs}):
+            wide = [m for k, m in enumerate(models) if not m.spec.boosted and m.spec.setting == setting and m.spec.trees and not m.trees and m.spec.features and 0 < first[f"n{k}"] <= COLUMNS]
+            if wide:
+                _by_columns(data.where(F.col("setting") == setting), wide, bins)
     forests = [(k, t, Tree()) for k, m in enumerate(models) if not m.spec.boosted and not m.trees for t in range(m.spec.trees)]
     if forests:
         _round(data, models, forests, [first[f"n{k}"] for k, _, _ in forests], bins)
