@@ -130,6 +130,58 @@ class Walk:
             at[live] = np.where(np.where(c == 0, self.null_left[k], c <= self.bin[k]), self.left[k], self.right[k])
         return at
 
+    def parts(self, column, n: int):
+        """(node, its rows, which of them go left) of n rows, parents first; of leaves the last is None. ``column`` gives the bins of some rows (None: all) by feature."""
+        todo: list[tuple[int, np.ndarray | None]] = [(0, None)]
+        while todo:
+            node, i = todo.pop()
+            f, rows = int(self.feature[node]), np.arange(n) if i is None else i
+            if f < 0:
+                yield node, rows, None
+                continue
+            c = column(f, i)
+            low = c <= self.bin[node]
+            low[c == 0] = self.null_left[node]
+            yield node, rows, low
+            todo += [(int(self.left[node]), rows[low]), (int(self.right[node]), rows[~low])]
+
+    def leaves(self, codes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row, or of the rows ``at``, of bins by feature."""
+        n = codes.shape[1] if at is None else len(at)
+        out = np.zeros(n, np.int64)
+        for node, rows, low in self.parts(lambda f, i: codes[f] if i is None and at is None else codes[f][at if i is None else i if at is None else at[i]], n):
+            if low is None:
+                out[rows] = node
+        return out
+
+    def moved(self, codes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, feature, change of the value) where a row that takes the bin of one feature from ``other`` ends in another leaf: only what lies below the first node where it turns off is walked again."""
+        n = len(codes)
+        own, gone, turned = np.zeros(n), {}, []
+        for node, rows, low in self.parts(lambda f, i: codes[:, f] if i is None else codes[i, f], n):
+            if low is None:
+                own[rows] = self.value[node]
+                continue
+            f = int(self.feature[node])
+            z = other[rows, f]
+            new = z <= self.bin[node]
+            new[z == 0] = self.null_left[node]
+            off = gone.setdefault(f, np.zeros(n, bool))
+            use = np.flatnonzero((new != low) & ~off[rows])
+            off[rows[use]] = True
+            turned.append((rows[use], np.full(len(use), f), np.where(new[use], self.left[node], self.right[node])))
+        if not turned:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        rows, swapped, at = (np.concatenate(x) for x in zip(*turned, strict=True))
+        live = np.arange(len(rows))
+        while len(live):
+            live = live[self.feature[at[live]] >= 0]
+            k, i = at[live], rows[live]
+            f = self.feature[k]
+            c = np.where(f == swapped[live], other[i, f], codes[i, f])
+            at[live] = np.where(np.where(c == 0, self.null_left[k], c <= self.bin[k]), self.left[k], self.right[k])
+        return rows, swapped, self.value[at] - own[rows]
+
 
 @dataclass
 class Ensemble:
@@ -644,29 +696,34 @@ def _after(piece: tuple, since: list[list[Walk]]) -> tuple:
     codes, own = piece
     done = []
     for (at, r), walks in zip(own, since, strict=True):
-        seen = codes.T if at is None else codes.T[at]
         for w in walks:
-            r = r - w.value[w.nodes(seen)]
+            r = r - w.value[w.leaves(codes, at)]
         done.append((at, r))
     return codes, done
 
 
-def _counted(pieces, since: list[list[Walk]], open_: list[tuple[int, Walk, list[int]]], specs: list[Spec], bins: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """Sums of gradients, and rows, by feature, node and bin, for each place in ``open_`` (model, its next tree so far, nodes) and block of features."""
-    total: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+#: a model, its next tree so far, the open nodes of a level; and of each node None, or the place of its parent among the nodes of the level above and that of its sibling, where its sums are what the sibling leaves of the parent's
+_Open = tuple[int, Walk, list[int], list[tuple[int, int] | None]]
+_Sums = tuple[np.ndarray, np.ndarray]
+
+
+def _counted(pieces, since: list[list[Walk]], open_: list[_Open], specs: list[Spec], bins: int) -> dict[tuple[int, int], _Sums]:
+    """Sums of gradients, and rows, by feature, node and bin, of the nodes that are to be counted, for each place in ``open_`` and block of features."""
+    total: dict[tuple[int, int], _Sums] = {}
     for piece in pieces:
         codes, own = _after(piece, since)
-        for q, (i, walk, nodes) in enumerate(open_):
+        for q, (i, walk, nodes, rest) in enumerate(open_):
             at, r = own[i]
             slot = np.full(len(walk.feature), -1)
-            slot[nodes] = np.arange(len(nodes))
-            node = slot[walk.nodes(codes.T if at is None else codes.T[at])]
+            count = [n for n, x in zip(nodes, rest, strict=True) if x is None]
+            slot[count] = np.arange(len(count))
+            node = slot[walk.leaves(codes, at)]
             use = np.flatnonzero(node >= 0)
             if not len(use):
                 continue
             if len(use) < len(node):
                 node, r, at = node[use], r[use], use if at is None else at[use]
-            base, size, g = node * bins, len(nodes) * bins, -r
+            base, size, g = node * bins, len(count) * bins, -r
             for k in range(0, len(specs[i].features), BLOCK):
                 block = specs[i].features[k : k + BLOCK]
                 if (q, k) not in total:
@@ -679,9 +736,26 @@ def _counted(pieces, since: list[list[Walk]], open_: list[tuple[int, Walk, list[
     return total
 
 
-def _chosen(q: int, k: int, sums: np.ndarray, rows: np.ndarray, open_: list[tuple[int, Walk, list[int]]], specs: list[Spec], bins: int):
+def _completed(sums: _Sums, above: _Sums | None, rest: list[tuple[int, int] | None], bins: int) -> _Sums:
+    """Sums of all nodes, from those of the counted ones and of the level above."""
+    if above is None or not any(rest):
+        return sums
+    counted = [j for j, x in enumerate(rest) if x is None]
+    out = []
+    for one, old in zip(sums, above, strict=True):
+        own, old = one.reshape(len(one), -1, bins), old.reshape(len(one), -1, bins)
+        new = np.empty((len(one), len(rest), bins), one.dtype)
+        new[:, counted] = own
+        for j, x in enumerate(rest):
+            if x:
+                new[:, j] = old[:, x[0]] - new[:, x[1]]
+        out.append(new.reshape(len(one), -1))
+    return out[0], out[1]
+
+
+def _chosen(q: int, k: int, sums: np.ndarray, rows: np.ndarray, open_: list[_Open], specs: list[Spec], bins: int):
     """Of a block's sums ((place, node), best split) for nodes with rows: gain, feature, bin, nulls left, gradients and rows of the node and of its left side. A row's Hessian is 1."""
-    i, _, nodes = open_[q]
+    i, _, nodes, _ = open_[q]
     g, n = (x.astype(float).reshape(-1, len(nodes), bins).transpose(1, 0, 2) for x in (sums, rows))
     hist = np.stack([g, n, n], -1)
     gain, f, at, null_left, low = best_splits(hist, specs[i].l2, specs[i].least)
@@ -690,28 +764,55 @@ def _chosen(q: int, k: int, sums: np.ndarray, rows: np.ndarray, open_: list[tupl
         yield (q, nodes[j]), (float(gain[j]), int(f[j]) + k, int(at[j]), bool(null_left[j]), *map(float, (*whole[j, :2], *low[j, :2])))
 
 
-def _level(pieces: RDD, since: list[list[Walk]], open_: list[tuple[int, Walk, list[int]]], specs: list[Spec], bins: int):
-    """The best splits of all blocks: tasks' sums of a block meet in one task, which adds them in the order of the tasks."""
-    blocks = [(q, k) for q, (i, _, _) in enumerate(open_) for k in range(0, len(specs[i].features), BLOCK)]
+def _level(pieces: RDD, since: list[list[Walk]], open_: list[_Open], specs: list[Spec], bins: int, above: RDD | None) -> tuple[list, RDD]:
+    """The best splits of all blocks, and the blocks' sums: tasks' sums of a block meet in one task, which adds them in the order of the tasks. ``above`` are the sums of the level above, None without nodes that need them."""
+    blocks = [(i, k) for i, s in enumerate(specs) for k in range(0, len(s.features), BLOCK)]
+    place = {i: q for q, (i, _, _, _) in enumerate(open_)}
 
     def count(part: int, own):
-        for key, (sums, rows) in _counted(own, since, open_, specs, bins).items():
-            yield blocks.index(key), (part, sums, rows.astype(np.int32))
+        for (q, k), (sums, rows) in _counted(own, since, open_, specs, bins).items():
+            yield blocks.index((open_[q][0], k)), (part, sums, rows.astype(np.int32))
 
-    def choose(got):
+    def add_up(got):
         held: dict[int, list] = {}
         for b, x in got:
             held.setdefault(b, []).append(x)
         for b, parts in held.items():
             parts.sort(key=lambda x: x[0])
-            yield from _chosen(*blocks[b], *(sum(p[c] for p in parts) for c in (1, 2)), open_, specs, bins)
+            new, old = [p for p in parts if p[0] >= 0], [p[1:] for p in parts if p[0] < 0]
+            if new:
+                sums = _completed((sum(p[1] for p in new), sum(p[2] for p in new)), old[0] if old else None, open_[place[blocks[b][0]]][3], bins)
+                yield b, (-1, *sums)
+
+    def choose(got):
+        for b, (_, sums, rows) in got:
+            i, k = blocks[b]
+            yield from _chosen(place[i], k, sums, rows, open_, specs, bins)
 
     tasks = min(len(blocks), pieces.getNumPartitions())
-    return pieces.mapPartitionsWithIndex(count).partitionBy(tasks, lambda b: b).mapPartitions(choose).collect()  # a row for each node and block of features
+    parts = pieces.mapPartitionsWithIndex(count)
+    summed = (parts if above is None else parts.union(above)).partitionBy(tasks, lambda b: b).mapPartitions(add_up).persist(StorageLevel.MEMORY_AND_DISK)
+    return summed.mapPartitions(choose).collect(), summed  # a row for each node and block of features
+
+
+def _rest(tree: Tree, nodes: list[int], above: list[int] | None) -> list[tuple[int, int] | None]:
+    """For each of a level's nodes None if it is to be counted, or else the places of its parent among ``above`` and of its sibling."""
+    rest: list[tuple[int, int] | None] = [None] * len(nodes)
+    at = {node: j for j, node in enumerate(nodes)}
+    for p, parent in enumerate(above or ()):
+        if tree.feature[parent] >= 0 and tree.left[parent] in at:
+            a, b = at[tree.left[parent]], at[tree.right[parent]]
+            few, many = (a, b) if tree.cover[nodes[a]] <= tree.cover[nodes[b]] else (b, a)
+            rest[many] = p, few
+    return rest
 
 
 def _rounds(specs: list[Spec], level, taken_in) -> list[list[Tree]]:
-    """All trees of boosted models of squared error. ``level`` gives best splits of nodes after the trees since rows last took trees in, which ``taken_in`` makes them do."""
+    """All trees of boosted models of squared error. ``level`` gives best splits of nodes after the trees since rows last took trees in, which ``taken_in`` makes them do.
+
+    Of two nodes with one parent only the one with fewer rows is counted, where both levels are done at once: ``level`` keeps the sums of its last call.
+    """
+    most = max(2, NODES - NODES % 2)
     trees: list[list[Tree]] = [[] for _ in specs]
     since: list[list[Walk]] = [[] for _ in specs]
     for t in range(max(s.trees for s in specs)):
@@ -719,12 +820,13 @@ def _rounds(specs: list[Spec], level, taken_in) -> list[list[Tree]]:
             taken_in(since)
             since = [[] for _ in specs]
         grown = {i: Tree() for i, s in enumerate(specs) if t < s.trees}
-        nodes = [(i, 0, specs[i].depth) for i in grown]
+        nodes, above = [(i, 0, specs[i].depth) for i in grown], {}
         while nodes:
             nxt = []
-            for k in range(0, len(nodes), NODES):
-                left_of = {(i, node): left for i, node, left in nodes[k : k + NODES]}
-                open_ = [(i, grown[i].arrays(), [node for j, node in left_of if j == i]) for i in sorted({i for i, _ in left_of})]
+            for k in range(0, len(nodes), most):
+                left_of = {(i, node): left for i, node, left in nodes[k : k + most]}
+                by_model = {i: [node for j, node in left_of if j == i] for i in sorted({i for i, _ in left_of})}
+                open_ = [(i, grown[i].arrays(), own, _rest(grown[i], own, above.get(i) if len(nodes) <= most else None)) for i, own in by_model.items()]
                 best: dict[tuple[int, int], tuple] = {}
                 for key, x in level(since, open_):
                     if key not in best or (x[0], -x[1]) > (best[key][0], -best[key][1]):
@@ -739,6 +841,7 @@ def _rounds(specs: list[Spec], level, taken_in) -> list[list[Tree]]:
                         tree.cover[child], tree.value[child] = hs, _leaf(s, gs, hs)
                         if left > 1:
                             nxt.append((i, child, left - 1))
+            above = by_model if len(nodes) <= most else {}
             nodes = nxt
         for i, tree in grown.items():
             trees[i].append(tree)
@@ -748,11 +851,14 @@ def _rounds(specs: list[Spec], level, taken_in) -> list[list[Tree]]:
 
 def _boost(data: DataFrame, models: list[Ensemble], bins: int) -> None:
     """Adds all trees to boosted models of squared error, in jobs of a level each, over pieces that are kept with their residuals."""
-    specs, held, old = [m.spec for m in models], [], []
+    specs, held, old, above = [m.spec for m in models], [], [], []
     held.append(_packed(data, models, False).coalesce(data.sparkSession.sparkContext.defaultParallelism).map(lambda r: pickle.loads(r[1])).persist(StorageLevel.MEMORY_AND_DISK))
 
     def level(since, open_):
-        got = _level(held[0], since, open_, specs, bins)
+        got, sums = _level(held[0], since, open_, specs, bins, above[0] if any(x for *_, rest in open_ for x in rest) else None)
+        above.append(sums)
+        while len(above) > 1:
+            above.pop(0).unpersist()
         while old:
             old.pop().unpersist()  # what took its place is there now
         return got
@@ -764,6 +870,8 @@ def _boost(data: DataFrame, models: list[Ensemble], bins: int) -> None:
     for m, grown in zip(models, _rounds(specs, level, taken_in), strict=True):
         m.trees.extend(grown)
     held[0].unpersist()
+    for sums in above:
+        sums.unpersist()
 
 
 def _boost_apart(data: DataFrame, models: list[Ensemble], bins: int) -> None:
@@ -777,9 +885,12 @@ def _boost_apart(data: DataFrame, models: list[Ensemble], bins: int) -> None:
         own = [replace(specs[i], features=tuple(range(codes.shape[1])))]
         held = [(np.ascontiguousarray(codes[order[a : a + PIECE]].T), [(None, r[order[a : a + PIECE]])]) for a in range(0, len(r), PIECE)]
 
+        above: dict[int, _Sums] = {}
+
         def level(since, open_):
-            for (q, b), (sums, rows) in _counted(held, since, open_, own, bins).items():
-                yield from _chosen(q, b, sums, rows, open_, own, bins)
+            for (q, b), sums in _counted(held, since, open_, own, bins).items():
+                above[b] = _completed(sums, above.get(b), open_[q][3], bins)
+                yield from _chosen(q, b, *above[b], open_, own, bins)
 
         def taken_in(since):
             held[:] = [_after(p, since) for p in held]
