@@ -239,7 +239,7 @@ def permutation_importance(model: trees.Ensemble, df: DataFrame, names: list[str
     """Rise of the MAE when one feature's values are dealt out anew among rows: mean and deviation over repeats.
 
     A repeat pairs each row with another one, by a join of two rankings in buckets, one of them by a hash, so no column is gathered. Within a batch, features take the other row's bins in turn, and
-    only the trees that split on a feature are walked again: rows are never multiplied by features.
+    only rows that turn off at a split on the feature walk on, from there: rows are never multiplied by features.
     """
     spark, wanted = df.sparkSession, names or [model.names[f] for f in model.spec.features]
     rows = trees.binned(df.withColumn("setting", F.lit(model.spec.setting)), model.names, {model.spec.setting: model.edges}).select("k", "y", "b").where("y is not null").persist()
@@ -254,20 +254,19 @@ def permutation_importance(model: trees.Ensemble, df: DataFrame, names: list[str
 
     def swap(batches):
         m = sent.value
-        walks, users = m.walks(), {f: [k for k, t in enumerate(m.trees) if f in t.feature] for f in places}
+        walks, at = m.walks(), np.full(len(m.names), -1)
+        at[places] = np.arange(len(places))
         for b in batches:
             codes, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("b", "z"))
             y, repeat = b.column("y").to_numpy(), b.column("repeat").to_numpy()
-            own = m.each(codes)
-            shape = (lambda total: m.base + (total if m.spec.boosted else total / len(walks)))
-            plain = own.sum(0)
-            before, mixed, gains = np.abs(y - np.maximum(shape(plain), 0.0)), codes.copy(), np.zeros((len(places), b.num_rows))
-            for q, f in enumerate(places):
-                if users[f]:
-                    mixed[:, f] = other[:, f]
-                    moved = plain + sum(walks[k].value[walks[k].nodes(mixed)] - own[k] for k in users[f])
-                    gains[q] = np.abs(y - np.maximum(shape(moved), 0.0)) - before
-                    mixed[:, f] = codes[:, f]
+            shape = (lambda total: m.base + (total if m.spec.boosted else total / max(len(walks), 1)))
+            plain = m.each(codes).sum(0)
+            change = np.zeros((len(places), b.num_rows))
+            for w in walks:
+                rows, f, more = w.moved(codes, other)
+                use = at[f] >= 0
+                change[at[f[use]], rows[use]] += more[use]  # a row once for each feature
+            gains = np.abs(y - np.maximum(shape(plain + change), 0.0)) - np.abs(y - np.maximum(shape(plain), 0.0))
             for r in np.unique(repeat):
                 use = repeat == r
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(places)), pa.int32()), pa.array(np.full(len(places), r), pa.int32()), pa.array(gains[:, use].sum(1)), pa.array(np.full(len(places), use.sum()), pa.int64())], ["f", "repeat", "s", "n"])
